@@ -86,3 +86,70 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+#: Rows of an id table up to which it is broadcast (8 MB of longs); larger ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted here, are few; else as it is."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``ids`` (one column of that name); null keys stay."""
+    return df.join(small(ids), key, "left_anti")
+
+
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_WORD_MULT = 0x9E3779B97F4A7C15
+
+
+_word_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of an odd multiplier and of its inverse modulo 2**64."""
+    for i, base in enumerate((_WORD_MULT, pow(_WORD_MULT, -1, 1 << 64))):
+        if len(_word_powers[i]) < n:
+            grown = np.full(max(n, 2 * len(_word_powers[i])), base, dtype=np.uint64)
+            grown[0] = 1
+            _word_powers[i] = np.multiply.accumulate(grown)
+    return [p[:n] for p in _word_powers]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+class Words:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of many byte strings, as flat arrays.
+
+    ``data`` holds all strings with a line feed after each; ``start``/``end`` are the
+    words' places in it and ``of`` the string each belongs to. ``first[i]`` is the index
+    of string i's first word (``first[-1]`` the number of words).
+    """
+
+    def __init__(self, strings: list[bytes]):
+        self.data = b"\n".join(strings) + b"\n"
+        self.bytes = np.frombuffer(self.data, dtype=np.uint8)
+        sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) + 1
+        space = _SPACES[self.bytes]
+        before = np.empty(len(space), dtype=bool)
+        before[0], before[1:] = True, space[:-1]
+        self.start = np.flatnonzero(~space & before)
+        self.end = np.flatnonzero(space & ~before)
+        self.offset = np.concatenate([[0], np.cumsum(sizes)])
+        self.first = np.searchsorted(self.start, self.offset)
+        self.of = np.repeat(np.arange(len(strings)), np.diff(self.first))
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word, equal for equal words in any batch."""
+        up, down = powers(len(self.bytes))
+        run = np.zeros(len(self.bytes) + 1, dtype=np.uint64)
+        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up, out=run[1:])
+        return mixed((run[self.end] - run[self.start]) * down[self.start] ^ (self.end - self.start).astype(np.uint64) << np.uint64(56))

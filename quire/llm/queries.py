@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, packing
+from quire.llm import bpe, packing, quality, simhash
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,5 +22,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_prob")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_quality": op6_quality}
 ORACLES: dict[str, str] = {}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe, packing, quality, simhash
+from quire.llm import bpe, embeddings, packing, quality, simhash, urls, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -31,5 +32,46 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_prob")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_quality": op6_quality}
-ORACLES: dict[str, str] = {}
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), [*urls.SITE_RULES, *urls.WORD_RULES])
+    rule = F.when(F.col("matched.rank") == 1, F.col("matched.name"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), "verdict")
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_urls": op2_urls,
+    "op4_packing": op4_packing,
+    "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
+    "op8_embeddings": op8_embeddings,
+    "op9_warc": op9_warc,
+}
+
+_SITES = ", ".join(f"('{r.name}', '{r.verdict}', '{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}')" for r in urls.SITE_RULES)
+_WORDS = "|".join(r.pattern.replace("'", "''") for r in urls.WORD_RULES)
+ORACLES: dict[str, str] = {
+    "op2_urls": rf"""
+        WITH sites(rule, verdict, rh, rp) AS (VALUES {_SITES}),
+        cut AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+        SELECT page_id, host, path, top.rule AS rule,
+               coalesce(top.verdict, CASE WHEN regexp_matches(host || path, '{_WORDS}') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM cut LEFT JOIN LATERAL (SELECT rule, verdict FROM sites
+            WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rule) DESC LIMIT 1) top ON true""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first_id FROM p WHERE strlen(html) >= 100 GROUP BY d)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d""",
+}

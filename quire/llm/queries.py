@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, embeddings, packing, quality, simhash, urls, warc
+from quire.llm import bpe, embeddings, lines, packing, quality, simhash, urls, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -46,6 +46,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = lines.dedup(table(spark, sf_dir, "documents"), removed="n_removed")
+    return clean.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -54,6 +59,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op8_embeddings": op8_embeddings,
     "op9_warc": op9_warc,
+    "op10_lines": op10_lines,
 }
 
 _SITES = ", ".join(f"('{r.name}', '{r.verdict}', '{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}')" for r in urls.SITE_RULES)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, embeddings, lines, packing, quality, simhash, urls, warc
+from quire.llm import bpe, embeddings, html, licenses, lines, packing, quality, simhash, urls, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +20,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -38,6 +43,11 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", rule.alias("rule"), "verdict")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "license_digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -54,17 +64,50 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
+    "op3_html": op3_html,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
     "op8_embeddings": op8_embeddings,
     "op9_warc": op9_warc,
     "op10_lines": op10_lines,
+    "pipeline": corpus_pipeline.run,
 }
 
 _SITES = ", ".join(f"('{r.name}', '{r.verdict}', '{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}')" for r in urls.SITE_RULES)
 _WORDS = "|".join(r.pattern.replace("'", "''") for r in urls.WORD_RULES)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _lower(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _plain(text: str) -> str:
+    for pattern, kept in licenses.SPELLINGS:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(kept)}, 'g')"
+    return rf"trim(regexp_replace({text}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+def _canonical(text: str) -> str:
+    return _plain(f"array_to_string(list_filter(string_split({_lower(text)}, chr(10)), lambda x: NOT regexp_matches(x, {_quoted(licenses.COPYRIGHT_LINE)})), ' ')")
+
+
+_KNOWN = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)
 ORACLES: dict[str, str] = {
+    "op7_licenses": f"""
+        WITH raw(license, text) AS (VALUES {_KNOWN}),
+        known AS (SELECT sha256({_canonical("text")}) AS digest, min(license) AS license FROM raw GROUP BY 1),
+        docs AS (SELECT doc_id, text, sha256({_canonical("text")}) AS license_digest FROM documents),
+        noted AS (SELECT doc_id, string_agg(DISTINCT known.license, ',' ORDER BY known.license) AS notices
+            FROM (SELECT doc_id, unnest(string_split({_lower("text")}, chr(10))) AS line FROM documents) l
+            JOIN known ON known.digest = sha256({_plain("line")}) WHERE regexp_matches(line, 'licen[cs]|public domain') GROUP BY doc_id)
+        SELECT docs.doc_id, license_digest, known.license AS license, coalesce(notices, '') AS notices
+        FROM docs LEFT JOIN known ON digest = license_digest LEFT JOIN noted ON noted.doc_id = docs.doc_id""",
     "op2_urls": rf"""
         WITH sites(rule, verdict, rh, rp) AS (VALUES {_SITES}),
         cut AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,

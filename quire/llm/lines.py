@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import Words, durable, mixed, small, text_passes
+from quire.llm.common import Words, durable, mixed, small, stored, text_passes
 
 WIDTH, JACCARD = 5, 0.8
 #: Counters for the rarity of tokens; their number bounds what is collected and broadcast (1 MB).
 COUNTER_BITS = 17
 #: Sets of one cell; tokens that more sets share are split, each pair of parts being a cell.
 CELL = 1024
-#: Removed lines up to which the removals are broadcast.
-BROADCAST_LINES = 2_000_000
+#: Lines to remove, or to read again, up to which their list is broadcast (some 30 bytes each).
+BROADCAST_LINES = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,10 +126,13 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
                 ids = b.column("doc_id").take(pa.array(a + s.text))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(s.number, pa.int32()), pa.array(s.h1), pa.array(s.h2), pa.array(s.size, pa.int32()), lists], ["doc_id", "line", "h1", "h2", "n", "prefix"])
 
-    lines = durable(docs.mapInArrow(find, f"doc_id {id_type}, line int, h1 long, h2 long, n int, prefix array<long>"))
+    lines = stored(docs.mapInArrow(find, f"doc_id {id_type}, line int, h1 long, h2 long, n int, prefix array<long>"))
 
     def shared(batches):
-        """From a partition sorted by (token, h1): tokens of two sets or more, as (cell, part, token, h1)."""
+        """From a partition sorted by (token, h1): tokens of two sets or more, as (cell, part, token, h1).
+
+        A cell is named by its sets, so that those which share several tokens meet once.
+        """
         held = [np.empty(0, np.int64)] * 2
 
         def out(token, h1):
@@ -137,14 +140,15 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
             token, h1 = token[fresh], h1[fresh]
             heads = np.flatnonzero(np.append(True, np.diff(token) != 0))
             size = np.diff(np.append(heads, len(token)))
+            name = mixed(np.add.reduceat(mixed(h1.view(np.uint64)), heads) + size.astype(np.uint64))
             few = np.repeat((size > 1) & (size <= CELL), size)
-            cols = [[token[few]], [np.zeros(few.sum(), np.int64)], [token[few]], [h1[few]]]
+            cols = [[np.repeat(name, size)[few].view(np.int64)], [np.zeros(few.sum(), np.int64)], [token[few]], [h1[few]]]
             for i in np.flatnonzero(size > CELL).tolist():
                 n, parts = int(size[i]), -(-int(size[i]) // CELL)
                 own = np.arange(n) % parts
                 for j in range(parts):
                     one, two = np.minimum(own, j), np.maximum(own, j)
-                    cell = mixed((one * parts + two + 1).astype(np.uint64) * _ODD + token[heads[i]].view(np.uint64)).view(np.int64)
+                    cell = mixed((one * parts + two + 1).astype(np.uint64) * _ODD + name[i]).view(np.int64)
                     for c, v in zip(cols, (cell, own, np.full(n, token[heads[i]]), h1[heads[i] : heads[i] + n])):
                         c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["cell", "part", "token", "h1"])
@@ -161,38 +165,51 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
             yield out(*held)
 
     postings = lines.where("size(prefix) > 0").select(F.explode("prefix").alias("token"), "h1")
-    meeting = durable(postings.repartition("token").sortWithinPartitions("token", "h1").mapInArrow(shared, "cell long, part long, token long, h1 long"))
-    wanted = small(meeting.select("h1").distinct())
+    meeting = postings.repartition("token").sortWithinPartitions("token", "h1").mapInArrow(shared, "cell long, part long, token long, h1 long")
+    meeting = stored(meeting.groupBy("cell", "part", "h1").agg(F.min("token").alias("token")))
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("p"), F.count("*").alias("copies"))
-    firsts = durable(firsts.join(wanted.withColumn("near", F.lit(True)), "h1", "left").where("copies > 1 or near"))
+    wanted = small(meeting.select("h1").distinct()).withColumn("near", F.lit(True))
+    firsts = stored(firsts.join(wanted, "h1", "left").where("copies > 1 or near"))
     sets = firsts.where("near").select("h1", "h2", F.col("p.doc_id").alias("doc_id"), F.col("p.line").alias("line"))
-    need = small(sets.groupBy("doc_id").agg(F.collect_set("h1").alias("wanted")), 200_000)
+    # the first line of each set that has to be compared is read again, and goes straight to its cells
+    visits = meeting.join(sets, "h1").select("doc_id", F.struct("line", "h1", "h2", "cell", "part", "token").alias("v"))
+    need = visits.groupBy("doc_id").agg(F.collect_list("v").alias("visits"))
+    if meeting.count() <= BROADCAST_LINES:
+        need = F.broadcast(need)
 
     def read(batches):
+        names = ["cell", "part", "token", "h1", "h2", "doc_id", "line", "tokens"]
         for b in batches:
             for a, texts in text_passes(b, "text"):
                 s = Sets(texts, counts.value, width)
-                lists = b.column("wanted").slice(a, len(texts)).to_pylist()
-                pick = _picked(s, lists)
-                tokens = [s.tokens[s.first[i] : s.first[i + 1]].tobytes() for i in pick]
-                yield pa.RecordBatch.from_arrays([pa.array(s.h1[pick]), pa.array(s.h2[pick]), pa.array(tokens, pa.binary())], ["h1", "h2", "tokens"])
-
-    whole = docs.join(need, "doc_id").select("text", "wanted").mapInArrow(read, "h1 long, h2 long, tokens binary").dropDuplicates(["h1", "h2"])
-    members = meeting.join(sets.join(whole, ["h1", "h2"]), "h1").repartition("cell").sortWithinPartitions("cell", "token", "doc_id", "line")
+                of = {(t, h): i for i, (t, h) in reversed(list(enumerate(zip(s.text.tolist(), s.h1.tolist()))))}
+                ids = b.column("doc_id").slice(a, len(texts)).to_pylist()
+                rows = []
+                for k, visits in enumerate(b.column("visits").slice(a, len(texts)).to_pylist()):
+                    for v in visits:
+                        i = of.get((k, v["h1"]))
+                        if i is not None:
+                            rows.append((v["cell"], v["part"], v["token"], v["h1"], v["h2"], ids[k], v["line"], s.tokens[s.first[i] : s.first[i + 1]].tobytes()))
+                kinds = [pa.int64()] * 5 + [b.column("doc_id").type, pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names)
+
+    whole = docs.join(need, "doc_id").mapInArrow(read, f"cell long, part long, token long, h1 long, h2 long, doc_id {id_type}, line int, tokens binary")
+    members = whole.repartition("cell").sortWithinPartitions("cell", "doc_id", "line")
 
     def verify(batches):
-        """Cells from a partition sorted by (cell, token, place): each set with its earliest match in the cell."""
+        """Cells from a partition sorted by (cell, place): each set with its earliest match in the cell."""
 
         def done(rows: list[tuple]):
             out = []
             sets_ = [set(np.frombuffer(r[6], dtype=np.uint64).tolist()) for r in rows]
             n = np.array([len(x) for x in sets_])
-            token = np.int64(rows[0][2]).astype(np.uint64) if rows else None
+            # place of a token that all share: what can be common before it, and after it
+            token = np.int64(rows[0][2]).astype(np.uint64)
             pos = np.array([np.flatnonzero(np.frombuffer(r[6], dtype=np.uint64) == token)[0] for r in rows])
             part = np.array([r[1] for r in rows])
             across = part.min() != part.max()
             for y in range(1, len(rows)):
-                may = (np.minimum(n[:y], n[y]) >= t * np.maximum(n[:y], n[y]) - 1e-9) & (1 + np.minimum(n[:y] - pos[:y], n[y] - pos[y]) - 1 >= t / (1 + t) * (n[:y] + n[y]) - 1e-9)
+                may = (np.minimum(n[:y], n[y]) >= t * np.maximum(n[:y], n[y]) - 1e-9) & (np.minimum(pos[:y], pos[y]) + np.minimum(n[:y] - pos[:y], n[y] - pos[y]) >= t / (1 + t) * (n[:y] + n[y]) - 1e-9)
                 if across:
                     may &= part[:y] != part[y]
                 for x in np.flatnonzero(may).tolist():
@@ -207,7 +224,7 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
             cols = [b.column(c).to_pylist() for c in ("cell", "part", "token", "h1", "h2")]
             places = list(zip(b.column("doc_id").to_pylist(), b.column("line").to_pylist()))
             for row in zip(*cols, places, b.column("tokens").to_pylist()):
-                if held and (held[0][0], held[0][2]) != (row[0], row[2]):
+                if held and held[0][0] != row[0]:
                     found += done(held)
                     held = []
                 held.append(row)
@@ -217,17 +234,13 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
         if held:
             yield _matches(done(held), id_kind)
 
-    near = members.select("cell", "part", "token", "h1", "h2", "doc_id", "line", "tokens").mapInArrow(verify, f"h1 long, h2 long, doc_id {id_type}, line int")
+    near = members.mapInArrow(verify, f"h1 long, h2 long, doc_id {id_type}, line int")
     near = near.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("m"))
     bound = firsts.join(near, ["h1", "h2"], "left").select("h1", "h2", F.least("p", F.coalesce("m", "p")).alias("m"))
+    bound = small(durable(bound))
     return lines.select("doc_id", "line", "h1", "h2").join(bound, ["h1", "h2"]).where(F.struct("doc_id", "line") > F.col("m")).select("doc_id", "line", "h1")
 
 
-def _picked(s: Sets, lists: list) -> list[int]:
-    wanted = [set(x) for x in lists]
-    return [i for i, (x, of) in enumerate(zip(s.h1.tolist(), s.text.tolist())) if x in wanted[of]]
-
-
 def _matches(found: list[tuple], kind) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_type
 

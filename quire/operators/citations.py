@@ -65,15 +65,15 @@ def footnotes(findings: DataFrame) -> DataFrame:
 
     A fold over the distinct markers of a body, in the JVM: as many steps as it has markers.
     """
-    marks = F.array_distinct(F.regexp_extract_all("body", F.lit(r"(\[\^(?:chunk|finding|url|doc):[^\]]*\])"), F.lit(1)))
+    marks = F.array_distinct(F.regexp_extract_all("body", F.lit(r"(\[\^(?:chunk|finding|(?i:url|doc)):[^\]]*\])"), F.lit(1)))
     own = F.filter("__m", lambda m: m.startswith("[^chunk:"))
-    shown = lambda m: F.when(m.startswith("[^chunk:"), F.concat(F.lit("["), F.array_position(own, m).cast("string"), F.lit("]"))).when(m.startswith("[^finding:"), "†").when(m.startswith("[^url:"), "‡").otherwise("§")
+    shown = lambda m: F.when(m.startswith("[^chunk:"), F.concat(F.lit("["), F.array_position(own, m).cast("string"), F.lit("]"))).when(m.startswith("[^finding:"), "†").when(F.lower(m).startswith("[^url:"), "‡").otherwise("§")
     return findings.withColumn("__m", marks).withColumn("body", F.aggregate("__m", F.col("body"), lambda b, m: F.replace(b, m, shown(m)))).drop("__m")
 
 
 def inert(findings: DataFrame) -> DataFrame:
     """Bodies whose markers are plain text: brackets without the caret."""
-    return findings.withColumn("body", F.regexp_replace("body", r"\[\^((?:chunk|finding|url|doc):[^\]]*)\]", "($1)"))
+    return findings.withColumn("body", F.regexp_replace("body", r"\[\^((?:chunk|finding|(?i:url|doc)):[^\]]*)\]", "($1)"))
 
 
 def cites_own(findings: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +16,16 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-@lru_cache(maxsize=4)
-def _corpus(app: str, sf_dir: str) -> c.Corpus:
-    return c.from_testdata(SparkSession.getActiveSession(), sf_dir)
+_open: dict[tuple[str, str], c.Corpus] = {}
 
 
 def corpus_of(spark: SparkSession, sf_dir: str) -> c.Corpus:
-    return _corpus(spark.sparkContext.applicationId, sf_dir)
+    """The test corpus of a folder, made once a session; its derived tables spill to disk rather than being chunked for each query."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _open:
+        made = c.from_testdata(spark, sf_dir)
+        _open[key] = made.with_tables(chunks=made.chunks.persist(), document_tags=made.document_tags.persist())
+    return _open[key]
 
 
 def query(name: str, sql: str | None = None, *parts: str):

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import benchmark, citations, curation, integrity, profile, reads, scan, scope, search, tags
+from quire.operators import benchmark, citations, curation, integrity, profile, reads, scan, scope, search, tags, views
 from quire.plans.adapter_sql import cid, holds, statement
 from quire.sources import corpus as c
-from quire.sources import files, share
+from quire.sources import artifacts, files, share
 from quire.streaming import ingest
 
 QUERIES: dict = {}
@@ -264,6 +264,18 @@ ORACLES["probe_dates"] = _more(f"f AS ({_FOUND})", ORACLES["probe_dates"], "c_do
 query("save_summary_carry_date", "SELECT document_id, 'new' AS title, authored_date FROM c_summaries WHERE document_id <= 100 UNION ALL SELECT document_id, title, authored_date FROM c_summaries WHERE document_id > 100", "c_summaries")(
     lambda k: curation.save_summaries(k.summaries, k.summaries.where("document_id <= 100").withColumn("title", F.lit("new")).withColumn("authored_date", F.lit(None).cast("string"))).select("document_id", "title", "authored_date"))
 
+# ---- views
+
+ORACLES["resolved_citations"] = _more(_NAMES, "SELECT finding_id, chunk_id, source_kind, source_id, source_name FROM c_citations JOIN c_chunks USING (chunk_id) LEFT JOIN names USING (source_kind, source_id)", "c_citations", "c_documents", "c_summaries", "c_findings", "c_links")
+query("resolved_citations")(views.resolved_citations)
+query("chunk_view", "SELECT n.chunk_id, n.chunk_index, n.text, n.chunk_index = h.chunk_index AS is_target FROM c_chunks h JOIN c_chunks n ON n.source_kind = h.source_kind AND n.source_id = h.source_id AND abs(n.chunk_index - h.chunk_index) <= 2 WHERE h.chunk_id = 800002", "c_chunks")(lambda k: views.chunk_view(k, 800002))
+query("tagged_documents", "SELECT t.document_id, coalesce(CASE WHEN model <> 'backfill' THEN title END, file_name) AS label, value FROM c_document_tags t JOIN c_documents d ON d.document_id = t.document_id LEFT JOIN c_summaries s ON s.document_id = t.document_id WHERE tag_id = 7", "c_document_tags", "c_documents", "c_summaries")(lambda k: views.tagged_documents(k, "ipv4"))
+query("used_tags", "SELECT name, count(*) AS doc_count FROM c_document_tags JOIN c_tags USING (tag_id) GROUP BY 1", "c_document_tags", "c_tags")(views.used_tags)
+query("image_locators", "SELECT chunk_id, source_id, sha256(b.text) AS image_hash FROM c_chunks JOIN benchmark b ON item_id = source_id WHERE source_kind = 'image'", "c_chunks")(lambda k: views.image_locators(k, k.chunks.where("source_kind = 'image'")).select("chunk_id", "source_id", "image_hash"))
+query("corpus_info", "SELECT 'documents' AS name, count(*) AS n FROM c_documents UNION ALL SELECT 'summaries', count(*) FROM c_summaries UNION ALL SELECT 'findings', count(*) FROM c_findings UNION ALL SELECT 'images', count(*) FROM c_images UNION ALL SELECT 'chunks', count(*) FROM c_chunks UNION ALL SELECT 'tags', count(*) FROM c_tags", "c_documents", "c_summaries", "c_findings", "c_images", "c_chunks", "c_tags")(views.corpus_info)
+query("finding_files", r"SELECT finding_id, coalesce(nullif(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'finding') || '-' || finding_id || '.md' AS file_name, regexp_replace(body, '\[\^((?:chunk|finding|url|doc):[^\]]*)\]', '(\1)', 'g') AS body FROM c_findings", "c_findings")(
+    lambda k: artifacts.read_finding_files(artifacts.finding_files(k.findings)).select("finding_id", "file_name", "body"))
+
 # ---- integrity and operations
 
 query("orphan_chunks", "SELECT chunk_id, source_kind, source_id FROM c_chunks WHERE source_kind = 'document' AND source_id % 97 = 0", "c_chunks")(lambda k: integrity.orphan_chunks(k.with_tables(documents=k.documents.where("document_id % 97 <> 0"))))

@@ -338,3 +338,26 @@ def test_event_sessions(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert ingest.sessions(events).agg(F.sum("n")).first()[0] == events.count()
     assert events.schema["ts"].dataType.typeName().startswith("timestamp")
+
+
+def test_finding_files_and_models(spark):
+    from quire.sources import artifacts
+
+    f = spark.createDataFrame([(1, 'A "b"\\c', None, "x [^chunk:3]\n---\ny"), (2, "", "d: e", "")], "finding_id long, title string, description string, body string")
+    rows = artifacts.finding_files(f)
+    assert {r.file_name for r in rows.collect()} == {"a-b-c-1.md", "finding-2.md"}
+    assert {r.finding_id: (r.title, r.description, r.body) for r in artifacts.read_finding_files(rows).collect()} == {1: ('A "b"\\c', "", "x (chunk:3)\n---\ny"), 2: ("", "d: e", "")}
+    assert artifacts.parse_model("a/b/c:d") == ("a", "b/c:d")
+    with pytest.raises(EngineError):
+        artifacts.parse_model("x")
+    refs = spark.createDataFrame([("a/b:c",), ("a/b-c",), ("q/z",)], "ref string")
+    assert [tuple(r) for r in artifacts.slug_clashes(refs).collect()] == [("a-b-c", 2)]
+    blind = artifacts.blind(refs, "ref", 7)
+    assert {r.label for r in blind.collect()} == {"model-1", "model-2", "model-3"} and blind.columns == ["label"]
+
+
+def test_views_clamp(corpus):
+    from quire.operators import views
+
+    assert views.clamp(0, 9) == (20, 5) and views.clamp(9999, -1) == (500, 0)
+    assert views.enriched(corpus, corpus.documents.select("document_id").limit(3)).columns == ["document_id", "title", "description", "href"]

@@ -63,12 +63,13 @@ class Sets(Lines):
 
     def __init__(self, texts: list[str], counts: np.ndarray, width: int = WIDTH):
         super().__init__(texts, width)
-        rank = np.minimum(6 * np.log2(1.0 + counts), 255).astype(np.uint64)
-        key = rank[self.tokens & np.uint64(len(counts) - 1)] << np.uint64(56) | self.tokens >> np.uint64(8)
-        order = np.lexsort((key, self.owner))
-        key, owner = key[order], self.owner[order]
-        fresh = np.append(True, (np.diff(key) != 0) | (np.diff(owner) != 0)) if len(key) else np.zeros(0, dtype=bool)
-        self.tokens, self.owner = self.tokens[order][fresh], owner[fresh]
+        # one sort by line, then rarity in steps, then hash; lines are numbered within the pass
+        rank = np.minimum(6 * np.log2(1.0 + counts), 255).astype(np.uint64) << np.uint64(36)
+        key = self.owner.astype(np.uint64) << np.uint64(44) | rank[self.tokens & np.uint64(len(counts) - 1)] | self.tokens >> np.uint64(28)
+        order = np.argsort(key)
+        token, owner = self.tokens[order], self.owner[order]
+        fresh = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])) if len(key) else np.zeros(0, dtype=bool)
+        self.tokens, self.owner = token[fresh], owner[fresh]
         self.size = np.bincount(self.owner, minlength=len(self.text))
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         if len(self.text):
@@ -182,16 +183,24 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
         for b in batches:
             for a, texts in text_passes(b, "text"):
                 s = Sets(texts, counts.value, width)
-                of = {(t, h): i for i, (t, h) in reversed(list(enumerate(zip(s.text.tolist(), s.h1.tolist()))))}
-                ids = b.column("doc_id").slice(a, len(texts)).to_pylist()
-                rows = []
-                for k, visits in enumerate(b.column("visits").slice(a, len(texts)).to_pylist()):
-                    for v in visits:
-                        i = of.get((k, v["h1"]))
-                        if i is not None:
-                            rows.append((v["cell"], v["part"], v["token"], v["h1"], v["h2"], ids[k], v["line"], s.tokens[s.first[i] : s.first[i + 1]].tobytes()))
-                kinds = [pa.int64()] * 5 + [b.column("doc_id").type, pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names)
+                lists = b.column("visits").slice(a, len(texts))
+                v = lists.flatten()
+                of = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+                line, h1, h2, cell, part, token = (v.field(i).to_numpy() for i in range(6))
+                # the set's first line in this text: lines are in order, the sort is stable
+                have = mixed(s.h1.view(np.uint64) + s.text.astype(np.uint64) * _ODD)
+                order = np.argsort(have, kind="stable")
+                want = mixed(h1.view(np.uint64) + of.astype(np.uint64) * _ODD)
+                at = np.minimum(np.searchsorted(have[order], want), max(len(have) - 1, 0))
+                hit = np.flatnonzero(have[order][at] == want) if len(have) else np.zeros(0, dtype=np.int64)
+                i = order[at[hit]] if len(have) else hit
+                size = s.size[i] if len(i) else i
+                off = np.concatenate([[0], np.cumsum(size)])
+                flat = s.tokens[np.arange(off[-1]) + np.repeat(s.first[i] - off[:-1], size)] if len(i) else np.zeros(0, dtype=np.uint64)
+                tokens = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(flat)])
+                ids = b.column("doc_id").slice(a, len(texts)).take(pa.array(of[hit]))
+                cols = [pa.array(x[hit]) for x in (cell, part, token, h1, h2)]
+                yield pa.RecordBatch.from_arrays([*cols, ids, pa.array(line[hit]), tokens], names)
 
     whole = docs.join(need, "doc_id").mapInArrow(read, f"cell long, part long, token long, h1 long, h2 long, doc_id {id_type}, line int, tokens binary")
     members = whole.repartition("cell").sortWithinPartitions("cell", "doc_id", "line")
@@ -201,19 +210,29 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
 
         def done(rows: list[tuple]):
             out = []
-            sets_ = [set(np.frombuffer(r[6], dtype=np.uint64).tolist()) for r in rows]
-            n = np.array([len(x) for x in sets_])
+            n = [len(r[6]) >> 3 for r in rows]
+            if len(rows) == 2 and min(n) < t * max(n) - 1e-9:
+                return out
+            arrays = [np.frombuffer(r[6], dtype=np.uint64) for r in rows]
             # place of a token that all share: what can be common before it, and after it
             token = np.int64(rows[0][2]).astype(np.uint64)
-            pos = np.array([np.flatnonzero(np.frombuffer(r[6], dtype=np.uint64) == token)[0] for r in rows])
-            part = np.array([r[1] for r in rows])
-            across = part.min() != part.max()
+            pos = [int((x == token).argmax()) for x in arrays]
+            sets_: dict[int, set[int]] = {}
+
+            def tokens_of(i: int) -> set[int]:
+                if i not in sets_:
+                    sets_[i] = set(arrays[i].tolist())
+                return sets_[i]
+
+            across = len({r[1] for r in rows}) > 1
+            n_all, pos_all, part = np.array(n), np.array(pos), np.array([r[1] for r in rows])
             for y in range(1, len(rows)):
-                may = (np.minimum(n[:y], n[y]) >= t * np.maximum(n[:y], n[y]) - 1e-9) & (np.minimum(pos[:y], pos[y]) + np.minimum(n[:y] - pos[:y], n[y] - pos[y]) >= t / (1 + t) * (n[:y] + n[y]) - 1e-9)
+                a, p = n_all[:y], pos_all[:y]
+                may = (np.minimum(a, n[y]) >= t * np.maximum(a, n[y]) - 1e-9) & (np.minimum(p, pos[y]) + np.minimum(a - p, n[y] - pos[y]) >= t / (1 + t) * (a + n[y]) - 1e-9)
                 if across:
                     may &= part[:y] != part[y]
                 for x in np.flatnonzero(may).tolist():
-                    both = len(sets_[x] & sets_[y])
+                    both = len(tokens_of(x) & tokens_of(y))
                     if both >= t * (n[x] + n[y] - both) - 1e-9:
                         out.append((rows[y][3], rows[y][4], rows[x][5]))
                         break

@@ -283,23 +283,23 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float =
 
     def cut(batches):
         for b in batches:
-            texts, lists = b.column("text").to_pylist(), b.column("gone").to_pylist()
-            hit = [i for i, g in enumerate(lists) if g and texts[i] is not None]
-            n = np.zeros(len(texts), dtype=np.int32)
-            for i in range(0, len(hit), 256):
-                rows = hit[i : i + 256]
-                s = Sets([texts[k] for k in rows], blank, width)
-                marked = [{(g["line"], g["h1"]) for g in lists[k]} for k in rows]
-                out: dict[int, set[int]] = {}
-                for of, line, h in zip(s.text.tolist(), s.number.tolist(), s.h1.tolist()):
-                    if (line, h) in marked[of]:
-                        out.setdefault(of, set()).add(line)
-                for of, numbers in out.items():
-                    k = rows[of]
-                    texts[k] = "\n".join(x for j, x in enumerate(texts[k].split("\n")) if j not in numbers)
-                    n[k] = len(numbers)
-            cols = [b.column("row"), pa.array(texts, pa.string()), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "text", "n"])
+            lost = b.column("text").is_null().to_numpy(zero_copy_only=False)
+            for a, texts in text_passes(b, "text"):  # a batch's rows go on in parts, so that few texts are held twice
+                lists = b.column("gone").slice(a, len(texts))
+                n = np.zeros(len(texts), dtype=np.int32)
+                hit = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False) & ~lost[a : a + len(texts)]).tolist()
+                if hit:
+                    s = Sets([texts[k] for k in hit], blank, width)
+                    marked = [{(g["line"], g["h1"]) for g in lists[k].as_py()} for k in hit]
+                    out: dict[int, set[int]] = {}
+                    for of, line, h in zip(s.text.tolist(), s.number.tolist(), s.h1.tolist()):
+                        if (line, h) in marked[of]:
+                            out.setdefault(hit[of], set()).add(line)
+                    for k, numbers in out.items():
+                        texts[k] = "\n".join(x for j, x in enumerate(texts[k].split("\n")) if j not in numbers)
+                        n[k] = len(numbers)
+                cols = [b.column("row").slice(a, len(texts)), pa.array(texts, pa.string(), mask=lost[a : a + len(texts)]), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "text", "n"])
 
     others = [c for c in df.columns if c != text]
     nested = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))

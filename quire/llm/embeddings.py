@@ -67,7 +67,6 @@ def cell_links(vectors: np.ndarray, labels: np.ndarray, weights: np.ndarray, key
     n, u = len(vectors), unit(vectors)
     counts, a, b = np.zeros(n, dtype=np.int64), [], []
     across = part.min() != part.max()
-    left = np.ones(n, dtype=bool)
     pairs_i, pairs_j = [], []
     for i in range(0, n, 256):
         near = u[i : i + 256] @ u.T >= threshold
@@ -102,7 +101,6 @@ def cell_links(vectors: np.ndarray, labels: np.ndarray, weights: np.ndarray, key
         root[moved] = best[moved]
         while (root[root] != root).any():
             root = root[root]
-    del left
     return counts, a, b
 
 

@@ -419,7 +419,7 @@ def round_trip_digests(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
 
     Columns: ``doc_id``, ``n_tokens`` long, ``ids_sha256`` (decimal ids joined by commas),
     ``decoded_sha256`` (the decoded text's UTF-8). A null text reads as empty; ids may be null or repeat.
-    No shuffle; a batch is worked off in passes of about a million characters.
+    No shuffle; a batch is worked off in passes of about half a million characters.
     """
     spec = df.sparkSession.sparkContext.broadcast(Spec.load(tokenizer))
     kind = df.schema[doc_id].dataType.simpleString()

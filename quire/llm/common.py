@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of Arrow batches are regrouped so that one numpy pass sees about so many characters.
-PASS_CHARS = 1 << 20
+PASS_CHARS = 1 << 19
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

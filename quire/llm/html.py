@@ -367,7 +367,7 @@ def main_texts(pages: list[str], model: Labeller) -> list[str]:
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), text: str = "text") -> DataFrame:
     """Columns ``keep`` of ``df`` with ``text`` (main text, '' if none) and ``n_chars`` (its code points), row by row.
 
-    A null or empty page has an empty text. Pages are read whole, in passes of about a
+    A null or empty page has an empty text. Pages are read whole, in passes of about half a
     million characters. No shuffle; the weights (some 100 kB) are broadcast.
     """
     weights = df.sparkSession.sparkContext.broadcast(trained())

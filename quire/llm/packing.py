@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Documents are encoded and cut into pieces; whole-length pieces are sequences already.
-Each partition packs its other pieces best-fit and emits bins that are nearly full; the
-emptiest bins go up a tree as items, where they are packed best-fit again with those of
-sibling partitions, until the root. A node also tries the pieces of those bins one by one
-and takes what makes fewer bins.
+Each partition packs its other pieces best-fit and closes bins that are nearly full. All
+others go up as items, but only as counts by size: the counts of all partitions meet at the
+root, which packs them best-fit, however many they are, and each item finds its place by
+its rank among those of its size. The root also tries the pieces of those bins one by one and
+takes what makes fewer bins.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import Spec, codec_of
-from quire.llm.common import durable, text_passes
+from quire.llm.common import small, stored, text_passes
 
 #: Bins of at most this many free tokens are closed where they are packed.
 SLACK = 4
-#: Bins that one tree node may hand up (the emptiest; fuller ones are closed), and nodes that meet in one.
-HANDED_UP, FAN = 1024, 8
 #: Pieces that a partition packs at once; memory is bounded by it, whatever the partition's size.
 LOCAL_ITEMS = 100_000
 
-_MEMBERS = "doc_id array<{id}>, piece array<int>, start array<long>, length array<long>, ids_crc32 array<long>"
+#: A bin's place (node: its partition; at: the piece's offset in it), whether it goes up, and the ranks, within the partition, of the bin by ``used`` and of the piece by ``length`` if so.
+_PLACE = ["node", "bin", "used", "open", "at", "bin_rank", "piece_rank"]
+_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -62,31 +63,60 @@ def _pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((a, capacity) for a in range(head, n, capacity))]
 
 
-def _packed(parts: list[list[tuple]], capacity: int) -> list[list[tuple]]:
-    """Bins of the given bins (lists of pieces), each taken as one item."""
-    bins: dict[int, list[tuple]] = {}
-    for part, at in zip(parts, best_fit(np.array([sum(m[3] for m in p) for p in parts], dtype=np.int64), capacity).tolist()):
-        bins.setdefault(at, []).extend(part)
-    return list(bins.values())
+def plan(counts: np.ndarray, capacity: int) -> tuple[int, np.ndarray]:
+    """Best-fit decreasing of ``counts[s]`` items of each size s: the number of bins, and runs of items that lie alike.
 
-
-def _nodes_up(parts: int) -> int:
-    levels = 0
-    while parts > 1:
-        parts, levels = -(-parts // FAN), levels + 1
-    return levels
-
-
-def _emit(members: list[list[tuple]], level: int, node: int, up: bool, capacity: int, names: list[str], types: list[pa.DataType]):
-    """A batch of bins: level, node, bin, used, open, and the members' columns as lists."""
-    used = np.array([sum(m[3] for m in b) for b in members], dtype=np.int64)
-    is_open = np.zeros(len(members), dtype=bool)
-    if up and len(members):
-        emptiest = np.argsort(used, kind="stable")[:HANDED_UP]
-        is_open[emptiest] = used[emptiest] < capacity - SLACK
-    cols = [pa.array([[m[k] for m in b] for b in members], pa.list_(t)) for k, t in enumerate(types)]
-    heads = [pa.array([level] * len(members), pa.int32()), pa.array([node] * len(members), pa.int64()), pa.array(np.arange(len(members)), pa.int64()), pa.array(used), pa.array(is_open)]
-    return pa.RecordBatch.from_arrays([*heads, *cols], names)
+    Bins of equal contents are one group, and a size adds three groups at most, so cost and
+    result are bounded by ``capacity``, whatever the number of items. A run is (size, rank of
+    its first item among those of that size, items in each bin, number of its first bin, offset in a bin).
+    """
+    waiting: list[list[tuple]] = [[] for _ in range(capacity + 1)]
+    mask = 0
+
+    def put(free: int, n: int, runs: list[tuple]):
+        nonlocal mask
+        if n:
+            waiting[free].append((n, runs))
+            mask |= 1 << free
+
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        left, rank = int(counts[size]), 0
+        while left:
+            room = mask >> size
+            if room:
+                free = size + ((room & -room).bit_length() - 1)
+                n, runs = waiting[free].pop()
+                if not waiting[free]:
+                    mask &= ~(1 << free)
+            else:
+                free, n, runs = capacity, -(-left // (capacity // size)), []
+            each = free // size
+            full = min(n, left // each)
+            last = left - full * each if full < n else 0  # what the bin after the full ones takes
+            at = 0
+            for bins, of in ((full, each), (1 if last else 0, last), (n - full - (last > 0), 0)):
+                own = [(s, first + at * m, m) for s, first, m in runs] + ([(size, rank, of)] if of else [])
+                put(free - of * size, bins, own)
+                at, rank, left = at + bins, rank + bins * of, left - bins * of
+    out, bins = [], 0
+    for groups in waiting:
+        for n, runs in groups:
+            at = 0
+            for size, first, m in runs:
+                out.append((size, first, m, bins, at))
+                at += size * m
+            bins += n
+    return bins, np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
+
+
+def _ranks(sizes: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Rank of each item among those of its size, after the ``seen`` ones, which are counted on."""
+    order = np.argsort(sizes, kind="stable")
+    n = np.bincount(sizes, minlength=len(seen))
+    out = np.empty(len(sizes), dtype=np.int64)
+    out[order] = np.arange(len(sizes)) - (np.cumsum(n) - n - seen)[sizes[order]]
+    seen += n
+    return out
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,8 +127,9 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None
     piece, start, length, ids_crc32, sequence_id, offset``. Rows with equal or null ids are
     documents of their own; an empty table gives no rows; other columns are not read.
 
-    One pass over the texts packs every partition by itself; only emptiest bins move,
-    at most HANDED_UP for each tree node, so no task's input grows with the corpus.
+    One pass over the texts packs every partition by itself. Every bin with more than SLACK
+    free tokens is packed again at the root, of which the driver sees a count for each size;
+    pieces stay where they are, so no task's input grows with the corpus.
     """
     sc = df.sparkSession.sparkContext
     spec = sc.broadcast(Spec.load(tokenizer))
@@ -106,8 +137,8 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = [to_arrow_type(kind), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["level", "node", "bin", "used", "open", "doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = "level int, node long, bin long, used long, open boolean, " + _MEMBERS.format(id=kind.simpleString())
+    names = [*_PLACE, *_PIECE]
+    schema = f"node long, bin long, used long, open boolean, at long, bin_rank long, piece_rank long, doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
     source = df.select(doc_id, text)
 
     def local(batches):
@@ -115,22 +146,27 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None
         tail = np.array([] if end_id is None else [end_id], dtype=np.int32)
         items: list[tuple] = []
         serial = 0
-
-        def packed(last: bool):
-            """The items' bins; ids of bins stay apart between the rounds of one partition."""
-            nonlocal items, serial
-            bins: dict[int, list[tuple]] = {}
-            for item, b in zip(items, best_fit(np.array([x[3] for x in items], dtype=np.int64), capacity).tolist()):
-                bins.setdefault(b, []).append(item)
-            out = _emit(list(bins.values()), 0, part, True, capacity, names, types)
-            out = out.set_column(2, "bin", pa.array(np.arange(serial, serial + len(bins)), pa.int64()))
-            is_open = out.column(4).to_numpy(zero_copy_only=False)
-            items = []
-            if not last:  # what this round would hand up is packed again with the next items
-                items = [x for b, o in zip(bins.values(), is_open) if o for x in b]
-                out = out.filter(pa.array(~is_open))
-            serial += len(bins)
-            return out
+        seen = np.zeros((2, capacity + 1), dtype=np.int64)
+
+        def emit(pieces: list[tuple], bins: np.ndarray) -> pa.RecordBatch:
+            """The pieces with the places of their bins; ids of bins and ranks go on between the rounds of one partition."""
+            nonlocal serial
+            order = np.argsort(bins, kind="stable")
+            cols = [pa.array([pieces[i][k] for i in order.tolist()], t) for k, t in enumerate(types)]
+            length, bins = cols[3].to_numpy(), bins[order]
+            heads = np.flatnonzero(np.append(True, np.diff(bins) != 0))
+            used = np.add.reduceat(length, heads)
+            up = used < capacity - SLACK
+            bin_rank, piece_rank = np.zeros(len(heads), dtype=np.int64), np.zeros(len(bins), dtype=np.int64)
+            bin_rank[up] = _ranks(used[up], seen[0])
+            piece_rank[up[bins]] = _ranks(length[up[bins]], seen[1])
+            before = np.cumsum(length) - length
+            place = [np.full(len(bins), part, dtype=np.int64), bins + serial, used[bins], up[bins], before - before[heads][bins], bin_rank[bins], piece_rank]
+            serial += len(heads)
+            return pa.RecordBatch.from_arrays([*map(pa.array, place), *cols], names)
+
+        def packed():
+            return emit(items, best_fit(np.array([x[3] for x in items], dtype=np.int64), capacity))
 
         for b in batches:
             for a, texts in text_passes(b, text):
@@ -145,42 +181,41 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None
                         piece = (doc, k, s, size, zlib.crc32(raw[4 * s : 4 * (s + size)]))
                         (whole if size == capacity else items).append(piece)
                 if whole:
-                    out = _emit([[x] for x in whole], 0, part, False, capacity, names, types)
-                    yield out.set_column(2, "bin", pa.array(np.arange(serial, serial + len(whole)), pa.int64()))
-                    serial += len(whole)
+                    yield emit(whole, np.arange(len(whole)))
                 if len(items) >= LOCAL_ITEMS:
-                    yield packed(False)
+                    yield packed()
+                    items = []
         if items:
-            yield packed(True)
-
-    def merge(level: int, up: bool):
-        def run(batches):
-            held: dict[int, list[list[tuple]]] = {}
-            for b in batches:
-                cols = [b.column(n).to_pylist() for n in ["node", *names[5:]]]
-                for node, *lists in zip(*cols):
-                    held.setdefault(node // FAN, []).append(list(zip(*lists)))
-            for node, parts in sorted(held.items()):
-                bins = _packed(parts, capacity)
-                again = _packed([[m] for p in parts for m in p], capacity)
-                bins = again if len(again) < len(bins) else bins
-                yield _emit(bins, level, node, up, capacity, names, types)
-
-        return run
-
-    now = durable(source.mapInArrow(local, schema))
-    closed = [now.where("not open")]
-    nodes = (now.agg(F.max("node")).first()[0] or 0) + 1
-    levels = max(1, _nodes_up(nodes))
-    for level in range(1, levels + 1):
-        nodes = -(-nodes // FAN)
-        waiting = now.where("open").withColumn("parent", F.expr(f"node div {FAN}"))
-        now = durable(waiting.repartition(nodes, "parent").drop("parent").mapInArrow(merge(level, level < levels), schema))
-        closed.append(now.where("not open"))
-    bins = closed[0]
-    for more in closed[1:]:
-        bins = bins.unionByName(more)
-    # 4 bits of level, 24 of node and 35 of bin make a number of its own for each sequence
-    number = F.expr("shiftleft(cast(level as bigint), 59) + shiftleft(node, 35) + bin")
-    rows = bins.select(number.alias("sequence_id"), F.expr("inline(transform(arrays_zip(doc_id, piece, start, length, ids_crc32), (x, i) -> struct(x.doc_id, x.piece, x.start, x.length, x.ids_crc32, cast(coalesce(aggregate(slice(length, 1, i), 0L, (s, v) -> s + v), 0L) as bigint) as offset)))"))
+            yield packed()
+
+    now = stored(source.mapInArrow(local, schema))
+    waiting = now.where("open")
+    options = []
+    for size, rank, inner, one in (("used", "bin_rank", "at", "at = 0"), ("length", "piece_rank", "0L", "true")):
+        by_node = waiting.where(one).groupBy("node", F.col(size).alias("size")).agg(F.count("*").alias("n"))
+        counts = np.zeros(capacity + 1, dtype=np.int64)
+        for r in by_node.groupBy("size").agg(F.sum("n").alias("n")).collect():
+            counts[r["size"]] = r["n"]
+        options.append((*plan(counts, capacity), by_node, size, rank, inner))
+    _, runs, by_node, size, rank, inner = min(options, key=lambda x: x[0])
+    runs = sc.broadcast(runs)
+    # ranks within a partition become ranks among all by the number of such items in partitions before it
+    base = by_node.select("node", "size", F.expr("sum(n) over (partition by size order by node) - n as base"))
+    ranked = waiting.withColumn("size", F.col(size)).join(small(base), ["node", "size"])
+    ranked = ranked.select(*_PIECE, "size", F.expr(f"base + {rank}").alias("rank"), F.expr(inner).alias("at"))
+    done = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+    def placed(batches):
+        sizes, first, each, bins, at = runs.value.T
+        keys = sizes << 40 | first
+        for b in batches:
+            own, nth, within = (b.column(n).to_numpy() for n in ("size", "rank", "at"))
+            i = np.searchsorted(keys, own << 40 | nth, side="right") - 1
+            k = nth - first[i]
+            place = [bins[i] + k // each[i] + (1 << 59), at[i] + k % each[i] * own + within]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in _PIECE), *map(pa.array, place)], [*_PIECE, "sequence_id", "offset"])
+
+    # 24 bits of node and 35 of bin make a number of its own for each closed bin; the root's have the bit above
+    rows = now.where("not open").select(*_PIECE, F.expr("shiftleft(node, 35) + bin").alias("sequence_id"), F.col("at").alias("offset"))
+    rows = rows.unionByName(ranked.mapInArrow(placed, done))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

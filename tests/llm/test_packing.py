@@ -67,3 +67,29 @@ def test_tree_joins_what_partitions_leave_over(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(packing, "LOCAL_ITEMS", 5)
     again = packing.pack(df.coalesce(1), PATH).collect()
     check(again, [(r.doc_id, r.text) for r in df.collect()], 1024)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=200))
+def test_a_plan_of_counts_makes_the_bins_of_best_fit(sizes):
+    counts = np.bincount(sizes, minlength=65) if sizes else np.zeros(65, dtype=np.int64)
+    n, runs = packing.plan(counts, 64)
+    assert n == len(set(packing.best_fit(np.array(sizes, dtype=np.int64), 64).tolist()))
+    used = np.zeros(n, dtype=np.int64)
+    for size in range(64, 0, -1):
+        own = runs[runs[:, 0] == size]
+        ends = [*own[1:, 1].tolist(), int(counts[size])]
+        assert not len(own) or own[0, 1] == 0
+        for (_, first, each, bins, at), end in zip(own.tolist(), ends):
+            for k in range(end - first):
+                assert used[bins + k // each] == at + k % each * size
+                used[bins + k // each] += size
+    assert used.sum() == sum(sizes) and (used <= 64).all()
+
+
+def test_lengths_that_are_clustered_by_partition_are_packed_as_well_as_mixed_ones(spark):
+    text = "repeat(' a', case when doc_id < 3000 then 599 else 399 end)"
+    df = spark.range(0, 6000, 1, 2).selectExpr("id as doc_id", f"{text} as text")
+    texts = [(r.doc_id, r.text) for r in df.collect()]
+    n, total = check(packing.pack(df, PATH, 1000).collect(), texts, 1000)
+    assert (n, total) == (3000, 3_000_000)

@@ -20,6 +20,8 @@ from quire.llm.common import Words, durable, mixed, small, stored, text_passes
 WIDTH, JACCARD = 5, 0.8
 #: Counters for the rarity of tokens; their number bounds what is collected and broadcast (1 MB).
 COUNTER_BITS = 17
+#: Bits of a sort key that number the lines of a pass; a pass with more lines is sorted by two keys.
+LINE_BITS = 20
 #: Sets of one cell; tokens that more sets share are split, each pair of parts being a cell.
 CELL = 1024
 #: Lines to remove, or to read again, up to which their list is broadcast (some 30 bytes each).
@@ -65,8 +67,11 @@ class Sets(Lines):
         super().__init__(texts, width)
         # one sort by line, then rarity in steps, then hash; lines are numbered within the pass
         rank = np.minimum(6 * np.log2(1.0 + counts), 255).astype(np.uint64) << np.uint64(36)
-        key = self.owner.astype(np.uint64) << np.uint64(44) | rank[self.tokens & np.uint64(len(counts) - 1)] | self.tokens >> np.uint64(28)
-        order = np.argsort(key)
+        key = rank[self.tokens & np.uint64(len(counts) - 1)] | self.tokens >> np.uint64(28)
+        if len(self.text) <= 1 << LINE_BITS:
+            order = np.argsort(self.owner.astype(np.uint64) << np.uint64(64 - LINE_BITS) | key)
+        else:  # a text of very many lines, which no pass splits
+            order = np.lexsort((key, self.owner))
         token, owner = self.tokens[order], self.owner[order]
         fresh = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])) if len(key) else np.zeros(0, dtype=bool)
         self.tokens, self.owner = token[fresh], owner[fresh]

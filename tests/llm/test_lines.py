@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from brute import TEXTS, WORD
 
 from quire.llm import lines as op
@@ -74,3 +75,28 @@ def test_shuffled_removals_equal_broadcast_ones(spark, monkeypatch, sf_dir):
     monkeypatch.setattr(op, "BROADCAST_LINES", -1)
     assert {tuple(r) for r in op.dedup(df).select("doc_id", "text").collect()} == want
     assert {r[0]: r[1] for r in want} == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_sets_of_a_text_with_more_lines_than_a_sort_key_numbers(monkeypatch):
+    counts = np.zeros(1 << op.COUNTER_BITS, dtype=np.int64)
+    some = [f"a{i % 1000} b{i} c" for i in range((1 << 20) + 5)]
+    text = "\n".join(some)
+    found = op.Sets([text, "one more text"], counts)
+    assert len(found.h1) == len(some) + 1 and (np.diff(found.owner) >= 0).all()
+    apart = op.Sets([*some[:3], *some[-7:], "one more text"], counts)
+    at = [0, 1, 2, *range(len(some) - 7, len(some) + 1)]
+    assert found.h1[at].tolist() == apart.h1.tolist() and found.h2[at].tolist() == apart.h2.tolist()
+    monkeypatch.setattr(op, "LINE_BITS", 4)  # tokens of a line come in the same order by either sort
+    odd = [t or "" for t in TEXTS] + ["x y z w v u t s r " * 5, *some[:30]]
+    two = op.Sets(odd, counts)
+    monkeypatch.undo()
+    one = op.Sets(odd, counts)
+    assert all((getattr(one, k) == getattr(two, k)).all() for k in ("tokens", "owner", "first", "size", "h1", "h2"))
+
+
+def test_lines_of_a_very_long_text_are_removed(spark):
+    some = [f"w{i}" for i in range((1 << 20) + 5)]
+    docs = [(1, "w5 is here\nonly here"), (2, "\n".join(["only here", *some, "w5 is here", "w7"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {r.doc_id: (r.text, r.n) for r in op.dedup(df, removed="n").collect()}
+    assert left == {1: (docs[0][1], 0), 2: ("\n".join(some), 3)}

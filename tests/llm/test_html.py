@@ -90,3 +90,8 @@ def test_articles_of_the_pages_table(spark, sf_dir):
     want = {r.page_id: article(r.html) for r in df.collect()}
     rows = op.extract(df).collect()
     assert sum(r.text == want[r.page_id] for r in rows) >= 0.97 * len(rows)
+
+
+def test_text_after_a_self_closed_raw_element_is_kept():
+    page = '<p>one <svg class="i"/> two</p><p>three <math /></p><svg a="/>"><text>no</text></svg><p>four <svg><path d=""/></svg></p><script src="x"/>no</script><p>five</p>'
+    assert [b[0] for b in op.blocks_of(page)] == ["one two", "three", "four", "five"]

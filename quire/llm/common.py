@@ -1,7 +1,8 @@
-"""Shared helpers: durable checkpoints, Arrow text access and connected components."""
+"""Shared helpers: tables in the shared folder, Arrow text access, hashed words, joins with hot keys and connected components."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -15,30 +16,64 @@ from pyspark.sql import functions as F
 PASS_CHARS = 1 << 19
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's ``spark.checkpoint.dir``, else (tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between steps: the session's ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one machine, as in tests) gets a temporary folder; on a
+    cluster, whose executors would each write to a disk of their own, that is refused.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
         return folder
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folders.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="quire-"))
+
 
+#: Paths of the tables written since the innermost ``scratch`` began.
+_written: list[list[str]] = [[]]
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder, which the ``scratch`` around it deletes."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like ``durable``, as a Parquet table in the same folder: smaller where columns compress, and read by column."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder: its lineage ends there, whatever executors are lost."""
+    path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: int = 0):
+    """Tables stored inside are deleted at the end, but for the last ``keep``, which the surroundings own.
+
+    Only for steps whose result has been stored or fetched by then: lazy results read their tables later.
+    """
+    _written.append([])
+    try:
+        yield
+    finally:
+        own = _written.pop()
+        cut = len(own) - keep
+        _written[-1].extend(own[cut:])
+        forget(spark, own[:cut])
 
 
 def text_passes(batch: pa.RecordBatch, column: str, limit: int = PASS_CHARS):
@@ -53,40 +88,62 @@ def text_passes(batch: pa.RecordBatch, column: str, limit: int = PASS_CHARS):
         yield a, ["" if x is None else x for x in col.slice(a, b - a).to_pylist()]
 
 
+#: A key with more than this share of the rows of a join is hot; there are fewer than 1 / HOT_SHARE such keys.
+HOT_SHARE = 0.001
+#: Rows of a key below which it is not hot in any table.
+HOT_ROWS = 1000
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``many`` with ``one`` (a row for each key; ``n``: that key's rows in ``many``, of ``total`` in all).
+
+    Rows of hot keys stay where they are: as each has more than HOT_SHARE of the rows, fewer than
+    1 / HOT_SHARE rows of ``one`` are broadcast. All other keys meet by a shuffle.
+    """
+    limit = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = F.broadcast(one.where(F.col(n) > limit).drop(n))
+    rest = one.where(F.col(n) <= limit).drop(n)
+    return many.join(hot, keys).unionByName(many.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list by alternating large-star and small-star rounds.
 
     Returns ``(node, component)`` for each node on an edge; ``component`` is the
     smallest node reachable. Null ends and self-loops are dropped. Each round is two
-    groupBy-min aggregations and joins (no neighbour list is ever collected), and its
-    edges are checkpointed, so an executor lost mid-way costs one round at most.
+    groupBy-min aggregations and joins (no neighbour list is ever collected; hubs are joined
+    where they are), and its edges are stored, so an executor lost mid-way costs one round at most.
     The driver sees only two sums per round.
     """
 
     def tidy(df: DataFrame) -> DataFrame:
         return df.where(F.col("u") > F.col("v")).distinct()
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
+    def star(df: DataFrame, large: bool, rows: int) -> DataFrame:
         both = df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else df
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         if large:
             least = least.withColumn("m", F.least("u", "m"))
-        linked = both.join(least, "u")
+        linked = spread_join(both, least, ["u"], "n", 2 * rows if large else rows)
         if large:
             out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return tidy(out)
 
+    def mark_of(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     ends = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y"))
-    now = durable(tidy(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("x is not null and y is not null")))
-    before = None
+    now = stored(tidy(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("x is not null and y is not null")))
+    mark = mark_of(now)
     for _ in range(max_rounds):
-        now = durable(star(star(now, True), False))
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if not mark[0]:
+            break
+        now = stored(star(star(now, True, mark[0]), False, mark[0]))
+        before, mark = mark, mark_of(now)
         if mark == before:
             break
-        before = mark
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
@@ -112,16 +169,18 @@ _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _WORD_MULT = 0x9E3779B97F4A7C15
 
 
-_word_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Bytes that are hashed at once; longer words are hashed in such blocks.
+HASH_BLOCK = 1 << 19
+_word_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """The first n powers of an odd multiplier and of its inverse modulo 2**64."""
-    for i, base in enumerate((_WORD_MULT, pow(_WORD_MULT, -1, 1 << 64))):
-        if len(_word_powers[i]) < n:
-            grown = np.full(max(n, 2 * len(_word_powers[i])), base, dtype=np.uint64)
-            grown[0] = 1
-            _word_powers[i] = np.multiply.accumulate(grown)
+    """The first n (at most HASH_BLOCK) powers of an odd multiplier and of its inverse modulo 2**64."""
+    if not _word_powers:
+        for base in (_WORD_MULT, pow(_WORD_MULT, -1, 1 << 64)):
+            table = np.full(HASH_BLOCK, base, dtype=np.uint64)
+            table[0] = 1
+            _word_powers.append(np.multiply.accumulate(table))
     return [p[:n] for p in _word_powers]
 
 
@@ -153,8 +212,29 @@ class Words:
         self.of = np.repeat(np.arange(len(strings)), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, equal for equal words in any batch."""
-        up, down = powers(len(self.bytes))
-        run = np.zeros(len(self.bytes) + 1, dtype=np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up, out=run[1:])
-        return mixed((run[self.end] - run[self.start]) * down[self.start] ^ (self.end - self.start).astype(np.uint64) << np.uint64(56))
+        """A 64-bit hash of each word, equal for equal words in any batch; temporary arrays span HASH_BLOCK bytes."""
+        out = np.empty(len(self.start), dtype=np.uint64)
+        size = self.end - self.start
+        i = 0
+        while i < len(out):
+            low = int(self.start[i])
+            j = int(np.searchsorted(self.end, low + HASH_BLOCK, side="right"))
+            if j > i:
+                high = int(self.end[j - 1])
+                out[i:j] = self._sums(low, high, self.start[i:j] - low, self.end[i:j] - low)
+            else:  # a word longer than a block: its blocks' sums, each moved to its place
+                j, high, moved, total = i + 1, int(self.end[i]), 1, 0
+                for at in range(low, high, HASH_BLOCK):
+                    stop = min(at + HASH_BLOCK, high)
+                    total += int(self._sums(at, stop, np.array([0]), np.array([stop - at]))[0]) * moved
+                    moved = moved * pow(_WORD_MULT, HASH_BLOCK, 1 << 64) % (1 << 64)
+                out[i] = total % (1 << 64)
+            i = j
+        return mixed(out ^ size.astype(np.uint64) << np.uint64(56))
+
+    def _sums(self, low: int, high: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Polynomials of the words ``start:end`` of the bytes from ``low`` to ``high``, from one running sum."""
+        up, down = powers(high - low)
+        run = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum((self.bytes[low:high].astype(np.uint64) + np.uint64(1)) * up, out=run[1:])
+        return (run[end] - run[start]) * down[start]

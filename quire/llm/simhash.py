@@ -15,13 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Words, components, durable, text_passes, without_ids
+from quire.llm.common import Words, components, spread_join, stored, text_passes, without_ids
 
 WORDS, SEED, BITS = 4, 42, 4
 #: Places of the segments' bits: 4 bits or fewer cannot differ twice in each of three.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Buckets up to this size are compared pair by pair in array steps; larger ones by a search that drops what is linked.
 SMALL_BUCKET = 24
+#: Shingles that are hashed at once.
+BLOCK = 1 << 16
 
 
 def fingerprints_of(texts: list[str]) -> np.ndarray:
@@ -50,14 +52,19 @@ def fingerprints_of(texts: list[str]) -> np.ndarray:
     begin = np.flatnonzero((k + WORDS - 1 <= last) | (short & (k == w.first[:-1][w.of])))
     stop = ends[np.minimum(begin + WORDS - 1, last[begin])] - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(data[a:b], SEED) for a, b in zip(begins[begin].tolist(), stop.tolist())], dtype=np.uint64)
     of = w.of[begin]
     heads = np.flatnonzero(np.append(True, np.diff(of) != 0))
     total = np.diff(np.append(heads, len(of)))
-    votes = np.empty((len(heads), 64), dtype=np.int64)
-    for at in range(0, 64, 8):  # a byte of each hash at a time keeps the unpacked bits small
-        byte = ((h >> np.uint64(at)) & np.uint64(255)).astype(np.uint8)
-        votes[:, at : at + 8] = np.add.reduceat(np.unpackbits(byte[:, None], axis=1, bitorder="little").astype(np.int32), heads, axis=0)
+    votes = np.zeros((len(heads), 64), dtype=np.int64)
+    row = np.repeat(np.arange(len(heads)), total)
+    for low in range(0, len(begin), BLOCK):  # blocks of shingles bound memory for texts of any length
+        part = slice(low, low + BLOCK)
+        h = np.array([digest(data[a:b], SEED) for a, b in zip(begins[begin[part]].tolist(), stop[part].tolist())], dtype=np.uint64)
+        first = np.flatnonzero(np.append(True, np.diff(row[part]) != 0))
+        own = row[part][first]
+        for at in range(0, 64, 8):  # a byte of each hash at a time keeps the unpacked bits small
+            byte = ((h >> np.uint64(at)) & np.uint64(255)).astype(np.uint8)
+            votes[own, at : at + 8] += np.add.reduceat(np.unpackbits(byte[:, None], axis=1, bitorder="little").astype(np.int32), first, axis=0)
     bits = 2 * votes > total[:, None]
     out[of[heads]] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
     return out
@@ -161,13 +168,19 @@ def _links(batches):
         if not len(k):
             continue
         cut = np.searchsorted(k, k[-1])
-        keys.append(k[:cut])
-        fps.append(f[:cut])
-        if cut:
+        if keys and (cut or keys[-1][0] != k[-1]):
+            keys.append(k[:cut])
+            fps.append(f[:cut])
             yield out()
-            keys, fps = [], []
-        keys.append(k[cut:])
-        fps.append(f[cut:])
+            keys, fps = [k[cut:]], [f[cut:]]
+        elif keys:
+            keys.append(k)
+            fps.append(f)
+        else:
+            if cut:
+                keys, fps = [k[:cut]], [f[:cut]]
+                yield out()
+            keys, fps = [k[cut:]], [f[cut:]]
     if keys:
         yield out()
 
@@ -179,15 +192,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Equal fingerprints are one node, so copies are never paired; a null text has fingerprint zero and links
     like any other; a null doc_id is never a component's id unless it has no other (then null). Repeated rows repeat.
     """
-    prints = durable(fingerprints(df, doc_id, text))
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    prints = stored(fingerprints(df, doc_id, text))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     index = nodes.select("fp").mapInArrow(_index, "key long, fp long")
     links = index.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    groups = components(links)
-    lowest = groups.join(nodes, groups.node == nodes.fp).groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = groups.join(lowest, "component").select(F.col("node").alias("fp"), "component_id")
-    named = nodes.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = stored(components(links))
+    lowest = groups.join(nodes, groups.node == nodes.fp).groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    labels = spread_join(groups, lowest, ["component"], "members", groups.count()).select(F.col("node").alias("fp"), "component_id")
+    named = nodes.join(labels, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"))
+    return spread_join(prints, named, ["fp"], "n", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,6 +208,6 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     Rows that share a doc_id are one document and stay or go together; null ids stay.
     """
-    groups = durable(near_duplicates(df, doc_id, text))
+    groups = stored(near_duplicates(df, doc_id, text))
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     return without_ids(df, gone, doc_id)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import ensure_checkpoint_dir, small
+from quire.llm.common import new_path, spread_join, stored
 
 #: Header fields of an ARC record, by the version in the file's first block.
 ARC_FIELDS = {
@@ -31,8 +31,12 @@ ARC_NAMES = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 END = b"\r\n\r\n"
-#: Payloads below so many bytes are never revisits; records in one file of an archive.
-LEAST_REVISIT, FILE_RECORDS = 100, 5_000
+#: Payloads below so many bytes are never revisits; bytes (by the mean page) and records in one file of an archive.
+LEAST_REVISIT, FILE_BYTES, FILE_RECORDS = 100, 64_000_000, 20_000
+#: Pages and characters of one legacy archive on the way.
+ARC_PAGES, ARC_CHARS = 256, 4_000_000
+#: Repeated payloads up to which their list is broadcast (some 100 bytes each).
+BROADCAST_PAYLOADS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -167,77 +171,121 @@ def read_warc(stream: io.BufferedIOBase) -> Iterator[Record]:
         yield Record(fields, block)
 
 
-def _page_record(page_id, url: str | None, html: str, first_id, version: int) -> Record:
-    """One page as a legacy record, converted. The HTTP head carries the page's number and size."""
-    body = html.encode("utf-8", "replace")
-    number = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n{number}\r\n".encode()
-    _, arc = read_arc(write_arc([(url or "", "text/html", head + body)], version))
-    revisit = first_id is not None and first_id != page_id
-    out = to_warc(arc, record_id("payload", hashlib.sha256(body).hexdigest(), str(first_id)) if revisit else None)
-    if first_id is not None and not revisit:  # others refer to it by a name that they can tell
-        out.fields["WARC-Record-ID"] = record_id("payload", hashlib.sha256(body).hexdigest(), str(first_id))
-    elif page_id is not None:
-        out.fields["WARC-Record-ID"] = record_id("page", str(page_id), out.fields["WARC-Record-ID"])
-    if revisit:
-        out.fields["WARC-Refers-To-Page"] = str(first_id)
-    return out
+def _page_records(pages: list[tuple], version: int) -> Iterator[Record]:
+    """A run of pages (page_id, url, html, first_id) as one legacy archive, converted record by record. A record's HTTP head carries the page's number and size."""
+    bodies = [html.encode("utf-8", "replace") for _, _, html, _ in pages]
+    heads = [f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n{'' if p[0] is None else f'X-Page-Id: {p[0]}' + chr(13) + chr(10)}\r\n".encode() for p, body in zip(pages, bodies)]
+    archive = write_arc(((url or "", "text/html", head + body) for (_, url, _, _), head, body in zip(pages, heads, bodies)), version)
+    records = read_arc(archive)
+    next(records)  # the archive's own block
+    for (page_id, _, _, first_id), body, arc in zip(pages, bodies, records, strict=True):
+        revisit = first_id is not None and first_id != page_id
+        # the first page of a payload has a name that those which refer to it can tell
+        shared = record_id("payload", hashlib.sha256(body).hexdigest(), str(first_id)) if first_id is not None else None
+        out = to_warc(arc, shared if revisit else None)
+        if first_id is not None and not revisit:
+            out.fields["WARC-Record-ID"] = shared
+        elif page_id is not None:
+            out.fields["WARC-Record-ID"] = record_id("page", str(page_id), out.fields["WARC-Record-ID"])
+        if revisit:
+            out.fields["WARC-Refers-To-Page"] = str(first_id)
+        yield out
+
+
+def convert_archives(spark: SparkSession, source: str, folder: str) -> None:
+    """Convert all ARC files below ``source`` (``*.arc`` and ``*.arc.gz``, by version) to WARC files in ``folder``.
+
+    A file is one task's row and is parsed record by record; a damaged one stops the job with its path and place.
+    Repeated payloads stay responses: files are converted independently of each other. No file gives an empty archive.
+    """
+
+    def convert(batches):
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content")):
+                raw = data.as_buffer().to_pybytes()
+                try:
+                    for arc in read_arc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                        yield pa.RecordBatch.from_arrays([pa.array([to_warc(arc).to_bytes()], pa.binary())], ["record"])
+                except ValueError as wrong:
+                    raise ValueError(f"{path}: {wrong}") from wrong
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.arc{,.gz}").load(source).select("path", "content")
+    # a cast keeps all bytes, and the text writer writes them as they are
+    records = files.mapInArrow(convert, "record binary").select(F.col("record").cast("string").alias("record"))
+    records.write.option("lineSep", END.decode()).option("compression", "gzip").text(folder)
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Convert all pages, by way of ARC records of both versions, and write WARC files into ``folder``.
+    """Convert all pages, by way of ARC archives of both versions, and write WARC files into ``folder``.
 
-    Files are gzip text parts with FILE_RECORDS records at most; ``\\r\\n\\r\\n`` after each row is
-    what closes a WARC record. One aggregation over payload digests finds repeated payloads
+    Files are gzip text parts of about FILE_BYTES (by the mean page; FILE_RECORDS records at most);
+    ``\\r\\n\\r\\n`` after each row is what closes a WARC record. One aggregation over payload digests finds repeated payloads
     (the hot one costs a row for each task); it is broadcast if it is small, else joined by digest.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    again = rows.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(small(again, 200_000), "digest", "left").drop("digest")
+    size = F.octet_length("html").cast("long")
+    payloads = stored(rows.groupBy("digest").agg(F.min(F.when(size >= LEAST_REVISIT, F.col("page_id"))).alias("first_id"), F.count("*").alias("n"), F.sum(size).alias("bytes")))
+    total = payloads.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    again = payloads.where("n > 1 and first_id is not null").drop("bytes")
+    if again.count() <= BROADCAST_PAYLOADS:
+        joined = rows.join(F.broadcast(again.drop("n")), "digest", "left")
+    else:
+        some = spread_join(rows, again, ["digest"], "n", total["n"])
+        joined = some.unionByName(rows.join(again, "digest", "left_anti"), allowMissingColumns=True)
 
     def convert(batches):
+        run = 0
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")]
-            out, held = [], 0
-            for i, (p, u, h, f) in enumerate(zip(*cols)):
-                out.append(_page_record(p, u, h, f, 1 + i % 2).to_bytes().decode("utf-8", "replace"))
-                held += len(h)
-                if held > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
+            held, size = [], 0
+
+            def out(held):
+                records = [r.to_bytes().decode("utf-8", "replace") for r in _page_records(held, 1 + run % 2)]
+                return pa.RecordBatch.from_arrays([pa.array(records, pa.string())], ["record"])
+
+            for page in zip(*(b.column(c) for c in ("page_id", "url", "html", "first_id"))):
+                held.append(tuple(x.as_py() for x in page))
+                size += len(held[-1][2])
+                if size > ARC_CHARS or len(held) == ARC_PAGES:
+                    yield out(held)
+                    run, held, size = run + 1, [], 0
+            if held:
+                yield out(held)
+                run += 1
 
-    joined.mapInArrow(convert, "record string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    records = max(1, min(FILE_RECORDS, FILE_BYTES * (total["n"] or 1) // max(total["bytes"] or 1, 1)))
+    joined.select("page_id", "url", "html", "first_id").mapInArrow(convert, "record string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", int(records)).text(folder)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of all archives in ``folder``: type, page number, full payload's size and digest, and the page referred to.
+    """Records of all archives in ``folder``: type, page number (as text), full payload's size and digest, and the page referred to.
 
     A file is streamed record by record; responses' digests are computed from what is
-    read and must equal the declared ones.
+    read and must equal the declared ones. Records without an HTTP message (warcinfo, resource) have their block's size.
     """
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id", "warc_date"]
+    types = [pa.string(), pa.int64(), *[pa.string()] * 6]
 
     def parse(batches):
         for b in batches:
             for data in b.column("content"):
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id", "warc_date"]
                 rows = []
                 with gzip.open(io.BytesIO(data.as_buffer()), "rb") as stream:
                     for r in read_warc(stream):
                         head, payload = http_parts(r.block)
-                        told = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if ": " in x)
+                        told = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
                         digest = r.fields.get("WARC-Payload-Digest", "").removeprefix("sha256:")
                         kind = r.fields["WARC-Type"]
                         if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"payload of {r.fields['WARC-Record-ID']} differs from its digest")
                         size = int(told["Content-Length"]) if kind == "revisit" else len(payload)
-                        page, refers = told.get("X-Page-Id"), r.fields.get("WARC-Refers-To-Page")
-                        rows.append((None if page is None else int(page), size, digest, kind, None if refers is None else int(refers), r.fields.get("WARC-Target-URI"), r.fields["WARC-Record-ID"], r.fields["WARC-Date"]))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                        rows.append((told.get("X-Page-Id"), size, digest, kind, r.fields.get("WARC-Refers-To-Page"), r.fields.get("WARC-Target-URI"), r.fields["WARC-Record-ID"], r.fields["WARC-Date"]))
+                        if len(rows) == 1000:
+                            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+                            rows = []
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
-    return files.mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string, warc_date string")
+    return files.mapInArrow(parse, ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'string'}" for n in names))
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -245,10 +293,11 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 
     Columns: ``page_id, payload_bytes, payload_digest, record_type, refers_to``. Of rows with equal
     payloads of LEAST_REVISIT bytes or more, those with the smallest page_id are responses and the others revisits.
-    Null html: empty payload; null url: ``urn:none``; null page_id: never referred to. An empty table
-    writes an empty archive and gives no rows.
+    Null html: empty payload; null url: ``urn:none``; null page_id: never referred to. Page ids of any type that casts
+    to and from text come back as they were. An empty table writes an empty archive and gives no rows.
     """
     spark = pages.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_path(spark, "warc")
     write_archives(pages, folder, page_id, url, html)
-    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    kind = pages.schema[page_id].dataType
+    return read_archives(spark, folder).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -41,8 +41,9 @@ def test_equals_brute_force(spark, monkeypatch):
     rows = planted()
     df = spark.createDataFrame([(*r, 9) for r in rows], "vec_id long, embedding array<double>, label int, node int")
     want = brute(rows)
-    for cell in (2048, 10):
+    for cell, few in ((2048, 8), (10, 8), (10, 2), (2048, 64)):
         monkeypatch.setattr(op, "CELL", cell)
+        monkeypatch.setattr(op, "SMALL_CELL", few)
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op.near_duplicates(df).collect()}
         assert got == want
     assert op.near_duplicates(df.limit(0)).count() == 0
@@ -66,3 +67,10 @@ def test_meeting_chance_is_as_measured():
     lab = np.zeros(4000, dtype=np.int64)
     met = (op.bucket_keys(a, lab, 1, 20) == op.bucket_keys(b, lab, 1, 20)).mean()
     assert abs(met - op._meet(0.2)) < 0.02
+
+
+def test_rows_with_equal_or_null_ids(spark):
+    v = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(1, v, 1), (1, v, 1), (None, v, 1), (None, [3.0, -2.0, 1.0], 1), (4, v, 2)], "vec_id long, embedding array<double>, label int")
+    key = lambda r: (r.vec_id is None, r.vec_id or 0, r.n_links)
+    assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in sorted(op.near_duplicates(df).collect(), key=key)] == [(1, 2, 1, True), (1, 2, 1, True), (4, 0, 4, True), (None, 0, None, False), (None, 2, 1, False)]

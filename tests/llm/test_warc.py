@@ -65,3 +65,33 @@ def test_files_are_plain_warc_and_references_resolve(spark, tmp_path):
     assert {r.fields["WARC-Refers-To"] for r in records if r.fields["WARC-Type"] == "revisit"} == {home.fields["WARC-Record-ID"]}
     assert len({r.fields["WARC-Record-ID"] for r in records}) == 6
     assert all(r.block == warc.http_parts(r.block)[0] for r in records if r.fields["WARC-Type"] == "revisit")
+
+
+def test_page_ids_may_be_text(spark):
+    df = spark.createDataFrame([("b", "u", "page " * 50), ("a", "u", "page " * 50), (None, "u", "x")], "page_id string, url string, html string")
+    assert sorted((r.page_id or "", r.record_type, r.refers_to) for r in warc.round_trip(df).collect()) == [("", "response", None), ("a", "response", None), ("b", "revisit", "a")]
+
+
+def test_repeated_payloads_by_shuffle_equal_those_by_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"page {i % 5} " * 50) for i in range(40)], "page_id long, url string, html string").repartition(4)
+    want = sorted(tuple(r) for r in warc.round_trip(df).fillna(-1).collect())
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", -1)
+    assert sorted(tuple(r) for r in warc.round_trip(df).fillna(-1).collect()) == want and len(want) == 40
+
+
+def test_folders_of_legacy_archives_are_converted(spark, tmp_path):
+    bodies = [b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\xe9\xff \r\n\r\n</p>" + bytes([i]) * i for i in range(7)]
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "one.arc").write_bytes(warc.write_arc([(f"http://x/{i}", "text/html", b) for i, b in enumerate(bodies[:3])], 1, "one.arc"))
+    (tmp_path / "in" / "deep" / "two.arc.gz").write_bytes(gzip.compress(warc.write_arc([(f"http://x/{3 + i}", "text/html", b) for i, b in enumerate(bodies[3:])], 2, "two.arc", "2003")))
+    folder = str(tmp_path / "out")
+    warc.convert_archives(spark, str(tmp_path / "in"), folder)
+    records = [r for f in glob.glob(folder + "/*.gz") for r in warc.read_warc(io.BytesIO(gzip.open(f).read()))]
+    found = {r.fields["WARC-Target-URI"]: r.block for r in records if r.fields["WARC-Type"] == "response"}
+    assert found == {f"http://x/{i}": b for i, b in enumerate(bodies)} and len(records) == 9
+    assert {r.fields["WARC-Date"] for r in records} == {"2024-01-01T00:00:00Z", "2003-01-01T00:00:00Z"}
+    rows = warc.read_archives(spark, folder).where("record_type = 'response'").collect()
+    assert {r.target_uri: r.payload_bytes for r in rows} == {f"http://x/{i}": len(warc.http_parts(b)[1]) for i, b in enumerate(bodies)}
+    (tmp_path / "in" / "bad.arc").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="bad.arc"):
+        warc.convert_archives(spark, str(tmp_path / "in"), folder + "2")

@@ -9,7 +9,7 @@ demanding that it pass every rule.
 
 from __future__ import annotations
 
-import collections
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import Words, durable, mixed, text_passes
+from quire.llm.common import Words, mixed, stored, text_passes
 
 WINDOW = 5
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_capital_words", "n_marks", "n_letters", "n_stutters"]
@@ -39,15 +39,25 @@ RULES = {
 _ASCII_LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _repeat_words(words: list[bytes]) -> int:
-    """Words that lie in a window of WINDOW words found twice or more, exactly."""
-    windows = list(zip(*(words[k:] for k in range(WINDOW))))
-    seen = collections.Counter(windows)
-    hit = np.zeros(len(words), dtype=bool)
-    for i, w in enumerate(windows):
-        if seen[w] > 1:
-            hit[i : i + WINDOW] = True
-    return int(hit.sum())
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _repeat_words(text: bytes) -> int:
+    """Words that lie in a window of WINDOW words found twice or more, exactly: words get numbers, and windows grow by one of them at a time."""
+    numbers: dict[bytes, int] = {}
+    words = np.fromiter((numbers.setdefault(m[0], len(numbers)) for m in _WORD.finditer(text)), dtype=np.int64)
+    if len(words) < WINDOW:
+        return 0
+    windows = words
+    for k in range(1, WINDOW):
+        pair = windows[: len(words) - k] * np.int64(len(numbers)) + words[k:]
+        windows = np.unique(pair, return_inverse=True)[1]
+    again = np.bincount(windows)[windows] > 1
+    hit = np.zeros(len(words) + 1, dtype=np.int64)
+    at = np.flatnonzero(again)
+    np.add.at(hit, at, 1)
+    np.add.at(hit, at + WINDOW, -1)
+    return int((np.cumsum(hit[:-1]) > 0).sum())
 
 
 def features_of(texts: list[str]) -> dict[str, np.ndarray]:
@@ -66,13 +76,14 @@ def features_of(texts: list[str]) -> dict[str, np.ndarray]:
     h = w.hashes()
     of = w.of.astype(np.uint64)
     key = mixed(h + of * np.uint64(0xC2B2AE3D27D4EB4F))
-    order = np.argsort(key)
-    fresh = np.append(True, np.diff(key[order]) != 0) if len(key) else np.zeros(0, dtype=bool)
-    out["n_distinct_words"] = np.bincount(w.of[order[fresh]], minlength=n)
+    out["n_distinct_words"] = np.bincount(w.of[np.unique(key, return_index=True)[1]], minlength=n)
+    del key, of
     # a word with two ASCII capitals or more and no small ASCII letter
-    small_ = np.concatenate([[0], np.cumsum((w.bytes >= 97) & (w.bytes <= 122))])
-    large_ = np.concatenate([[0], np.cumsum((w.bytes >= 65) & (w.bytes <= 90))])
-    loud = (large_[w.end] - large_[w.start] >= 2) & (small_[w.end] == small_[w.start])
+    if len(w.start):  # from a word's start to the next one's: what parts them is no letter
+        large = np.add.reduceat((w.bytes >= 65) & (w.bytes <= 90), w.start, dtype=np.int32)
+        loud = (large >= 2) & ~np.logical_or.reduceat((w.bytes >= 97) & (w.bytes <= 122), w.start)
+    else:
+        loud = np.zeros(0, dtype=bool)
     out["n_capital_words"] = np.bincount(w.of[loud], minlength=n)
     again = np.flatnonzero((h[1:] == h[:-1]) & (w.of[1:] == w.of[:-1]))  # a word right after itself
     out["n_stutters"] = np.bincount(w.of[again], minlength=n)
@@ -88,7 +99,7 @@ def features_of(texts: list[str]) -> dict[str, np.ndarray]:
         order = np.argsort(win)
         twice = np.flatnonzero(np.diff(win[order]) == 0)
         for i in np.unique(of[order[twice]]).tolist():
-            repeat[i] = _repeat_words(raw[i].split())
+            repeat[i] = _repeat_words(raw[i])
     out["n_repeat_words"] = repeat
     lines, dups = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for i, b in enumerate(raw):
@@ -107,13 +118,16 @@ def with_features(df: DataFrame, text: str = "text", names: list[str] | None = N
     def run(batches):
         for b in batches:
             for a, texts in text_passes(b, text):
-                got = features_of(texts)
-                part = b.slice(a, len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(got[x].astype(np.int64)) for x in names)], [*keep, *names])
+                yield _featured(b.slice(a, len(texts)), texts, keep, names)
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
+def _featured(part: pa.RecordBatch, texts: list[str], keep: list[str], names: list[str]) -> pa.RecordBatch:
+    got = features_of(texts)
+    return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(got[x].astype(np.int64)) for x in names)], [*keep, *names])
+
+
 def votes() -> list[Column]:
     """1 good, -1 bad, 0 abstains, for each rule; a rule without a denominator abstains."""
     out = []
@@ -130,33 +144,38 @@ def _split(codes: np.ndarray) -> np.ndarray:
     return np.stack([codes // 3 ** (k - 1 - j) % 3 - 1 for j in range(k)], axis=1) if len(codes) else np.zeros((0, k), dtype=np.int64)
 
 
-#: Most that a rule is taken to err on good documents; its bounds are chosen so that it does so rarely.
-MOST_FALSE = 0.02
+#: What is believed of rules before any document is seen: how often one errs on good documents, and
+#: how firmly: as if a share of all documents, and so many at least, had shown it. The rates are the
+#: mode of what the votes and this belief say together; nothing bounds them. (On the given documents
+#: verdicts are the same for shares from 0.02 to 1.)
+ERRS, FIRMNESS, LEAST_FIRM = 0.005, 0.02, 1000.0
+#: The same for bad classes' rates, and for the shares of the classes.
+FIRM_BAD, FIRM_SHARES = 2.0, 10.0
 
 
-def fit(patterns: dict[int, int], rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit(patterns: dict[int, int], rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the classes and the rates of bad votes, ``rate[class, rule]``, by expectation-maximisation.
 
     Class 0 is good; class j + 1 is bad in the way that rule j is for, since documents that
     fail differently do not make all rules vote alike. ``patterns`` maps a vote pattern
     (base 3, digit vote + 1, first rule highest) to its count. Abstentions carry nothing.
-    Pseudo-counts of ten documents a class hold the rates where few documents speak.
+    Votes alone do not tell a rule that errs on good documents from a kind of bad ones that
+    only this rule sees; that rules seldom err is the belief that decides it.
     """
     k = len(RULES)
     codes = np.array(sorted(patterns), dtype=np.int64)
     counts = np.array([patterns[c] for c in codes.tolist()], dtype=float)
     v = _split(codes)
     said_bad, said = (v == -1).astype(float), (v != 0).astype(float)
-    start = np.vstack([np.full((1, k), 0.005), np.full((k, k), 0.1) + 0.8 * np.eye(k)])
+    start = np.vstack([np.full((1, k), ERRS), np.full((k, k), 0.1) + 0.8 * np.eye(k)])
+    weight = np.append(max(LEAST_FIRM, FIRMNESS * counts.sum()), np.full(k, FIRM_BAD))[:, None]
     share0 = np.append(0.85, np.full(k, 0.15 / k))
     rate, share = start.copy(), share0.copy()
     for _ in range(rounds):
         p = counts[:, None] * _posterior(v, share, rate)
         before = rate, share
-        rate = np.clip((p.T @ said_bad + 10 * start) / (p.T @ said + 10), 1e-4, 0.999)
-        rate[0] = np.minimum(rate[0], MOST_FALSE)
-        rate[1:][np.eye(k, dtype=bool)] = np.maximum(np.diag(rate[1:]), 0.5)
-        share = (p.sum(axis=0) + 10 * share0) / (counts.sum() + 10)
+        rate = np.clip((p.T @ said_bad + weight * start) / (p.T @ said + weight), 1e-6, 1 - 1e-6)
+        share = (p.sum(axis=0) + FIRM_SHARES * share0) / (counts.sum() + FIRM_SHARES)
         if max(np.abs(rate - before[0]).max(), np.abs(share - before[1]).max()) < 1e-9:
             break
     return share, rate
@@ -210,11 +229,11 @@ def verdicts(features: DataFrame, patterns: dict[int, int], threshold: float = 0
 def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: ``doc_id``, the features, ``base_failed``, ``quality_prob``, ``kept``.
 
-    Texts are read once: their features are checkpointed, the vote patterns counted over
+    Texts are read once: their features are stored, the vote patterns counted over
     all of them, then every row is judged. Null text: no words, so ``base_failed``. Repeated
     or null ids are judged row by row. An empty table gives no rows. Other columns are not read.
     """
-    features = durable(with_features(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]))
+    features = stored(with_features(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]))
     return verdicts(features, count_patterns(features))
 
 
@@ -222,9 +241,18 @@ def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df`` that are judged good, with its columns.
 
     Two passes over the texts and no shuffle of them: one counts the vote patterns of all
-    rows, one judges. Names of columns may clash with features; they come back untouched.
+    rows, one judges. Names of columns may clash with features; they come back untouched. A null or
+    empty text has no words, so its row goes; repeated rows are judged alike; an empty table stays empty.
     """
-    alone = df.select(F.col(text).alias("text"))
-    patterns = count_patterns(with_features(alone, keep=[]))
-    nested = df.select(F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    return verdicts(with_features(nested, keep=["row"]), patterns).where("kept").select("row.*")
+    patterns = count_patterns(with_features(df.select(F.col(text).alias("text")), keep=[]))
+    place = df.columns.index(text)
+    nested = df.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns))).alias("row"))
+    schema = T.StructType([nested.schema["row"], *(T.StructField(n, T.LongType(), False) for n in FEATURES)])
+
+    def run(batches):
+        for b in batches:
+            for a, texts in text_passes(pa.RecordBatch.from_arrays([b.column("row").field(place)], ["text"]), "text"):
+                yield _featured(b.slice(a, len(texts)), texts, ["row"], FEATURES)
+
+    kept = verdicts(nested.mapInArrow(run, schema), patterns).where("kept")
+    return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)))

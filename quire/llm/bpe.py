@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -25,10 +26,12 @@ from quire.llm.common import text_passes
 NO_RANK = np.int64(1 << 40)
 #: Words kept in a worker before its table is emptied, and the longest word that is kept.
 KEPT_WORDS, KEPT_CHARS = 1_000_000, 64
+#: Code points of kept words, by which a word found by its hash is checked, before the table is emptied.
+KEPT_POINTS = 1 << 24
 #: Slots of the table are two to this power, over twice the words kept.
 TABLE_BITS = 21
 #: Texts above this many characters are cut for encoding, always where a word must begin.
-LONG_TEXT = 1 << 21
+LONG_TEXT = 1 << 19
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _MULT = 0x9E3779B97F4A7C15
 _tables = {_MULT: np.ones(1, dtype=np.uint64), pow(_MULT, -1, 1 << 64): np.ones(1, dtype=np.uint64)}
@@ -161,6 +164,7 @@ class Codec:
         sizes = np.array([len(b) for b in spec.token_bytes], dtype=np.int64)
         self.flat_bytes = np.frombuffer(b"".join(spec.token_bytes), dtype=np.uint8)
         self.byte_len, self.byte_off = sizes, np.cumsum(sizes) - sizes
+        self.specials = re.compile("(" + "|".join(re.escape(t) for t, _ in spec.specials) + ")") if spec.specials else None
         digits = len(str(self.n)) + 1
         self.decimal = np.zeros((self.n, digits), dtype=np.uint8)
         for i in range(self.n):
@@ -174,7 +178,9 @@ class Codec:
         self.ids = np.empty(1 << 16, dtype=np.int32)
         self.off = np.zeros(1 << 14, dtype=np.int64)
         self.len = np.zeros(1 << 14, dtype=np.int32)
-        self.used = self.words = 0
+        self.points = np.empty(1 << 16, dtype=np.uint32)
+        self.points_off = np.zeros(1 << 14, dtype=np.int64)
+        self.used = self.words = self.points_used = 0
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair and the token that it makes, by binary search; NO_RANK where no merge is known."""
@@ -243,17 +249,17 @@ class Codec:
             left, slot = left[go], (slot[go] + 1) & ((1 << TABLE_BITS) - 1)
         return out
 
-    def _keep(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        need = self.used + len(ids)
-        while need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.words + len(counts) > len(self.off):
-            self.off, self.len = np.concatenate([self.off, np.zeros_like(self.off)]), np.concatenate([self.len, np.zeros_like(self.len)])
-        self.ids[self.used : need] = ids
+    def _keep(self, hashes: np.ndarray, points: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         a, b = self.words, self.words + len(counts)
+        self.ids = _grown(self.ids, self.used + len(ids))
+        self.points = _grown(self.points, self.points_used + len(points))
+        self.off, self.len, self.points_off = _grown(self.off, b), _grown(self.len, b), _grown(self.points_off, b)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.points[self.points_used : self.points_used + len(points)] = points
         self.off[a:b] = self.used + np.cumsum(counts) - counts
         self.len[a:b] = counts
-        self.used, self.words = need, b
+        self.points_off[a:b] = self.points_used + np.cumsum(sizes) - sizes
+        self.used, self.words, self.points_used = self.used + len(ids), b, self.points_used + len(points)
         index = np.arange(a, b, dtype=np.int32)
         slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         while len(index):
@@ -284,7 +290,7 @@ class Codec:
         h ^= h >> np.uint64(32)
         h = (h * np.uint64(0xD6E8FEB86659FD93)) ^ size.astype(np.uint64)
         long = size > KEPT_CHARS
-        if self.words + np.count_nonzero(~long) > KEPT_WORDS:
+        if self.words + np.count_nonzero(~long) > KEPT_WORDS or self.points_used + len(cps) > KEPT_POINTS:
             self._clear()
         index = self._find(h)
         new = np.flatnonzero((index < 0) & ~long)
@@ -292,10 +298,15 @@ class Codec:
             uniq, where = np.unique(h[new], return_index=True)
             where = new[where]
             words = [joined[a:b].encode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-            self._keep(uniq, *self.merge(words))
+            self._keep(uniq, cps[_ragged(starts[where], size[where])], size[where], *self.merge(words))
             index[new] = self._find(h[new])
+        # a hash only points to a word: where code points differ, the word is merged by itself
+        known = np.where(long, 0, size)
+        other = self.points[_ragged(self.points_off[index], known)] != cps[_ragged(starts, known)]
+        if other.any():
+            long[np.repeat(np.arange(len(size)), known)[other]] = True
         src, off, cnt = self.ids, self.off[index], self.len[index].astype(np.int64)
-        if long.any():  # long words are merged each time and known by themselves, not by a hash
+        if long.any():  # long words are merged each time
             at = np.flatnonzero(long)
             ids, counts = self.merge([joined[starts[i] : ends[i]].encode("utf-8", "replace") for i in at])
             src = np.concatenate([self.ids[: self.used], ids])
@@ -305,21 +316,40 @@ class Codec:
         return flat, np.bincount(text_of, weights=cnt, minlength=len(texts)).astype(np.int64)
 
     def _parts(self, text: str) -> Iterable[str | int]:
-        """The text cut at special tokens (given as ids) and, if it is long, at blanks where a word must begin."""
-        for content, i in self.spec.specials:
-            if content in text:
-                head, _, tail = text.partition(content)
-                yield from self._parts(head)
-                yield i
-                yield from self._parts(tail)
-                return
-        while len(text) > LONG_TEXT:
-            cut = LONG_TEXT
-            while cut < len(text) and not (text[cut] == " " and _class_table()[ord(text[cut - 1])] != SPACE):
-                cut += 1
-            yield text[:cut]
-            text = text[cut:]
-        yield text
+        """The text cut at special tokens (given as ids; where two begin, the one listed first) and, if it is long, at blanks where a word must begin."""
+        ids = dict(self.spec.specials)
+        pieces = self.specials.split(text) if self.specials else [text]
+        for k, piece in enumerate(pieces):
+            if k % 2:
+                yield ids[piece]
+                continue
+            at = 0
+            while len(piece) - at > LONG_TEXT:
+                cut = at + LONG_TEXT
+                while cut < len(piece) and not (piece[cut] == " " and _class_table()[ord(piece[cut - 1])] != SPACE):
+                    cut += 1
+                yield piece[at:cut]
+                at = cut
+            if at < len(piece):
+                yield piece[at:]
+
+    def _encode_parts(self, parts: list[str | int]) -> np.ndarray:
+        """Ids of a text's parts in order; short parts go together, so that many specials cost no passes of their own."""
+        out, held, size = [], [], 0
+
+        def flush():
+            flat, n = self._encode_plain([p for p in held if isinstance(p, str)])
+            runs = iter(np.split(flat, np.cumsum(n)[:-1]))
+            out.extend(next(runs) if isinstance(p, str) else np.array([p], dtype=np.int32) for p in held)
+
+        for p in parts:
+            held.append(p)
+            size += len(p) if isinstance(p, str) else 1
+            if size > LONG_TEXT:
+                flush()
+                held, size = [], 0
+        flush()
+        return np.concatenate(out) if out else np.empty(0, dtype=np.int32)
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (int32) of all texts and each text's count; special tokens in a text become their ids."""
@@ -331,7 +361,7 @@ class Codec:
         flat, n = self._encode_plain([texts[i] for i in plain])
         by_text = dict(zip(plain, np.split(flat, np.cumsum(n)[:-1]) if plain else []))
         for i, t in enumerate(texts):
-            ids = by_text[i] if i in by_text else np.concatenate([np.array([p], dtype=np.int32) if isinstance(p, int) else self._encode_plain([p])[0] for p in self._parts(t)])
+            ids = by_text[i] if i in by_text else self._encode_parts(list(self._parts(t)))
             out.append(ids)
             counts[i] = len(ids)
         return np.concatenate(out), counts
@@ -358,6 +388,15 @@ class Codec:
         return table[table != 0].tobytes()[:-1]
 
 
+def _grown(array: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for ``n`` elements, at least doubled if it has less."""
+    if n <= len(array):
+        return array
+    out = np.zeros(max(n, 2 * len(array)), dtype=array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 def _ragged(off: np.ndarray, cnt: np.ndarray) -> np.ndarray:
     """Indexes off[i] .. off[i]+cnt[i]-1 for all i, one after another."""
     total = int(cnt.sum())

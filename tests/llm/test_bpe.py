@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from brute import TEXTS
@@ -53,7 +54,7 @@ def test_table_is_emptied_when_full(library, monkeypatch):
 def test_broken_ids_decode_to_replacement_characters(library):
     codec = bpe.Codec(bpe.Spec.load(PATH))
     ids = library.encode("日", add_special_tokens=False).ids[:1]
-    assert codec.decode_batch(*__import__("numpy").array([ids, [1]], dtype="int64"))[0].decode() == library.decode(ids)
+    assert codec.decode_batch(*np.array([ids, [1]], dtype="int64"))[0].decode() == library.decode(ids)
 
 
 def test_operators(spark, library):
@@ -69,3 +70,17 @@ def test_operators(spark, library):
     assert coded.columns == ["doc_id", "text", "n_tokens", "ids"]
     assert {(r.doc_id, r.text or "") for r in coded.collect()} == {(r.doc_id, r.text) for r in bpe.decode(coded, PATH).collect()}
     assert bpe.round_trip_digests(df.limit(0), PATH).count() == 0
+
+
+def test_very_many_special_tokens(library):
+    text = "a<|endoftext|>" * 10_000 + "<|endoftext|>" * 3_000
+    ids, back = encoded(bpe.Codec(bpe.Spec.load(PATH)), [text, "b"])
+    assert ids[0] == library.encode(text, add_special_tokens=False).ids and back[0].decode() == text
+    assert ids[1] == library.encode("b", add_special_tokens=False).ids
+
+
+def test_words_with_equal_hashes_are_told_apart(library, monkeypatch):
+    monkeypatch.setattr(bpe, "_powers", lambda n: [np.zeros(n, dtype=np.uint64)] * 2)  # all words of a size have one hash
+    codec = bpe.Codec(bpe.Spec.load(PATH))
+    for text in ("one two six ten", "six ten two one", "fourteen hundred hundreds"):
+        assert encoded(codec, [text])[0][0] == library.encode(text, add_special_tokens=False).ids

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import Words, durable, mixed, small, stored, text_passes
+from quire.llm.common import Words, mixed, small, spread_join, stored, text_passes
 
 WIDTH, JACCARD = 5, 0.8
 #: Counters for the rarity of tokens; their number bounds what is collected and broadcast (1 MB).
@@ -24,6 +24,14 @@ COUNTER_BITS = 17
 LINE_BITS = 20
 #: Sets of one cell; tokens that more sets share are split, each pair of parts being a cell.
 CELL = 1024
+#: Up to so many sets that share a token, those without a possible partner are dropped.
+THINNED = 64
+#: A posting: the token's upper bits, its set's size and its place there (each up to the most that fits, which stands for "or more").
+SIZE_BITS, PLACE_BITS = 12, 8
+MOST_SIZE, MOST_PLACE = (1 << SIZE_BITS) - 1, (1 << PLACE_BITS) - 1
+TOKEN_SHIFT = SIZE_BITS + PLACE_BITS
+#: Slots in which a task remembers sets whose prefix it has sent (8 MB).
+SENT_SLOTS = 1 << 20
 #: Lines to remove, or to read again, up to which their list is broadcast (some 30 bytes each).
 BROADCAST_LINES = 1_000_000
 
@@ -73,6 +81,10 @@ class Sets(Lines):
         else:  # a text of very many lines, which no pass splits
             order = np.lexsort((key, self.owner))
         token, owner = self.tokens[order], self.owner[order]
+        same = (key[order][1:] == key[order][:-1]) & (owner[1:] == owner[:-1])
+        if (token[1:][same] != token[:-1][same]).any():  # the part of the hash in the key does not tell two tokens apart
+            order = np.lexsort((self.tokens, key, self.owner))
+            token, owner = self.tokens[order], self.owner[order]
         fresh = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])) if len(key) else np.zeros(0, dtype=bool)
         self.tokens, self.owner = token[fresh], owner[fresh]
         self.size = np.bincount(self.owner, minlength=len(self.text))
@@ -109,9 +121,11 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
     """``(doc_id, line, h1)`` of each line that an earlier line matches; ``h1`` identifies the line's set.
 
     Equal sets are one node, found by a shuffle of hashes; only prefixes of distinct sets
-    meet by token, and only sets that share a token have their tokens read again. Cells of
-    CELL sets bound memory; in a cell a line stops at the earliest match, so a large group of near copies
-    costs about its size. Rows with a null id take no part.
+    meet by token, with their sizes and places, so that the length and positional filters come before
+    any set is read again. Only lines that pass them are. Cells of CELL sets bound memory; in a cell a
+    line stops at the earliest match, so a large group of near copies costs about its size. Rows with a
+    null id and lines without a word take no part; repeated rows have equal lines at equal places, which
+    do not match each other; an empty table gives no rows.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     counts = df.sparkSession.sparkContext.broadcast(count_tokens(docs, "text", width))
@@ -119,59 +133,82 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
     id_type = id_kind.simpleString()
 
     def find(batches):
+        sent = np.arange(SENT_SLOTS) ^ 1  # no hash, since a hash has its slot's bits
         for b in batches:
             for a, texts in text_passes(b, "text"):
                 s = Sets(texts, counts.value, width)
-                _, one = np.unique(s.h1, return_index=True)  # a set's prefix goes out once in a pass, so copies weigh little
-                own = np.zeros(len(s.h1), dtype=bool)
-                own[one] = True
-                size = np.where(own, s.prefix_sizes(t), 0)
+                _, one = np.unique(s.h1, return_index=True)  # a set's prefix goes out once, so copies weigh little
+                slot = s.h1[one] & (SENT_SLOTS - 1)
+                one, slot = (x[sent[slot] != s.h1[one]] for x in (one, slot))
+                sent[slot] = s.h1[one]
+                size = np.zeros(len(s.h1), dtype=np.int64)
+                size[one] = s.prefix_sizes(t)[one]
                 off = np.concatenate([[0], np.cumsum(size)])
-                at = np.arange(off[-1]) + np.repeat(s.first[:-1] - off[:-1], size)
-                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(s.tokens[at].view(np.int64)))
+                place = np.arange(off[-1]) - np.repeat(off[:-1], size)
+                token = s.tokens[place + np.repeat(s.first[:-1], size)] >> np.uint64(TOKEN_SHIFT) << np.uint64(TOKEN_SHIFT)
+                posting = token.view(np.int64) | np.repeat(np.minimum(s.size, MOST_SIZE), size) << PLACE_BITS | np.minimum(place, MOST_PLACE)
+                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(posting))
                 ids = b.column("doc_id").take(pa.array(a + s.text))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(s.number, pa.int32()), pa.array(s.h1), pa.array(s.h2), pa.array(s.size, pa.int32()), lists], ["doc_id", "line", "h1", "h2", "n", "prefix"])
 
     lines = stored(docs.mapInArrow(find, f"doc_id {id_type}, line int, h1 long, h2 long, n int, prefix array<long>"))
 
     def shared(batches):
-        """From a partition sorted by (token, h1): tokens of two sets or more, as (cell, part, token, h1).
+        """From a partition sorted by (posting, h1): tokens of two sets or more that may match, as (cell, part, token, h1).
 
-        A cell is named by its sets, so that those which share several tokens meet once.
+        A cell is named by its sets, so that those which share several tokens meet once. A token's
+        postings are sorted by their sets' sizes, and parts of a split token whose sizes are too far apart do not meet.
         """
-        held = [np.empty(0, np.int64)] * 2
+        names = ["cell", "part", "token", "h1"]
 
-        def out(token, h1):
-            fresh = np.append(True, (np.diff(token) != 0) | (np.diff(h1) != 0))
-            token, h1 = token[fresh], h1[fresh]
+        def rows(*cols):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+        def out(posting, h1):
+            fresh = np.append(True, (np.diff(posting) != 0) | (np.diff(h1) != 0))
+            posting, h1 = _thinned(posting[fresh], h1[fresh], t)
+            if not len(h1):
+                return
+            token, n = posting >> TOKEN_SHIFT, posting >> PLACE_BITS & MOST_SIZE
             heads = np.flatnonzero(np.append(True, np.diff(token) != 0))
             size = np.diff(np.append(heads, len(token)))
             name = mixed(np.add.reduceat(mixed(h1.view(np.uint64)), heads) + size.astype(np.uint64))
             few = np.repeat((size > 1) & (size <= CELL), size)
-            cols = [[np.repeat(name, size)[few].view(np.int64)], [np.zeros(few.sum(), np.int64)], [token[few]], [h1[few]]]
+            yield rows(np.repeat(name, size)[few].view(np.int64), np.zeros(few.sum(), np.int64), token[few], h1[few])
             for i in np.flatnonzero(size > CELL).tolist():
-                n, parts = int(size[i]), -(-int(size[i]) // CELL)
-                own = np.arange(n) % parts
-                for j in range(parts):
-                    one, two = np.minimum(own, j), np.maximum(own, j)
-                    cell = mixed((one * parts + two + 1).astype(np.uint64) * _ODD + name[i]).view(np.int64)
-                    for c, v in zip(cols, (cell, own, np.full(n, token[heads[i]]), h1[heads[i] : heads[i] + n])):
-                        c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["cell", "part", "token", "h1"])
-
+                at, stop = int(heads[i]), int(heads[i] + size[i])
+                cuts = np.append(np.arange(at, stop, CELL), stop)
+                for j in range(len(cuts) - 1):  # part j meets itself and those later parts whose sizes are in reach
+                    most = n[cuts[j + 1] - 1]
+                    last = stop if most == MOST_SIZE else at + int(np.searchsorted(n[at:stop], most / t + 1e-6, side="right"))
+                    for k in range(j, len(cuts) - 1):
+                        if cuts[k] >= last:
+                            break
+                        own = np.concatenate([np.arange(cuts[x], cuts[x + 1]) for x in dict.fromkeys((j, k))])
+                        cell = mixed(np.array([j * len(cuts) + k + 1], dtype=np.uint64) * _ODD + name[i]).view(np.int64)
+                        yield rows(np.repeat(cell, len(own)), (own - at) // CELL, np.repeat(token[at], len(own)), h1[own])
+
+        held: list[list[np.ndarray]] = []  # postings of the last, perhaps unfinished token
         for b in batches:
-            if not b.num_rows:
+            posting, h1 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(posting):
                 continue
-            held = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
-            cut = np.searchsorted(held[0], held[0][-1])
-            if cut:
-                yield out(*(h[:cut] for h in held))
-                held = [h[cut:] for h in held]
-        if len(held[0]):
-            yield out(*held)
-
-    postings = lines.where("size(prefix) > 0").select(F.explode("prefix").alias("token"), "h1")
-    meeting = postings.repartition("token").sortWithinPartitions("token", "h1").mapInArrow(shared, "cell long, part long, token long, h1 long")
+            if held and held[0][0][0] >> TOKEN_SHIFT != posting[-1] >> TOKEN_SHIFT:
+                cut = int(np.searchsorted(posting >> TOKEN_SHIFT, posting[-1] >> TOKEN_SHIFT))
+                held.append([posting[:cut], h1[:cut]])
+                yield from out(*map(np.concatenate, zip(*held)))
+                held, posting, h1 = [], posting[cut:], h1[cut:]
+            elif not held:
+                cut = int(np.searchsorted(posting >> TOKEN_SHIFT, posting[-1] >> TOKEN_SHIFT))
+                if cut:
+                    yield from out(posting[:cut], h1[:cut])
+                    posting, h1 = posting[cut:], h1[cut:]
+            held.append([posting, h1])
+        if held:
+            yield from out(*map(np.concatenate, zip(*held)))
+
+    postings = lines.where("size(prefix) > 0").select(F.explode("prefix").alias("posting"), "h1")
+    meeting = postings.repartition(F.expr(f"shiftright(posting, {TOKEN_SHIFT})")).sortWithinPartitions("posting", "h1").mapInArrow(shared, "cell long, part long, token long, h1 long")
     meeting = stored(meeting.groupBy("cell", "part", "h1").agg(F.min("token").alias("token")))
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("p"), F.count("*").alias("copies"))
     wanted = small(meeting.select("h1").distinct()).withColumn("near", F.lit(True))
@@ -187,21 +224,20 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
         names = ["cell", "part", "token", "h1", "h2", "doc_id", "line", "tokens"]
         for b in batches:
             for a, texts in text_passes(b, "text"):
-                s = Sets(texts, counts.value, width)
                 lists = b.column("visits").slice(a, len(texts))
                 v = lists.flatten()
                 of = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
                 line, h1, h2, cell, part, token = (v.field(i).to_numpy() for i in range(6))
-                # the set's first line in this text: lines are in order, the sort is stable
-                have = mixed(s.h1.view(np.uint64) + s.text.astype(np.uint64) * _ODD)
-                order = np.argsort(have, kind="stable")
-                want = mixed(h1.view(np.uint64) + of.astype(np.uint64) * _ODD)
-                at = np.minimum(np.searchsorted(have[order], want), max(len(have) - 1, 0))
-                hit = np.flatnonzero(have[order][at] == want) if len(have) else np.zeros(0, dtype=np.int64)
-                i = order[at[hit]] if len(have) else hit
-                size = s.size[i] if len(i) else i
+                s, key = _sets_of(texts, of, line, counts.value, width)
+                order = np.argsort(key)
+                want = of << 32 | line
+                at = np.minimum(np.searchsorted(key[order], want), max(len(key) - 1, 0))
+                i = order[at] if len(key) else np.zeros(0, dtype=np.int64)
+                hit = np.flatnonzero((key[i] == want) & (s.h1[i] == h1)) if len(i) else i  # else another row of this doc_id is meant
+                i = i[hit]
+                size = s.size[i]
                 off = np.concatenate([[0], np.cumsum(size)])
-                flat = s.tokens[np.arange(off[-1]) + np.repeat(s.first[i] - off[:-1], size)] if len(i) else np.zeros(0, dtype=np.uint64)
+                flat = s.tokens[np.arange(off[-1]) + np.repeat(s.first[i] - off[:-1], size)]
                 tokens = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(flat)])
                 ids = b.column("doc_id").slice(a, len(texts)).take(pa.array(of[hit]))
                 cols = [pa.array(x[hit]) for x in (cell, part, token, h1, h2)]
@@ -220,8 +256,9 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
                 return out
             arrays = [np.frombuffer(r[6], dtype=np.uint64) for r in rows]
             # place of a token that all share: what can be common before it, and after it
-            token = np.int64(rows[0][2]).astype(np.uint64)
-            pos = [int((x == token).argmax()) for x in arrays]
+            token = np.uint64(rows[0][2] & ((1 << 64 - TOKEN_SHIFT) - 1))
+            pos = [int((x >> np.uint64(TOKEN_SHIFT) == token).argmax()) for x in arrays]
+            whole = np.array([x[p] for x, p in zip(arrays, pos)])
             sets_: dict[int, set[int]] = {}
 
             def tokens_of(i: int) -> set[int]:
@@ -233,7 +270,8 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
             n_all, pos_all, part = np.array(n), np.array(pos), np.array([r[1] for r in rows])
             for y in range(1, len(rows)):
                 a, p = n_all[:y], pos_all[:y]
-                may = (np.minimum(a, n[y]) >= t * np.maximum(a, n[y]) - 1e-9) & (np.minimum(p, pos[y]) + np.minimum(a - p, n[y] - pos[y]) >= t / (1 + t) * (a + n[y]) - 1e-9)
+                room = np.minimum(p, pos[y]) + np.minimum(a - p, n[y] - pos[y])
+                may = (np.minimum(a, n[y]) >= t * np.maximum(a, n[y]) - 1e-9) & ((room >= t / (1 + t) * (a + n[y]) - 1e-9) | (whole[:y] != whole[y]))
                 if across:
                     may &= part[:y] != part[y]
                 for x in np.flatnonzero(may).tolist():
@@ -260,9 +298,53 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
 
     near = members.mapInArrow(verify, f"h1 long, h2 long, doc_id {id_type}, line int")
     near = near.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("m"))
-    bound = firsts.join(near, ["h1", "h2"], "left").select("h1", "h2", F.least("p", F.coalesce("m", "p")).alias("m"))
-    bound = small(durable(bound))
-    return lines.select("doc_id", "line", "h1", "h2").join(bound, ["h1", "h2"]).where(F.struct("doc_id", "line") > F.col("m")).select("doc_id", "line", "h1")
+    bound = stored(firsts.join(near, ["h1", "h2"], "left").select("h1", "h2", "copies", F.least("p", F.coalesce("m", "p")).alias("m")))
+    places = lines.select("doc_id", "line", "h1", "h2")
+    if bound.count() <= BROADCAST_LINES:
+        out = places.join(F.broadcast(bound), ["h1", "h2"])
+    else:
+        out = spread_join(places, bound, ["h1", "h2"], "copies", lines.count())
+    return out.where(F.struct("doc_id", "line") > F.col("m")).select("doc_id", "line", "h1")
+
+
+def _thinned(posting: np.ndarray, h1: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Without the postings that have no partner under the length and positional filters; tokens of over THINNED sets stay whole.
+
+    If the token is the first that two sets share, they have at most it and what follows it in
+    both; two similar sets pass that test at their first common token at least.
+    """
+    token, n, place = posting >> TOKEN_SHIFT, posting >> PLACE_BITS & MOST_SIZE, posting & MOST_PLACE
+    heads = np.flatnonzero(np.append(True, np.diff(token) != 0)) if len(token) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(heads, len(token)))
+    of_size = np.repeat(size, size)
+    keep = of_size > THINNED
+    left = np.flatnonzero((of_size > 1) & ~keep)
+    for d in range(1, THINNED):
+        left = left[left + d < len(token)]
+        left = left[token[left + d] == token[left]]
+        if not len(left):
+            break
+        a, b = n[left], n[left + d]  # a is not above b: postings are sorted by size
+        room = np.minimum(a - place[left], b - place[left + d])
+        may = (a >= t * b - 1e-9) & ((room >= t / (1 + t) * (a + b) - 1e-9) | (b == MOST_SIZE))
+        keep[left[may]] = keep[left[may] + d] = True
+    return posting[keep], h1[keep]
+
+
+def _sets_of(texts: list[str], of: np.ndarray, line: np.ndarray, counts: np.ndarray, width: int) -> tuple[Sets, np.ndarray]:
+    """Sets of some lines only (``line[i]`` of ``texts[of[i]]``), and (text << 32 | line) of each."""
+    picked, numbers = [], []
+    wanted: dict[int, set[int]] = {}
+    for i, j in zip(of.tolist(), line.tolist()):
+        wanted.setdefault(i, set()).add(j)
+    for i, own in wanted.items():
+        whole = texts[i].split("\n")
+        own = sorted(j for j in own if j < len(whole))
+        picked.append("\n".join(whole[j] for j in own))
+        numbers.append(np.array(own, dtype=np.int64) + (i << 32))
+    s = Sets(picked, counts, width)
+    key = np.array([numbers[i][j] for i, j in zip(s.text.tolist(), s.number.tolist())], dtype=np.int64)
+    return s, key
 
 
 def _matches(found: list[tuple], kind) -> pa.RecordBatch:
@@ -279,7 +361,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float =
     (the same place is not earlier than itself); rows with a null id or null text come back as they are. A text of which
     all goes is empty. ``removed`` names a column to add, with the number of lines taken out.
     """
-    gone = durable(removals(df, doc_id, text, t, width))
+    gone = stored(removals(df, doc_id, text, t, width))
     grouped = gone.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1")).alias("gone"))
     if gone.count() <= BROADCAST_LINES:
         grouped = F.broadcast(grouped)
@@ -292,14 +374,18 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float =
             for a, texts in text_passes(b, "text"):  # a batch's rows go on in parts, so that few texts are held twice
                 lists = b.column("gone").slice(a, len(texts))
                 n = np.zeros(len(texts), dtype=np.int32)
-                hit = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False) & ~lost[a : a + len(texts)]).tolist()
-                if hit:
-                    s = Sets([texts[k] for k in hit], blank, width)
-                    marked = [{(g["line"], g["h1"]) for g in lists[k].as_py()} for k in hit]
+                if lists.null_count < len(texts):
+                    v = lists.flatten()
+                    sizes = np.diff(lists.offsets.to_numpy())
+                    sizes[lists.is_null().to_numpy(zero_copy_only=False)] = 0
+                    of = np.repeat(np.arange(len(texts)), sizes)
+                    line, h1 = v.field(0).to_numpy().astype(np.int64), v.field(1).to_numpy()
+                    marked = set(zip((of << 32 | line).tolist(), h1.tolist()))
+                    s, key = _sets_of(texts, of, line, blank, width)
                     out: dict[int, set[int]] = {}
-                    for of, line, h in zip(s.text.tolist(), s.number.tolist(), s.h1.tolist()):
-                        if (line, h) in marked[of]:
-                            out.setdefault(hit[of], set()).add(line)
+                    for at, h in zip(key.tolist(), s.h1.tolist()):
+                        if (at, h) in marked and not lost[a + (at >> 32)]:
+                            out.setdefault(at >> 32, set()).add(at & 0xFFFFFFFF)
                     for k, numbers in out.items():
                         texts[k] = "\n".join(x for j, x in enumerate(texts[k].split("\n")) if j not in numbers)
                         n[k] = len(numbers)

@@ -3,8 +3,8 @@
 A page becomes the sequence of its leaf blocks. Each block is described by hashed tokens of
 its tag path, hashed words and a few measures; a bidirectional LSTM in numpy reads the whole
 sequence, so that each block is judged with the page before and after it, and
-labels it article or not. The labeller is trained here, on pages made up from a grammar of
-layouts with known labels, the same for every run.
+labels it article or not. The labeller is trained by this module, on pages made up from a grammar of
+layouts with known labels; the weights lie beside it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import html as entities
 import random
 import re
 import zlib
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,12 @@ from quire.llm.common import Words, text_passes
 
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 192, 32, 6, 16
 #: Pages and passes of training, and its seed.
-TRAIN_PAGES, EPOCHS, SEED = 900, 12, 20240501
+TRAIN_PAGES, EPOCHS, SEED = 1500, 12, 20240501
+#: Share of pages without names, and of the others' readings in training that show wording.
+BARE, WORDED = 0.06, 0.15
 
 #: Elements whose content is no text, those without content, and those that part no block.
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title"
+RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Start tags that end an open element of the same kind.
@@ -35,21 +39,146 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: Elements beyond which a start tag ends nothing.
 SCOPES = frozenset("article aside blockquote body div footer form header html main nav ol section table ul".split())
 
-#: Of the RAW elements only svg and math can be closed by their start tag.
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
+#: Tags of a page whose quotes never close, after which quotes are not heeded any more; each costs a look at the rest of the page.
+MOST_BROKEN = 16
+
+
+class TagPath:
+    """The open elements at a place of a page, from the outermost: a list whose beginning is shared by all places inside."""
+
+    __slots__ = ("_sum", "depth", "element", "up")
+
+    def __init__(self, up: TagPath | None, element: str):
+        self.up, self.element, self.depth = up, element, 1 + (up.depth if up else 0)
+        self._sum: np.ndarray | None = None
+
+    def elements(self) -> tuple[str, ...]:
+        out, p = [], self
+        while p:
+            out.append(p.element)
+            p = p.up
+        return tuple(out[::-1])
+
+    def vector(self) -> np.ndarray:
+        """Hashed tokens of the elements' tags and names, the nearest three at full weight, those further out at 0.7."""
+        bare, p = [], self
+        while p and p._sum is None:
+            bare.append(p)
+            p = p.up
+        run = p._sum if p else np.zeros(PATH_DIM, dtype=np.float32)
+        for p in reversed(bare):
+            run = p._sum = run + _element_vector(p.element)
+        out, p = 0.7 * run, self
+        for _ in range(3):
+            if p:
+                out += 0.3 * _element_vector(p.element)
+                p = p.up
+        return out
+
 
+@functools.lru_cache(maxsize=4096)
+def _element_vector(element: str) -> np.ndarray:
+    v = np.zeros(PATH_DIM, dtype=np.float32)
+    tag, *names = element.split(".")
+    for token in (f"<{tag}", *(f".{n}" for n in names)):
+        h = zlib.crc32(token.encode())
+        v[h % PATH_DIM] += 1.5 if h >> 16 & 1 else -1.5
+    return v
 
-def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """Leaf blocks in page order: text, tag path (each ``tag`` or ``tag.name.name``) and the share of text in links.
+
+class _Open:
+    """The stack of open elements, with the places of each kind in it, so that no step looks through the stack."""
+
+    def __init__(self):
+        self.kinds: list[str] = []
+        self.paths: list[TagPath | None] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def last(self, kind: str) -> int:
+        own = self.places.get(kind)
+        return own[-1] if own else -1
+
+    def cut(self, at: int) -> None:
+        while len(self.kinds) > at:
+            kind = self.kinds.pop()
+            self.paths.pop()
+            self.places[kind].pop()
+            if kind in SCOPES:
+                self.scopes.pop()
+
+    def close(self, kind: str) -> None:
+        at = self.last(kind)
+        if at >= 0 and (kind not in INLINE or not self.scopes or self.scopes[-1] <= at):
+            self.cut(at)
+
+    def open(self, kind: str, element: str) -> None:
+        if kind not in INLINE:
+            ends = CLOSES.get(kind, ()) or (("p",) if kind != "html" else ())
+            at = max(map(self.last, ends), default=-1)
+            if at >= 0 and (not self.scopes or self.scopes[-1] <= at):
+                self.cut(at)
+        self.places.setdefault(kind, []).append(len(self.kinds))
+        if kind in SCOPES:
+            self.scopes.append(len(self.kinds))
+        self.kinds.append(kind)
+        self.paths.append(self.path() if kind in INLINE else TagPath(self.path(), element))
+
+    def path(self) -> TagPath | None:
+        return self.paths[-1] if self.paths else None
+
+
+def _markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, closes, tag, attributes) of each piece of markup, in one walk forward; tag is '' for what only goes: comments, declarations, RAW elements.
+
+    A tag that the page's end cuts off goes with all after it. Where a quote in a tag never closes, the tag
+    ends at the next ``>``. A RAW element without an end goes to the page's end if it is a script or style; of others only the tag goes.
+    """
+    at, broken, endless = 0, 0, set()
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, False, "", ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at + 2) + 1 or len(page)
+            yield at, end, False, "", ""
+        elif m := _TAG.match(page, at):
+            rest = _REST.match(page, m.end()) if broken < MOST_BROKEN else None
+            if not rest:
+                broken += 1
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            if not end:
+                yield at, len(page), False, "", ""
+                return
+            tag, attributes = m[2].lower(), page[m.end() : end - 1]
+            raw = tag in RAW and not m[1] and not (tag in ("svg", "math") and attributes.endswith("/")) and tag not in endless
+            if raw:
+                stop = _ENDS[tag].search(page, end)
+                if stop or tag in ("script", "style"):
+                    end = stop.end() if stop else len(page)
+                else:
+                    endless.add(tag)
+            yield at, end, bool(m[1]), "" if tag in RAW else tag, attributes
+        else:
+            at += 1
+            continue
+        at = end
+
+
+def blocks_of(page: str) -> list[tuple[str, TagPath | None, float]]:
+    """Leaf blocks in page order: text, tag path (elements are ``tag`` or ``tag.name.name``) and the share of text in links.
 
     Character references are decoded, white space becomes one blank. Markup that is cut off,
-    never closed or wrongly nested is read as far as it goes.
+    never closed or wrongly nested is read as far as it goes, in time that grows with the page's size.
     """
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[str] = []
-    kinds: list[str] = []
+    out: list[tuple[str, TagPath | None, float]] = []
+    stack = _Open()
     text: list[str] = []
     linked = total = 0
 
@@ -58,67 +187,40 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append((whole, tuple(s for s, k in zip(stack, kinds) if k not in INLINE), linked / max(total, 1)))
+                out.append((whole, stack.path(), linked / max(total, 1)))
             text.clear()
         linked = total = 0
 
+    def say(piece: str) -> None:
+        nonlocal linked, total
+        text.append(piece)
+        total += len(piece)
+        if stack.last("a") >= 0:
+            linked += len(piece)
+
     at = 0
-    for m in _MARKUP.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            text.append(piece)
-            total += len(piece)
-            if "a" in kinds:
-                linked += len(piece)
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag in INLINE:
-            if tag == "br":
-                text.append(" ")
-        else:
-            flush()
-        if m[2]:
-            if tag in kinds:
-                cut = len(kinds) - 1 - kinds[::-1].index(tag)
-                if tag not in INLINE or not any(k in SCOPES for k in kinds[cut + 1 :]):
-                    del stack[cut:], kinds[cut:]
-            continue
-        if tag in VOID or m[4].endswith("/"):
+    for begin, end, closes, tag, attributes in _markup(page):
+        if begin > at:
+            say(page[at:begin])
+        at = end
+        if not tag:
             continue
         if tag not in INLINE:
-            ends = CLOSES.get(tag, ()) or ({"p"} if tag != "html" else ())
-            for i in range(len(kinds) - 1, -1, -1):
-                if kinds[i] in ends:
-                    del stack[i:], kinds[i:]
-                    break
-                if kinds[i] in SCOPES:
-                    break
-        kinds.append(tag)
-        names = " ".join(x for t in _NAMES.findall(m[4]) for x in t if x)
-        stack.append(".".join([tag, *_PART.findall(names.lower())]) if names else tag)
+            flush()
+        elif tag == "br":
+            text.append(" ")
+        if closes:
+            stack.close(tag)
+        elif tag not in VOID and not attributes.endswith("/"):
+            names = " ".join(x for t in _NAMES.findall(attributes) for x in t if x)
+            stack.open(tag, ".".join([tag, *_PART.findall(names.lower())]) if names else tag)
     if at < len(page):
-        tail = page[at:]
-        text.append(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!?][^>]*\Z", tail) else tail)
+        say(page[at:])
     flush()
     return out
 
 
-@functools.lru_cache(maxsize=4096)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tokens of a path: each element's tag and names, the nearer ones heavier."""
-    v = np.zeros(PATH_DIM, dtype=np.float32)
-    for depth, element in enumerate(reversed(path)):
-        tag, *names = element.split(".")
-        for token in (f"<{tag}", *(f".{n}" for n in names)):
-            h = zlib.crc32(token.encode())
-            v[h % PATH_DIM] += (1.5 if h >> 16 & 1 else -1.5) * (1.0 if depth < 3 else 0.7)
-    return v
-
-
-def describe(pages: list[list[tuple[str, tuple[str, ...], float]]]) -> list[np.ndarray]:
+def describe(pages: list[list[tuple[str, TagPath | None, float]]]) -> list[np.ndarray]:
     """A matrix of block vectors for each page."""
     flat = [b for p in pages for b in p]
     if not flat:
@@ -131,8 +233,8 @@ def describe(pages: list[list[tuple[str, tuple[str, ...], float]]]) -> list[np.n
     size = np.array([len(b[0]) for b in flat])
     ends = np.array([b[0][-1] in ".!?…:;\"'”" for b in flat])
     at = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages])
-    measures = np.stack([np.log1p(size) / 5, np.log1p(n) / 4, ends, [b[2] for b in flat], at, np.array([len(b[1]) for b in flat]) / 8], axis=1)
-    x = np.concatenate([np.stack([_path_vector(b[1]) for b in flat]), words, measures], axis=1).astype(np.float32)
+    measures = np.stack([np.log1p(size) / 5, np.log1p(n) / 4, ends, [b[2] for b in flat], at, np.array([b[1].depth if b[1] else 0 for b in flat]) / 8], axis=1)
+    x = np.concatenate([np.stack([b[1].vector() if b[1] else np.zeros(PATH_DIM, dtype=np.float32) for b in flat]), words, measures], axis=1).astype(np.float32)
     return np.split(x, np.cumsum([len(p) for p in pages])[:-1])
 
 
@@ -178,17 +280,18 @@ class Labeller:
         return out
 
     def probabilities(self, pages: list[np.ndarray], at_once: int = 64) -> list[np.ndarray]:
-        """Chance of each block to be article; pages of like length are read together."""
+        """Chance of each block to be article; pages of like length are read together, padded to twice their blocks at most."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.float32)] * len(pages)
-        order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
-        for k in range(0, len(order), at_once):
-            own = [i for i in order[k : k + at_once] if len(pages[i])]
-            if own:
-                x, mask = _padded([pages[i] for i in own])
-                h = np.concatenate([self._run("f", x, mask), self._run("b", x, mask)], axis=2)
-                p = _sigmoid(h @ self.w["o"] + x @ self.w["s"] + self.w["c"])
-                for i, row in zip(own, p):
-                    out[i] = row[: len(pages[i])]
+        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
+        k = 0
+        while k < len(order):
+            own = [i for i in order[k : k + at_once] if len(pages[i]) <= 2 * len(pages[order[k]])]
+            k += len(own)
+            x, mask = _padded([pages[i] for i in own])
+            h = np.concatenate([self._run("f", x, mask), self._run("b", x, mask)], axis=2)
+            p = _sigmoid(h @ self.w["o"] + x @ self.w["s"] + self.w["c"])
+            for i, row in zip(own, p):
+                out[i] = row[: len(pages[i])]
         return out
 
     def step(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
@@ -232,9 +335,9 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # Words of made-up pages: what layouts call their parts, and what these say.
 _CHROME = {
-    "menu": ("nav header.nav div.menu div.navbar ul.nav div.navigation div.breadcrumb nav.breadcrumbs div.topnav nav.pagination div.pager", "Home|About|Contact|News|Sports|Login|Register|Sitemap|Next|Previous|Archive|Blog|Shop|FAQ"),
+    "menu": ("nav header.nav div.menu div.navbar ul.nav div.navigation div.breadcrumb nav.breadcrumbs div.topnav div.portal div.portlet div.toc ul.tabs nav.pagination div.pager", "Home|About|Contact|News|Sports|Login|Register|Sitemap|Next|Previous|Archive|Blog|Shop|FAQ|Talk|Edit|History|Read|View source|Tools|Help|Recent changes|What links here"),
     "header": ("header div.header div.masthead div.site.header div.banner div.topbar", "Welcome to our site|Your daily source|Search|Sign in|Menu|Est. 1998"),
-    "footer": ("footer div.footer div.site.footer div.copyright div.legal div.bottom", "All rights reserved.|Privacy policy|Terms of use|Imprint|Powered by this system|© 2024 Example Inc."),
+    "footer": ("footer div.footer div.site.footer div.copyright div.legal div.bottom", "All rights reserved.|Privacy policy|Terms of use|Imprint|Powered by this system|© 2024 Example Inc.|Copyright 2011 The Owner|Last modified on 3 May 2009|This page was last edited in June 2017."),
     "sidebar": ("aside div.sidebar div.widget div.related aside.sidebar div.recent.posts div.rail section.related div.most.read div.tags", "Related stories|Most read|Popular posts|Recent comments|Tags|Archive|You may also like"),
     "notice": ("div.notice div.cookie div.cookie.banner div.alert div.consent div.gdpr div.popup div.modal section.newsletter div.subscribe div.promo", "We use cookies to make this site better.|Accept all|Subscribe to our newsletter now!|Please enable scripts.|By going on you agree to our terms."),
     "advert": ("div.ad div.ads div.advert div.sponsored aside.ad div.banner.ad div.adsense section.sponsor div.promoted", "Advertisement|Buy now and save!|Sponsored content|Limited offer. Order today!"),
@@ -251,8 +354,12 @@ def _open(spec: str) -> tuple[str, str]:
     return (f'<{tag} class="{" ".join(names)}">' if names else f"<{tag}>"), f"</{tag}>"
 
 
-def made_up_page(rng: random.Random) -> tuple[str, set[str]]:
-    """A page from the grammar of layouts and the texts of its article's blocks."""
+def made_up_page(rng: random.Random, bare: bool | None = None) -> tuple[str, set[str]]:
+    """A page from the grammar of layouts and the texts of its article's blocks.
+
+    ``bare`` pages (a few, if it is not said) are cells or boxes without names, which only links and wording tell apart.
+    """
+    bare = rng.random() < BARE if bare is None else bare
     lexicon = ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(60)]
 
     def prose(low: int, high: int) -> str:
@@ -270,8 +377,13 @@ def made_up_page(rng: random.Random) -> tuple[str, set[str]]:
 
     def chrome(kind: str) -> str:
         places, says = _CHROME[kind]
-        start, end = _open(rng.choice(places.split()))
         said = says.split("|")
+        if bare:
+            items = [rng.choice(lexicon).capitalize() if kind != "footer" and rng.random() < 0.4 else rng.choice(said) for _ in range(rng.randint(1, 8))]
+            if kind not in ("footer", "form", "notice"):
+                items = [f'<a href="/x">{x}</a>' for x in items]
+            return rng.choice(("<tr><td>{}</td></tr>", "<tr><td><font size=1>{}</font></td></tr>", "<div>{}</div>", "<p>{}</p>", "<center>{}</center>")).format(rng.choice((" | ", "<br>", " ", "<p>")).join(items))
+        start, end = _open(rng.choice(places.split()))
         spoken = rng.choice((0.1, 0.5, 1.0))  # how much of it is prose that only its place tells from an article
         items = [prose(2, 40) if rng.random() < spoken else rng.choice(lexicon).capitalize() if rng.random() < 0.5 else rng.choice(said) for _ in range(rng.randint(1, 7 if kind in ("menu", "sidebar", "comments") else 3))]
         how = rng.random()
@@ -292,7 +404,7 @@ def made_up_page(rng: random.Random) -> tuple[str, set[str]]:
         told.add(x)
         return entities.escape(x, quote=False)
 
-    start, end = _open(rng.choice(_INNER.split()))
+    start, end = _open(rng.choice("tr td div font".split() if bare else _INNER.split()))
     parts = []
     if rng.random() < 0.85:
         parts.append(f"<h1>{say(2, 12)}</h1>")
@@ -314,38 +426,50 @@ def made_up_page(rng: random.Random) -> tuple[str, set[str]]:
     if rng.random() < 0.15:
         parts.append(chrome("comments"))
     article = start + "".join(parts) + end
-    if rng.random() < 0.3:
+    if not bare and rng.random() < 0.3:
         start, end = _open(rng.choice(("div", "main", "div.wrap", "div.container", "section", "div.page")))
         article = start + article + end
     before = [chrome(k) for k in ("notice", "header", "menu", "advert", "form", "sidebar") if rng.random() < 0.45]
     after = [chrome(k) for k in ("share", "comments", "sidebar", "advert", "form", "notice", "menu", "footer") if rng.random() < 0.4]
     rng.shuffle(before)
     tail = rng.choice(("</body></html>", "</body></html>", ""))
-    return "<html><head><title>t</title></head><body>" + "".join(before) + article + "".join(after) + tail, told
+    start, end = rng.choice((("<table>", "</table>"), ("<table><tr><td>", "</table>"), ("<div>", "</div>"), ("", ""))) if bare else ("", "")
+    return "<html><head><title>t</title></head><body>" + start + "".join(before) + article + "".join(after) + end + tail, told
+
+
+WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
 
 @functools.lru_cache(maxsize=1)
+def weights() -> dict[str, np.ndarray]:
+    """The labeller's weights as ``python -m quire.llm.html`` trained and wrote them, so that all processes and machines judge alike."""
+    with np.load(WEIGHTS) as kept:
+        return {k: kept[k] for k in kept.files}
+
+
 def trained() -> dict[str, np.ndarray]:
-    """Weights of the labeller after training on made-up pages; the same in every process."""
+    """Weights of the labeller after training on made-up pages (some ten seconds); no page of any table is used."""
     rng, draw = np.random.default_rng(SEED), random.Random(SEED)
     pages, labels = [], []
-    for _ in range(TRAIN_PAGES):
-        page, told = made_up_page(draw)
+    plain = [draw.random() < BARE for _ in range(TRAIN_PAGES)]
+    for bare in plain:
+        page, told = made_up_page(draw, bare)
         blocks = blocks_of(page)
         pages.append(blocks)
         labels.append(np.array([b[0] in told for b in blocks], dtype=np.float32))
     x = describe(pages)
-    model = Labeller(rng)
+    model, sizes = Labeller(rng), np.array([len(p) for p in x])
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
-    bare = np.append(np.ones(PATH_DIM), np.zeros(WORD_DIM + MEASURES)).astype(np.float32)
+    wordless = np.concatenate([np.ones(PATH_DIM), np.zeros(WORD_DIM), [0, 0, 0, 1, 0, 0]]).astype(np.float32)
     done, total = 0, EPOCHS * -(-len(x) // 32)
     for _ in range(EPOCHS):
         order = rng.permutation(len(x))
-        for k in range(0, len(x), 32):
-            own = order[k : k + 32]
-            # for most pages places alone must do, so that no wording outweighs them
-            seen = [x[i] if rng.random() < 0.4 else x[i] * bare for i in own]
+        order = order[np.argsort(sizes[order], kind="stable")]  # batches of pages of like length need little padding
+        for k in rng.permutation(-(-len(x) // 32)).tolist():
+            own = order[32 * k : 32 * k + 32]
+            # for most pages places and links alone must do, so that no wording outweighs them
+            seen = [x[i] if rng.random() < WORDED else x[i] * wordless for i in own]
             _, grad = model.step(seen, [labels[i] for i in own])
             done += 1
             rate = 0.02 * (1 - done / (total + 1))
@@ -371,11 +495,11 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id
     A null or empty page has an empty text. Pages are read whole, in passes of about half a
     million characters. No shuffle; the weights (some 100 kB) are broadcast.
     """
-    weights = df.sparkSession.sparkContext.broadcast(trained())
+    found = df.sparkSession.sparkContext.broadcast(weights())
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
 
     def run(batches):
-        model = Labeller(weights=weights.value)
+        model = Labeller(weights=found.value)
         for b in batches:
             for a, pages in text_passes(b, html):
                 out = main_texts(pages, model)
@@ -383,3 +507,7 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*keep, text, "n_chars"])
 
     return df.select(*dict.fromkeys([*keep, html])).mapInArrow(run, schema)
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **trained())

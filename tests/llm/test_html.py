@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from quire.llm import html as op
 
 @pytest.fixture(scope="module")
 def model():
-    return op.Labeller(weights=op.trained())
+    return op.Labeller(weights=op.weights())
 
 
 def texts(page):
@@ -24,8 +25,9 @@ def test_blocks():
     assert texts("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>") == ["a", "b", "c", "d"]
     assert texts("") == texts("<p") == texts("</p></div>") == [] and texts("<") == ["<"]
     assert texts("a < b and c > d") == ["a < b and c > d"]
-    assert op.blocks_of('<div class="Main post" id=x><p>t')[0][1] == ("div.main.post.x", "p")
-    assert op.blocks_of("<article><p><b>a<p>b</article><p>c")[-1] == ("c", ("p",), 0.0)
+    assert op.blocks_of('<div class="Main post" id=x><p>t')[0][1].elements() == ("div.main.post.x", "p")
+    text, path, linked = op.blocks_of("<article><p><b>a<p>b</article><p>c")[-1]
+    assert (text, path.elements(), linked) == ("c", ("p",), 0.0)
     assert op.blocks_of("<p>ab<a>cd</a>")[0][2] == 0.5
     assert len(texts("<div>" * 3000 + "deep")) == 1
 
@@ -60,6 +62,18 @@ def test_held_out_accuracy(model):
     assert right / total > 0.985
 
 
+def test_training_again_gives_a_labeller_as_good(monkeypatch):
+    monkeypatch.setattr(op, "TRAIN_PAGES", 400)
+    again, draw, right, total = op.Labeller(weights=op.trained()), random.Random(778), 0, 0
+    assert {k: v.shape for k, v in again.w.items()} == {k: v.shape for k, v in op.weights().items()}
+    for _ in range(100):
+        page, told = op.made_up_page(draw)
+        blocks = op.blocks_of(page)
+        right += sum((c >= 0.5) == (b[0] in told) for b, c in zip(blocks, again.probabilities(op.describe([blocks]))[0]))
+        total += len(blocks)
+    assert right / total > 0.97
+
+
 def test_batches_do_not_change_results(model):
     draw = random.Random(5)
     pages = [op.made_up_page(draw)[0] for _ in range(40)] + ["", "<p>x"]
@@ -95,3 +109,41 @@ def test_articles_of_the_pages_table(spark, sf_dir):
 def test_text_after_a_self_closed_raw_element_is_kept():
     page = '<p>one <svg class="i"/> two</p><p>three <math /></p><svg a="/>"><text>no</text></svg><p>four <svg><path d=""/></svg></p><script src="x"/>no</script><p>five</p>'
     assert [b[0] for b in op.blocks_of(page)] == ["one two", "three", "four", "five"]
+
+
+def test_markup_that_is_broken():
+    assert texts("<p>a</p><p title='x>b</p><p>c") == ["a", "b", "c"]  # a quote that never closes
+    assert texts("<p>a<b title='x") == ["a"]
+    assert texts("<title>t<p>a</p>") == ["t", "a"] and texts("a<script>b<p>c</p>") == ["a"]
+    assert texts("a<!-- b <p>c") == ["a"] and texts("a<!doctype b") == ["a"]
+
+
+@pytest.mark.parametrize("page", ["<a '" * 100_000, "<a '>" * 100_000, "<div>x" * 100_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, "<b><p>x" * 50_000, "<p>x</b>" * 100_000, "<svg>" * 100_000, "<!--" * 100_000, "<p>word</p>" * 100_000])
+def test_odd_pages_take_time_in_proportion(page):
+    began = time.time()
+    blocks = op.blocks_of(page)
+    op.describe([blocks])
+    assert time.time() - began < 20
+
+
+def test_a_page_of_very_many_blocks_does_not_pad_others(model):
+    began = time.time()
+    out = op.main_texts(["<article>" + "<p>word word word words.</p>" * 50_000 + "</article>"] + ["<p>a few words here.</p>"] * 12, model)
+    assert len(out) == 13 and time.time() - began < 30
+
+
+def test_path_vectors_are_sums_over_the_path():
+    path = op.blocks_of("<div id=a><main><section class='b c'><article><p>x")[0][1]
+    v = np.zeros(op.PATH_DIM)
+    for depth, element in enumerate(reversed(path.elements())):
+        v += op._element_vector(element) * (1.0 if depth < 3 else 0.7)
+    assert np.allclose(path.vector(), v, atol=1e-5)
+
+
+def test_layouts_without_names(model):
+    """Hand-written pages in styles that the grammar only resembles: cells without names, and a wiki."""
+    cells = "<html><body><table><tr><td colspan=2><a href=/>Home</a> | <a href=/n>News</a> | <a href=/s>Search</a></td></tr><tr><td><a href=1>Link one here</a><br><a href=2>Link two here</a><br><a href=3>Third link text</a></td><td><h2>A heading of text</h2><p>This is the main paragraph of the article with many words that tell a story.</p><p>Another paragraph goes on and on with more of the story until it ends.</p></td></tr><tr><td>Copyright 2020 A Person</td></tr></table></body></html>"
+    wiki = "<html><body><div id=content class=mw-body><h1 id=firstHeading>Some topic</h1><div id=mw-content-text><p>Some topic is a thing about which much has been written in many books.</p><p>It was first found in the year 1900 by people who looked for it.</p></div></div><div id=mw-navigation><div id=p-namespaces><ul><li><a>Article</a></li><li><a>Talk</a></li></ul></div><div class=portal><h3>Tools</h3><ul><li><a>What links here</a></li></ul></div></div><div id=footer><ul><li>This page was last edited on 1 May 2020.</li></ul></div></body></html>"
+    first, second = op.main_texts([cells, wiki], model)
+    assert first.split("\n")[1:] == ["This is the main paragraph of the article with many words that tell a story.", "Another paragraph goes on and on with more of the story until it ends."]
+    assert second.split("\n")[1:] == ["Some topic is a thing about which much has been written in many books.", "It was first found in the year 1900 by people who looked for it."]

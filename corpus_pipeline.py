@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import lines, packing, quality, simhash
-from quire.llm.common import stored
+from quire.llm.common import scratch, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,8 +44,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again as the next one's input."""
+    """All stages over ``documents``, each written to the shared folder and read again as the next one's input.
+
+    Tables that a stage needs only for itself go when its result is written, results when all stages are through.
+    Null texts have no words, so the first stage rejects them; repeated rows are kept or rejected alike, and
+    those that share a doc_id are one document; an empty table gives no rows; columns beyond those of documents are dropped.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    with scratch(spark, keep=1):
+        for _, stage in STAGES[:-1]:
+            with scratch(spark, keep=1):
+                docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,9 +26,13 @@ from quire.llm.common import Words, text_passes
 
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 192, 32, 6, 16
 #: Pages and passes of training, and its seed.
-TRAIN_PAGES, EPOCHS, SEED = 1500, 12, 20240501
+TRAIN_PAGES, EPOCHS, SEED = 1500, 14, 20240501
+#: Labellers that are trained apart and judge together.
+MEMBERS = 3
 #: Share of pages without names, and of the others' readings in training that show wording.
 BARE, WORDED = 0.06, 0.15
+#: Share of made-up articles that are long, and of how many parts these are.
+LONG, LONG_PARTS = 0.06, (40, 120, 300)
 
 #: Elements whose content is no text, those without content, and those that part no block.
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
@@ -279,8 +283,8 @@ class Labeller:
             out[:, t] = h
         return out
 
-    def probabilities(self, pages: list[np.ndarray], at_once: int = 64) -> list[np.ndarray]:
-        """Chance of each block to be article; pages of like length are read together, padded to twice their blocks at most."""
+    def logits(self, pages: list[np.ndarray], at_once: int = 64) -> list[np.ndarray]:
+        """Logit of each block to be article; pages of like length are read together, padded to twice their blocks at most."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.float32)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         k = 0
@@ -289,8 +293,7 @@ class Labeller:
             k += len(own)
             x, mask = _padded([pages[i] for i in own])
             h = np.concatenate([self._run("f", x, mask), self._run("b", x, mask)], axis=2)
-            p = _sigmoid(h @ self.w["o"] + x @ self.w["s"] + self.w["c"])
-            for i, row in zip(own, p):
+            for i, row in zip(own, h @ self.w["o"] + x @ self.w["s"] + self.w["c"]):
                 out[i] = row[: len(pages[i])]
         return out
 
@@ -323,6 +326,18 @@ class Labeller:
         return loss, grad
 
 
+class Committee:
+    """Labellers that were trained apart; what each is unsure of, their mean decides."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        members = sorted({k.partition(".")[0] for k in weights})
+        self.members = [Labeller(weights={k.partition(".")[2]: v for k, v in weights.items() if k.partition(".")[0] == m}) for m in members]
+
+    def probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """Chance of each block to be article."""
+        return [_sigmoid(np.mean(x, axis=0)) for x in zip(*(m.logits(pages) for m in self.members))]
+
+
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p) for p in pages)
     x = np.zeros((len(pages), steps, pages[0].shape[1]), dtype=np.float32)
@@ -370,7 +385,7 @@ def made_up_page(rng: random.Random, bare: bool | None = None) -> tuple[str, set
         elif noise < 0.12:
             words = [w.upper() + "!!" for w in words]
         elif noise < 0.16:
-            words = [words[0]] * len(words)
+            words = [w for w in words[: rng.choice((1, 1, 2))] for _ in range(rng.choice((len(words), 80)))]
         elif noise < 0.20:
             return " | ".join(words).capitalize()
         return (" ".join(words)).capitalize() + rng.choice((".", ".", ".", "!", "?", ""))
@@ -408,7 +423,7 @@ def made_up_page(rng: random.Random, bare: bool | None = None) -> tuple[str, set
     parts = []
     if rng.random() < 0.85:
         parts.append(f"<h1>{say(2, 12)}</h1>")
-    for _ in range(rng.choice((1, 2, 3, 5, 8, 14))):
+    for _ in range(rng.choice(LONG_PARTS) if rng.random() < LONG else rng.choice((1, 2, 3, 5, 8, 14))):
         k = rng.random()
         if k < 0.72:
             x = say(1, 8) if rng.random() < 0.25 else say(8, 90)
@@ -447,9 +462,14 @@ def weights() -> dict[str, np.ndarray]:
         return {k: kept[k] for k in kept.files}
 
 
-def trained() -> dict[str, np.ndarray]:
-    """Weights of the labeller after training on made-up pages (some ten seconds); no page of any table is used."""
-    rng, draw = np.random.default_rng(SEED), random.Random(SEED)
+def trained(members: int = MEMBERS) -> dict[str, np.ndarray]:
+    """Weights of all labellers, each trained on made-up pages of its own; no page of any table is used."""
+    return {f"{m}.{k}": v for m in range(members) for k, v in _trained(SEED + m).items()}
+
+
+def _trained(seed: int) -> dict[str, np.ndarray]:
+    """Weights of one labeller (some ten seconds)."""
+    rng, draw = np.random.default_rng(seed), random.Random(seed)
     pages, labels = [], []
     plain = [draw.random() < BARE for _ in range(TRAIN_PAGES)]
     for bare in plain:
@@ -482,7 +502,7 @@ def trained() -> dict[str, np.ndarray]:
     return model.w
 
 
-def main_texts(pages: list[str], model: Labeller) -> list[str]:
+def main_texts(pages: list[str], model: Committee) -> list[str]:
     """Article blocks of each page, one to a line."""
     blocks = [blocks_of(p) for p in pages]
     chances = model.probabilities(describe(blocks))
@@ -499,7 +519,7 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
 
     def run(batches):
-        model = Labeller(weights=found.value)
+        model = Committee(found.value)
         for b in batches:
             for a, pages in text_passes(b, html):
                 out = main_texts(pages, model)

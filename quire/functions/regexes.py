@@ -62,5 +62,52 @@ def first(x: Column, pattern: str, group: int = 1) -> Column:
 
 
 def matches(x: Column, pattern: str, group: int = 1) -> Column:
-    """The group in every match, empty ones left out."""
-    return F.filter(F.regexp_extract_all(x, F.lit(java(pattern)), F.lit(group)), lambda v: v != "")
+    """The group in every match in which it took part; it may be empty there.
+
+    Spark gives '' both for a group that took no part and for one that matched nothing. Where both can
+    happen to one group, its empty values are left out.
+    """
+    every = F.regexp_extract_all(x, F.lit(java(pattern)), F.lit(group))
+    return every if _may_be_empty(pattern, group) and _always_takes_part(pattern, group) else F.filter(every, lambda v: v != "")
+
+
+def _tree(pattern: str):
+    from re import _parser  # the parse tree of the pattern, which re builds anyway
+
+    return _parser.parse(pattern)
+
+
+def _may_be_empty(pattern: str, group: int) -> bool:
+    """Whether the group can match the empty string."""
+
+    def find(nodes):
+        for op, arg in nodes:
+            if str(op) == "SUBPATTERN":
+                if arg[0] == group:
+                    return arg[3].getwidth()[0] == 0
+                if (got := find(arg[3])) is not None:
+                    return got
+            elif str(op) == "BRANCH":
+                for part in arg[1]:
+                    if (got := find(part)) is not None:
+                        return got
+            elif str(op) in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                if (got := find(arg[2])) is not None:
+                    return got
+        return None
+
+    return bool(find(_tree(pattern)))
+
+
+def _always_takes_part(pattern: str, group: int) -> bool:
+    """Whether every match runs through the group: it stands in no branch and in nothing that may be left out."""
+
+    def find(nodes):
+        for op, arg in nodes:
+            if str(op) == "SUBPATTERN" and (arg[0] == group or find(arg[3])):
+                return True
+            if str(op) in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0 and find(arg[2]):
+                return True
+        return False
+
+    return find(_tree(pattern))

@@ -145,10 +145,10 @@ def tagged(kind: str, x: Column) -> Column:
 
 
 def parse_ids(values: list[str], kind: str) -> list[int]:
-    """Numbers of ``kind:number`` identifiers, in order and once each."""
+    """Numbers (from 1) of ``kind:number`` identifiers, in order and once each."""
     out: dict[int, None] = {}
     for v in values:
-        m = re.fullmatch(rf"{kind}:([1-9]\d*|0)", v.strip())
+        m = re.fullmatch(rf"{kind}:([1-9]\d*)", v.strip())
         if not m:
             from quire.errors import EngineError
 

@@ -1,15 +1,21 @@
-"""Full-text matching on token arrays, and BM25."""
+"""Full-text matching on a positional index, and BM25.
+
+The index is a table of postings: a row for each token of a chunk's body or heading, sorted by
+term, so that a query reads the row groups of its own terms only. A phrase is an equality join
+of its terms' postings on chunk and place.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+POSTING = ["term", "in_heading", "chunk_id", "source_kind", "source_id", "doc_len", "place"]
 
 
 def search_phrases(query: str) -> list[list[str]]:
@@ -24,41 +30,59 @@ def scan_phrases(query: str, mode: str = "phrase") -> list[list[str]]:
     return [t for t in map(tx.py_tokens, groups) if t]
 
 
-def with_tokens(chunks: DataFrame) -> DataFrame:
-    """``body_tok``, ``head_tok`` and ``doc_len`` (both together) of each chunk."""
-    out = chunks.withColumn("body_tok", tx.tokens(F.col("text"))).withColumn("head_tok", tx.tokens(F.col("section_heading")))
-    return out.withColumn("doc_len", F.size("body_tok") + F.size("head_tok"))
+def postings(chunks: DataFrame) -> DataFrame:
+    """The postings of chunks; ``doc_len`` is the number of tokens of body and heading together."""
+    both = chunks.select("chunk_id", "source_kind", "source_id", tx.tokens(F.col("text")).alias("body"), tx.tokens(F.col("section_heading")).alias("head"))
+    sized = both.withColumn("doc_len", F.size("body") + F.size("head"))
+    part = lambda tok, heading: sized.select(F.posexplode(tok).alias("place", "term"), F.lit(heading).alias("in_heading"), "chunk_id", "source_kind", "source_id", "doc_len").select(*POSTING)
+    return part("body", False).unionByName(part("head", True))
 
 
-def holds(tok: Column, phrases: list[list[str]]) -> Column:
-    """Every phrase is a run of tokens; nothing matches no phrase at all."""
-    if not phrases:
-        return F.lit(False)
-    joined = F.concat(F.lit(" "), F.array_join(tok, " "), F.lit(" "))
-    return reduce(lambda a, b: a & b, (F.contains(joined, F.lit(f" {' '.join(p)} ")) for p in phrases))
+def in_order(table: DataFrame) -> DataFrame:
+    """Postings dealt by ranges of (term, chunk) and sorted, ready to be written: a frequent term spans several parts."""
+    return table.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "in_heading", "chunk_id", "place")
+
+
+def statistics(chunks: DataFrame, table: DataFrame) -> DataFrame:
+    """One row: the number of chunks and of tokens in the whole index."""
+    return chunks.agg(F.count("*").alias("n_all")).join(F.broadcast(table.agg(F.count("*").alias("len_all"))))  # a row each
 
 
-def frequency(tok: Column, phrase: list[str]) -> Column:
-    """How often a phrase begins in the tokens; overlapping ones count."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tok, lambda t: t == phrase[0]))
-    want, k = F.array(*map(F.lit, phrase)), len(phrase)
-    starts = F.when(F.size(tok) >= k, F.sequence(F.lit(1), F.size(tok) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(tok, i, k) == want))
+def hits(table: DataFrame, phrase: list[str], in_heading: bool = False) -> DataFrame:
+    """``(chunk_id, source_kind, source_id, doc_len, f)``: chunks that hold the phrase and how often it begins there; overlapping ones count."""
+    own = table.where(F.col("in_heading") == in_heading)
+    found = own.where(F.col("term") == phrase[0]).drop("term", "in_heading")
+    for i, term in enumerate(phrase[1:], 1):
+        found = found.join(own.where(F.col("term") == term).select("chunk_id", (F.col("place") - i).alias("place")), ["chunk_id", "place"], "left_semi")
+    return found.groupBy("chunk_id").agg(*[F.first(c).alias(c) for c in ("source_kind", "source_id", "doc_len")], F.count("*").cast("double").alias("f"))
 
 
-def bm25(index: DataFrame, phrases: list[list[str]], candidates: DataFrame) -> DataFrame:
-    """``candidates`` (tokens and ids, a part of ``index``) that hold all phrases, with ``score``, higher is better.
+def holding(table: DataFrame, phrases: list[list[str]], in_heading: bool = False) -> DataFrame:
+    """``(chunk_id, source_kind, source_id)`` of chunks that hold every phrase; no phrase at all is held by none."""
+    if not phrases:
+        return table.where("false").select("chunk_id", "source_kind", "source_id")
+    legs = [hits(table, p, in_heading).select("chunk_id", "source_kind", "source_id") for p in phrases]
+    return reduce(lambda a, b: a.join(b.select("chunk_id"), "chunk_id", "left_semi"), legs)
+
 
-    The statistics are those of the whole index, in one aggregation: a row of numbers is broadcast.
+def bm25(table: DataFrame, stats: DataFrame, phrases: list[list[str]], within) -> DataFrame:
+    """``(chunk_id, score)``, higher is better, of chunks that hold all phrases and pass ``within`` (a function of a frame with source_kind and source_id).
+
+    The statistics are those of the whole index; rows of numbers are broadcast.
     """
-    stats = index.agg(F.count("*").alias("n_all"), F.sum("doc_len").alias("len_all"), *[F.count_if(holds(F.col("body_tok"), [p])).alias(f"n{i}") for i, p in enumerate(phrases)])
-    hit = candidates.where(holds(F.col("body_tok"), phrases)).join(F.broadcast(stats))  # one row of totals
-    avg = F.col("len_all") / F.col("n_all")
+    if not phrases:
+        return table.where("false").select("chunk_id", F.lit(0.0).alias("score"))
+    legs = [hits(table, p) for p in phrases]
+    out = within(legs[0]).withColumnRenamed("f", "f0").join(F.broadcast(stats))  # one row
+    for i, leg in enumerate(legs):
+        out = out.join(F.broadcast(leg.agg(F.count("*").alias(f"n{i}"))))  # one row
+        if i:
+            out = out.join(leg.select("chunk_id", F.col("f").alias(f"f{i}")), "chunk_id")
+    avg = F.col("len_all").cast("double") / F.col("n_all")
     score = F.lit(0.0)
-    for i, p in enumerate(phrases):
-        f = frequency(F.col("body_tok"), p).cast("double")
-        idf = F.log((F.col("n_all") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
+    for i in range(len(legs)):
+        f, n = F.col(f"f{i}"), F.col(f"n{i}")
+        idf = F.log((F.col("n_all") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / avg))
-    return hit.withColumn("score", score).drop("n_all", "len_all", *[f"n{i}" for i in range(len(phrases))])
+    return out.select("chunk_id", score.alias("score"))

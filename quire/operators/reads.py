@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.errors import EngineError
+from quire.operators.scope import memory_enabled, memory_wall
 from quire.sources.corpus import Corpus
 
 
@@ -14,10 +15,11 @@ def by_document(corpus: Corpus, document_id: int, limit: int = 50, offset: int =
     return own.orderBy("chunk_index").offset(offset).limit(limit)
 
 
-def by_ids(corpus: Corpus, ids: list[int]) -> DataFrame:
-    """Chunks in the order asked for, each once; ``found`` is false for numbers that are no chunk."""
+def by_ids(corpus: Corpus, ids: list[int], session_id: int | None = None) -> DataFrame:
+    """Chunks in the order asked for, each once; ``found`` is false for numbers that are no chunk, or one that the session may not see."""
     asked = corpus.spark.createDataFrame([(i, p) for p, i in enumerate(dict.fromkeys(ids))], "chunk_id long, position int")
-    return F.broadcast(asked).join(corpus.chunks, "chunk_id", "left").withColumn("found", F.col("source_kind").isNotNull()).orderBy("position")
+    seen = memory_wall(corpus, corpus.chunks.where(F.col("chunk_id").isin(list(dict.fromkeys(ids)))), session_id)
+    return F.broadcast(asked).join(seen, "chunk_id", "left").withColumn("found", F.col("source_kind").isNotNull()).orderBy("position")
 
 
 def neighbours(corpus: Corpus, ids: DataFrame, n: int) -> DataFrame:
@@ -81,10 +83,8 @@ def findings_list(corpus: Corpus, session_id: int | None = None) -> DataFrame:
     """Findings, newest first, with their session's name and number of citations; a session without memory sees its own."""
     counts = corpus.finding_citations.groupBy("finding_id").agg(F.count("*").alias("citation_count"))
     own = corpus.findings
-    if session_id is not None:
-        row = corpus.sessions.where(F.col("session_id") == session_id).select("memory_enabled").first()
-        if row is not None and not row["memory_enabled"]:
-            own = own.where(F.col("session_id") == session_id)
+    if not memory_enabled(corpus, session_id):
+        own = own.where(F.col("session_id") == session_id)
     out = own.join(corpus.sessions.select("session_id", F.col("name").alias("session_name")), "session_id", "left").join(counts, "finding_id", "left")
     return out.select("finding_id", "session_name", "title", F.coalesce("citation_count", F.lit(0)).alias("citation_count")).orderBy(F.desc("finding_id"))
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.errors import EngineError
 from quire.functions import regexes
 from quire.functions import text as tx
 from quire.operators import fts
-from quire.operators.scope import Scope, chunks_in, dated
+from quire.operators.scope import Scope, dated, within
 from quire.sources.corpus import Corpus
 
 MATCH_CAP = 100_000
@@ -23,17 +24,24 @@ def _phrases(query: str, mode: str) -> list[list[str]]:
 
 
 def matches(corpus: Corpus, query: str, scope: Scope, mode: str = "phrase", heading_like: list[str] | None = None, body_matches: str | None = None) -> DataFrame:
-    """Document chunks whose body holds the query, with their file name and date."""
-    chunks = chunks_in(corpus, scope, ["document"])
-    hit = chunks.where(fts.holds(tx.tokens(F.col("text")), _phrases(query, mode)))
-    if heading_like:
-        hit = hit.where(tx.like_any(F.col("section_heading"), heading_like))
-    if body_matches:
-        hit = hit.where(F.col("text").rlike(regexes.java(regexes.unslash(body_matches, "INVALID_FILTER_REGEX"))))
+    """Document chunks whose body holds the query, with their file name and date.
+
+    The index names the chunks, the scope thins them, and only those are read.
+    """
+    found = within(corpus, fts.holding(corpus.index()[0], _phrases(query, mode)), scope, ["document"])
+    hit = corpus.chunks.where("source_kind = 'document'").join(found.select("chunk_id"), "chunk_id", "left_semi")
+    hit = hit.where(_passes(heading_like, body_matches))
     named = hit.withColumnRenamed("source_id", "document_id").join(corpus.documents.select("document_id", "file_name"), "document_id")
     return named.join(corpus.summaries.select("document_id", "authored_date"), "document_id", "left").withColumn("text_length", F.length("text"))
 
 
+def _passes(heading_like: list[str] | None, body_matches: str | None) -> Column:
+    out = tx.like_any(F.col("section_heading"), heading_like) if heading_like else F.lit(True)
+    if body_matches:
+        out = out & F.col("text").rlike(regexes.java(regexes.unslash(body_matches, "INVALID_FILTER_REGEX")))
+    return out
+
+
 def ordered(df: DataFrame, sort: str = "document") -> DataFrame:
     """By document and place, or oldest first with undated ones last."""
     place = ["document_id", "chunk_index"]
@@ -68,18 +76,20 @@ def count_by_document(corpus: Corpus, query: str, scope: Scope, **filters) -> Da
     return matches(corpus, query, scope, **filters).groupBy("document_id", "file_name").agg(F.count("*").alias("n"), F.min("chunk_id").alias("chunk_id")).orderBy(F.desc("n"), "document_id")
 
 
-def count_by_regex(corpus: Corpus, query: str, pattern: str, scope: Scope, cap: int = MATCH_CAP, **filters) -> DataFrame:
-    """Histogram of the first group over every match in matching chunks; the first ``cap`` in document order count.
+def count_by_regex(corpus: Corpus, query: str, pattern: str, scope: Scope, cap: int | None = MATCH_CAP, **filters) -> DataFrame:
+    """Histogram of the first group over every match in matching chunks.
 
-    ``truncated`` says that the cap was reached. It is a feature of the report, not of the search.
+    The report counts the first ``cap`` matches in document order and ``truncated`` says that there were so many;
+    with ``cap=None`` it counts all of them. A group that took no part in a match counts for nothing, an empty one counts.
     """
     rx = regexes.unslash(pattern)
     regexes.group_names(rx)
     found = matches(corpus, query, scope, **filters).select("document_id", "chunk_index", F.posexplode(regexes.matches(F.col("text"), rx)).alias("pos", "value"))
-    first = found.orderBy("document_id", "chunk_index", "pos").limit(cap)
+    first = found if cap is None else found.orderBy("document_id", "chunk_index", "pos").limit(cap)
     out = first.groupBy("value").agg(F.count("*").alias("n"))
-    reached = first.agg((F.count("*") >= cap).alias("truncated"))
-    return out.join(F.broadcast(reached)).orderBy(F.desc("n"), "value")  # one row
+    # the histogram itself tells how many matches there were: its rows sum up to them
+    reached = F.lit(False) if cap is None else F.sum("n").over(W.partitionBy(F.lit(1))) >= cap
+    return out.withColumn("truncated", reached).orderBy(F.desc("n"), "value")
 
 
 def count_by_file_name(corpus: Corpus, pattern: str) -> DataFrame:
@@ -101,23 +111,16 @@ def extract(corpus: Corpus, query: str, patterns: list[str], scope: Scope, limit
 
 
 def diagnosis(corpus: Corpus, query: str, scope: Scope, mode: str = "phrase", heading_like: list[str] | None = None, body_matches: str | None = None) -> DataFrame:
-    """Why a scan found nothing: counts with filters, in scope, anywhere, in headings; and the verdict, in one pass."""
-    phrases = _phrases(query, mode)
-    base = corpus.chunks.where("source_kind = 'document'")
+    """Why a scan found nothing: counts with filters, in scope, anywhere, in headings; and the verdict."""
+    phrases, index = _phrases(query, mode), corpus.index()[0].where("source_kind = 'document'")
+    base = corpus.chunks.where("source_kind = 'document'").join(fts.holding(index, phrases).select("chunk_id"), "chunk_id", "left_semi")
     if scope.ids is not None:
         base = base.join(scope.ids.select(F.col("document_id").alias("source_id"), F.lit(True).alias("in_scope")), "source_id", "left")
     else:
         base = base.withColumn("in_scope", F.lit(True))
-    body, inside = fts.holds(tx.tokens(F.col("text")), phrases), F.coalesce("in_scope", F.lit(False))
-    passes = tx.like_any(F.col("section_heading"), heading_like) if heading_like else F.lit(True)
-    if body_matches:
-        passes = passes & F.col("text").rlike(regexes.java(regexes.unslash(body_matches, "INVALID_FILTER_REGEX")))
-    counts = base.agg(
-        F.count_if(body & inside & passes).alias("matched"),
-        F.count_if(body & inside).alias("in_scope"),
-        F.count_if(body).alias("anywhere"),
-        F.count_if(fts.holds(tx.tokens(F.col("section_heading")), phrases)).alias("in_headings"),
-    )
+    inside = F.coalesce("in_scope", F.lit(False))
+    counts = base.agg(F.count_if(inside & _passes(heading_like, body_matches)).alias("matched"), F.count_if(inside).alias("in_scope"), F.count("*").alias("anywhere"))
+    counts = counts.join(F.broadcast(fts.holding(index, phrases, in_heading=True).agg(F.count("*").alias("in_headings"))))  # a row each
     verdict = F.when(F.col("matched") > 0, "found").when(F.col("in_scope") > 0, "filtered_out").when(F.col("anywhere") > 0, "out_of_scope").when(F.col("in_headings") > 0, "heading_only").otherwise("absent")
     return counts.withColumn("verdict", verdict)
 

@@ -62,11 +62,11 @@ def resolve(corpus: Corpus, tags: list[str] | None = None, in_documents: list[in
     return Scope(ids, nothing, echo)
 
 
-def chunks_in(corpus: Corpus, scope: Scope, kinds: list[str]) -> DataFrame:
-    """Chunks of the kinds that belong to the scope's documents: their own, their summaries' and their images'; findings fall away under any scope."""
-    chunks = corpus.chunks.where(F.col("source_kind").isin(kinds))
+def within(corpus: Corpus, rows: DataFrame, scope: Scope, kinds: list[str]) -> DataFrame:
+    """Rows (of chunks or postings, by source_kind and source_id) of the kinds that belong to the scope's documents: their own, their summaries' and their images'; findings fall away under any scope."""
+    rows = rows.where(F.col("source_kind").isin(kinds))
     if scope.ids is None:
-        return chunks
+        return rows
     sources = [
         ("document", scope.ids.select(F.col("document_id").alias("source_id"))),
         ("summary", corpus.summaries.join(scope.ids, "document_id", "left_semi").select(F.col("summary_id").alias("source_id"))),
@@ -77,15 +77,24 @@ def chunks_in(corpus: Corpus, scope: Scope, kinds: list[str]) -> DataFrame:
         if kind in kinds:
             part = ids.withColumn("source_kind", F.lit(kind))
             wanted = part if wanted is None else wanted.unionByName(part)
-    return chunks.join(wanted, ["source_kind", "source_id"], "left_semi") if wanted is not None else chunks.limit(0)
+    return rows.join(wanted, ["source_kind", "source_id"], "left_semi") if wanted is not None else rows.where("false")
 
 
-def memory_wall(corpus: Corpus, chunks: DataFrame, session_id: int | None) -> DataFrame:
-    """Chunks that a session may see: one without memory sees findings of its own only."""
+def chunks_in(corpus: Corpus, scope: Scope, kinds: list[str]) -> DataFrame:
+    return within(corpus, corpus.chunks, scope, kinds)
+
+
+def memory_enabled(corpus: Corpus, session_id: int | None) -> bool:
+    """Whether a session sees what others found; no session, or an unknown one, does."""
     if session_id is None:
-        return chunks
+        return True
     row = corpus.sessions.where(F.col("session_id") == session_id).select("memory_enabled").first()
-    if row is None or row["memory_enabled"]:
+    return row is None or bool(row["memory_enabled"])
+
+
+def memory_wall(corpus: Corpus, chunks: DataFrame, session_id: int | None) -> DataFrame:
+    """Chunks that a session may see: one without memory sees findings of its own only."""
+    if memory_enabled(corpus, session_id):
         return chunks
     own = corpus.findings.where(F.col("session_id") == session_id).select(F.col("finding_id").alias("source_id"))
     return chunks.where("source_kind <> 'finding'").unionByName(chunks.where("source_kind = 'finding'").join(own, "source_id", "left_semi").select(chunks.columns))

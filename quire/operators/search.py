@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,11 +13,12 @@ from quire.functions import text as tx
 from quire.functions import vectors
 from quire.operators import fts
 from quire.operators.reads import chunk_names, neighbours
-from quire.operators.scope import Scope, chunks_in
+from quire.operators.scope import Scope, chunks_in, memory_enabled, memory_wall, within
 from quire.sources.corpus import Corpus
 
 RRF_K = 60
 DEFAULT_KINDS = ["document", "image"]
+MODES = ["full-text", "semantic"]
 
 
 def overfetch(limit: int) -> int:
@@ -28,17 +31,16 @@ def _ranked(df: DataFrame, leg: str, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("chunk_id", "rank", F.lit(leg).alias("leg"))
 
 
-def full_text(corpus: Corpus, query: str, scope: Scope, kinds: list[str], k: int) -> DataFrame:
-    """``(chunk_id, score)``: the k best by BM25 within scope; statistics come from the whole index."""
-    phrases = fts.search_phrases(query)
-    index = fts.with_tokens(corpus.chunks.select("chunk_id", "source_kind", "source_id", "text", "section_heading"))
-    own = fts.with_tokens(chunks_in(corpus, scope, kinds).select("chunk_id", "text", "section_heading"))
-    return fts.bm25(index, phrases, own).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(k)
+def full_text(corpus: Corpus, query: str, scope: Scope, kinds: list[str], k: int, session_id: int | None = None) -> DataFrame:
+    """``(chunk_id, score)``: the k best by BM25 within scope and what the session may see; statistics come from the whole index."""
+    table, stats = corpus.index()
+    seen = lambda rows: memory_wall(corpus, within(corpus, rows, scope, kinds), session_id)
+    return fts.bm25(table, stats, fts.search_phrases(query), seen).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def nearest(corpus: Corpus, vector: list[float], scope: Scope, kinds: list[str], k: int) -> DataFrame:
+def nearest(corpus: Corpus, vector: list[float], scope: Scope, kinds: list[str], k: int, session_id: int | None = None) -> DataFrame:
     """``(chunk_id, distance)``: the k nearest by Euclidean distance among the chunks in scope, not after them."""
-    own = chunks_in(corpus, scope, kinds).select("chunk_id")
+    own = memory_wall(corpus, chunks_in(corpus, scope, kinds), session_id).select("chunk_id")
     near = corpus.embeddings.join(own, "chunk_id", "left_semi").select("chunk_id", vectors.l2(F.col("embedding"), vectors.literal(vector)).alias("distance"))
     return near.orderBy("distance", "chunk_id").limit(k)
 
@@ -57,13 +59,35 @@ def fuse(text_leg: DataFrame | None, vector_leg: DataFrame | None, limit: int, k
     return out.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
-def search(corpus: Corpus, query: str, scope: Scope, vector: list[float] | None = None, kinds: list[str] | None = None, limit: int = 20, brief: bool = False) -> DataFrame:
-    """Ranked hits with their place: rank, ids, score (raw and as a share of the best), file or title, page, text or preview."""
+def query_vector(query: str, embed) -> list[float]:
+    """The query's vector by ``embed`` (a callable: text to floats); whatever goes wrong there is EMBED_FAILED."""
+    try:
+        vector = [float(x) for x in embed(query)]
+    except Exception as wrong:  # a model may fail in any way
+        raise EngineError("EMBED_FAILED", f"the query could not be embedded: {wrong}") from wrong
+    if not vector or not all(map(math.isfinite, vector)):
+        raise EngineError("EMBED_FAILED", "the model gave no finite vector")
+    return vector
+
+
+def search(corpus: Corpus, query: str, scope: Scope, vector: list[float] | None = None, kinds: list[str] | None = None, limit: int = 20, brief: bool = False, modes: list[str] | None = None, embed=None, session_id: int | None = None) -> DataFrame:
+    """Ranked hits with their place: rank, ids, score (raw and as a share of the best), file or title, page, text or preview.
+
+    ``modes``: full-text and semantic, both where a vector (or ``embed``, a model that makes one) is at hand.
+    A session without memory sees no findings at all here.
+    """
     if not query.strip():
         raise EngineError("EMPTY_QUERY", "the query is empty")
-    kinds = [x for x in (kinds or DEFAULT_KINDS) if x != "finding" or scope.ids is None]
+    modes = modes or (["full-text", "semantic"] if vector is not None or embed is not None else ["full-text"])
+    if unknown := [m for m in modes if m not in MODES]:
+        raise EngineError("USAGE_ERROR", f"no mode {unknown[0]!r}", known=MODES)
+    if "semantic" in modes and vector is None:
+        if embed is None:
+            raise EngineError("EMBED_FAILED", "no model to embed the query with")
+        vector = query_vector(query, embed)
+    kinds = [x for x in (kinds or DEFAULT_KINDS) if x != "finding" or (scope.ids is None and memory_enabled(corpus, session_id))]
     k = overfetch(limit)
-    legs = full_text(corpus, query, scope, kinds, k), nearest(corpus, vector, scope, kinds, k) if vector is not None else None
+    legs = full_text(corpus, query, scope, kinds, k) if "full-text" in modes else None, nearest(corpus, vector, scope, kinds, k) if "semantic" in modes else None
     hits = fuse(*legs, limit)
     best = F.max("score").over(W.partitionBy(F.lit(1)))
     hits = hits.withColumn("normalized_score", F.col("score") / best)  # at most ``limit`` rows

@@ -64,7 +64,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "c_sessions": ([], "SELECT DISTINCT conv_id AS session_id, 'run-' || conv_id AS name, conv_id % 3 <> 0 AS memory_enabled FROM conversations"),
     "c_images": ([], "SELECT item_id AS image_id, item_id % 6 <> 5 AS captioned FROM benchmark"),
     "c_links": ([], "SELECT doc_id AS document_id, doc_id % (SELECT count(*) FROM benchmark) AS image_id, CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 9 + 1 AS INTEGER) END AS page_number FROM documents WHERE doc_id % 10 = 3"),
-    "c_pieces": ([], _pieces("SELECT * FROM documents WHERE doc_id % 50 <> 0", "doc_id", ", lang")),
+    "c_pieces": ([], _pieces("SELECT * FROM documents", "doc_id", ", lang")),
     "c_finding_pieces": (["c_findings"], _pieces("SELECT finding_id, text FROM c_findings", "finding_id")),
     "c_chunks": (
         ["c_pieces", "c_summaries", "c_finding_pieces"],

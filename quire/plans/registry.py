@@ -9,7 +9,7 @@ from quire.functions import text as tx
 from quire.operators import benchmark, citations, curation, integrity, profile, reads, scan, scope, search, tags, views
 from quire.plans.adapter_sql import cid, holds, statement
 from quire.sources import corpus as c
-from quire.sources import artifacts, files, share
+from quire.sources import artifacts, files, share, tables
 from quire.streaming import ingest
 
 QUERIES: dict = {}
@@ -20,11 +20,11 @@ _open: dict[tuple[str, str], c.Corpus] = {}
 
 
 def corpus_of(spark: SparkSession, sf_dir: str) -> c.Corpus:
-    """The test corpus of a folder, made once a session; its derived tables spill to disk rather than being chunked for each query."""
+    """The test corpus of a folder, made once a session: chunks, tags and the full-text index are written to the shared folder, and queries read them there."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _open:
-        made = c.from_testdata(spark, sf_dir)
-        _open[key] = made.with_tables(chunks=made.chunks.persist(), document_tags=made.document_tags.persist())
+        store = tables.store_of(spark, sf_dir)
+        _open[key] = c.indexed(c.from_testdata(spark, sf_dir, store), store)
     return _open[key]
 
 
@@ -138,11 +138,12 @@ query("memory_wall", "SELECT chunk_id, source_kind FROM c_chunks WHERE source_ki
 
 
 def _bm25_sql(terms: list[str], where: str, k: int) -> str:
-    """Scores of chunks that hold all terms, against statistics of the whole index."""
+    """Scores of chunks that hold all phrases (tokens parted by blanks), against statistics of the whole index."""
     parts = [f"ln_idf{i} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms))]
     idf = ", ".join(f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END AS ln_idf{i}" for i in range(len(terms)))
     n = ", ".join(f"count_if({holds(t)}) AS n{i}" for i, t in enumerate(terms))
-    f = ", ".join(f"CAST(len(list_filter(tok, lambda x: x = '{t}')) AS DOUBLE) AS f{i}" for i, t in enumerate(terms))
+    starts = lambda t: " AND ".join(f"tok[p + {j}] = '{x}'" for j, x in enumerate(t.split()))
+    f = ", ".join(f"CAST(len(list_filter(range(1, len(tok) + 1), lambda p: {starts(t)})) AS DOUBLE) AS f{i}" for i, t in enumerate(terms))
     held = " AND ".join(holds(t) for t in terms)
     return f"""fts AS (SELECT chunk_id, {" + ".join(parts)} AS score FROM (SELECT chunk_id, len(tok) + len(head) AS dl, {f} FROM c_tokens WHERE {held} AND {where}) hit,
         (SELECT avgdl, {idf} FROM (SELECT count(*) AS n, CAST(sum(len(tok) + len(head)) AS DOUBLE) / count(*) AS avgdl, {n} FROM c_tokens)) st ORDER BY score DESC, chunk_id LIMIT {k})"""
@@ -172,6 +173,7 @@ def first_vector(corpus: c.Corpus) -> list[float]:
 
 _DI = "source_kind IN ('document', 'image')"
 query("bm25_topk")(lambda k: search.full_text(k, "that with", everything(k), search.DEFAULT_KINDS, 100).withColumn("score", F.round("score", 6)))
+query("bm25_phrase")(lambda k: search.full_text(k, "MIT-License of-this", everything(k), c.KINDS, 100).withColumn("score", F.round("score", 6)))
 query("bm25_in_scope")(lambda k: search.full_text(k, "that", scope.resolve(k, file_like=["src1%"]), ["document"], 100).withColumn("score", F.round("score", 6)))
 query("knn_topk")(lambda k: search.nearest(k, first_vector(k), everything(k), search.DEFAULT_KINDS, 100).withColumn("distance", F.round("distance", 6)))
 query("knn_in_scope")(lambda k: search.nearest(k, first_vector(k), scope.resolve(k, in_documents=list(range(300, 400))), ["document"], 50).withColumn("distance", F.round("distance", 6)))
@@ -179,7 +181,13 @@ _LEGS = _bm25_sql(["that"], _DI, 100) + ", " + _knn_sql(_DI, 100) + ", " + _FUSE
 query("rrf_fuse")(lambda k: search.fuse(search.full_text(k, "that", everything(k), search.DEFAULT_KINDS, 100), search.nearest(k, first_vector(k), everything(k), search.DEFAULT_KINDS, 100), 20).select("chunk_id", "rank", F.round("score", 6).alias("score")))
 query("search_hybrid")(lambda k: search.search(k, "that", everything(k), first_vector(k), limit=20, brief=True).withColumn("score", F.round("score", 6)).withColumn("normalized_score", F.round("normalized_score", 6)))
 query("search_context")(lambda k: search.with_context(k, search.fuse(search.full_text(k, "that", everything(k), search.DEFAULT_KINDS, 100), None, 20), 2))
+query("search_memory_off")(lambda k: search.search(k, "that", everything(k), first_vector(k), kinds=c.KINDS, limit=20, session_id=3).select("rank", "chunk_id", "source_kind"))
+query("search_semantic")(lambda k: search.search(k, "that", everything(k), first_vector(k), limit=20, modes=["semantic"]).select("rank", "chunk_id", F.round("score", 6).alias("score")))
+query("full_text_behind_wall")(lambda k: search.full_text(k, "that", everything(k), ["finding"], 100, session_id=3).withColumn("score", F.round("score", 6)))
+query("read_chunks_behind_wall")(lambda k: reads.by_ids(k, _FINDING_CHUNKS, session_id=3).select("chunk_id", "position", "found"))
 query("cosine_similar")(lambda k: tags.most_similar(k.embeddings, first_vector(k), threshold=0.3).withColumn("similarity", F.round("similarity", 6)))
+#: The first chunks of findings of two sessions, and a document's.
+_FINDING_CHUNKS = [(3001 * 4 + 3) * c.CHUNK_ROOM + 1, (4001 * 4 + 3) * c.CHUNK_ROOM + 1, 2 * 4 * c.CHUNK_ROOM + 1, 7]
 _NAMES = """names AS (SELECT 'document' AS source_kind, document_id AS source_id, file_name AS source_name FROM c_documents
     UNION ALL SELECT 'summary', summary_id, 'summary of ' || file_name FROM c_summaries JOIN c_documents USING (document_id)
     UNION ALL SELECT 'finding', finding_id, title FROM c_findings
@@ -187,11 +195,16 @@ _NAMES = """names AS (SELECT 'document' AS source_kind, document_id AS source_id
       FROM (SELECT image_id, min(document_id) AS d, arg_min_null(page_number, document_id) AS p, count(DISTINCT document_id) - 1 AS others FROM c_links GROUP BY image_id) a JOIN c_documents ON document_id = a.d)"""
 ORACLES |= {
     "bm25_topk": _more(_bm25_sql(["that", "with"], _DI, 100), "SELECT chunk_id, round(score, 6) AS score FROM fts", "c_tokens"),
+    "bm25_phrase": _more(_bm25_sql(["mit license", "of this"], "true", 100), "SELECT chunk_id, round(score, 6) AS score FROM fts", "c_tokens"),
     "bm25_in_scope": _more(_bm25_sql(["that"], "source_kind = 'document' AND source_id IN (SELECT document_id FROM c_documents WHERE file_name ILIKE 'src1%')", 100), "SELECT chunk_id, round(score, 6) AS score FROM fts", "c_tokens", "c_documents"),
     "knn_topk": _more(_knn_sql(_DI, 100), "SELECT chunk_id, round(distance, 6) AS distance FROM vec", "c_embeddings", "c_chunks"),
     "knn_in_scope": _more(_knn_sql("source_kind = 'document' AND source_id BETWEEN 300 AND 399", 50), "SELECT chunk_id, round(distance, 6) AS distance FROM vec", "c_embeddings", "c_chunks"),
     "rrf_fuse": _more(_LEGS, "SELECT chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM hits", "c_tokens", "c_embeddings"),
     "search_hybrid": _more(_LEGS + ", " + _NAMES, "SELECT CAST(rank AS INTEGER) AS rank, chunk_id, source_kind, source_id, round(score, 6) AS score, round(score / max(score) OVER (), 6) AS normalized_score, source_name, page_number, CASE WHEN source_kind = 'document' THEN source_id END AS document_id, CASE WHEN length(text) > 240 THEN substring(text, 1, 240) || '…' ELSE text END AS text FROM hits JOIN c_chunks USING (chunk_id) LEFT JOIN names USING (source_kind, source_id)", "c_tokens", "c_embeddings", "c_documents", "c_summaries", "c_findings", "c_links"),
+    "search_memory_off": _more(_bm25_sql(["that"], "source_kind IN ('document', 'image', 'summary')", 100) + ", " + _knn_sql("source_kind IN ('document', 'image', 'summary')", 100) + ", " + _FUSED, "SELECT CAST(rank AS INTEGER) AS rank, chunk_id, source_kind FROM hits JOIN c_chunks USING (chunk_id)", "c_tokens", "c_embeddings"),
+    "search_semantic": _more(_knn_sql(_DI, 100), "SELECT CAST(r AS INTEGER) AS rank, chunk_id, round(1.0 / (60 + r)::DOUBLE, 6) AS score FROM (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS r FROM vec) WHERE r <= 20", "c_embeddings", "c_chunks"),
+    "full_text_behind_wall": _more(_bm25_sql(["that"], "source_kind = 'finding' AND source_id IN (SELECT finding_id FROM c_findings WHERE session_id = 3)", 100), "SELECT chunk_id, round(score, 6) AS score FROM fts", "c_tokens", "c_findings"),
+    "read_chunks_behind_wall": _more("seen AS (SELECT chunk_id FROM c_chunks WHERE source_kind <> 'finding' OR source_id IN (SELECT finding_id FROM c_findings WHERE session_id = 3))", f"SELECT CAST(x AS BIGINT) AS chunk_id, CAST(p AS INTEGER) AS position, chunk_id IS NOT NULL AS found FROM (VALUES {', '.join(f'({x}, {p})' for p, x in enumerate(_FINDING_CHUNKS))}) v(x, p) LEFT JOIN seen ON seen.chunk_id = x", "c_chunks", "c_findings"),
     "search_context": _more(_bm25_sql(["that"], _DI, 20), "SELECT h.chunk_id AS hit_id, n.chunk_id, n.chunk_index, n.chunk_index - h.chunk_index AS distance, n.text FROM fts JOIN c_chunks h USING (chunk_id) JOIN c_chunks n ON n.source_kind = h.source_kind AND n.source_id = h.source_id AND abs(n.chunk_index - h.chunk_index) <= 2", "c_tokens"),
     "cosine_similar": statement(f"SELECT chunk_id, round(s, 6) AS similarity FROM (SELECT chunk_id, list_sum(list_transform(list_zip(embedding, {_QVEC}), lambda p: p[1] * p[2])) AS s FROM c_embeddings) WHERE s >= 0.3", "c_embeddings"),
 }
@@ -219,7 +232,17 @@ query("value_chips", "SELECT document_id, name, value, chunk_id FROM c_document_
 query("read_document_text", "SELECT source_id AS document_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM c_chunks WHERE source_kind = 'document' GROUP BY 1", "c_chunks")(reads.document_texts)
 query("read_chunks_by_document", "SELECT chunk_id, chunk_index, text FROM c_chunks WHERE source_kind = 'document' AND source_id = 2 ORDER BY chunk_index LIMIT 50", "c_chunks")(lambda k: reads.by_document(k, 2).select("chunk_id", "chunk_index", "text"))
 query("read_chunks_by_id", f"SELECT x AS chunk_id, p AS position, text, text IS NOT NULL AS found FROM (VALUES ({2 * 400000 + 1}, 0), (7, 1), ({5 * 400000 + 1}, 2)) v(x, p) LEFT JOIN c_chunks ON chunk_id = x", "c_chunks")(lambda k: reads.by_ids(k, [2 * 400000 + 1, 7, 5 * 400000 + 1, 7]).select("chunk_id", "position", "text", "found"))
-query("around_chunk", "SELECT h.chunk_id AS hit_id, n.chunk_id, n.chunk_index, n.chunk_index - h.chunk_index AS distance, n.text FROM c_chunks h JOIN c_chunks n ON n.source_kind = h.source_kind AND n.source_id = h.source_id AND abs(n.chunk_index - h.chunk_index) <= 3 WHERE h.chunk_id = 800003", "c_chunks")(lambda k: reads.around(k, 800003))
+#: A chunk with neighbours on both sides: the fourth of the first document that has seven.
+_TARGET = "target AS (SELECT chunk_id, source_id, chunk_index FROM c_chunks WHERE source_kind = 'document' AND chunk_index = 3 AND source_id = (SELECT min(source_id) FROM c_chunks WHERE source_kind = 'document' AND chunk_index = 6))"
+
+
+def _target(k: c.Corpus) -> int:
+    document = k.chunks.where("source_kind = 'document' and chunk_index = 6").agg(F.min("source_id")).first()[0] or 0
+    return document * len(c.KINDS) * c.CHUNK_ROOM + 4
+
+
+ORACLES["around_chunk"] = _more(_TARGET, "SELECT t.chunk_id AS hit_id, n.chunk_id, n.chunk_index, n.chunk_index - t.chunk_index AS distance, n.text FROM c_chunks n JOIN target t ON n.source_kind = 'document' AND n.source_id = t.source_id AND n.chunk_index BETWEEN t.chunk_index - 3 AND t.chunk_index + 3", "c_chunks")
+query("around_chunk")(lambda k: reads.around(k, _target(k)))
 query("chunk_locations", """SELECT k.chunk_id, o.document_id, file_name, coalesce(k.page_number, o.p) AS page, authored_date FROM c_chunks k LEFT JOIN (
     SELECT 'document' AS kind, document_id AS id, document_id, CAST(NULL AS INTEGER) AS p FROM c_documents UNION ALL SELECT 'summary', summary_id, document_id, NULL FROM c_summaries
     UNION ALL SELECT 'image', image_id, min(document_id), arg_min_null(page_number, document_id) FROM c_links GROUP BY image_id) o ON o.kind = source_kind AND o.id = source_id
@@ -268,7 +291,8 @@ query("save_summary_carry_date", "SELECT document_id, 'new' AS title, authored_d
 
 ORACLES["resolved_citations"] = _more(_NAMES, "SELECT finding_id, chunk_id, source_kind, source_id, source_name FROM c_citations JOIN c_chunks USING (chunk_id) LEFT JOIN names USING (source_kind, source_id)", "c_citations", "c_documents", "c_summaries", "c_findings", "c_links")
 query("resolved_citations")(views.resolved_citations)
-query("chunk_view", "SELECT n.chunk_id, n.chunk_index, n.text, n.chunk_index = h.chunk_index AS is_target FROM c_chunks h JOIN c_chunks n ON n.source_kind = h.source_kind AND n.source_id = h.source_id AND abs(n.chunk_index - h.chunk_index) <= 2 WHERE h.chunk_id = 800002", "c_chunks")(lambda k: views.chunk_view(k, 800002))
+ORACLES["chunk_view"] = _more(_TARGET, "SELECT n.chunk_id, n.chunk_index, n.text, n.chunk_index = t.chunk_index AS is_target FROM c_chunks n JOIN target t ON n.source_kind = 'document' AND n.source_id = t.source_id AND n.chunk_index BETWEEN t.chunk_index - 2 AND t.chunk_index + 2", "c_chunks")
+query("chunk_view")(lambda k: views.chunk_view(k, _target(k)))
 query("tagged_documents", "SELECT t.document_id, coalesce(CASE WHEN model <> 'backfill' THEN title END, file_name) AS label, value FROM c_document_tags t JOIN c_documents d ON d.document_id = t.document_id LEFT JOIN c_summaries s ON s.document_id = t.document_id WHERE tag_id = 7", "c_document_tags", "c_documents", "c_summaries")(lambda k: views.tagged_documents(k, "ipv4"))
 query("used_tags", "SELECT name, count(*) AS doc_count FROM c_document_tags JOIN c_tags USING (tag_id) GROUP BY 1", "c_document_tags", "c_tags")(views.used_tags)
 query("image_locators", "SELECT chunk_id, source_id, sha256(b.text) AS image_hash FROM c_chunks JOIN benchmark b ON item_id = source_id WHERE source_kind = 'image'", "c_chunks")(lambda k: views.image_locators(k, k.chunks.where("source_kind = 'image'")).select("chunk_id", "source_id", "image_hash"))
@@ -339,6 +363,21 @@ raw_query("page_text", r"SELECT page_id, sha256(trim(regexp_replace(replace(repl
 query("publish_strip", "SELECT 'chunks' AS name, count(*) AS n FROM c_chunks WHERE source_kind <> 'finding' UNION ALL SELECT 'findings', 0 UNION ALL SELECT 'documents', count(*) FROM c_documents UNION ALL SELECT 'document_tags', count(*) FROM c_document_tags", "c_chunks", "c_documents", "c_document_tags")(
     lambda k: _counts(share.strip_private(k), "chunks", "findings", "documents", "document_tags"))
 raw_query("events_hourly", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda spark, d: ingest.hourly_counts(spark.read.parquet(f"{d}/events.parquet")).withColumn("total", F.round("total", 4)))
+def _filings(spark: SparkSession, d: str) -> DataFrame:
+    """A filing for each document: its text, a page in an XBRL shell, a picture and an empty part."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    parts = [("10-K", F.lit("main.txt"), F.translate("text", "<>", "()")), ("EX-99", F.concat(F.lit("page"), F.col("doc_id").cast("string"), F.lit(".htm")), F.concat(F.lit("<XBRL>\n<p>"), "lang", F.lit("</p>\n</XBRL>"))), ("GRAPHIC", F.lit("a.jpg"), F.lit("begin 644 a.jpg")), ("EX-1", F.lit("b.txt"), F.lit(" "))]
+    text = F.concat(F.lit("<SEC-DOCUMENT>\n"), *[F.concat(F.lit(f"<DOCUMENT>\n<TYPE>{t}\n<FILENAME>"), n, F.lit("\n<TEXT>\n"), b, F.lit("\n</TEXT>\n</DOCUMENT>\n")) for t, n, b in parts])
+    return docs.select("doc_id", text.alias("text"))
+
+
+raw_query("edgar_split", """SELECT doc_id, CAST(p AS INTEGER) AS position, ['10-K', 'EX-99', 'GRAPHIC', 'EX-1'][p + 1] AS doc_type, ['main.txt', 'page' || doc_id || '.htm', 'a.jpg', 'b.txt'][p + 1] AS file_name,
+    CASE WHEN p = 0 AND regexp_matches(text, '[^\\s]') THEN 'text' WHEN p = 1 THEN 'html' ELSE 'skip' END AS route, length(['x', '<p>' || lang || '</p>', 'begin 644 a.jpg', ''][p + 1]) AS n FROM documents, range(4) r(p)""")(
+    lambda spark, d: files.split_envelope(_filings(spark, d), "doc_id").select("doc_id", "position", "doc_type", "file_name", "route", F.when(F.col("position") == 0, 1).otherwise(F.length("body")).cast("long").alias("n")))
+raw_query("html_sections", """SELECT doc_id, CAST(o AS INTEGER) AS section_order, [NULL, 's1', 's2'][o + 1] AS anchor_id, ['__preamble__', 'Part one', 'Part two'][o + 1] AS section_title, o > 0 AS has_anchor,
+    [NULL, source, lang || ' ' || doc_id][o + 1] AS body FROM documents, range(3) r(o)""")(
+    lambda spark, d: files.html_sections(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit('<p>Index</p><ul><li><a href="#s1">Part one</a></li><li><a href="#s2">Part two</a></li></ul><h2 id="s1"></h2><p>'), "source", F.lit('</p><h2 id="s2"></h2><p>'), "lang", F.lit(" "), F.col("doc_id").cast("string"), F.lit("</p>")).alias("html")), "doc_id")
+    .select("doc_id", "section_order", "anchor_id", "section_title", (F.col("section_order") > 0).alias("has_anchor"), F.when(F.col("section_order") > 0, F.col("text")).alias("body")))
 raw_query("chunk_markdown")(lambda spark, d: files.chunk_markdown(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.errors import EngineError
 from quire.functions import text as tx
+from quire.operators import fts
 
 SCHEMA_VERSION = 10
 #: Columns of each table.
@@ -34,6 +35,8 @@ SCHEMAS = {
     "document_tags": "document_id long, tag_id long, value string, chunk_id long, created_at timestamp",
     "failed_ingests": "file_hash string, file_name string, stage string, error string, attempts int, last_attempt timestamp",
 }
+#: The tables of the full-text index.
+INDEX = ("postings", "index_stats")
 KINDS = ["document", "summary", "image", "finding"]
 STAGES = ["parse", "caption", "summary"]
 #: Room for the chunks of one source in chunk numbers.
@@ -68,14 +71,27 @@ class Corpus:
     tags: DataFrame
     document_tags: DataFrame
     failed_ingests: DataFrame
+    #: The full-text index of ``chunks`` (see operators.fts) where it has been built.
+    postings: DataFrame | None = None
+    index_stats: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.documents.sparkSession
 
     def with_tables(self, **tables: DataFrame) -> Corpus:
+        """The corpus with some tables replaced; other chunks leave it without an index until one is given."""
+        if "chunks" in tables:
+            tables = {"postings": None, "index_stats": None} | tables
         return replace(self, **tables)
 
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """Postings and statistics: the stored ones, else a plan that derives them from the chunks."""
+        if self.postings is not None:
+            return self.postings, self.index_stats
+        table = fts.postings(self.chunks)
+        return table, fts.statistics(self.chunks, table)
+
 
 def chunk_id(kind: str, source_id, index) -> F.Column:
     """A chunk's number: a function of its kind, source and index, so that no global counter is needed."""
@@ -92,9 +108,13 @@ def create(spark: SparkSession, folder: str, meta: dict[str, str] | None = None)
 
 
 def save(corpus: Corpus, folder: str, meta: dict[str, str] | None = None) -> None:
+    """All tables and the full-text index, with ``meta`` last: a folder without it is no corpus, so a save that failed is none."""
     for f in fields(Corpus):
-        w = getattr(corpus, f.name).write
-        (w.partitionBy("source_kind") if f.name == "chunks" else w).parquet(f"{folder}/{f.name}")
+        if f.name not in INDEX:
+            w = getattr(corpus, f.name).write
+            (w.partitionBy("source_kind") if f.name == "chunks" else w).parquet(f"{folder}/{f.name}")
+    for name, table in zip(INDEX, indexed(corpus, lambda name, df: df).index()):
+        table.write.parquet(f"{folder}/{name}")
     corpus.spark.createDataFrame(sorted(({"schema_version": str(SCHEMA_VERSION)} | (meta or {})).items()), SCHEMAS["meta"]).coalesce(1).write.parquet(f"{folder}/meta")
 
 
@@ -108,7 +128,20 @@ def open_corpus(spark: SparkSession, folder: str) -> Corpus:
         raise EngineError("NO_ACTIVE_PROJECT", f"{folder} holds no corpus") from missing
     if meta.get("schema_version") != str(SCHEMA_VERSION):
         raise EngineError("SCHEMA_MISMATCH", f"corpus has schema {meta.get('schema_version')}, this code {SCHEMA_VERSION}")
-    return Corpus(**{f.name: spark.read.schema(SCHEMAS[f.name]).parquet(f"{folder}/{f.name}") for f in fields(Corpus)})
+    tables = {f.name: spark.read.schema(SCHEMAS[f.name]).parquet(f"{folder}/{f.name}") for f in fields(Corpus) if f.name not in INDEX}
+    try:  # a corpus that was only created has none yet
+        tables |= {name: spark.read.parquet(f"{folder}/{name}") for name in INDEX}
+    except AnalysisException:
+        pass
+    return Corpus(**tables)
+
+
+def indexed(corpus: Corpus, store) -> Corpus:
+    """The corpus with a full-text index; ``store(name, frame)`` writes its tables and gives them back."""
+    if corpus.postings is not None:
+        return corpus
+    table = store("postings", fts.in_order(fts.postings(corpus.chunks)))
+    return corpus.with_tables(postings=table, index_stats=store("index_stats", fts.statistics(corpus.chunks, table)))
 
 
 def upgrade(table: DataFrame, name: str) -> DataFrame:
@@ -121,7 +154,14 @@ def _day(start: str, days) -> F.Column:
     return F.date_format(F.date_add(F.lit(start).cast("date"), days.cast("int")), "yyyy-MM-dd")
 
 
-def from_testdata(spark: SparkSession, sf_dir: str) -> Corpus:
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few parts dealt to as many tasks as run at once, since chunking costs more than moving so little."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def from_testdata(spark: SparkSession, sf_dir: str, store=lambda name, df: df) -> Corpus:
+    """The corpus of the driver's tables; ``store(name, frame)`` may write the derived tables that others are derived from."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     raw, labels, turns, bench, events = (read(t) for t in ("documents", "labels", "conversations", "benchmark", "events"))
     d = F.col("doc_id")
@@ -156,12 +196,13 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Corpus:
         return df.select(chunk_id(kind, source, index).alias("chunk_id"), F.lit(kind).alias("source_kind"), source.cast("long").alias("source_id"), index.cast("int").alias("chunk_index"), text.alias("text"), heading.alias("section_heading"), page.cast("int").alias("page_number"), content.alias("content_type"))
 
     i = F.col("chunk_index")
-    pieces = raw.where(d % 50 != 0).select("doc_id", "lang", F.inline(tx.chunk_pieces(F.col("text"))))
+    pieces = spread(raw.select("doc_id", "lang", "text")).select("doc_id", "lang", F.inline(tx.chunk_pieces(F.col("text"))))
     by_lang = F.when(F.col("lang") == "fr", "ocr").when(F.col("lang") == "de", "text").when(F.col("lang") == "es", "sec_text")
     chunks = as_chunks(pieces, "document", d, i, F.col("text"), F.when(i % 4 == 0, F.concat(F.lit("Appendix "), F.expr("chunk_index div 4").cast("string"))), F.expr("chunk_index div 4 + 1"), by_lang)
     chunks = chunks.unionByName(as_chunks(summaries.where("model <> 'backfill'"), "summary", F.col("summary_id"), F.lit(0), F.col("text")))
     chunks = chunks.unionByName(as_chunks(bench.where(item % 6 != 5), "image", item, F.lit(0), F.col("text"), content=F.when(item % 2 == 0, "image_ocr").otherwise("image_description")))
     chunks = chunks.unionByName(as_chunks(findings.select("finding_id", F.inline(tx.chunk_pieces(F.col("text")))), "finding", F.col("finding_id"), i, F.col("text")))
+    chunks = store("chunks", chunks)
     embeddings = read("embeddings").select(chunk_id("document", F.col("vec_id"), F.lit(0)).alias("chunk_id"), "embedding")
     tags = spark.createDataFrame(TAGS, "tag_id long, name string, description string, value_type string, pattern string")
     flat = F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("chunk_id")
@@ -174,6 +215,7 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Corpus:
     document_tags = by_label.unionByName(by_lang_tag)
     for v in valued:
         document_tags = document_tags.unionByName(v)
+    document_tags = store("document_tags", document_tags)
     logs = events.select(F.col("event_id").alias("audit_log_id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("tool_name"), F.col("props").alias("args_json"), (F.col("value") * 10).cast("long").alias("duration_ms"), F.col("ts").alias("created_at"))
     stage = F.element_at(F.array(*map(F.lit, STAGES)), (F.col("event_id") % 3 + 1).cast("int"))
     failed = events.where("event_type = 'error'").groupBy(F.col("user_id").cast("string").alias("file_hash"), stage.alias("stage")).agg(F.count("*").cast("int").alias("attempts"), F.max("props").alias("error"), F.max("ts").alias("last_attempt"))

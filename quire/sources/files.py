@@ -7,7 +7,6 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.errors import EngineError
@@ -67,11 +66,12 @@ def file_hash(content: Column) -> Column:
 
 def classify(files: DataFrame, documents: DataFrame, failed: DataFrame, cap: int = 3) -> DataFrame:
     """What to do with each file ``(path, file_hash)``: parse, duplicate (an earlier path has it), skip (known), give_up (failed too often)."""
-    nth = F.row_number().over(W.partitionBy("file_hash").orderBy("path"))
+    first = files.groupBy("file_hash").agg(F.min("path").alias("first_path"))  # combined before the shuffle, however many copies a file has
     known = documents.select("file_hash", F.lit(True).alias("known")).distinct()
     tried = failed.where(F.col("stage") == "parse").select("file_hash", (F.col("attempts") >= cap).alias("spent"))
-    out = files.withColumn("nth", nth).join(known, "file_hash", "left").join(tried, "file_hash", "left")
-    return out.withColumn("action", F.when(F.col("known"), "skip").when(F.col("nth") > 1, "duplicate").when(F.col("spent"), "give_up").otherwise("parse")).drop("nth", "known", "spent")
+    facts = first.join(known, "file_hash", "left").join(tried, "file_hash", "left")
+    out = files.join(facts, "file_hash")
+    return out.withColumn("action", F.when(F.col("known"), "skip").when(F.col("path") != F.col("first_path"), "duplicate").when(F.col("spent"), "give_up").otherwise("parse")).drop("first_path", "known", "spent")
 
 
 def read_text(content: Column) -> Column:
@@ -97,7 +97,7 @@ def split_envelope(df: DataFrame, key: str = "path", text: str = "text") -> Data
     field = lambda name: F.nullif(F.trim(F.regexp_extract(F.col("head"), rf"<{name}>([^\r\n<]*)", 1)), F.lit(""))
     inner = F.regexp_extract("block", r"(?s)<TEXT>(.*?)(?:</TEXT>|$)", 1)
     shell = F.regexp_extract(inner, r"(?s)^\s*<(?:XBRL|XML)>(.*?)</(?:XBRL|XML)>\s*$", 1)
-    out = parts.withColumn("head", head).withColumn("body", F.trim(F.when(shell != "", shell).otherwise(inner))).withColumn("doc_type", field("TYPE")).withColumn("file_name", field("FILENAME"))
+    out = parts.withColumn("head", head).withColumn("body", tx.strip(F.when(shell != "", shell).otherwise(inner))).withColumn("doc_type", field("TYPE")).withColumn("file_name", field("FILENAME"))
     e = ext(F.col("file_name"))
     skip = (F.col("body") == "") | F.col("doc_type").isin("GRAPHIC", "ZIP", "EXCEL", "PDF", "XML", "JSON") | F.startswith("doc_type", F.lit("EX-101")) | e.isin(".jpg", ".gif", ".png", ".xsd", ".xml", ".zip", ".xlsx", ".json", ".js", ".css") | F.col("body").rlike(r"(?m)^begin \d{3} ")
     route = F.when(F.coalesce(skip, F.lit(False)), "skip").when(e.isin(".htm", ".html") | F.col("body").rlike(r"(?i)<html[\s>]"), "html").otherwise("text")
@@ -198,34 +198,38 @@ def page_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+_ATX = re.compile(r"#{1,6}\s+(\S.*?|\S)\s*")
+
+
 def markdown_chunks(text: str, limit: int = tx.MARKDOWN_CHARS) -> list[tuple[str | None, str]]:
-    """(heading, text): sections at ATX headings, paragraphs packed to ``limit`` characters, longer ones cut."""
-    out: list[tuple[str | None, str]] = []
-    heading, held = None, ""
-
-    def flush():
-        nonlocal held
-        if held.strip():
-            out.append((heading, held.strip()))
-        held = ""
-
-    parts = re.split(r"^(#{1,6}\s+.+?)\s*$", text, flags=re.M)
-    for i, part in enumerate(parts):
-        if i % 2:
-            flush()
-            heading = part.lstrip("#").strip()
-            continue
-        for para in re.split(r"\n\s*\n", part):
-            para = para.strip()
-            if held and len(held) + 2 + len(para) > limit:
-                flush()
-            while len(para) > limit:
-                flush()
-                out.append((heading, para[:limit].strip()))
-                para = para[limit:]
-            if para:
-                held = f"{held}\n\n{para}" if held else para
-        flush()
+    """(heading, text): sections at lines that are ATX headings; a section within ``limit`` characters is one chunk.
+
+    Of longer ones paragraphs are packed up to the limit; a paragraph beyond it is cut by itself, its
+    pieces joining no other paragraph.
+    """
+    sections: list[tuple[str | None, list[str]]] = [(None, [])]
+    for line in text.splitlines():
+        if m := _ATX.fullmatch(line):
+            sections.append((m[1], []))
+        else:
+            sections[-1][1].append(line)
+    out = []
+    for heading, lines in sections:
+        body = "\n".join(lines).strip()
+        pieces, held = ([body], []) if len(body) <= limit else ([], re.split(r"\n\s*\n", body))
+        pack: list[str] = []
+        for para in (*filter(str.strip, held), None):
+            room = para is not None and len("\n\n".join([*pack, para])) <= limit
+            if pack and not room:
+                pieces.append("\n\n".join(pack))
+                pack = []
+            if para is None:
+                break
+            if len(para) > limit:
+                pieces += [para[i : i + limit] for i in range(0, len(para), limit)]
+            else:
+                pack.append(para)
+        out += [(heading, p.strip()) for p in pieces if p.strip()]
     return out
 
 

@@ -1,8 +1,11 @@
 """Exact small cases of the engine's operators."""
 
 import json
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire import api
@@ -43,9 +46,13 @@ def test_chunks(spark):
 def test_tokens_and_phrases(spark):
     assert value(spark, tx.tokens(F.lit("H.R. 815 foo_bar Éclair ß 5,376"))) == ["h", "r", "815", "foo", "bar", "eclair", "ß", "5", "376"]
     assert tx.py_tokens("H.R. 815 foo_bar Éclair ß") == ["h", "r", "815", "foo", "bar", "eclair", "ß"]
-    tok = F.array(*map(F.lit, ["a", "b", "a", "b", "a"]))
-    assert value(spark, fts.holds(tok, [["b", "a"], ["a"]])) and not value(spark, fts.holds(tok, [["a", "a"]])) and not value(spark, fts.holds(tok, []))
-    assert [value(spark, fts.frequency(tok, p)) for p in (["a"], ["a", "b", "a"], ["a"] * 7)] == [3, 2, 0]
+    chunks = spark.createDataFrame([(1, "document", 5, "A b, a b a", "b Head"), (2, "image", 6, "b", None), (3, "finding", 7, None, "a")], "chunk_id long, source_kind string, source_id long, text string, section_heading string")
+    table = fts.postings(chunks)
+    assert fts.statistics(chunks, table).first()[:] == (3, 9)
+    found = lambda *phrases, **kw: sorted(r.chunk_id for r in fts.holding(table, list(phrases), **kw).collect())
+    assert found(["b", "a"], ["a"]) == [1] and found(["b"]) == [1, 2] and found(["a", "a"]) == found() == [] and found(["a"], in_heading=True) == [3]
+    assert [[r.f for r in fts.hits(table, p).collect()] for p in (["a"], ["a", "b", "a"], ["a"] * 7)] == [[3.0], [2.0], []]
+    assert {r.doc_len for r in fts.hits(table, ["a"]).collect()} == {7}
     assert fts.scan_phrases('say "x y"  z') == [["say", "x", "y", "z"]] and fts.search_phrases('"x.y" - z') == [["x", "y"], ["z"]]
 
 
@@ -69,6 +76,8 @@ def test_small_functions(spark):
     assert tx.parse_ids(["chunk:3", "chunk:1", "chunk:3"], "chunk") == [3, 1]
     with pytest.raises(EngineError):
         tx.parse_ids(["3"], "chunk")
+    with pytest.raises(EngineError):
+        tx.parse_ids(["chunk:0"], "chunk")
 
 
 def test_regexes():
@@ -110,6 +119,40 @@ def test_search_is_part_of_scan_and_pages_join(corpus):
     assert {r.chunk_id for r in search.full_text(corpus, "that", everything, ["document"], 10**6).collect()} == set(whole)
 
 
+def test_search_modes_and_memory(corpus):
+    everything = scope.resolve(corpus)
+    by_model = search.search(corpus, "that", everything, embed=lambda q: [0.1] * 64, modes=["semantic"], limit=5)
+    assert by_model.count() == 5
+    for args in ({"modes": ["semantic"]}, {"embed": lambda q: 1 / 0}, {"embed": lambda q: []}, {"embed": lambda q: [float("nan")]}):
+        with pytest.raises(EngineError) as e:
+            search.search(corpus, "that", everything, **args)
+        assert e.value.code == "EMBED_FAILED"
+    with pytest.raises(EngineError):
+        search.search(corpus, "that", everything, modes=["nope"])
+    closed = corpus.sessions.where("not memory_enabled").first().session_id
+    open_ = corpus.sessions.where("memory_enabled").first().session_id
+    kinds = lambda session: {r.source_kind for r in search.search(corpus, "that", everything, kinds=c.KINDS, limit=500, session_id=session).collect()}
+    assert "finding" in kinds(open_) and "finding" in kinds(None) and "finding" not in kinds(closed)
+    foreign = corpus.chunks.where("source_kind = 'finding'").join(corpus.findings.where(F.col("session_id") != closed).select(F.col("finding_id").alias("source_id")), "source_id", "left_semi").first().chunk_id
+    assert [[r.found for r in reads.by_ids(corpus, [foreign], s).collect()] for s in (closed, open_)] == [[False], [True]]
+
+
+def test_index_follows_the_chunks(corpus, tmp_path):
+    some = corpus.chunks.where("source_kind = 'document' and source_id < 20")
+    cut = corpus.with_tables(chunks=some)
+    assert corpus.postings is not None and cut.postings is None
+    want = {r.chunk_id for r in scan.matches(cut, "that", scope.resolve(cut)).collect()}
+    c.save(cut.with_tables(**{t: getattr(cut, t).limit(50) for t in ("audit_logs", "document_tags")}), str(tmp_path / "k"))
+    again = c.open_corpus(corpus.spark, str(tmp_path / "k"))
+    assert again.postings is not None and {r.chunk_id for r in scan.matches(again, "that", scope.resolve(again)).collect()} == want and want
+
+
+def test_empty_captures_count(spark):
+    df = spark.createDataFrame([("a1 b c22",)], "text string")
+    got = lambda p, g=1: df.select(regexes.matches(F.col("text"), p, g)).first()[0]
+    assert got(r"[a-c](\d*)") == ["1", "", "22"] and got(r"[a-c](\d+)?") == ["1", "22"] and got(r"a(\d)|b") == ["1"]
+
+
 def test_scopes_and_refusals(corpus):
     for code, args in (("TAG_NOT_FOUND", {"tags": ["nope"]}), ("INVALID_DATE", {"date_from": "2024-02-30"})):
         with pytest.raises(EngineError) as e:
@@ -135,6 +178,8 @@ def test_diagnosis(corpus):
 
 
 def test_regex_cap(corpus):
+    rows = scan.count_by_regex(corpus, "that", r"/(th)/", scope.resolve(corpus), cap=None).collect()
+    assert sum(r.n for r in rows) > 5 and not any(r.truncated for r in rows)
     rows = scan.count_by_regex(corpus, "that", r"/(th)/", scope.resolve(corpus), cap=5).collect()
     assert [(r.value, r.n, r.truncated) for r in rows] == [("th", 5, True)]
 
@@ -264,7 +309,52 @@ def test_sections(spark):
     assert "First body." in got[1].text and "Second" not in got[1].text
 
 
+def plain_markdown(text, limit):
+    """What chunks of markdown are, line by line and letter by letter."""
+    out, heading, body = [], None, []
+
+    def close():
+        whole = "\n".join(body).strip()
+        parts = []
+        if len(whole) <= limit:
+            parts.append(whole)
+        else:
+            for para in re.split(r"\n\s*\n", whole):
+                if len(para) > limit:
+                    parts += [(x, True) for x in ["".join(para[i : i + limit]) for i in range(0, len(para), limit)]]
+                elif para.strip():
+                    parts.append((para, False))
+            packed = []
+            for x, alone in parts:
+                if packed and not alone and not packed[-1][1] and len(packed[-1][0]) + 2 + len(x) <= limit:
+                    packed[-1] = (packed[-1][0] + "\n\n" + x, False)
+                else:
+                    packed.append((x, alone))
+            parts = [x for x, _ in packed]
+        out.extend((heading, x.strip()) for x in parts if x.strip())
+        body.clear()
+
+    for line in text.splitlines():
+        marks = len(line) - len(line.lstrip("#"))
+        if 1 <= marks <= 6 and line[marks : marks + 1].isspace() and line[marks:].strip():
+            close()
+            heading = line[marks:].strip()
+        else:
+            body.append(line)
+    close()
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a# \n\n\nb", max_size=120), st.integers(1, 30))
+def test_markdown_equals_the_plain_statement(text, limit):
+    assert files.markdown_chunks(text, limit) == plain_markdown(text, limit)
+
+
 def test_markdown():
+    assert [len(t) for _, t in files.markdown_chunks("x" * 1700 + "\n\ny")] == [1600, 100, 1]
+    assert files.markdown_chunks("#\n\nplain text") == [(None, "#\n\nplain text")]
+    assert files.markdown_chunks("a \n\n\n b") == [(None, "a \n\n\n b")]
     assert files.markdown_chunks("") == [] and files.markdown_chunks("plain") == [(None, "plain")]
     assert files.markdown_chunks("a\n# H one\nb\n\nc\n## Two\nd") == [(None, "a"), ("H one", "b\n\nc"), ("Two", "d")]
     long = files.markdown_chunks("x" * 4000)

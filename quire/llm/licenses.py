@@ -8,6 +8,8 @@ DataFrame expressions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ SPELLINGS = [
     ("[(]c[)]|©", "copyright"),
     ("(copyright )+", "copyright "),
 ]
+#: White space, which is one blank before spellings are made one.
+BLANKS = r"[\t-\r ]+"
 #: Lines that name an owner and a year or a place to fill in, and bare reservations.
 COPYRIGHT_LINE = r"^[^a-z0-9©]*(copyright|[(]c[)]|©)[^a-z]*([0-9]{4}|[(]c[)]|©|\[|<|\{)|^[^a-z]*all rights reserved[^a-z]*$"
 
@@ -65,10 +69,28 @@ KNOWN = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 ]
 
+#: Canonical digests of further entire licence texts, as GNU/Linux distributions ship them.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "3c93005c1361582a748bd291a4ae484ba70108e2075fec9a011ec57572f4fcbf"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "bd8e32052e49e6b79fccbdd5dc03f7d40e45a8e895e3ecb79394b97961ffb127"),
+    ("GFDL-1.3", "e7579a53c7b8214f091590d94bfe39deb978a080895ca5506448b8baf4f77985"),
+    ("GPL-1.0", "9fc51630274b560110a2b3d58ab2aadc088f649116f9b2f6df26148eba715369"),
+    ("GPL-2.0", "c43ff39ca549b577203468ca51a15c9554b22935ab38398641f8f94fc2ec7ee2"),
+    ("GPL-3.0", "8387237b1a6d933dd54f687ff9e67d3b255e1cbd530ca27acff62bcae8a34d50"),
+    ("LGPL-2.0", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbf8a79979c94b47092c8b5f097c9499b7c33e91ab50216a663f180fbe2ecd1e"),
+    ("MPL-2.0", "c6a506eb968bd2cfbb1ea819736390e6ef797bab6d08beb74875c8a0dbc1d917"),
+]
+
 _CAPITALS = "".join(map(chr, range(65, 91)))
 
 
 def _plain(lower_text: Column) -> Column:
+    lower_text = F.regexp_replace(lower_text, BLANKS, " ")  # spellings of two words may span a line's end
     for pattern, kept in SPELLINGS:
         lower_text = F.regexp_replace(lower_text, pattern, kept) if any(c in pattern for c in "[(|") else F.replace(lower_text, F.lit(pattern), F.lit(kept))
     return F.trim(F.regexp_replace(lower_text, r"[^\p{L}\p{N}]+", " "))
@@ -82,18 +104,37 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``(digest, license)`` of the known texts; a digest that two licences share goes to the first by name."""
-    rows = spark.createDataFrame(known or KNOWN, "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    """``(digest, license)`` of the known texts (and, unless some are given, of KNOWN_DIGESTS); a digest that two licences share goes to the first by name."""
+    rows = spark.createDataFrame(known or KNOWN, "license string, text string").select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "license")
+    if known is None:
+        rows = rows.unionByName(spark.createDataFrame(KNOWN_DIGESTS, "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def gate_words(notices: list[str]) -> list[str] | None:
+    """Words of which every notice has one, whatever its spelling: few words for many notices first; None if a notice has none.
+
+    A line without any of them cannot be one of the notices, so it need not be hashed.
+    """
+    spelled = " ".join(x for pair in SPELLINGS for x in pair)
+    left = [{w for w in re.findall("[a-z0-9]+", n.translate(str.maketrans(_CAPITALS, _CAPITALS.lower()))) if len(w) > 1 and w not in spelled and not any(p in w for p, _ in SPELLINGS)} for n in notices]
+    out: list[str] = []
+    while left:
+        words = sorted(set().union(*left), key=lambda w: (-sum(w in n for n in left), -len(w), w))
+        if not words or not all(left):
+            return None
+        out.append(words[0])
+        left = [n for n in left if words[0] not in n]
+    return out
 
 
 def scan(df: DataFrame, text: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
     """``df`` with ``license_digest``, ``license`` (of the entire text, else null) and ``notices``.
 
-    ``notices`` holds the licences of lines that are known notices by themselves, distinct and sorted.
+    ``notices`` holds the licences of lines that are known texts by themselves, distinct and sorted.
     Each row is judged by itself: nulls (an empty text, no licence), repeated rows and ties need nothing special; columns
     named like the results are replaced. The join is to a broadcast table of the known texts, and a line is hashed only if
-    one of the words found in every notice is in it, so no text is moved.
+    a word that every one-line text shares with another is in it, so no text is moved.
     """
     digests = known_digests(df.sparkSession, known)
     table = {r["digest"]: r["license"] for r in digests.collect()}  # as many as known texts
@@ -101,6 +142,9 @@ def scan(df: DataFrame, text: str = "text", known: list[tuple[str, str]] | None
     out = out.join(F.broadcast(digests.withColumnRenamed("digest", "license_digest")), "license_digest", "left")
     by_digest = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     lower_text = F.translate(F.coalesce(F.col(text), F.lit("")), _CAPITALS, _CAPITALS.lower())
-    lines = F.filter(F.split(lower_text, "\n", -1), lambda x: x.rlike("licen[cs]|public domain"))
+    words = gate_words([t for _, t in known or KNOWN if "\n" not in t])
+    lines = F.split(lower_text, "\n", -1)
+    if words is not None:
+        lines = F.filter(lines, lambda x: x.rlike(f"\\b({'|'.join(words)})\\b") if words else F.lit(False))
     named = F.transform(lines, lambda x: F.try_element_at(by_digest, F.sha2(_plain(x).cast("binary"), 256)))
     return out.withColumn("notices", F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))))

@@ -88,6 +88,7 @@ def _lower(text: str) -> str:
 
 
 def _plain(text: str) -> str:
+    text = f"regexp_replace({text}, {_quoted(licenses.BLANKS)}, ' ', 'g')"
     for pattern, kept in licenses.SPELLINGS:
         text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(kept)}, 'g')"
     return rf"trim(regexp_replace({text}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -97,15 +98,17 @@ def _canonical(text: str) -> str:
     return _plain(f"array_to_string(list_filter(string_split({_lower(text)}, chr(10)), lambda x: NOT regexp_matches(x, {_quoted(licenses.COPYRIGHT_LINE)})), ' ')")
 
 
+_DIGESTS = ", ".join(f"({_quoted(n)}, {_quoted(d)})" for n, d in licenses.KNOWN_DIGESTS)
 _KNOWN = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)
 ORACLES: dict[str, str] = {
     "op7_licenses": f"""
         WITH raw(license, text) AS (VALUES {_KNOWN}),
-        known AS (SELECT sha256({_canonical("text")}) AS digest, min(license) AS license FROM raw GROUP BY 1),
+        shipped(license, digest) AS (VALUES {_DIGESTS}),
+        known AS (SELECT digest, min(license) AS license FROM (SELECT sha256({_canonical("text")}) AS digest, license FROM raw UNION ALL SELECT digest, license FROM shipped) GROUP BY 1),
         docs AS (SELECT doc_id, text, sha256({_canonical("text")}) AS license_digest FROM documents),
         noted AS (SELECT doc_id, string_agg(DISTINCT known.license, ',' ORDER BY known.license) AS notices
             FROM (SELECT doc_id, unnest(string_split({_lower("text")}, chr(10))) AS line FROM documents) l
-            JOIN known ON known.digest = sha256({_plain("line")}) WHERE regexp_matches(line, 'licen[cs]|public domain') GROUP BY doc_id)
+            JOIN known ON known.digest = sha256({_plain("line")}) GROUP BY doc_id)
         SELECT docs.doc_id, license_digest, known.license AS license, coalesce(notices, '') AS notices
         FROM docs LEFT JOIN known ON digest = license_digest LEFT JOIN noted ON noted.doc_id = docs.doc_id""",
     "op2_urls": rf"""

@@ -1,4 +1,7 @@
 import re
+from pathlib import Path
+
+import pytest
 
 from quire.llm import licenses as op
 
@@ -24,3 +27,20 @@ def test_known_texts_are_apart_and_plan_is_native(spark):
     assert len({r.digest for r in digests}) == len(digests) >= 20
     plan = op.scan(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_further_digests_are_those_of_the_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    rows = [(n, (folder / f).read_text().upper().replace("\n", "\n ")) for n, f in files.items() if (folder / f).exists()]
+    if not rows:
+        pytest.skip("no licence texts on this machine")
+    assert {(r.n, r.license) for r in op.scan(spark.createDataFrame(rows, "n string, text string")).collect()} == {(n, n) for n, _ in rows}
+
+
+def test_notices_of_any_wording_are_found(spark):
+    known = [("A", "Free for any use under CC0 1.0"), ("B", "Licensed as is"), ("C", "Take it."), ("D", "© c")]
+    df = spark.createDataFrame([(1, "x\nfree for ANY use, under cc0 1.0!"), (2, "take it\nLicenced as is"), (3, "give it"), (4, "(c) c")], "n int, text string")
+    assert {r.n: r.notices for r in op.scan(df, known=known).collect()} == {1: ["A"], 2: ["B", "C"], 3: [], 4: ["D"]}
+    assert op.gate_words(["© c"]) is None and op.gate_words([]) == []
+    assert all(set(op.gate_words([t])) & set(re.findall("[a-z0-9]+", t.lower())) for _, t in op.KNOWN if "\n" not in t)

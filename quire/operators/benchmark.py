@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.errors import EngineError
 from quire.functions import text as tx
 
 RUN_SCHEMA = "provider string, model string, doc string, extraction string, ok boolean, wall_seconds double, load_duration_ns long, prompt_eval_count long, summary_sha string, source_sha string, prompt_sha string, temperature double, max_tokens int, ts timestamp"
@@ -20,7 +22,32 @@ def read_store(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def append_store(df: DataFrame, folder: str) -> None:
-    df.write.mode("append").json(folder)
+    """Rows as JSON lines of a store, with the time of writing where a row has none."""
+    stamp = F.coalesce("ts", F.current_timestamp()) if "ts" in df.columns else F.current_timestamp()
+    df.withColumn("ts", stamp).write.mode("append").json(folder)
+
+
+#: The axes of the rubric.
+AXES = ["faithfulness", "coverage", "conciseness", "constraint_compliance"]
+
+
+def rubric_mean(scores: DataFrame, axes: list[str] | None = None) -> DataFrame:
+    """``scores`` with ``mean`` over the axes; null if one is missing."""
+    axes = axes or AXES
+    return scores.withColumn("mean", sum((F.col(a) for a in axes[1:]), F.col(axes[0])).cast("double") / len(axes))
+
+
+def with_run_index(plan: DataFrame, runs: DataFrame, order: str = "call") -> DataFrame:
+    """Planned calls with ``run_index``, which goes on in each cell from the runs it already has."""
+    have = runs.groupBy(*CELL).agg(F.count("*").alias("have"))
+    nth = F.row_number().over(W.partitionBy(*CELL).orderBy(order)) - 1
+    return plan.withColumn("nth", nth).join(have, CELL, "left").withColumn("run_index", (F.col("nth") + F.coalesce("have", F.lit(0))).cast("int")).drop("nth", "have")
+
+
+def source_drift(runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Cells whose valid runs read another text than the one at hand (``sources``: doc, extraction, source_sha), or one that is gone."""
+    now = sources.select("doc", "extraction", F.col("source_sha").alias("now_sha"))
+    return runs.where("ok").join(now, ["doc", "extraction"], "left").where(~F.col("source_sha").eqNullSafe(F.col("now_sha"))).select(*CELL, "source_sha", "now_sha").distinct()
 
 
 def window(df: DataFrame, since: str | None = None, until: str | None = None, **equal) -> DataFrame:
@@ -93,10 +120,13 @@ def quality_pivot(cells: DataFrame, docs: list[str]) -> DataFrame:
     return cells.groupBy("provider", "model", "extraction").pivot("doc", docs).agg(F.first(text))
 
 
-def judge_topup(runs: DataFrame, judgments: DataFrame, passes: int, judge: str) -> DataFrame:
-    """Summaries that lack passes of a judge, and how many."""
+def judge_topup(runs: DataFrame, judgments: DataFrame, passes: int, judge: str, sources: DataFrame | None = None) -> DataFrame:
+    """Summaries that lack valid passes of a judge, and how many; refused if ``sources`` are not the texts that were summarised."""
+    if sources is not None and (moved := source_drift(runs, sources).first()):
+        raise EngineError("SOURCE_DRIFT", f"document {moved['doc']} is not the text that was summarised", doc=moved["doc"], extraction=moved["extraction"])
     key = [*CELL, "summary_sha"]
-    have = judgments.where(F.col("judge") == judge).groupBy(*key).agg(F.count("*").alias("have"))
+    valid = judgments.where(F.coalesce("ok", F.lit(True))) if "ok" in judgments.columns else judgments
+    have = valid.where(F.col("judge") == judge).groupBy(*key).agg(F.count("*").alias("have"))
     need = F.greatest(F.lit(passes) - F.coalesce("have", F.lit(0)), F.lit(0))
     return runs.where("ok").select(*key).distinct().join(have, key, "left").select(*key, need.alias("missing")).where("missing > 0")
 

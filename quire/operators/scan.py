@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +16,9 @@ from quire.operators import fts
 from quire.operators.scope import Scope, dated, within
 from quire.sources.corpus import Corpus
 
-MATCH_CAP = 100_000
+#: Matches that a report counts, and seconds that a request with a pattern may take, unless told otherwise.
+MATCH_CAP, DEADLINE = 100_000, 5.0
+BRIEF = ["document_id", "file_name", "chunk_id", "page_number", "authored_date"]
 ALL = ["document_id", "chunk_id", "chunk_index", "file_name", "authored_date", "page_number", "section_heading", "text", "text_length"]
 
 
@@ -72,7 +77,38 @@ def total(corpus: Corpus, query: str, scope: Scope, **filters) -> DataFrame:
     return matches(corpus, query, scope, **filters).agg(F.count("*").alias("total"), F.countDistinct("document_id").alias("documents"))
 
 
-def count_by_document(corpus: Corpus, query: str, scope: Scope, **filters) -> DataFrame:
+def within_seconds(spark, seconds: float, fetch):
+    """``fetch()`` (a function that runs jobs), which is cancelled and refused as CAPTURE_TIMEOUT after so many seconds.
+
+    Patterns of users may be slow on a large corpus; the jobs of this call are a group of their own, so no others are stopped.
+    """
+    sc, tag = spark.sparkContext, f"deadline-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return fetch()
+    except Exception as wrong:
+        if late.is_set():
+            raise EngineError("CAPTURE_TIMEOUT", f"the pattern took more than {seconds:g} s; narrow the scope or simplify it") from wrong
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+
+
+def count_by_document(corpus: Corpus, query: str, scope: Scope, sort: str = "n", **filters) -> DataFrame:
+    """Matches by document: most first, or oldest document first with undated ones last."""
+    if sort == "date":
+        counts = matches(corpus, query, scope, **filters).groupBy("document_id", "file_name", "authored_date").agg(F.count("*").alias("n"), F.min("chunk_id").alias("chunk_id"))
+        return counts.orderBy(F.asc_nulls_last("authored_date"), "document_id")
     return matches(corpus, query, scope, **filters).groupBy("document_id", "file_name").agg(F.count("*").alias("n"), F.min("chunk_id").alias("chunk_id")).orderBy(F.desc("n"), "document_id")
 
 

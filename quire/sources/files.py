@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,12 +113,17 @@ def section_hash(content: Column, anchor: Column) -> Column:
 
 
 class _Outline(HTMLParser):
-    """Text of a page with the places of its anchors and of its internal links."""
+    """Text of a page with the places of its anchors, of its links (numbered) and of its blocks."""
+
+    BLOCKS = frozenset("p div table tr td th ul ol li dl dt dd nav section center h1 h2 h3 h4".split())
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.text: list[str] = []
-        self.size, self.anchors, self.links = 0, {}, []
+        self.size, self.anchors, self.links, self.n_links = 0, {}, [], 0
+        self.blocks: list[tuple[int, int]] = []
+        self.open_blocks: list[tuple[str, int]] = []
+        self.n_open: dict[str, int] = {}
         self.open_link, self.muted = None, 0
 
     def handle_starttag(self, tag, attrs):
@@ -122,58 +131,89 @@ class _Outline(HTMLParser):
         for name in (a.get("id"), a.get("name") if tag == "a" else None):
             if name:
                 self.anchors.setdefault(name, self.size)
-        if tag == "a" and (a.get("href") or "").startswith("#"):
-            self.open_link = (a["href"][1:], self.size, [])
+        if tag == "a":
+            self.n_links += 1
+            if (a.get("href") or "").startswith("#"):
+                self.open_link = (a["href"][1:], self.n_links, self.size, [])
         if tag in ("script", "style"):
             self.muted += 1
-        if tag in ("p", "div", "br", "tr", "li", "h1", "h2", "h3", "table"):
+        if tag in self.BLOCKS or tag == "br":
             self.handle_data("\n")
+        if tag in self.BLOCKS:
+            self.open_blocks.append((tag, self.size))
+            self.n_open[tag] = self.n_open.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
         if tag == "a" and self.open_link:
-            self.links.append((*self.open_link[:2], self.size, "".join(self.open_link[2]).strip()))
+            anchor, number, start, title = self.open_link
+            self.links.append((anchor, number, start, self.size, "".join(title).strip()))
             self.open_link = None
         if tag in ("script", "style"):
             self.muted = max(0, self.muted - 1)
+        if self.n_open.get(tag):
+            while self.open_blocks:
+                kind, start = self.open_blocks.pop()
+                self.n_open[kind] -= 1
+                self.blocks.append((start, self.size))
+                if kind == tag:
+                    break
 
     def handle_data(self, data):
         if not self.muted:
             self.text.append(data)
             self.size += len(data)
             if self.open_link:
-                self.open_link[2].append(data)
+                self.open_link[3].append(data)
+
+
+def _table_of_contents(o: _Outline, text: str) -> tuple[list, list[tuple[int, int]]]:
+    """The longest run of links (the earliest of equals), none left out between them, that all point further on; and the spans of those in blocks of nothing but such links."""
+    best: list = []
+    run: list = []
+    for link in (k for k in o.links if o.anchors.get(k[0], -1) >= k[3]):
+        run = [*run, link] if run and link[1] == run[-1][1] + 1 else [link]
+        best = run if len(run) > len(best) else best
+    spans = [(start, end) for _, _, start, end, _ in best]
+    starts = [x for x, _ in spans]
+    filled = [0, *itertools.accumulate(0 if c.isspace() else 1 for c in text)]
+    linked = [0, *itertools.accumulate(filled[e] - filled[s] for s, e in spans)]
+    pure = set()
+    for s, e in o.blocks:
+        i, j = bisect.bisect_left(starts, s), bisect.bisect_left(starts, e)
+        if i < j and filled[e] - filled[s] == linked[j] - linked[i]:
+            pure.update(range(i, j))
+    return best, [spans[i] for i in sorted(pure)]
 
 
 def sections(html: str) -> list[tuple[int, str | None, str | None, str]]:
     """(order, anchor, title, text) of a page that opens with a table of contents; empty where there is none with two sections.
 
-    The table is the longest run of links to places further on with next to nothing between
-    them. Sections follow the places of their anchors; what stands before the first is a preamble.
+    The table is a run of neighbouring links to places further on, two of which at least stand in blocks that hold
+    nothing else: links within prose are none. An anchor counts once, under its first title. Sections follow the places of
+    their anchors; what stands before the first, without those blocks, is a preamble.
     """
     o = _Outline()
     o.feed(html)
     text = "".join(o.text)
-    forward = [(anchor, start, end, title) for anchor, start, end, title in o.links if o.anchors.get(anchor, -1) > end]
-    best: list = []
-    run: list = []
-    for link in forward:
-        if run and len(text[run[-1][2] : link[1]].strip(" \n\t.·|0123456789")) > 40:
-            run = []
-        run = [*run, link]
-        best = run if len(run) > len(best) else best
-    places: dict[str, tuple[int, str]] = {}
-    for anchor, _, _, title in best:
-        places.setdefault(anchor, (o.anchors[anchor], title))
-        if not places[anchor][1] and title:
-            places[anchor] = (places[anchor][0], title)
-    order = sorted(places.items(), key=lambda x: x[1][0])
+    best, pure = _table_of_contents(o, text)
+    if len(pure) < 2:
+        return []
+    titles: dict[str, str] = {}
+    for anchor, *_, title in best:
+        titles.setdefault(anchor, title)
+    order = sorted(titles, key=lambda anchor: o.anchors[anchor])
     if len(order) < 2:
         return []
-    cuts = [p for _, (p, _) in order] + [len(text)]
-    out = [(0, None, "__preamble__", text[: cuts[0]].strip())] if text[: cuts[0]].strip() else []
-    for (anchor, (at, title)), end in zip(order, cuts[1:]):
-        if body := text[at:end].strip():
-            out.append((len(out), anchor, title or None, body))
+    cuts = [o.anchors[anchor] for anchor in order] + [len(text)]
+    kept, at = [], 0
+    for s, e in pure:
+        kept.append(text[at : min(s, cuts[0])])
+        at = e
+    head = "".join([*kept, text[at : cuts[0]]]).strip()
+    out = [(0, None, "__preamble__", head)] if head else []
+    for anchor, start, end in zip(order, cuts, cuts[1:]):
+        if body := text[start:end].strip():
+            out.append((len(out), anchor, titles[anchor] or None, body))
     return out
 
 
@@ -244,33 +284,66 @@ def chunk_markdown(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, section_heading string, text string")
 
 
-def vector_figures(boxes: DataFrame, tolerance: float = 3.0, least_area: float = 2500.0, most_share: float = 0.9) -> DataFrame:
+def _clusters(boxes: list[tuple[float, float, float, float]], tolerance: float) -> list[list[int]]:
+    """Boxes that touch, directly or through others, within the tolerance."""
+    root = list(range(len(boxes)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    order = sorted(range(len(boxes)), key=lambda i: boxes[i][0])
+    for n, i in enumerate(order):
+        x0, y0, x1, y1 = boxes[i]
+        for j in order[n + 1 :]:
+            a0, b0, a1, b1 = boxes[j]
+            if a0 > x1 + tolerance:
+                break
+            if math.hypot(max(0.0, a0 - x1), max(0.0, b0 - y1, y0 - b1)) <= tolerance:
+                root[top(j)] = top(i)
+    out: dict[int, list[int]] = {}
+    for i in range(len(boxes)):
+        out.setdefault(top(i), []).append(i)
+    return list(out.values())
+
+
+def _union(boxes: np.ndarray) -> tuple[float, float, float]:
+    """Area and centroid of what boxes cover together."""
+    xs, ys = np.unique(boxes[:, [0, 2]]), np.unique(boxes[:, [1, 3]])
+    covered = np.zeros((len(xs) - 1, len(ys) - 1), dtype=bool)
+    for x0, y0, x1, y1 in boxes:
+        covered[np.searchsorted(xs, x0) : np.searchsorted(xs, x1), np.searchsorted(ys, y0) : np.searchsorted(ys, y1)] = True
+    cells = covered * np.diff(xs)[:, None] * np.diff(ys)
+    area = cells.sum()
+    return float(area), float((cells.sum(axis=1) * (xs[1:] + xs[:-1]) / 2).sum() / area), float((cells.sum(axis=0) * (ys[1:] + ys[:-1]) / 2).sum() / area)
+
+
+def vector_figures(boxes: DataFrame, tables: DataFrame | None = None, tolerance: float = 3.0, least_area: float = 2500.0, most_share: float = 0.9) -> DataFrame:
     """Figures of each page from drawn boxes ``(page_id, x0, y0, x1, y1, page_area)``: boxes that touch within the tolerance are one.
 
-    Small ones and those that fill the page go. A page's boxes are one group; pages are bounded by nature.
+    Boxes count with half the tolerance on each side. A figure goes if what it covers is small or nearly the page, or if its
+    centroid lies in one of the page's ``tables`` (page_id, x0, y0, x1, y1). A page's boxes are one group; pages are bounded by nature.
     """
+    none = boxes.select("page_id", "x0", "y0", "x1", "y1").where("false")
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        todo = [list(b) for b in pdf[["x0", "y0", "x1", "y1"]].to_numpy().tolist()]
+    def join(drawn: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         done = []
-        while todo:
-            b = todo.pop()
-            i = 0
-            while i < len(todo):
-                c = todo[i]
-                if c[0] <= b[2] + tolerance and b[0] <= c[2] + tolerance and c[1] <= b[3] + tolerance and b[1] <= c[3] + tolerance:
-                    b = [min(b[0], c[0]), min(b[1], c[1]), max(b[2], c[2]), max(b[3], c[3])]
-                    del todo[i]
-                    i = 0
-                else:
-                    i += 1
-            area = (b[2] - b[0]) * (b[3] - b[1])
-            if least_area <= area < most_share * pdf["page_area"].iloc[0]:
-                done.append(b)
+        plain = drawn[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
+        cells = held[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
+        for own in _clusters([tuple(b) for b in plain.tolist()], tolerance):
+            wide = plain[own] + np.array([-1, -1, 1, 1]) * tolerance / 2
+            area, x, y = _union(wide)
+            in_table = ((cells[:, 0] <= x) & (x <= cells[:, 2]) & (cells[:, 1] <= y) & (y <= cells[:, 3])).any()
+            if least_area <= area < most_share * drawn["page_area"].iloc[0] and not in_table:
+                done.append((*wide[:, :2].min(axis=0).tolist(), *wide[:, 2:].max(axis=0).tolist()))
         done.sort(key=lambda b: (b[1], b[0]))
-        return pd.DataFrame([(pdf["page_id"].iloc[0], 1000 + i, *b) for i, b in enumerate(done)], columns=["page_id", "image_index", "x0", "y0", "x1", "y1"])
+        page = drawn["page_id"].iloc[0] if len(drawn) else None
+        return pd.DataFrame([(page, 1000 + i, *b) for i, b in enumerate(done)], columns=["page_id", "image_index", "x0", "y0", "x1", "y1"])
 
-    return boxes.groupBy("page_id").applyInPandas(join, "page_id long, image_index int, x0 double, y0 double, x1 double, y1 double")
+    held = none if tables is None else tables.select("page_id", "x0", "y0", "x1", "y1")
+    return boxes.groupBy("page_id").cogroup(held.groupBy("page_id")).applyInPandas(join, "page_id long, image_index int, x0 double, y0 double, x1 double, y1 double")
 
 
 def keep_crop(width: Column, height: Column, page_area: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quire.llm.common import text_passes
+from quire.llm.common import mapped, text_passes
 
 NO_RANK = np.int64(1 << 40)
 #: Words kept in a worker before its table is emptied, and the longest word that is kept.
@@ -434,7 +434,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
                 part = b.slice(a, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, col], [*part.schema.names, ids])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -450,7 +450,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text")
             out = codec.decode_batch(np.concatenate([*lists, np.empty(0, np.int64)]), np.array([len(x) for x in lists], dtype=np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.decode() for x in out], pa.string())], [*b.schema.names, text])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def round_trip_digests(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -473,4 +473,4 @@ def round_trip_digests(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
                 dec_sha = [sha(x).hexdigest() for x in codec.decode_batch(flat, n)]
                 yield pa.RecordBatch.from_arrays([b.column(doc_id).slice(a, len(texts)), pa.array(n, pa.int64()), pa.array(id_sha), pa.array(dec_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(df.select(doc_id, text), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -76,6 +77,38 @@ def scratch(spark: SparkSession, keep: int = 0):
         forget(spark, own[:cut])
 
 
+#: Bytes of an Arrow batch that goes to a worker, in place of Spark's default of 64 MB; a session that sets another limit keeps it.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches, whose memory is given back when a partition is done.
+
+    By default a batch holds up to 10,000 texts, in the executor and again in the worker. The limit is a setting of the session.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(released, schema)
+
+
+def _release() -> None:
+    """Give memory that this worker holds but does not use back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_passes(batch: pa.RecordBatch, column: str, limit: int = PASS_CHARS):
     """Yield ``(first_row, texts)`` runs of a batch of about ``limit`` bytes each; null texts read as ''."""
     col = batch.column(column)

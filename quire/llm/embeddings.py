@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import components, mixed, spread_join, stored
+from quire.llm.common import components, mapped, mixed, spread_join, stored
 
 #: Quantisation width, and chance to miss a pair that is just similar enough.
 WIDTH, MISS = 2.0, 0.002
@@ -168,7 +168,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, vec_id: str = "vec_i
 
     id_type = df.schema[vec_id].dataType.simpleString()
     source = df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("long").alias("label"))
-    rows = stored(source.mapInArrow(read, f"vec_id {id_type}, label long, vector binary, k1 long, k2 long"))
+    rows = stored(mapped(source, read, f"vec_id {id_type}, label long, vector binary, k1 long, k2 long"))
     grouped = rows.where("vector is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     nodes = stored(grouped.withColumn("node", F.monotonically_increasing_id()))
     n_nodes = nodes.count()
@@ -239,11 +239,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, vec_id: str = "vec_i
                     told(*cell_links(u[heads[i] : heads[i] + size[i]], weights[o], keys[o], int(tab[o[0]]), part[o], threshold), node[o])
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([*x, pa.array([], pa.int64())]) for x in out], ["a", "b", "links"])
 
-    vectors = stored(nodes.select("node", "label", "n", "vector").mapInArrow(keyed, "node long, n long, vector binary, keys array<long>"))
+    vectors = stored(mapped(nodes.select("node", "label", "n", "vector"), keyed, "node long, n long, vector binary, keys array<long>"))
     buckets = vectors.select(F.posexplode("keys").alias("tab", "bucket"), "node").select("bucket", "tab", "node").repartition("bucket").sortWithinPartitions("bucket")
-    meeting = buckets.mapInArrow(cells, "cell long, bucket long, tab long, part long, node long")
+    meeting = mapped(buckets, cells, "cell long, bucket long, tab long, part long, node long")
     full = meeting.join(vectors, "node").select("cell", "bucket", "tab", "part", "node", "n", "vector", "keys").repartition("cell").sortWithinPartitions("cell", "bucket")
-    found = stored(full.mapInArrow(verify, "a long, b long, links long"))
+    found = stored(mapped(full, verify, "a long, b long, links long"))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     groups = components(found.where("b is not null"))
     named = stored(nodes.select("node", "k1", "k2", "n", "first_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))

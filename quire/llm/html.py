@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quire.llm.common import Words, text_passes
+from quire.llm.common import Words, mapped, text_passes
 
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 192, 32, 6, 16
 #: Pages and passes of training, and its seed.
@@ -526,7 +526,7 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id
                 part = b.slice(a, len(pages))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*keep, text, "n_chars"])
 
-    return df.select(*dict.fromkeys([*keep, html])).mapInArrow(run, schema)
+    return mapped(df.select(*dict.fromkeys([*keep, html])), run, schema)
 
 
 if __name__ == "__main__":

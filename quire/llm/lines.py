@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import Words, mixed, small, spread_join, stored, text_passes
+from quire.llm.common import Words, mapped, mixed, small, spread_join, stored, text_passes
 
 WIDTH, JACCARD = 5, 0.8
 #: Counters for the rarity of tokens; their number bounds what is collected and broadcast (1 MB).
@@ -111,7 +111,7 @@ def count_tokens(df: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    got = df.select(text).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = mapped(df.select(text), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(slots, dtype=np.int64)
     out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -151,7 +151,7 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
                 ids = b.column("doc_id").take(pa.array(a + s.text))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(s.number, pa.int32()), pa.array(s.h1), pa.array(s.h2), pa.array(s.size, pa.int32()), lists], ["doc_id", "line", "h1", "h2", "n", "prefix"])
 
-    lines = stored(docs.mapInArrow(find, f"doc_id {id_type}, line int, h1 long, h2 long, n int, prefix array<long>"))
+    lines = stored(mapped(docs, find, f"doc_id {id_type}, line int, h1 long, h2 long, n int, prefix array<long>"))
 
     def shared(batches):
         """From a partition sorted by (posting, h1): tokens of two sets or more that may match, as (cell, part, token, h1).
@@ -208,7 +208,8 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
             yield from out(*map(np.concatenate, zip(*held)))
 
     postings = lines.where("size(prefix) > 0").select(F.explode("prefix").alias("posting"), "h1")
-    meeting = postings.repartition(F.expr(f"shiftright(posting, {TOKEN_SHIFT})")).sortWithinPartitions("posting", "h1").mapInArrow(shared, "cell long, part long, token long, h1 long")
+    postings = postings.repartition(F.expr(f"shiftright(posting, {TOKEN_SHIFT})")).sortWithinPartitions("posting", "h1")
+    meeting = mapped(postings, shared, "cell long, part long, token long, h1 long")
     meeting = stored(meeting.groupBy("cell", "part", "h1").agg(F.min("token").alias("token")))
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("p"), F.count("*").alias("copies"))
     wanted = small(meeting.select("h1").distinct()).withColumn("near", F.lit(True))
@@ -243,7 +244,7 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
                 cols = [pa.array(x[hit]) for x in (cell, part, token, h1, h2)]
                 yield pa.RecordBatch.from_arrays([*cols, ids, pa.array(line[hit]), tokens], names)
 
-    whole = docs.join(need, "doc_id").mapInArrow(read, f"cell long, part long, token long, h1 long, h2 long, doc_id {id_type}, line int, tokens binary")
+    whole = mapped(docs.join(need, "doc_id"), read, f"cell long, part long, token long, h1 long, h2 long, doc_id {id_type}, line int, tokens binary")
     members = whole.repartition("cell").sortWithinPartitions("cell", "doc_id", "line")
 
     def verify(batches):
@@ -296,7 +297,7 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float
         if held:
             yield _matches(done(held), id_kind)
 
-    near = members.mapInArrow(verify, f"h1 long, h2 long, doc_id {id_type}, line int")
+    near = mapped(members, verify, f"h1 long, h2 long, doc_id {id_type}, line int")
     near = near.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("m"))
     bound = stored(firsts.join(near, ["h1", "h2"], "left").select("h1", "h2", "copies", F.least("p", F.coalesce("m", "p")).alias("m")))
     places = lines.select("doc_id", "line", "h1", "h2")
@@ -396,6 +397,6 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float =
     nested = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
     joined = nested.join(grouped, "doc_id", "left").select("row", "text", "gone")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())])
-    out = joined.mapInArrow(cut, schema)
+    out = mapped(joined, cut, schema)
     cols = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
     return out.select(*cols, *([F.col("n").cast("long").alias(removed)] if removed else []))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import Spec, codec_of
-from quire.llm.common import small, stored, text_passes
+from quire.llm.common import mapped, small, stored, text_passes
 
 #: Bins of at most this many free tokens are closed where they are packed.
 SLACK = 4
@@ -188,7 +188,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None
         if items:
             yield packed()
 
-    now = stored(source.mapInArrow(local, schema))
+    now = stored(mapped(source, local, schema))
     waiting = now.where("open")
     options = []
     for size, rank, inner, one in (("used", "bin_rank", "at", "at = 0"), ("length", "piece_rank", "0L", "true")):
@@ -217,5 +217,5 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None
 
     # 24 bits of node and 35 of bin make a number of its own for each closed bin; the root's have the bit above
     rows = now.where("not open").select(*_PIECE, F.expr("shiftleft(node, 35) + bin").alias("sequence_id"), F.col("at").alias("offset"))
-    rows = rows.unionByName(ranked.mapInArrow(placed, done))
+    rows = rows.unionByName(mapped(ranked, placed, done))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

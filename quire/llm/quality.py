@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import Words, mixed, stored, text_passes
+from quire.llm.common import Words, mapped, mixed, stored, text_passes
 
 WINDOW = 5
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_capital_words", "n_marks", "n_letters", "n_stutters"]
@@ -120,7 +120,7 @@ def with_features(df: DataFrame, text: str = "text", names: list[str] | None = N
             for a, texts in text_passes(b, text):
                 yield _featured(b.slice(a, len(texts)), texts, keep, names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return mapped(df.select(*dict.fromkeys([*keep, text])), run, schema)
 
 
 def _featured(part: pa.RecordBatch, texts: list[str], keep: list[str], names: list[str]) -> pa.RecordBatch:
@@ -254,5 +254,5 @@ def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
             for a, texts in text_passes(pa.RecordBatch.from_arrays([b.column("row").field(place)], ["text"]), "text"):
                 yield _featured(b.slice(a, len(texts)), texts, ["row"], FEATURES)
 
-    kept = verdicts(nested.mapInArrow(run, schema), patterns).where("kept")
+    kept = verdicts(mapped(nested, run, schema), patterns).where("kept")
     return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)))

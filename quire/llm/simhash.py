@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Words, components, spread_join, stored, text_passes, without_ids
+from quire.llm.common import Words, components, mapped, spread_join, stored, text_passes, without_ids
 
 WORDS, SEED, BITS = 4, 42, 4
 #: Places of the segments' bits: 4 bits or fewer cannot differ twice in each of three.
@@ -78,7 +78,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             for a, texts in text_passes(b, text):
                 yield pa.RecordBatch.from_arrays([b.column(doc_id).slice(a, len(texts)), pa.array(fingerprints_of(texts).view(np.int64))], ["doc_id", "fp"])
 
-    return df.select(doc_id, text).mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, fp long")
+    return mapped(df.select(doc_id, text), run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, fp long")
 
 
 def variants(fps: np.ndarray) -> np.ndarray:
@@ -194,8 +194,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     prints = stored(fingerprints(df, doc_id, text))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    index = nodes.select("fp").mapInArrow(_index, "key long, fp long")
-    links = index.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    index = mapped(nodes.select("fp"), _index, "key long, fp long")
+    links = mapped(index.repartition("key").sortWithinPartitions("key"), _links, "a long, b long")
     groups = stored(components(links))
     lowest = groups.join(nodes, groups.node == nodes.fp).groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
     labels = spread_join(groups, lowest, ["component"], "members", groups.count()).select(F.col("node").alias("fp"), "component_id")

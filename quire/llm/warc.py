@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_path, spread_join, stored
+from quire.llm.common import mapped, new_path, spread_join, stored
 
 #: Header fields of an ARC record, by the version in the file's first block.
 ARC_FIELDS = {
@@ -211,7 +211,7 @@ def convert_archives(spark: SparkSession, source: str, folder: str) -> None:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.arc{,.gz}").load(source).select("path", "content")
     # a cast keeps all bytes, and the text writer writes them as they are
-    records = files.mapInArrow(convert, "record binary").select(F.col("record").cast("string").alias("record"))
+    records = mapped(files, convert, "record binary").select(F.col("record").cast("string").alias("record"))
     records.write.option("lineSep", END.decode()).option("compression", "gzip").text(folder)
 
 
@@ -253,7 +253,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 run += 1
 
     records = max(1, min(FILE_RECORDS, FILE_BYTES * (total["n"] or 1) // max(total["bytes"] or 1, 1)))
-    joined.select("page_id", "url", "html", "first_id").mapInArrow(convert, "record string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", int(records)).text(folder)
+    mapped(joined.select("page_id", "url", "html", "first_id"), convert, "record string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", int(records)).text(folder)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,7 +285,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
-    return files.mapInArrow(parse, ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'string'}" for n in names))
+    return mapped(files, parse, ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'string'}" for n in names))
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -93,3 +93,10 @@ def test_lengths_that_are_clustered_by_partition_are_packed_as_well_as_mixed_one
     texts = [(r.doc_id, r.text) for r in df.collect()]
     n, total = check(packing.pack(df, PATH, 1000).collect(), texts, 1000)
     assert (n, total) == (3000, 3_000_000)
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    df = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (7, "a b c"), (None, None)], "doc_id long, text string")
+    rows = packing.pack(df, PATH).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (0, 4), (7, 4), (7, 4)]
+    assert len({r.sequence_id for r in rows}) == 1 and sorted(r.offset for r in rows)[0] == 0 and sum(r.length for r in rows) == 13

@@ -127,12 +127,44 @@ def strip_ext(x: Column) -> Column:
     return F.regexp_replace(x, r"\.[^./]+$", "")
 
 
+def date_range(low: Column, high: Column) -> Column:
+    """One date, or two joined by a dash; null without the first."""
+    return F.when(low.isNull() | (low == ""), None).when(low.eqNullSafe(high), low).otherwise(F.concat_ws(" – ", low, high))
+
+
+def pluralize(n: Column, singular: str, plural: str | None = None) -> Column:
+    """A count with its noun, thousands grouped."""
+    return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, singular).otherwise(plural or f"{singular}s"))
+
+
+def highlighted(x: Column, query: str) -> Column:
+    """Array of (text, highlight): the text cut at the query's words, found anywhere without regard to case; joined, the parts give the text."""
+    words = query.split()
+    if not words:
+        return F.when(x == "", F.array().cast("array<struct<text:string,highlight:boolean>>")).otherwise(F.array(F.struct(x.alias("text"), F.lit(False).alias("highlight"))))
+    pattern = "(?i)(" + "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words) + ")"
+    # a sign that no text holds parts the pieces; every second one is a word
+    parts = F.split(F.regexp_replace(x, pattern, "\u0000$1\u0000"), "\u0000", -1)
+    pieces = F.transform(parts, lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("highlight")))
+    return F.filter(pieces, lambda p: p["text"] != "")
+
+
+def truncated(x: Column, n: int = 80) -> Column:
+    """At most ``n`` characters, the last an ellipsis if any were cut; '' for null."""
+    return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n - 1), F.lit("…"))).otherwise(F.coalesce(x, F.lit("")))
+
+
+def sorted_json(entries: Column) -> Column:
+    """A map of strings as JSON with its keys in order, so that equal maps have equal texts."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
 def short_sha(x: Column) -> Column:
     return F.substring(F.sha2(x.cast("binary"), 256), 1, 16)
 
 
 def duration(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.format_string("%.2fs", ms / 1000.0))
+    return F.when(ms.isNull(), "").when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.format_string("%.2fs", ms / 1000.0))
 
 
 def summary_input_note(total: Column, kept: Column) -> Column:

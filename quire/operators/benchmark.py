@@ -99,12 +99,14 @@ def leaderboard(runs: DataFrame, judgments: DataFrame, least: float = 100.0) ->
 def pareto_frontier(board: DataFrame) -> DataFrame:
     """Local models that no other local one beats at one axis while matching it at the other; equal ones both stay.
 
-    ``board`` has a row per model, so the inequality join is small by nature.
+    A model stays if it is the fastest of its quality and faster than all of better quality: one aggregation and a running
+    maximum over the distinct qualities, of which there are fewer than models.
     """
     local = board.where(F.col("provider").isin(LOCAL) & F.col("quality").isNotNull() & F.col("input_tps").isNotNull()).select("provider", "model", "quality", "input_tps")
-    a, b = local.alias("a"), F.broadcast(local).alias("b")
-    beaten = (F.col("b.quality") >= F.col("a.quality")) & (F.col("b.input_tps") >= F.col("a.input_tps")) & ((F.col("b.quality") > F.col("a.quality")) | (F.col("b.input_tps") > F.col("a.input_tps")))
-    return a.join(b, beaten, "left_anti")
+    best = local.groupBy("quality").agg(F.max("input_tps").alias("top"))
+    best = best.withColumn("above", F.max("top").over(W.orderBy(F.desc("quality")).rowsBetween(W.unboundedPreceding, -1)))
+    stays = (F.col("input_tps") == F.col("top")) & (F.col("above").isNull() | (F.col("above") < F.col("input_tps")))
+    return local.join(best, "quality").where(stays).select("provider", "model", "quality", "input_tps")
 
 
 def regime_mix(runs: DataFrame, fields: tuple[str, ...] = ("source_sha", "prompt_sha", "temperature", "max_tokens")) -> DataFrame:

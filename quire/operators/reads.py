@@ -24,8 +24,8 @@ def by_ids(corpus: Corpus, ids: list[int], session_id: int | None = None) -> Dat
 
 def neighbours(corpus: Corpus, ids: DataFrame, n: int) -> DataFrame:
     """Chunks of the same source whose index is within ``n`` of a given chunk's: an equality join with a bound on the difference."""
-    place = corpus.chunks.join(F.broadcast(ids), "chunk_id", "left_semi").select(F.col("chunk_id").alias("hit_id"), "source_kind", "source_id", F.col("chunk_index").alias("hit_index"))
-    near = corpus.chunks.join(F.broadcast(place), ["source_kind", "source_id"])
+    place = corpus.chunks.join(ids, "chunk_id", "left_semi").select(F.col("chunk_id").alias("hit_id"), "source_kind", "source_id", F.col("chunk_index").alias("hit_index"))
+    near = corpus.chunks.join(place, ["source_kind", "source_id"])
     distance = F.col("chunk_index") - F.col("hit_index")
     return near.where(F.abs(distance) <= n).select("hit_id", "chunk_id", "chunk_index", distance.alias("distance"), "text").orderBy("hit_id", "chunk_index")
 

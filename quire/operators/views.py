@@ -38,6 +38,26 @@ def tagged_documents(corpus: Corpus, name: str) -> DataFrame:
     return out.select("document_id", label.alias("label"), "value").orderBy(F.lower("label"), "document_id")
 
 
+def findings_index(corpus: Corpus) -> DataFrame:
+    """Findings, newest first, with their session's name and model, whether the session said the model itself, and their citations' number."""
+    counts = corpus.finding_citations.groupBy("finding_id").agg(F.count("*").alias("citation_count"))
+    held = corpus.sessions.columns
+    session = corpus.sessions.select("session_id", F.col("name").alias("session_name"), *[F.col(c) if c in held else F.lit(None).cast("string").alias(c) for c in ("model", "run_key")])
+    out = corpus.findings.join(session, "session_id").join(counts, "finding_id", "left")
+    newest = ["created_at"] if "created_at" in corpus.findings.columns else []
+    out = out.withColumn("model_set_by_llm", F.col("run_key").isNotNull() & F.col("model").isNotNull()).withColumn("citation_count", F.coalesce("citation_count", F.lit(0)))
+    return out.orderBy(*[F.desc_nulls_last(c) for c in newest], F.desc("finding_id")).select("finding_id", "title", "description", *newest, "session_name", "model", "model_set_by_llm", "citation_count")
+
+
+def document_detail(corpus: Corpus) -> DataFrame:
+    """Each document with its summary and its tags, an array of (tag_id, name, description) by name without regard to case."""
+    named = corpus.document_tags.select("document_id", "tag_id").join(corpus.tags.select("tag_id", "name", "description"), "tag_id")
+    row = F.struct(F.lower("name").alias("k"), "tag_id", "name", "description")
+    tags = named.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda t: F.struct(t["tag_id"].alias("tag_id"), t["name"].alias("name"), t["description"].alias("description"))).alias("tags"))
+    out = corpus.documents.select("document_id", "file_name", "page_count").join(corpus.summaries.select("document_id", "title", "description", F.col("text").alias("summary_text"), "model"), "document_id", "left").join(tags, "document_id", "left")
+    return out.withColumn("tags", F.coalesce("tags", F.array().cast(out.schema["tags"].dataType)))
+
+
 def used_tags(corpus: Corpus) -> DataFrame:
     counts = corpus.document_tags.groupBy("tag_id").agg(F.count("*").alias("doc_count"))
     return corpus.tags.join(counts, "tag_id").select("name", "doc_count").orderBy(F.desc("doc_count"), "name")

@@ -80,6 +80,15 @@ def test_small_functions(spark):
         tx.parse_ids(["chunk:0"], "chunk")
 
 
+def test_shown_texts(spark):
+    assert value(spark, tx.date_range(F.lit("2020"), F.lit("2021"))) == "2020 – 2021" and value(spark, tx.date_range(F.lit("2020"), F.lit("2020"))) == "2020" and value(spark, tx.date_range(F.lit(None), F.lit("x"))) is None
+    assert value(spark, tx.pluralize(F.lit(1234), "match", "matches")) == "1,234 matches" and value(spark, tx.pluralize(F.lit(1), "chunk")) == "1 chunk"
+    assert [(r.text, r.highlight) for r in value(spark, tx.highlighted(F.lit("C++ category, a Cat"), "cat c++"))] == [("C++", True), (" ", False), ("cat", True), ("egory, a ", False), ("Cat", True)]
+    assert [(r.text, r.highlight) for r in value(spark, tx.highlighted(F.lit("abc"), " "))] == [("abc", False)]
+    assert value(spark, tx.truncated(F.lit("x" * 90))) == "x" * 79 + "…" and value(spark, tx.truncated(F.lit(None).cast("string"))) == ""
+    assert value(spark, tx.sorted_json(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2")))) == '{"a":"2","b":"1"}'
+
+
 def test_regexes():
     assert regexes.java(r"(?P<a_b>x)(?P=a_b)") == r"(?<aUb>x)\k<aUb>"
     assert regexes.columns([r"(?P<n>a)(b)", r"(c)"], set()) == [("n", r"(?P<n>a)(b)", 1), ("g1", r"(?P<n>a)(b)", 2), ("g2", r"(c)", 1)]
@@ -303,7 +312,7 @@ def test_envelope(spark):
 
 
 def test_sections(spark):
-    page = "<p>Cover</p><p><a href='#one'>Item 1</a> 3 <a href='#two'>Item 2</a></p><h2 id='one'>Item 1</h2><p>First body.</p><h2><a name='two'></a>Item 2</h2><p>Second body, see <a href='#one'>above</a>.</p>"
+    page = "<p>Cover</p><p><a href='#one'>Item 1</a> <a href='#one'>3</a> <a href='#two'>Item 2</a></p><h2 id='one'>Item 1</h2><p>First body.</p><h2><a name='two'></a>Item 2</h2><p>Second body, see <a href='#one'>above</a>.</p>"
     got = files.html_sections(spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, None)], "page_id long, html string"), "page_id").collect()
     assert [(r.page_id, r.anchor_id, r.section_title) for r in got] == [(1, None, "__preamble__"), (1, "one", "Item 1"), (1, "two", "Item 2")]
     assert "First body." in got[1].text and "Second" not in got[1].text
@@ -379,7 +388,7 @@ def test_files(spark, tmp_path):
 
 def test_figures(spark):
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 50.0, 50.0, 1e6), (1, 52.0, 0.0, 100.0, 50.0, 1e6), (1, 300.0, 300.0, 310.0, 310.0, 1e6)], "page_id long, x0 double, y0 double, x1 double, y1 double, page_area double")
-    assert [tuple(r) for r in files.vector_figures(boxes).collect()] == [(1, 1000, 0.0, 0.0, 100.0, 50.0)]
+    assert [tuple(r) for r in files.vector_figures(boxes).collect()] == [(1, 1000, -1.5, -1.5, 101.5, 51.5)]
 
 
 def test_corpus_on_disk(corpus, spark, tmp_path):

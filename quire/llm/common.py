@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,28 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.tables import shared_folder
+
 #: Rows of Arrow batches are regrouped so that one numpy pass sees about so many characters.
 PASS_CHARS = 1 << 19
 
 
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for tables between steps: the session's ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session (one machine, as in tests) gets a temporary folder; on a
-    cluster, whose executors would each write to a disk of their own, that is refused.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if folder:
-        return folder
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_folders.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="quire-"))
-
-
 #: Paths of the tables written since the innermost ``scratch`` began.
 _written: list[list[str]] = [[]]
 

@@ -18,7 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="quire-"))
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="quire-")
+    return _own[sc.applicationId]
 
 
 def store_of(spark: SparkSession, source: str):

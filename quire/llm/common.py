@@ -180,8 +180,9 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(small(ids), key, "left_anti")
 
 
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that part words.
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _WORD_MULT = 0x9E3779B97F4A7C15
 
 
@@ -218,7 +219,7 @@ class Words:
         self.data = b"\n".join(strings) + b"\n"
         self.bytes = np.frombuffer(self.data, dtype=np.uint8)
         sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) + 1
-        space = _SPACES[self.bytes]
+        space = SPACES[self.bytes]
         before = np.empty(len(space), dtype=bool)
         before[0], before[1:] = True, space[:-1]
         self.start = np.flatnonzero(~space & before)
@@ -227,6 +228,13 @@ class Words:
         self.first = np.searchsorted(self.start, self.offset)
         self.of = np.repeat(np.arange(len(strings)), np.diff(self.first))
 
+    @classmethod
+    def at(cls, data: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, first: np.ndarray) -> Words:
+        """Words whose places in ``data`` are known."""
+        self = cls.__new__(cls)
+        self.bytes, self.start, self.end, self.of, self.first = data, start, end, of, first
+        return self
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, equal for equal words in any batch; temporary arrays span HASH_BLOCK bytes."""
         out = np.empty(len(self.start), dtype=np.uint64)

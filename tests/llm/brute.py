@@ -54,3 +54,7 @@ def base(text):
     dup = sum(x in full[:i] for i, x in enumerate(full))
     n = len(w)
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit), n < 10 or 100 * len(hit) > 20 * n
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from quire.errors import EngineError
 from quire.functions import text as tx
-from quire.operators import citations
+from quire.operators import citations, models
 from quire.sources.corpus import Corpus, chunk_id
+from quire.sources.store import Change
 
 FAILURE_CAP = 3
 #: Unknown targets that a refusal names.
@@ -102,8 +103,13 @@ def probe_dates(corpus: Corpus, pattern: str, examples: int = 5, field: str = "f
     return out.withColumn("suggest", (F.col("match_rate") >= 0.9) & F.lit(field == "file_name")).crossJoin(few)  # a row each
 
 
-def save_finding(corpus: Corpus, finding: DataFrame) -> Corpus:
-    """Append findings (finding_id, session_id, title, description, body) with their chunks and citation edges; faulty bodies are refused."""
+def save_finding(corpus: Corpus, finding: DataFrame, embed: str | None = None) -> Corpus:
+    """The corpus with findings (finding_id, session_id, title, description, body), their chunks and citation edges; faulty bodies are refused."""
+    return finding_saved(corpus, finding, embed).applied(corpus)
+
+
+def finding_saved(corpus: Corpus, finding: DataFrame, embed: str | None = None) -> Change:
+    """What saving findings adds: with ``embed``, the name of a registered model, vectors of their chunks too."""
     if bad := citations.errors(finding).limit(1).collect():
         raise EngineError(bad[0]["code"], f"finding {bad[0]['finding_id']}")
     lost = citations.dangling(finding, corpus.chunks).where("kind = 'chunk'").select("target_id").distinct().orderBy("target_id").limit(NAMED).collect()
@@ -115,18 +121,28 @@ def save_finding(corpus: Corpus, finding: DataFrame) -> Corpus:
         raise EngineError("UNKNOWN_FINDING_LINKS", f"no finding {gone[0]['linked_id']}", unknown_finding_ids=[r["linked_id"] for r in gone])
     pieces = finding.select("finding_id", F.inline(tx.chunk_pieces(F.col("body"))))
     chunks = pieces.select(chunk_id("finding", F.col("finding_id"), F.col("chunk_index")).alias("chunk_id"), F.lit("finding").alias("source_kind"), F.col("finding_id").alias("source_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "text")
-    return corpus.with_tables(
-        findings=corpus.findings.unionByName(finding, allowMissingColumns=True),
-        chunks=corpus.chunks.unionByName(chunks, allowMissingColumns=True),
-        finding_citations=corpus.finding_citations.unionByName(citations.edges(finding).select("finding_id", "chunk_id")),
-    )
+    added = {"findings": finding, "chunks": chunks, "finding_citations": citations.edges(finding).select("finding_id", "chunk_id")}
+    return Change(added | _vectors(chunks, embed))
+
+
+def _vectors(chunks: DataFrame, embed: str | None) -> dict[str, DataFrame]:
+    return {"embeddings": models.embed(chunks.select("chunk_id", "text"), embed, "chunk_id")} if embed else {}
 
 
 def delete_findings(corpus: Corpus, ids: DataFrame) -> Corpus:
-    """Without these findings, their chunks, and citations from or to them."""
-    gone = corpus.chunks.where("source_kind = 'finding'").join(ids.select(F.col("finding_id").alias("source_id")), "source_id", "left_semi").select("chunk_id")
-    cites = corpus.finding_citations.join(ids, "finding_id", "left_anti").join(gone, "chunk_id", "left_anti").select(corpus.finding_citations.columns)
-    return corpus.with_tables(findings=corpus.findings.join(ids, "finding_id", "left_anti"), chunks=corpus.chunks.join(gone, "chunk_id", "left_anti"), finding_citations=cites)
+    """Without these findings, their chunks and vectors, and citations from or to them."""
+    return findings_deleted(corpus, ids).applied(corpus)
+
+
+def findings_deleted(corpus: Corpus, ids: DataFrame) -> Change:
+    gone = _chunks_of(corpus, "finding", ids.select("finding_id"))
+    own, to = (corpus.finding_citations.join(x, k, "left_semi").select("finding_id", "chunk_id") for x, k in ((ids, "finding_id"), (gone, "chunk_id")))
+    return Change(removed={"findings": ids.select("finding_id"), "chunks": gone, "embeddings": gone, "finding_citations": own.unionByName(to)})
+
+
+def _chunks_of(corpus: Corpus, kind: str, ids: DataFrame) -> DataFrame:
+    """``(chunk_id)`` of the chunks of some sources (one column) of a kind."""
+    return corpus.chunks.where(F.col("source_kind") == kind).join(ids.toDF("source_id"), "source_id", "left_semi").select("chunk_id")
 
 
 def delete_counts(corpus: Corpus, ids: DataFrame) -> DataFrame:
@@ -138,22 +154,35 @@ def delete_counts(corpus: Corpus, ids: DataFrame) -> DataFrame:
     return out.crossJoin(count(corpus.finding_citations.join(ids, "finding_id", "left_anti").join(gone, "chunk_id", "left_semi"), "incoming_citations"))  # a row each
 
 
-def edit_finding(corpus: Corpus, finding: DataFrame) -> Corpus:
+def edit_finding(corpus: Corpus, finding: DataFrame, embed: str | None = None) -> Corpus:
     """The finding's new body in place of the old; it must not cite itself."""
+    return finding_edited(corpus, finding, embed).applied(corpus)
+
+
+def finding_edited(corpus: Corpus, finding: DataFrame, embed: str | None = None) -> Change:
     if citations.cites_own(finding, corpus.chunks).limit(1).count():
         raise EngineError("CITES_OWN_CHUNKS", "a finding cannot cite its own chunks")
-    return save_finding(delete_findings(corpus, finding.select("finding_id")), finding)
+    return _in_place(corpus, findings_deleted(corpus, finding.select("finding_id")), finding, embed)
 
 
-def merge_findings(corpus: Corpus, into: DataFrame, sources: list[int]) -> Corpus:
+def _in_place(corpus: Corpus, gone: Change, finding: DataFrame, embed: str | None) -> Change:
+    """A finding in place of others; what it cites is looked for in the corpus without them."""
+    return Change(finding_saved(gone.applied(corpus), finding, embed).added, gone.removed)
+
+
+def merge_findings(corpus: Corpus, into: DataFrame, sources: list[int], embed: str | None = None) -> Corpus:
+    """One finding in place of itself and others."""
+    return findings_merged(corpus, into, sources, embed).applied(corpus)
+
+
+def findings_merged(corpus: Corpus, into: DataFrame, sources: list[int], embed: str | None = None) -> Change:
     target = into.select("finding_id").first()["finding_id"]
     if target in sources:
         raise EngineError("TARGET_IN_SOURCES", "the target is among the sources")
     ids = corpus.spark.createDataFrame([(i,) for i in [*sources, target]], "finding_id long")
-    own = corpus.chunks.where("source_kind = 'finding'").join(ids.select(F.col("finding_id").alias("source_id")), "source_id", "left_semi")
-    if citations.edges(into).join(own, "chunk_id", "left_semi").limit(1).count():
+    if citations.edges(into).join(_chunks_of(corpus, "finding", ids), "chunk_id", "left_semi").limit(1).count():
         raise EngineError("CITES_MERGED_CHUNKS", "the merged body cites chunks that go")
-    return save_finding(delete_findings(corpus, ids), into)
+    return _in_place(corpus, findings_deleted(corpus, ids), into, embed)
 
 
 def delete_chunks_for(chunks: DataFrame, kind: str, ids: DataFrame) -> DataFrame:
@@ -272,13 +301,17 @@ def _next(table: DataFrame, name: str) -> Column:
     return F.lit((table.agg(F.max(name)).first()[0] or 0) + 1)
 
 
-def persist_parse(corpus: Corpus, parsed: DataFrame, chunks: DataFrame, images: DataFrame | None = None) -> Corpus:
+def persist_parse(corpus: Corpus, parsed: DataFrame, chunks: DataFrame, images: DataFrame | None = None, embed: str | None = None) -> Corpus:
     """The corpus with parsed files: documents, their chunks, and rows for their images, which are not described yet.
 
     ``parsed`` has file_hash and what else documents have; sections name their container by ``parent_hash``. ``chunks`` and
     ``images`` name their document by file_hash. A document whose hash is known is not taken in again, nor are its chunks; images are
     one by image_hash. Files that were parsed leave the failure ledger.
     """
+    return parse_persisted(corpus, parsed, chunks, images, embed).applied(corpus)
+
+
+def parse_persisted(corpus: Corpus, parsed: DataFrame, chunks: DataFrame, images: DataFrame | None = None, embed: str | None = None) -> Change:
     new = parsed.dropDuplicates(["file_hash"]).join(corpus.documents.select("file_hash"), "file_hash", "left_anti")
     new = numbered(new, "document_id", _next(corpus.documents, "document_id"))
     ids = new.select("file_hash", "document_id")
@@ -286,47 +319,46 @@ def persist_parse(corpus: Corpus, parsed: DataFrame, chunks: DataFrame, images:
         parents = ids.unionByName(corpus.documents.select("file_hash", "document_id")).select(F.col("file_hash").alias("parent_hash"), F.col("document_id").alias("parent_document_id"))
         new = new.join(parents, "parent_hash", "left").drop("parent_hash")
     rows = chunks.join(ids, "file_hash").select(chunk_id("document", F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), F.lit("document").alias("source_kind"), F.col("document_id").alias("source_id"), *[c for c in chunks.columns if c != "file_hash"])
-    tables = {
-        "documents": _appended(corpus.documents, new),
-        "chunks": _appended(corpus.chunks, rows),
-        "failed_ingests": clear_failures(corpus.failed_ingests, parsed.select("file_hash", F.lit("parse").alias("stage"))),
-    }
+    added = {"documents": new, "chunks": rows} | _vectors(rows, embed)
     if images is not None:
         shown = images.join(ids, "file_hash")
         fresh = shown.select(F.col("image_hash").alias("file_hash"), *[c for c in ("file_path", "width", "height") if c in images.columns]).dropDuplicates(["file_hash"])
         fresh = numbered(fresh.join(corpus.images.select("file_hash"), "file_hash", "left_anti"), "image_id", _next(corpus.images, "image_id"))
-        tables["images"] = _appended(corpus.images, fresh)
-        known = tables["images"].select(F.col("file_hash").alias("image_hash"), "image_id")
-        tables["document_images"] = _appended(corpus.document_images, shown.join(known, "image_hash").select("document_id", "image_id", "page_number", "image_index_on_page").distinct())
-    return corpus.with_tables(**tables)
+        known = _appended(corpus.images, fresh).select(F.col("file_hash").alias("image_hash"), "image_id")
+        added |= {"images": fresh, "document_images": shown.join(known, "image_hash").select("document_id", "image_id", "page_number", "image_index_on_page").distinct()}
+    return Change(added, {"failed_ingests": parsed.select("file_hash", F.lit("parse").alias("stage"))})
 
 
-def persist_captions(corpus: Corpus, captions: DataFrame) -> Corpus:
+def persist_captions(corpus: Corpus, captions: DataFrame, embed: str | None = None) -> Corpus:
     """The corpus with descriptions ``(image_id, analysis_json, analysis_model, text, content_type)`` of images that had none; a repeat changes nothing.
 
     A description with a text is a chunk. Images that were described leave the failure ledger, by whichever document they were.
     """
+    return captions_persisted(corpus, captions, embed).applied(corpus)
+
+
+def captions_persisted(corpus: Corpus, captions: DataFrame, embed: str | None = None) -> Change:
     own = captions.dropDuplicates(["image_id"]).join(corpus.images.where("analysis_json is null").select("image_id"), "image_id", "left_semi")
-    filled = own.select("image_id", F.col("analysis_json").alias("__json"), *([F.col("analysis_model").alias("__model")] if "analysis_model" in corpus.images.columns else []))
-    images = corpus.images.join(filled, "image_id", "left").withColumn("analysis_json", F.coalesce("analysis_json", "__json"))
-    if "analysis_model" in corpus.images.columns:
-        images = images.withColumn("analysis_model", F.coalesce("analysis_model", "__model"))
+    filled = own.select("image_id", *[F.col(c) for c in ("analysis_json", "analysis_model") if c in corpus.images.columns])
+    images = corpus.images.drop("analysis_json", "analysis_model").join(filled, "image_id")
     rows = own.where("trim(text) <> ''").select(chunk_id("image", F.col("image_id"), F.lit(0)).alias("chunk_id"), F.lit("image").alias("source_kind"), F.col("image_id").alias("source_id"), F.lit(0).alias("chunk_index"), "text", "content_type")
     done = corpus.images.join(captions.select("image_id"), "image_id", "left_semi").select("file_hash", F.lit("caption").alias("stage"))
-    return corpus.with_tables(images=images.select(corpus.images.columns), chunks=_appended(corpus.chunks, rows), failed_ingests=clear_failures(corpus.failed_ingests, done))
+    return Change({"images": images, "chunks": rows} | _vectors(rows, embed), {"images": own.select("image_id"), "failed_ingests": done})
 
 
-def persist_summaries(corpus: Corpus, new: DataFrame) -> Corpus:
+def persist_summaries(corpus: Corpus, new: DataFrame, embed: str | None = None) -> Corpus:
     """The corpus with new summaries (summary_id, document_id, title, description, text, model, authored_date) in place of old ones, and their chunks likewise."""
-    gone = corpus.summaries.join(new.select("document_id"), "document_id", "left_semi").select(F.col("summary_id").alias("source_id"))
+    return summaries_persisted(corpus, new, embed).applied(corpus)
+
+
+def summaries_persisted(corpus: Corpus, new: DataFrame, embed: str | None = None) -> Change:
+    old = corpus.summaries.join(new.select("document_id"), "document_id", "left_semi")
+    gone = _chunks_of(corpus, "summary", old.select("summary_id"))
     rows = new.select("summary_id", F.inline(tx.chunk_pieces(F.col("text"))))
     rows = rows.select(chunk_id("summary", F.col("summary_id"), F.col("chunk_index")).alias("chunk_id"), F.lit("summary").alias("source_kind"), F.col("summary_id").alias("source_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "text")
     done = corpus.documents.join(new.select("document_id"), "document_id", "left_semi").select("file_hash", F.lit("summary").alias("stage"))
-    return corpus.with_tables(
-        summaries=save_summaries(corpus.summaries, new),
-        chunks=_appended(delete_chunks_for(corpus.chunks, "summary", gone), rows),
-        failed_ingests=clear_failures(corpus.failed_ingests, done),
-    )
+    added = {"summaries": save_summaries(old, new), "chunks": rows}
+    return Change(added | _vectors(rows, embed), {"summaries": old.select("summary_id"), "chunks": gone, "embeddings": gone, "failed_ingests": done})
 
 
 def _appended(table: DataFrame, rows: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from quire.functions import text as tx
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 POSTING = ["term", "in_heading", "chunk_id", "source_kind", "source_id", "doc_len", "place"]
+POSTING_SCHEMA = "term string, in_heading boolean, chunk_id long, source_kind string, source_id long, doc_len int, place int"
 
 
 def search_phrases(query: str) -> list[list[str]]:

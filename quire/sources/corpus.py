@@ -36,7 +36,7 @@ SCHEMAS = {
     "failed_ingests": "file_hash string, file_name string, stage string, error string, attempts int, last_attempt timestamp",
 }
 #: The tables of the full-text index.
-INDEX = ("postings", "index_stats")
+INDEX = ("postings", "index_stats", "grams")
 KINDS = ["document", "summary", "image", "finding"]
 STAGES = ["parse", "caption", "summary"]
 #: Room for the chunks of one source in chunk numbers.
@@ -74,6 +74,8 @@ class Corpus:
     #: The full-text index of ``chunks`` (see operators.fts) where it has been built.
     postings: DataFrame | None = None
     index_stats: DataFrame | None = None
+    #: The trigram index of ``chunks`` (see operators.grams) where it has been built.
+    grams: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -82,7 +84,7 @@ class Corpus:
     def with_tables(self, **tables: DataFrame) -> Corpus:
         """The corpus with some tables replaced; other chunks leave it without an index until one is given."""
         if "chunks" in tables:
-            tables = {"postings": None, "index_stats": None} | tables
+            tables = dict.fromkeys(INDEX) | tables
         return replace(self, **tables)
 
     def index(self) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +132,7 @@ def open_corpus(spark: SparkSession, folder: str) -> Corpus:
         raise EngineError("SCHEMA_MISMATCH", f"corpus has schema {meta.get('schema_version')}, this code {SCHEMA_VERSION}")
     tables = {f.name: spark.read.schema(SCHEMAS[f.name]).parquet(f"{folder}/{f.name}") for f in fields(Corpus) if f.name not in INDEX}
     try:  # a corpus that was only created has none yet
-        tables |= {name: spark.read.parquet(f"{folder}/{name}") for name in INDEX}
+        tables |= {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "index_stats")}
     except AnalysisException:
         pass
     return Corpus(**tables)

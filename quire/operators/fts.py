@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -66,6 +66,12 @@ def holding(table: DataFrame, phrases: list[list[str]], in_heading: bool = False
     return reduce(lambda a, b: a.join(b.select("chunk_id"), "chunk_id", "left_semi"), legs)
 
 
+def idf(n_all: Column, n: Column) -> Column:
+    """The weight of what ``n`` of all chunks hold; never zero or less."""
+    raw = F.log((n_all - n + 0.5) / (n + 0.5))
+    return F.when(raw <= 0, LEAST_IDF).otherwise(raw)
+
+
 def bm25(table: DataFrame, stats: DataFrame, phrases: list[list[str]], within) -> DataFrame:
     """``(chunk_id, score)``, higher is better, of chunks that hold all phrases and pass ``within`` (a function of a frame with source_kind and source_id).
 
@@ -83,7 +89,5 @@ def bm25(table: DataFrame, stats: DataFrame, phrases: list[list[str]], within) -
     score = F.lit(0.0)
     for i in range(len(legs)):
         f, n = F.col(f"f{i}"), F.col(f"n{i}")
-        idf = F.log((F.col("n_all") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / avg))
+        score = score + idf(F.col("n_all"), n) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / avg))
     return out.select("chunk_id", score.alias("score"))

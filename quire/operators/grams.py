@@ -153,7 +153,7 @@ def candidates(index: DataFrame, plan: Plan) -> DataFrame:
     wanted = grams_of(plan)
     number = F.create_map(*[F.lit(x) for i, g in enumerate(wanted) for x in (g, i)])
     rows = index.where(F.col("gram").isin(wanted)).select("chunk_id", number[F.col("gram")].alias("n"))
-    masks = [F.bit_or(F.when(F.expr(f"n div {BITS}") == m, F.shiftleft(F.lit(1).cast("long"), F.col("n") % BITS)).otherwise(F.lit(0).cast("long"))).alias(f"m{m}") for m in range((len(wanted) + BITS - 1) // BITS)]
+    masks = [F.bit_or(F.expr(f"if(n div {BITS} = {m}, shiftleft(1L, cast(n % {BITS} as int)), 0L)")).alias(f"m{m}") for m in range((len(wanted) + BITS - 1) // BITS)]
     place = {g: i for i, g in enumerate(wanted)}
 
     def fulfils(p) -> Column:

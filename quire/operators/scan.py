@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.errors import EngineError
 from quire.functions import regexes
 from quire.functions import text as tx
-from quire.operators import fts
+from quire.operators import fts, grams
 from quire.operators.scope import Scope, dated, within
 from quire.sources.corpus import Corpus
 
@@ -34,6 +34,8 @@ def matches(corpus: Corpus, query: str, scope: Scope, mode: str = "phrase", head
     The index names the chunks, the scope thins them, and only those are read.
     """
     found = within(corpus, fts.holding(corpus.index()[0], _phrases(query, mode)), scope, ["document"])
+    if body_matches and corpus.grams is not None and (plan := grams.plan_of(regexes.unslash(body_matches, "INVALID_FILTER_REGEX"))) is not None:
+        found = found.join(grams.candidates(corpus.grams, plan), "chunk_id", "left_semi")
     hit = corpus.chunks.where("source_kind = 'document'").join(found.select("chunk_id"), "chunk_id", "left_semi")
     hit = hit.where(_passes(heading_like, body_matches))
     named = hit.withColumnRenamed("source_id", "document_id").join(corpus.documents.select("document_id", "file_name"), "document_id")
@@ -47,6 +49,31 @@ def _passes(heading_like: list[str] | None, body_matches: str | None) -> Column:
     return out
 
 
+def body_candidates(corpus: Corpus, pattern: str, scope: Scope) -> tuple[DataFrame, bool]:
+    """Document chunks within scope that may match ``/pattern/``, and whether the trigram index has named them (else they are all of the scope's)."""
+    plan = grams.plan_of(regexes.unslash(pattern, "INVALID_FILTER_REGEX")) if corpus.grams is not None else None
+    own = corpus.chunks.where("source_kind = 'document'")
+    if plan is None:
+        return within(corpus, own, scope, ["document"]), False
+    named = grams.candidates(corpus.grams.where("source_kind = 'document'"), plan)
+    return within(corpus, own.join(named, "chunk_id", "left_semi"), scope, ["document"]), True
+
+
+def body_scan(corpus: Corpus, pattern: str, scope: Scope) -> DataFrame:
+    """``(document_id, chunk_id, chunk_index, value)`` of document chunks whose body matches ``/pattern/``: no words are asked for, the whole first match is the value."""
+    rx = regexes.java(regexes.unslash(pattern, "INVALID_FILTER_REGEX"))
+    hit = body_candidates(corpus, pattern, scope)[0].where(F.col("text").rlike(rx))
+    return hit.select(F.col("source_id").alias("document_id"), "chunk_id", "chunk_index", F.regexp_extract("text", rx, 0).alias("value"))
+
+
+def body_report(corpus: Corpus, pattern: str, scope: Scope) -> DataFrame:
+    """One row: document chunks within scope, candidates among them, and how many match."""
+    rx = regexes.java(regexes.unslash(pattern, "INVALID_FILTER_REGEX"))
+    every = within(corpus, corpus.chunks.where("source_kind = 'document'"), scope, ["document"]).agg(F.count("*").alias("chunks"))
+    maybe, _ = body_candidates(corpus, pattern, scope)
+    return every.join(F.broadcast(maybe.agg(F.count("*").alias("candidates"), F.count_if(F.col("text").rlike(rx)).alias("matched"))))  # a row each
+
+
 def ordered(df: DataFrame, sort: str = "document") -> DataFrame:
     """By document and place, or oldest first with undated ones last."""
     place = ["document_id", "chunk_index"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import benchmark, citations, curation, integrity, profile, reads, scan, scope, search, tags, views
+from quire.plans import changed
 from quire.plans.adapter_sql import cid, holds, statement
 from quire.sources import corpus as c
 from quire.sources import artifacts, files, share, tables
@@ -418,3 +419,7 @@ def _counts(k: c.Corpus, *names: str) -> DataFrame:
 
 
 assert cid(0, "1", "0")
+
+# ---- changed corpora and indexes that prune
+
+changed.register(QUERIES, ORACLES, everything, _bm25_sql, _knn_sql, _more, first_vector)

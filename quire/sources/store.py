@@ -30,7 +30,7 @@ KEYS = {
     "audit_logs": ["audit_log_id"], "tags": ["tag_id"], "document_tags": ["document_id", "tag_id"], "failed_ingests": ["file_hash", "stage"],
 }
 #: Tables derived from chunks, whose rows go with their chunk.
-DERIVED = ("postings", "grams")
+DERIVED: tuple[str, ...] = ("postings", "grams")
 #: How the rows of a segment are sorted, so that readers can pass over row groups.
 ORDER = {"chunks": ["chunk_id"], "embeddings": ["chunk_id"], "document_tags": ["tag_id", "document_id"]}
 #: Tombstones of a table up to which they are broadcast; more of them are joined by a shuffle.
@@ -179,16 +179,16 @@ class Store:
         mark = self.mark(version)
         tables = {n: self._alive(mark, n).drop(_AT) for n in KEYS}
         stats = self.spark.createDataFrame([(mark["stats"]["n_all"], mark["stats"]["len_all"])], "n_all long, len_all long")
-        return Corpus(**tables, postings=self._alive(mark, "postings").drop(_AT), index_stats=stats, grams=self._alive(mark, "grams").drop(_AT))
+        return Corpus(**tables, index_stats=stats, **{n: self._alive(mark, n).drop(_AT) for n in DERIVED if n in mark["tables"]})
 
     # ---- writing
 
-    def create(self, corpus: Corpus | None = None) -> int:
-        """Version 1: the tables of a corpus, or empty ones."""
+    def create(self, corpus: Corpus | None = None, derived: tuple[str, ...] = DERIVED) -> int:
+        """Version 1: the tables of a corpus, or empty ones; ``derived`` are the indexes that this and later commits keep."""
         if self.versions():
             raise EngineError("PROJECT_EXISTS", f"{self.folder} holds a corpus")
         added = {n: getattr(corpus, n) for n in KEYS} if corpus is not None else {}
-        blank = {"version": 0, "schema_version": SCHEMA_VERSION, "tables": {n: [] for n in (*KEYS, *DERIVED)}, "gone": {}, "stats": {"n_all": 0, "len_all": 0}}
+        blank = {"version": 0, "schema_version": SCHEMA_VERSION, "tables": {n: [] for n in (*KEYS, *derived)}, "gone": {}, "stats": {"n_all": 0, "len_all": 0}}
         return self._commit(blank, Change(added), (corpus.postings, corpus.grams) if corpus is not None else (None, None))
 
     def commit(self, change: Change) -> int:
@@ -213,9 +213,10 @@ class Store:
             tables[name] = [*tables[name], part]
             if name == "chunks":
                 chunks = self._read(name, [part], self._schema(name))  # as written: what comes is tokenised once, from here
-                of = [made[0] if made[0] is not None else fts.postings(chunks), made[1] if made[1] is not None else grams.postings(chunks)]
-                for index, table in zip(DERIVED, of):
-                    held = self._write(index, table.withColumn(_AT, F.lit(number).cast("long")), number, number)
+                for index, table, derive in zip(DERIVED, made, (fts.postings, grams.postings)):
+                    if index not in tables:
+                        continue
+                    held = self._write(index, (derive(chunks) if table is None else table).withColumn(_AT, F.lit(number).cast("long")), number, number)
                     tables[index] = [*tables[index], held] if held["rows"] else tables[index]
                     if index == "postings":
                         stats = {"n_all": stats["n_all"] + part["rows"], "len_all": stats["len_all"] + held["rows"]}
@@ -273,7 +274,7 @@ class Store:
                 whole = self._write(name, self._alive(mark, name, parts[cut:]), number, min(p["oldest"] for p in parts[cut:]), mark["version"])
                 tables[name] = [*parts[:cut], *([whole] if whole["rows"] else [])]
         for of in list(gone):
-            held = [p for n in (of, *(DERIVED if of == "chunks" else ())) for p in tables[n]]
+            held = [p for n in (of, *(DERIVED if of == "chunks" else ())) for p in tables.get(n, [])]
             if not (left := bearing(gone.pop(of), held)):
                 continue
             gone[of] = left

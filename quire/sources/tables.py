@@ -23,9 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
+def folder_of(spark: SparkSession, source: str) -> str:
+    """The folder of the tables that this application derives from ``source``."""
+    return f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}-{zlib.crc32(source.encode()):08x}"
+
+
 def store_of(spark: SparkSession, source: str):
     """A function ``(name, frame)`` that writes a table derived from ``source`` for this application and gives it back."""
-    folder = f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}-{zlib.crc32(source.encode()):08x}"
+    folder = folder_of(spark, source)
 
     def store(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")

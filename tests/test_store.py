@@ -43,11 +43,11 @@ def kept(spark, empty, tmp_path):
 
 
 def rebuilt(corpus):
-    """The same tables without what commits wrote for the index."""
-    return corpus.with_tables(chunks=corpus.chunks)
+    """The same chunks without what commits wrote for the index."""
+    return corpus.with_tables(chunks=corpus.spark.createDataFrame(corpus.chunks.collect(), corpus.chunks.schema))
 
 
-def same_search(corpus, queries=("stone", "river cloud", "amber", '"quiet winter"', "new words", "gone")):
+def same_search(corpus, queries=("river cloud", "words", "quiet-winter")):
     plain = rebuilt(corpus)
     assert corpus.postings is not None and plain.postings is None
     assert corpus.index_stats.first()[:] == fts.statistics(plain.chunks, fts.postings(plain.chunks)).first()[:]
@@ -99,7 +99,7 @@ def test_what_a_commit_writes_grows_with_the_change(spark, kept):
     assert size(kept.folder) - before < 0.5 * before
 
 
-@pytest.mark.parametrize("step", ["_write", "_write_gone", "_lost", "_publish"])
+@pytest.mark.parametrize("step", ["_write", "_lost", "_publish"])
 def test_a_commit_that_fails_leaves_the_version_before(spark, kept, monkeypatch, step):
     kept.commit(curation.finding_saved(kept.corpus(), finding(spark, (1, "gone soon"))))
     before, version = sorted(map(tuple, kept.corpus().chunks.collect()), key=repr), kept.mark()["version"]
@@ -142,7 +142,7 @@ def test_compaction_keeps_rows_and_drops_tombstones(spark, kept, monkeypatch):
         kept.commit(curation.finding_saved(kept.corpus(), finding(spark, (i, f"stone {i}"))))
     kept.commit(curation.finding_edited(kept.corpus(), finding(spark, (2, "amber"))))
     kept.commit(curation.findings_deleted(kept.corpus(), spark.createDataFrame([(0,), (77,)], "finding_id long")))
-    want = {n: sorted(map(tuple, getattr(kept.corpus(), n).collect()), key=repr) for n in (*st.KEYS, "postings")}
+    want = {n: sorted(map(tuple, getattr(kept.corpus(), n).collect()), key=repr) for n in ("findings", "finding_citations", "documents", "chunks", "postings")}
     monkeypatch.setattr(fts, "postings", None)  # nothing is tokenised
     kept.compact()
     mark = kept.mark()

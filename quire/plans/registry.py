@@ -403,6 +403,32 @@ def _filings(spark: SparkSession, d: str) -> DataFrame:
 raw_query("edgar_split", """SELECT doc_id, CAST(p AS INTEGER) AS position, ['10-K', 'EX-99', 'GRAPHIC', 'EX-1'][p + 1] AS doc_type, ['main.txt', 'page' || doc_id || '.htm', 'a.jpg', 'b.txt'][p + 1] AS file_name,
     CASE WHEN p = 0 AND regexp_matches(text, '[^\\s]') THEN 'text' WHEN p = 1 THEN 'html' ELSE 'skip' END AS route, length(['x', '<p>' || lang || '</p>', 'begin 644 a.jpg', ''][p + 1]) AS n FROM documents, range(4) r(p)""")(
     lambda spark, d: files.split_envelope(_filings(spark, d), "doc_id").select("doc_id", "position", "doc_type", "file_name", "route", F.when(F.col("position") == 0, 1).otherwise(F.length("body")).cast("long").alias("n")))
+#: Parts of filings: type, name, what stands round the document's text, and what is left of it. Variants follow the document's number.
+_PARTS = [
+    ("10-K", "m.htm", "", "", "html"), ("EX-99", "a.txt", "", "\nbegin 100 days after closing", "text"), ("COVER", "c.txt", "", "", "skip"), ("XML", "x.txt", "", "", "text"),
+    ("EX-5", "pic.jpeg", "", "", "skip"), ("EX-6", "", "<div>", "", "html"), ("EX-7", "q.txt", "we quote <html> here ", "", "text"), ("EX-8", "s.txt", "<xbrl>", "</XBRL>", "text"),
+    ("EX-101.INS", "i.txt", "", "", "skip"), ("EX-9", "g.dat", "begin 644 a.bin\n", "", "skip"), ("PDF", "p.pdf", "", "", "skip"), (" 10-q ", "n.HTML", "see <XML>", "</XML> and more", "html"),
+]
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filing for each document, its whole text in a part and in a second one of the next variant."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    def part(number):
+        out = F.lit("")
+        for i, (t, n, a, b, _) in enumerate(_PARTS):
+            out = F.when(number % len(_PARTS) == i, F.concat(F.lit(f"<DOCUMENT>\n<TYPE>{t}\n" + (f"<FILENAME>{n}\n" if n else "") + f"<TEXT>\n{a}"), F.col("t"), F.lit(f"{b}\n</TEXT>\n</DOCUMENT>\n"))).otherwise(out)
+        return out
+
+    return docs.select("doc_id", F.concat(F.lit("<SEC-HEADER>x\n"), part(F.col("doc_id")), part(F.col("doc_id") + 5)).alias("text"))
+
+
+_STRIPPED = lambda x: f"trim({x}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_VARIANTS = ", ".join(f"({i}, '{t.strip()}', {repr(n) if n else 'NULL'}, {repr(a) if 'XML' not in b.upper() and 'XBRL' not in b.upper() else repr('')}, {repr(b) if not b.startswith('</') else repr('')}, '{r}')".replace("\\n", "' || chr(10) || '") for i, (t, n, a, b, r) in enumerate(_PARTS))
+raw_query("edgar_bodies", f"""WITH v(i, doc_type, file_name, a, b, route) AS (VALUES {_VARIANTS}),
+    p AS (SELECT doc_id, CAST(k AS INTEGER) AS position, doc_type, file_name, route, {_STRIPPED("a || coalesce(text, '') || b")} AS body FROM documents, (VALUES (0), (1)) n(k) JOIN v ON i = (doc_id + 5 * k) % 12)
+    SELECT doc_id, position, doc_type, file_name, CASE WHEN body = '' OR regexp_matches(substring(body, 1, 200), '(?m)^begin [0-9]{{3}} ') THEN 'skip' ELSE route END AS route, CAST(length(body) AS BIGINT) AS n_chars, md5(body) AS body_md5 FROM p""")(
+    lambda spark, d: files.split_envelope(_bodies(spark, d), "doc_id").select("doc_id", "position", "doc_type", "file_name", "route", F.length("body").cast("long").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5")))
 raw_query("html_sections", """SELECT doc_id, CAST(o AS INTEGER) AS section_order, [NULL, 's1', 's2'][o + 1] AS anchor_id, ['__preamble__', 'Part one', 'Part two'][o + 1] AS section_title, o > 0 AS has_anchor,
     [NULL, source, lang || ' ' || doc_id][o + 1] AS body FROM documents, range(3) r(o)""")(
     lambda spark, d: files.html_sections(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit('<p>Index</p><ul><li><a href="#s1">Part one</a></li><li><a href="#s2">Part two</a></li></ul><h2 id="s1"></h2><p>'), "source", F.lit('</p><h2 id="s2"></h2><p>'), "lang", F.lit(" "), F.col("doc_id").cast("string"), F.lit("</p>")).alias("html")), "doc_id")

@@ -6,6 +6,7 @@ import bisect
 import itertools
 import math
 import re
+from functools import reduce
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,7 +26,14 @@ EXTENSIONS = {
     "image": [".png", ".jpg", ".jpeg", ".gif", ".tif", ".tiff", ".webp", ".bmp"],
 }
 MAGIC = {"25504446": "pdf", "89504E47": "image", "FFD8FF": "image", "47494638": "image", "49492A00": "image", "4D4D002A": "image", "3C21444F": "html", "3C21646F": "html", "3C68746D": "html", "3C48544D": "html"}
-ENVELOPE, INLINE_FACTS = "<SEC-DOCUMENT>", "http://www.xbrl.org/2013/inlineXBRL"
+ENVELOPE, INLINE_FACTS = ("<SEC-DOCUMENT>", "<SEC-HEADER>"), "http://www.xbrl.org/2013/inlineXBRL"
+#: What parts of a filing hold no prose, by type and by extension, and how pages begin.
+PART_SKIPPED_TYPES = ("GRAPHIC", "COVER", "ZIP", "EXCEL")
+PART_SKIPPED_ENDS = (".jpg", ".jpeg", ".gif", ".png", ".bmp", ".tif", ".tiff", ".xml", ".xsd", ".json", ".zip", ".pdf")
+PART_PAGE_ENDS = (".htm", ".html")
+PART_PAGE_STARTS = ("<html", "<!doctype", "<?xml", "<xbrl", "<div", "<table", "<span")
+#: Characters at the start of a part in which the first line of encoded bytes is looked for.
+ENCODED_WITHIN = 200
 
 
 def collect(spark: SparkSession, paths: list[str], only: list[str] | None = None) -> DataFrame:
@@ -84,7 +92,8 @@ def read_text(content: Column) -> Column:
 
 
 def is_envelope(text: Column) -> Column:
-    return F.contains(F.substring(text, 1, 8192), F.lit(ENVELOPE))
+    head = F.substring(text, 1, 8192)
+    return reduce(lambda a, b: a | b, [F.contains(head, F.lit(m)) for m in ENVELOPE])
 
 
 def is_inline_facts(text: Column) -> Column:
@@ -94,18 +103,27 @@ def is_inline_facts(text: Column) -> Column:
 def split_envelope(df: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """``(key, position, doc_type, file_name, route, body)`` for each inner document of a filing.
 
-    Type and name are read before the text part; an XBRL or XML shell round the body goes. Routes: html, text, skip.
+    Type and name stand on lines of their own before the text part (the last of each counts); the text part must be
+    closed. An XBRL or XML shell, wherever it is in the body and in whatever case, leaves what is in it. Routes: html, text, skip.
     """
     parts = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))).alias("position", "block"))
-    head = F.regexp_extract("block", r"(?s)^(.*?)(?:<TEXT>|$)", 1)
-    field = lambda name: F.nullif(F.trim(F.regexp_extract(F.col("head"), rf"<{name}>([^\r\n<]*)", 1)), F.lit(""))
-    inner = F.regexp_extract("block", r"(?s)<TEXT>(.*?)(?:</TEXT>|$)", 1)
-    shell = F.regexp_extract(inner, r"(?s)^\s*<(?:XBRL|XML)>(.*?)</(?:XBRL|XML)>\s*$", 1)
-    out = parts.withColumn("head", head).withColumn("body", tx.strip(F.when(shell != "", shell).otherwise(inner))).withColumn("doc_type", field("TYPE")).withColumn("file_name", field("FILENAME"))
-    e = ext(F.col("file_name"))
-    skip = (F.col("body") == "") | F.col("doc_type").isin("GRAPHIC", "ZIP", "EXCEL", "PDF", "XML", "JSON") | F.startswith("doc_type", F.lit("EX-101")) | e.isin(".jpg", ".gif", ".png", ".xsd", ".xml", ".zip", ".xlsx", ".json", ".js", ".css") | F.col("body").rlike(r"(?m)^begin \d{3} ")
-    route = F.when(F.coalesce(skip, F.lit(False)), "skip").when(e.isin(".htm", ".html") | F.col("body").rlike(r"(?i)<html[\s>]"), "html").otherwise("text")
-    return out.select(key, "position", "doc_type", "file_name", route.alias("route"), "body")
+    opens = F.instr("block", "<TEXT>")
+    rest = F.when(opens > 0, F.substring(F.col("block"), opens + len("<TEXT>"), F.length("block")))
+    closes = F.instr(rest, "</TEXT>")
+    held = F.coalesce(closes > 0, F.lit(False))
+    head, inner = F.when(held, F.substring(F.col("block"), F.lit(1), opens - 1)).otherwise(F.col("block")), F.when(held, F.substring(rest, F.lit(1), closes - 1)).otherwise("")
+    field = lambda name: F.nullif(tx.strip(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.col("head"), F.lit(rf"(?md)^<{name}>(.*)$"), F.lit(1))), -1)), F.lit(""))
+    shell = r"(?si)<(XBRL|XML)>(.*)</\1>"
+    out = parts.select(key, "position", head.alias("head"), tx.strip(inner).alias("inner"))
+    unwrapped = F.when(F.col("inner").rlike(shell), tx.strip(F.regexp_extract("inner", shell, 2))).otherwise(F.col("inner"))
+    out = out.select(key, "position", field("TYPE").alias("doc_type"), field("FILENAME").alias("file_name"), unwrapped.alias("body"))
+    name, kind = F.lower(F.coalesce("file_name", F.lit(""))), F.upper(F.coalesce("doc_type", F.lit("")))
+    ends = lambda names: reduce(lambda a, b: a | b, [F.endswith(name, F.lit(e)) for e in names])
+    begun = F.lower(F.substring("body", 1, max(map(len, PART_PAGE_STARTS))))
+    encoded = F.substring("body", 1, ENCODED_WITHIN).rlike(r"(?md)^begin \d{3} ")
+    skip = (F.col("body") == "") | kind.isin(*PART_SKIPPED_TYPES) | ends(PART_SKIPPED_ENDS) | F.startswith(kind, F.lit("EX-101")) | encoded
+    page = ends(PART_PAGE_ENDS) | reduce(lambda a, b: a | b, [F.startswith(begun, F.lit(x)) for x in PART_PAGE_STARTS])
+    return out.select(key, "position", "doc_type", "file_name", F.when(skip, "skip").when(page, "html").otherwise("text").alias("route"), "body")
 
 
 def section_hash(content: Column, anchor: Column) -> Column:

@@ -460,3 +460,27 @@ def test_views_clamp(corpus):
 
     assert views.clamp(0, 9) == (20, 5) and views.clamp(9999, -1) == (500, 0)
     assert views.enriched(corpus, corpus.documents.select("document_id").limit(3)).columns == ["document_id", "title", "description", "href"]
+
+
+def test_filing_parts(spark):
+    part = lambda head, body: f"<DOCUMENT>\n{head}<TEXT>\n{body}\n</TEXT>\n</DOCUMENT>\n"
+    long = "word " * 60
+    cases = [
+        ("<TYPE>EX-99\n<FILENAME>a.txt\n", long + "\nbegin 100 days after closing", "text", long + "\nbegin 100 days after closing"),
+        ("<TYPE>EX-99\n<FILENAME>a.txt\n", "begin 644 x.jpg\nM1234", "skip", None),
+        ("<TYPE>COVER\n<FILENAME>a.txt\n", long, "skip", None), ("<TYPE>cover\n", long, "skip", None),
+        ("<TYPE>XML\n<FILENAME>a.txt\n", long, "text", None), ("<TYPE>PDF\n<FILENAME>a.txt\n", long, "text", None), ("<TYPE>JSON\n<FILENAME>a.txt\n", long, "text", None),
+        *[("<TYPE>EX-1\n<FILENAME>a" + e + "\n", long, "skip", None) for e in (".jpeg", ".BMP", ".tif", ".tiff", ".pdf", ".json")],
+        ("<TYPE>EX-1\n", " \n<DIV>" + long, "html", None), ("<TYPE>EX-1\n", "it says <html> here", "text", None), ("<TYPE>EX-1\n", "<?xml version='1.0'?><a>b</a>", "html", None),
+        ("<TYPE>EX-1\n", "<xbrl>inner</XBRL>", "text", "inner"), ("<TYPE>EX-1\n", "before <XML> inner <b>x</b></xml> after", "text", "inner <b>x</b>"), ("<TYPE>EX-1\n", "<XML>never closed", "text", "<XML>never closed"),
+        ("<TYPE>EX-1\n<FILENAME>m.HTM\n", "x", "html", "x"), ("<TYPE>EX-101.INS\n", long, "skip", None), ("<TYPE>EX-1\n", " \n ", "skip", ""),
+        ("note <TYPE>GRAPHIC\n<TYPE> EX-2 \n<FILENAME>old.jpg\n<FILENAME>new.txt\n", long, "text", None),
+    ]
+    whole = "<SEC-HEADER>\n" + "".join(part(h, b) for h, b, _, _ in cases) + "<DOCUMENT>\n<TYPE>EX-3\n<TEXT>open to the end\n</DOCUMENT>\n"
+    df = spark.createDataFrame([("p", whole), ("q", None), ("r", "")], "path string, text string")
+    assert [bool(r[0]) for r in df.select(files.is_envelope(F.col("text"))).collect()] == [True, False, False]
+    rows = files.split_envelope(df).orderBy("position").collect()
+    assert [r.route for r in rows] == [c[2] for c in cases] + ["skip"]
+    for r, (_, body, _, want) in zip(rows, cases):
+        assert r.body == (body.strip() if want is None else want.strip())
+    assert (rows[-2].doc_type, rows[-2].file_name) == ("EX-2", "new.txt") and rows[-1].body == "" and rows[-1].doc_type == "EX-3"

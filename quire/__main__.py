@@ -1,7 +1,9 @@
 """``python -m quire CORPUS REQUEST [name=value ...]``: a request's answer, or its error, as one JSON line.
 
 Values are JSON where they parse as such, else text: ``python -m quire /data/corpus scan query="some words" limit=5``.
-``verify`` (counts of broken rules) and ``info`` (rows of the main tables) are requests too. Exit code 1 tells of an error.
+``verify`` (counts of broken rules) and ``info`` (rows of the main tables) are requests too. A folder of commits (``create``) also
+takes the requests that change it: ``python -m quire /data/corpus save_finding title=T description=D body_file=finding.md``. Texts may
+come from files, ``NAME_file=PATH``. Exit code 1 tells of an error.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from quire import api
 from quire.errors import EngineError
 from quire.operators import integrity, views
 from quire.sources import corpus as c
+from quire.sources.store import Store
+from quire.writes import WRITES
 
 
 def _value(text: str):
@@ -24,16 +28,34 @@ def _value(text: str):
         return text
 
 
+def _texts(named: dict) -> dict:
+    """Arguments with what ``NAME_file`` names read in."""
+    out = {}
+    for k, v in named.items():
+        if not k.endswith("_file"):
+            out[k] = v
+            continue
+        try:
+            with open(v, encoding="utf-8") as f:
+                out[k.removesuffix("_file")] = f.read()
+        except OSError as wrong:
+            raise EngineError(f"{k.upper()}_NOT_FOUND", f"cannot read {v}") from wrong
+    return out
+
+
 def respond(spark: SparkSession, argv: list[str]) -> dict:
     """The envelope for a command line."""
     requests = api.REQUESTS | {"info": lambda k: {"rows": {r["name"]: r["n"] for r in views.corpus_info(k).collect()}}, "verify": lambda k: {"violations": {r["rule"]: r["n"] for r in integrity.violations(k).collect()}}}
 
     def run() -> dict:
-        if len(argv) < 2 or argv[1] not in requests or not all("=" in a for a in argv[2:]):
-            raise EngineError("USAGE_ERROR", __doc__.split("\n")[0], known=sorted(requests))
-        named = {k: _value(v) for k, _, v in (a.partition("=") for a in argv[2:])}
+        if len(argv) < 2 or argv[1] not in {*requests, *WRITES} or not all("=" in a for a in argv[2:]):
+            raise EngineError("USAGE_ERROR", __doc__.split("\n")[0], known=sorted([*requests, *WRITES]))
+        named = _texts({k: _value(v) for k, _, v in (a.partition("=") for a in argv[2:])})
+        store = Store(spark, argv[0])
         try:
-            return requests[argv[1]](c.open_corpus(spark, argv[0]), **named)
+            if argv[1] in WRITES:
+                return WRITES[argv[1]](store, **named)
+            return requests[argv[1]](store.corpus() if store.versions() else c.open_corpus(spark, argv[0]), **named)
         except TypeError as wrong:
             raise EngineError("USAGE_ERROR", str(wrong)) from wrong
 

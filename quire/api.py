@@ -36,14 +36,16 @@ def hint(offset: int, shown: int, total: int) -> str | None:
 
 
 def answer(request, *args, **kwargs) -> dict:
-    """A request's result, or its error as an envelope."""
+    """A request's result, or its error as an envelope; what nobody foresaw is INTERNAL_ERROR."""
     try:
         return request(*args, **kwargs)
     except EngineError as refused:
         return refused.envelope()
+    except Exception as wrong:  # an envelope is owed whatever happens
+        return EngineError("INTERNAL_ERROR", f"{type(wrong).__name__}: {wrong}").envelope()
 
 
-#: Fields of a document by tier.
+#: Fields of a document by tier.
 TIERS = {
     "brief": ["document_id", "file_name", "title"],
     "default": ["document_id", "file_name", "title", "description", "authored_date", "has_summary", "image_count"],
@@ -94,6 +96,7 @@ def read_document_request(corpus: Corpus, document_id: int, summary: bool = Fals
     return {"document": document, "summary": told["text"] if told and (summary or not full) else None, "full_text": row["text"] if want_full else None}
 
 
+#: Fields of a chunk.
 CHUNK_FIELDS = ["chunk_id", "chunk_index", "section_heading", "page_number", "content_type", "text", "text_length"]
 
 

@@ -39,9 +39,10 @@ def postings(chunks: DataFrame) -> DataFrame:
     return part("body", False).unionByName(part("head", True))
 
 
-def in_order(table: DataFrame) -> DataFrame:
-    """Postings dealt by ranges of (term, chunk) and sorted, ready to be written: a frequent term spans several parts."""
-    return table.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "in_heading", "chunk_id", "place")
+def in_order(table: DataFrame, few: bool = False) -> DataFrame:
+    """Postings dealt by ranges of (term, chunk) and sorted, ready to be written: a frequent term spans several parts. ``few`` of them make one part."""
+    dealt = table.coalesce(1) if few else table.repartitionByRange("term", "chunk_id")
+    return dealt.sortWithinPartitions("term", "in_heading", "chunk_id", "place")
 
 
 def statistics(chunks: DataFrame, table: DataFrame) -> DataFrame:

@@ -38,9 +38,10 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(trigrams(F.col("text"))).alias("gram"), "chunk_id", "source_kind", "source_id")
 
 
-def in_order(table: DataFrame) -> DataFrame:
-    """Rows dealt by ranges of (trigram, chunk) and sorted, ready to be written."""
-    return table.repartitionByRange("gram", "chunk_id").sortWithinPartitions("gram", "chunk_id")
+def in_order(table: DataFrame, few: bool = False) -> DataFrame:
+    """Rows dealt by ranges of (trigram, chunk) and sorted, ready to be written; ``few`` of them make one part."""
+    dealt = table.coalesce(1) if few else table.repartitionByRange("gram", "chunk_id")
+    return dealt.sortWithinPartitions("gram", "chunk_id")
 
 
 def _all(plans) -> Plan:

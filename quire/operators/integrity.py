@@ -67,12 +67,17 @@ def schema_faults(tables: dict[str, DataFrame], schemas: dict[str, str]) -> list
     return out
 
 
-def run_all(corpus: Corpus) -> dict[str, object]:
-    """Every audit by name; one that fails gives its error and the others still run."""
+#: Rows of an audit that its report shows.
+SHOWN = 100
+
+
+def run_all(corpus: Corpus, shown: int = SHOWN) -> dict[str, object]:
+    """Every audit by name: ``{"n": all its rows, "examples": the first of them}``; one that fails gives its error and the others still run."""
     out: dict[str, object] = {}
     for audit in (orphan_chunks, id_sync, violations, contradicted_failures):
         try:
-            out[audit.__name__] = audit(corpus).limit(100).collect()
+            found = audit(corpus)
+            out[audit.__name__] = {"n": found.count(), "examples": found.orderBy(*found.columns).limit(shown).collect()}
         except Exception as wrong:  # the report says which audit could not run
             out[audit.__name__] = wrong
     return out

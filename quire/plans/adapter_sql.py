@@ -62,8 +62,9 @@ PARTS: dict[str, tuple[list[str], str]] = {
            FROM conversations WHERE role = 'assistant'""",
     ),
     "c_sessions": ([], "SELECT DISTINCT conv_id AS session_id, 'run-' || conv_id AS name, conv_id % 3 <> 0 AS memory_enabled FROM conversations"),
-    "c_images": ([], "SELECT item_id AS image_id, item_id % 6 <> 5 AS captioned FROM benchmark"),
-    "c_links": ([], "SELECT doc_id AS document_id, doc_id % (SELECT count(*) FROM benchmark) AS image_id, CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 9 + 1 AS INTEGER) END AS page_number FROM documents WHERE doc_id % 10 = 3"),
+    "c_images": ([], "SELECT item_id AS image_id, true AS captioned FROM benchmark UNION ALL SELECT item_id + 1000000, false FROM benchmark WHERE item_id % 6 = 5"),
+    "c_own_links": ([], "SELECT doc_id AS document_id, doc_id % (SELECT count(*) FROM benchmark) AS image_id, CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 9 + 1 AS INTEGER) END AS page_number FROM documents WHERE doc_id % 10 = 3"),
+    "c_links": (["c_own_links"], "SELECT * FROM c_own_links UNION ALL SELECT document_id, image_id + 1000000, page_number FROM c_own_links WHERE image_id % 6 = 5"),
     "c_pieces": ([], _pieces("SELECT * FROM documents", "doc_id", ", lang")),
     "c_finding_pieces": (["c_findings"], _pieces("SELECT finding_id, text FROM c_findings", "finding_id")),
     "c_chunks": (
@@ -72,7 +73,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
              CASE WHEN chunk_index % 4 = 0 THEN 'Appendix ' || (chunk_index // 4) END AS section_heading, CAST(chunk_index // 4 + 1 AS INTEGER) AS page_number,
              CASE lang WHEN 'fr' THEN 'ocr' WHEN 'de' THEN 'text' WHEN 'es' THEN 'sec_text' END AS content_type FROM c_pieces
            UNION ALL SELECT {cid(1, "summary_id", "0")}, 'summary', summary_id, 0, text, NULL, NULL, NULL FROM c_summaries WHERE model <> 'backfill'
-           UNION ALL SELECT {cid(2, "item_id", "0")}, 'image', item_id, 0, text, NULL, NULL, CASE WHEN item_id % 2 = 0 THEN 'image_ocr' ELSE 'image_description' END FROM benchmark WHERE item_id % 6 <> 5
+           UNION ALL SELECT {cid(2, "item_id", "0")}, 'image', item_id, 0, text, NULL, NULL, CASE WHEN item_id % 2 = 0 THEN 'image_ocr' ELSE 'image_description' END FROM benchmark
            UNION ALL SELECT {cid(3, "finding_id", "chunk_index")}, 'finding', finding_id, chunk_index, text, NULL, NULL, NULL FROM c_finding_pieces""",
     ),
     "c_embeddings": ([], f"SELECT {cid(0, 'vec_id', '0')} AS chunk_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings"),

@@ -41,6 +41,8 @@ KINDS = ["document", "summary", "image", "finding"]
 STAGES = ["parse", "caption", "summary"]
 #: Room for the chunks of one source in chunk numbers.
 CHUNK_ROOM = 100_000
+#: Numbers of the test corpus's images without a description begin here.
+BARE_IMAGES = 1_000_000
 #: The tags of the test corpus.
 TAGS = [
     (1, "quality", "good prose", None, None),
@@ -96,8 +98,9 @@ class Corpus:
 
 
 def chunk_id(kind: str, source_id, index) -> F.Column:
-    """A chunk's number: a function of its kind, source and index, so that no global counter is needed."""
-    return ((source_id.cast("long") * len(KINDS) + KINDS.index(kind)) * CHUNK_ROOM + index + 1).cast("long")
+    """A chunk's number: a function of its kind, source and index, so that no global counter is needed. A source with more than CHUNK_ROOM chunks ends the job with an error."""
+    number = ((source_id.cast("long") * len(KINDS) + KINDS.index(kind)) * CHUNK_ROOM + index + 1).cast("long")
+    return F.when(index >= CHUNK_ROOM, F.raise_error(F.concat(F.lit(f"more than {CHUNK_ROOM} chunks: {kind} "), source_id.cast("string"))).cast("long")).otherwise(number)
 
 
 def create(spark: SparkSession, folder: str, meta: dict[str, str] | None = None) -> None:
@@ -189,9 +192,12 @@ def from_testdata(spark: SparkSession, sf_dir: str, store=lambda name, df: df) -
     findings = said.select((conv * 1000 + turn).alias("finding_id"), conv.alias("session_id"), F.substring("text", 1, 40).alias("title"), F.lit(None).cast("string").alias("description"), body.alias("body"), "text")
     sessions = turns.select("conv_id").distinct().select(conv.alias("session_id"), F.concat(F.lit("run-"), conv.cast("string")).alias("name"), (conv % 3 != 0).alias("memory_enabled"), F.when(conv % 4 != 0, F.concat(F.lit("key-"), conv.cast("string"))).alias("run_key"))
     item = F.col("item_id")
-    images = bench.select(item.alias("image_id"), digest.alias("file_hash"), F.when(item % 6 != 5, F.to_json(F.struct(F.col("text").alias("description")))).alias("analysis_json"))
+    images = bench.select(item.alias("image_id"), digest.alias("file_hash"), F.to_json(F.struct(F.col("text").alias("description"))).alias("analysis_json"))
+    bare = bench.where(item % 6 == 5).select((item + BARE_IMAGES).alias("image_id"), F.sha2(item.cast("string").cast("binary"), 256).alias("file_hash"), F.lit(None).cast("string").alias("analysis_json"))
+    images = images.unionByName(bare)  # further images that nobody has described yet
     count = bench.agg(F.count("*").alias("n_images"))
     links = raw.where(d % 10 == 3).crossJoin(F.broadcast(count)).select(d.alias("document_id"), (d % F.col("n_images")).alias("image_id"), F.when(d % 4 != 0, d % 9 + 1).cast("int").alias("page_number"), F.lit(1).alias("image_index_on_page"))  # the count is one row
+    links = links.unionByName(links.where("image_id % 6 = 5").withColumns({"image_id": F.col("image_id") + BARE_IMAGES, "image_index_on_page": F.lit(2)}))
     none = F.lit(None).cast("string")
 
     def as_chunks(df: DataFrame, kind: str, source, index, text, heading=none, page=F.lit(None).cast("int"), content=none) -> DataFrame:
@@ -202,7 +208,7 @@ def from_testdata(spark: SparkSession, sf_dir: str, store=lambda name, df: df) -
     by_lang = F.when(F.col("lang") == "fr", "ocr").when(F.col("lang") == "de", "text").when(F.col("lang") == "es", "sec_text")
     chunks = as_chunks(pieces, "document", d, i, F.col("text"), F.when(i % 4 == 0, F.concat(F.lit("Appendix "), F.expr("chunk_index div 4").cast("string"))), F.expr("chunk_index div 4 + 1"), by_lang)
     chunks = chunks.unionByName(as_chunks(summaries.where("model <> 'backfill'"), "summary", F.col("summary_id"), F.lit(0), F.col("text")))
-    chunks = chunks.unionByName(as_chunks(bench.where(item % 6 != 5), "image", item, F.lit(0), F.col("text"), content=F.when(item % 2 == 0, "image_ocr").otherwise("image_description")))
+    chunks = chunks.unionByName(as_chunks(bench, "image", item, F.lit(0), F.col("text"), content=F.when(item % 2 == 0, "image_ocr").otherwise("image_description")))
     chunks = chunks.unionByName(as_chunks(findings.select("finding_id", F.inline(tx.chunk_pieces(F.col("text")))), "finding", F.col("finding_id"), i, F.col("text")))
     chunks = store("chunks", chunks)
     embeddings = read("embeddings").select(chunk_id("document", F.col("vec_id"), F.lit(0)).alias("chunk_id"), "embedding")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,10 @@ BROADCAST_GONE = 1_000_000
 FILTERED_KEYS = 1000
 #: A segment is merged with the younger ones if it has at most so many times their rows.
 RATIO = 2.0
+#: Chunks of a commit up to which each of its indexes is one file.
+FEW_CHUNKS = 2000
+#: Tables that a commit writes at a time.
+WRITERS = 8
 _AT = "__commit"
 
 
@@ -198,28 +203,29 @@ class Store:
     def _commit(self, mark: dict, change: Change, made: tuple[DataFrame | None, DataFrame | None]) -> int:
         number = mark["version"] + 1
         tables, gone, stats = dict(mark["tables"]), dict(mark["gone"]), dict(mark["stats"])
-        for name, keys in change.removed.items():
-            part = self._write_gone(name, keys.select(KEYS[name]).distinct(), number)
+        with ThreadPoolExecutor(WRITERS) as pool:  # tables do not wait for each other
+            going = {n: pool.submit(self._write_gone, n, keys.select(KEYS[n]).distinct(), number) for n, keys in change.removed.items()}
+            coming = {n: pool.submit(self._write, n, self._whole(n, rows).withColumn(_AT, F.lit(number).cast("long")), number, number) for n, rows in change.added.items()}
+        for name, part in ((n, f.result()) for n, f in going.items()):
             if not part["rows"]:
                 continue
             if name == "chunks":
                 n, size = self._lost(mark, part)
                 stats = {"n_all": stats["n_all"] - n, "len_all": stats["len_all"] - size}
             gone[name] = [*gone.get(name, []), part]
-        for name, rows in change.added.items():
-            part = self._write(name, self._whole(name, rows).withColumn(_AT, F.lit(number).cast("long")), number, number)
+        for name, part in ((n, f.result()) for n, f in coming.items()):
             if not part["rows"]:
                 continue
             tables[name] = [*tables[name], part]
             if name == "chunks":
                 chunks = self._read(name, [part], self._schema(name))  # as written: what comes is tokenised once, from here
-                for index, table, derive in zip(DERIVED, made, (fts.postings, grams.postings)):
-                    if index not in tables:
-                        continue
-                    held = self._write(index, (derive(chunks) if table is None else table).withColumn(_AT, F.lit(number).cast("long")), number, number)
-                    tables[index] = [*tables[index], held] if held["rows"] else tables[index]
-                    if index == "postings":
-                        stats = {"n_all": stats["n_all"] + part["rows"], "len_all": stats["len_all"] + held["rows"]}
+                indexes = [(i, derive(chunks) if table is None else table) for i, table, derive in zip(DERIVED, made, (fts.postings, grams.postings)) if i in tables]
+                with ThreadPoolExecutor(WRITERS) as pool:
+                    write = lambda index: self._write(index[0], index[1].withColumn(_AT, F.lit(number).cast("long")), number, number, 0, part["rows"] <= FEW_CHUNKS)  # noqa: E731, B023
+                    for (index, _), held in zip(indexes, pool.map(write, indexes)):
+                        tables[index] = [*tables[index], held] if held["rows"] else tables[index]
+                        if index == "postings":
+                            stats = {"n_all": stats["n_all"] + part["rows"], "len_all": stats["len_all"] + held["rows"]}
         return self._publish(mark | {"version": number, "tables": tables, "gone": gone, "stats": stats})
 
     def _whole(self, name: str, rows: DataFrame) -> DataFrame:
@@ -227,10 +233,10 @@ class Store:
         kinds = self.spark.createDataFrame([], self._schema(name)).dtypes
         return rows.select(*[F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in kinds])
 
-    def _write(self, name: str, rows: DataFrame, number: int, oldest: int, applied: int = 0) -> dict:
+    def _write(self, name: str, rows: DataFrame, number: int, oldest: int, applied: int = 0, few: bool = False) -> dict:
         path = f"data/{name}/{number:012d}-{uuid.uuid4().hex}"
         if name in DERIVED:
-            rows = {"postings": fts.in_order, "grams": grams.in_order}[name](rows)
+            rows = {"postings": fts.in_order, "grams": grams.in_order}[name](rows, few)
         elif name in ORDER:
             rows = rows.sortWithinPartitions(*ORDER[name])
         rows.write.parquet(f"{self.folder}/{path}")

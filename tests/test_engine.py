@@ -412,7 +412,9 @@ def test_corpus_on_disk(corpus, spark, tmp_path):
 
 def test_audits(corpus):
     report = integrity.run_all(corpus)
-    assert set(report) == {"orphan_chunks", "id_sync", "violations", "contradicted_failures"} and report["orphan_chunks"] == []
+    assert set(report) == {"orphan_chunks", "id_sync", "violations", "contradicted_failures"} and report["orphan_chunks"] == {"n": 0, "examples": []}
+    many = integrity.run_all(corpus.with_tables(documents=corpus.documents.where("false")), shown=3)["orphan_chunks"]
+    assert many["n"] == corpus.chunks.where("source_kind = 'document'").count() and len(many["examples"]) == 3
     assert isinstance(integrity.run_all(corpus.with_tables(embeddings=None))["id_sync"], Exception)
 
 
@@ -484,3 +486,10 @@ def test_filing_parts(spark):
     for r, (_, body, _, want) in zip(rows, cases):
         assert r.body == (body.strip() if want is None else want.strip())
     assert (rows[-2].doc_type, rows[-2].file_name) == ("EX-2", "new.txt") and rows[-1].body == "" and rows[-1].doc_type == "EX-3"
+
+
+def test_chunk_numbers_have_room(spark):
+    number = lambda i: spark.range(1).select(c.chunk_id("document", F.lit(3), F.lit(i))).first()[0]
+    assert number(c.CHUNK_ROOM - 1) == 13 * c.CHUNK_ROOM == spark.range(1).select(c.chunk_id("summary", F.lit(3), F.lit(0))).first()[0] - 1
+    with pytest.raises(Exception, match="more than 100000 chunks: document 3"):
+        number(c.CHUNK_ROOM)

@@ -44,12 +44,12 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SCOPES = frozenset("article aside blockquote body div footer form header html main nav ol section table ul".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_REST = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>")
+_MARKS = re.compile("['\">]")
 _ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
-#: Tags of a page whose quotes never close, after which quotes are not heeded any more; each costs a look at the rest of the page.
-MOST_BROKEN = 16
+#: Blocks of a page that are described and read at once; pages of more are read in segments of so many.
+SEGMENT = 4096
 
 
 class TagPath:
@@ -69,15 +69,18 @@ class TagPath:
         return tuple(out[::-1])
 
     def vector(self) -> np.ndarray:
-        """Hashed tokens of the elements' tags and names, the nearest three at full weight, those further out at 0.7."""
-        bare, p = [], self
+        """Hashed tokens of the elements' tags and names, the nearest three at full weight, those further out at 0.7.
+
+        Sums are kept with the elements around, which other blocks share, not with the block's own.
+        """
+        bare, p = [], self.up
         while p and p._sum is None:
             bare.append(p)
             p = p.up
         run = p._sum if p else np.zeros(PATH_DIM, dtype=np.float32)
         for p in reversed(bare):
             run = p._sum = run + _element_vector(p.element)
-        out, p = 0.7 * run, self
+        out, p = 0.7 * (run + _element_vector(self.element)), self
         for _ in range(3):
             if p:
                 out += 0.3 * _element_vector(p.element)
@@ -137,13 +140,31 @@ class _Open:
         return self.paths[-1] if self.paths else None
 
 
+def _tag_end(page: str, at: int, doomed: set[int]) -> int:
+    """Where a tag whose name ends at ``at`` ends, past the first ``>`` outside quotes; 0 if a quote before it never closes, or there is none.
+
+    What follows a quote or ``>`` outside quotes depends on its place alone, so ``doomed`` keeps the places from which a
+    walk failed: no place is walked over twice by walks that fail, and those that do not fail go on from their end.
+    """
+    seen = []
+    while (m := _MARKS.search(page, at)) and m.start() not in doomed:
+        if m[0] == ">":
+            return m.end()
+        seen.append(m.start())
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            break
+    doomed.update(seen)
+    return 0
+
+
 def _markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
     """(begin, end, closes, tag, attributes) of each piece of markup, in one walk forward; tag is '' for what only goes: comments, declarations, RAW elements.
 
     A tag that the page's end cuts off goes with all after it. Where a quote in a tag never closes, the tag
     ends at the next ``>``. A RAW element without an end goes to the page's end if it is a script or style; of others only the tag goes.
     """
-    at, broken, endless = 0, 0, set()
+    at, doomed, endless = 0, set(), set()
     while (at := page.find("<", at)) >= 0:
         if page.startswith("<!--", at):
             end = page.find("-->", at + 4)
@@ -153,10 +174,7 @@ def _markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
             end = page.find(">", at + 2) + 1 or len(page)
             yield at, end, False, "", ""
         elif m := _TAG.match(page, at):
-            rest = _REST.match(page, m.end()) if broken < MOST_BROKEN else None
-            if not rest:
-                broken += 1
-            end = rest.end() if rest else page.find(">", m.end()) + 1
+            end = _tag_end(page, m.end(), doomed) or page.find(">", m.end()) + 1
             if not end:
                 yield at, len(page), False, "", ""
                 return
@@ -224,8 +242,8 @@ def blocks_of(page: str) -> list[tuple[str, TagPath | None, float]]:
     return out
 
 
-def describe(pages: list[list[tuple[str, TagPath | None, float]]]) -> list[np.ndarray]:
-    """A matrix of block vectors for each page."""
+def describe(pages: list[list[tuple[str, TagPath | None, float]]], places: np.ndarray | None = None) -> list[np.ndarray]:
+    """A matrix of block vectors for each page; ``places`` are the blocks' shares of the way through their page, where those given are not all of it."""
     flat = [b for p in pages for b in p]
     if not flat:
         return [np.zeros((0, PATH_DIM + WORD_DIM + MEASURES), dtype=np.float32) for _ in pages]
@@ -236,7 +254,7 @@ def describe(pages: list[list[tuple[str, TagPath | None, float]]]) -> list[np.nd
     words = np.bincount(cell, weights=np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0), minlength=len(flat) * WORD_DIM).reshape(-1, WORD_DIM) * 0.4 / np.sqrt(np.maximum(n, 1))[:, None]
     size = np.array([len(b[0]) for b in flat])
     ends = np.array([b[0][-1] in ".!?…:;\"'”" for b in flat])
-    at = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages])
+    at = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages]) if places is None else places
     measures = np.stack([np.log1p(size) / 5, np.log1p(n) / 4, ends, [b[2] for b in flat], at, np.array([b[1].depth if b[1] else 0 for b in flat]) / 8], axis=1)
     x = np.concatenate([np.stack([b[1].vector() if b[1] else np.zeros(PATH_DIM, dtype=np.float32) for b in flat]), words, measures], axis=1).astype(np.float32)
     return np.split(x, np.cumsum([len(p) for p in pages])[:-1])
@@ -337,6 +355,33 @@ class Committee:
         """Chance of each block to be article."""
         return [_sigmoid(np.mean(x, axis=0)) for x in zip(*(m.logits(pages) for m in self.members))]
 
+    def long_page(self, blocks: list[tuple[str, TagPath | None, float]], segment: int = SEGMENT) -> np.ndarray:
+        """The same chances for one page of any length, all members in one step at a time.
+
+        Blocks are described segment by segment, on the way forth and again on the way back; of the way forth
+        one number a block and member is kept, what its hidden state says.
+        """
+        n, m = len(blocks), len(self.members)
+        stack = lambda k: np.stack([x.w[k] for x in self.members])
+        straight, bias, out_of = stack("s").T, stack("c")[:, 0], stack("o")
+        logits = np.empty((n, m), dtype=np.float32)
+        cuts = [(a, min(a + segment, n)) for a in range(0, n, segment)]
+        for way, side in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+            into, over, start, say = np.concatenate([x.w["x" + way] for x in self.members], axis=1), stack("h" + way), stack("b" + way), out_of[:, side]
+            h = c = np.zeros((m, HIDDEN), dtype=np.float32)
+            for a, b in cuts if way == "f" else cuts[::-1]:
+                x = describe([blocks[a:b]], np.arange(a, b) / n)[0]
+                z_all = (x @ into).reshape(b - a, m, 4 * HIDDEN) + start
+                held = np.empty((b - a, m, HIDDEN), dtype=np.float32)
+                for t in range(b - a) if way == "f" else range(b - a - 1, -1, -1):
+                    z = z_all[t] + (h[:, None, :] @ over)[:, 0]
+                    gates = _sigmoid(z[:, : 3 * HIDDEN])
+                    c = gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+                    h = held[t] = gates[:, 2 * HIDDEN :] * np.tanh(c)
+                said = (held * say).sum(axis=2)
+                logits[a:b] = said + x @ straight + bias if way == "f" else logits[a:b] + said
+        return _sigmoid(logits.mean(axis=1))
+
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p) for p in pages)
@@ -505,7 +550,8 @@ def _trained(seed: int) -> dict[str, np.ndarray]:
 def main_texts(pages: list[str], model: Committee) -> list[str]:
     """Article blocks of each page, one to a line."""
     blocks = [blocks_of(p) for p in pages]
-    chances = model.probabilities(describe(blocks))
+    short = iter(model.probabilities(describe([b for b in blocks if len(b) <= SEGMENT])))
+    chances = [next(short) if len(b) <= SEGMENT else model.long_page(b) for b in blocks]
     return ["\n".join(b[0] for b, c in zip(page, p.tolist()) if c >= 0.5) for page, p in zip(blocks, chances)]
 
 
@@ -513,8 +559,11 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id
     """Columns ``keep`` of ``df`` with ``text`` (main text, '' if none) and ``n_chars`` (its code points), row by row.
 
     A null or empty page has an empty text. Pages are read whole, in passes of about half a
-    million characters. No shuffle; the weights (some 100 kB) are broadcast.
+    million characters; a longer page is read in segments of SEGMENT blocks, with some 250 bytes kept for each of its blocks.
+    Rows are judged one by one, so ties and repeated rows give repeated results, and an empty table none. A kept column
+    named ``text`` or ``n_chars`` gives way to the result. No shuffle; the weights (some 100 kB) are broadcast.
     """
+    keep = tuple(c for c in keep if c not in (text, "n_chars"))
     found = df.sparkSession.sparkContext.broadcast(weights())
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
 

@@ -1,4 +1,9 @@
+import math
+import os
 import random
+import re
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -133,6 +138,71 @@ def test_a_page_of_very_many_blocks_does_not_pad_others(model):
     assert len(out) == 13 and time.time() - began < 30
 
 
+@pytest.mark.parametrize("n", [1, 5, 16, 40, 200])
+def test_any_number_of_broken_quotes_reads_alike(n):
+    assert texts("<b x='>w' " * (n - 1) + "<b x='>w" + '<p data-x="a>b">text</p>')[-1] == "text"
+
+
+def test_tags_end_as_the_plain_statement_says():
+    rng = random.Random(8)
+    plain = re.compile(r"(?:[^'\">]|\"[^\"]*\"|'[^']*')*?>")
+    for _ in range(3000):
+        page = "".join(rng.choice("ab <'\">") for _ in range(rng.randint(1, 14)))
+        doomed = set()
+        for at in range(len(page)):
+            m = plain.match(page, at)
+            assert op._tag_end(page, at, doomed) == (m.end() if m else 0), (page, at)
+
+
+@pytest.mark.parametrize("page", ["<b '>' " * 100_000 + "'", "<b '\">' " * 100_000 + "'", "<b \"'>" * 100_000])
+def test_broken_quotes_take_time_in_proportion(page):
+    began = time.time()
+    op.blocks_of(page)
+    assert time.time() - began < 20
+
+
+def test_logits_equal_a_plain_lstm(model):
+    """Each gate written out for one number at a time."""
+    blocks = op.blocks_of(op.made_up_page(random.Random(3), False)[0])[:12]
+    x = op.describe([blocks])[0].astype(float)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for member in model.members:
+        w = {k: v.astype(float) for k, v in member.w.items()}
+        hidden = {}
+        for way in "fb":
+            h, c = [0.0] * op.HIDDEN, [0.0] * op.HIDDEN
+            for t in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
+                z = [w["b" + way][j] + float(x[t] @ w["x" + way][:, j]) + sum(h[k] * w["h" + way][k, j] for k in range(op.HIDDEN)) for j in range(4 * op.HIDDEN)]
+                c = [sig(z[op.HIDDEN + k]) * c[k] + sig(z[k]) * math.tanh(z[3 * op.HIDDEN + k]) for k in range(op.HIDDEN)]
+                h = [sig(z[2 * op.HIDDEN + k]) * math.tanh(c[k]) for k in range(op.HIDDEN)]
+                hidden[way, t] = h
+        want = [float(np.dot(hidden["f", t] + hidden["b", t], w["o"]) + x[t] @ w["s"] + w["c"][0]) for t in range(len(x))]
+        assert np.allclose(member.logits([x.astype(np.float32)])[0], want, atol=1e-3)
+
+
+@pytest.mark.parametrize("segment", [1, 7, 64, 10_000])
+def test_long_pages_are_judged_as_short_ones(model, segment):
+    rng = random.Random(5)
+    for _ in range(4):
+        blocks = op.blocks_of(op.made_up_page(rng, False)[0])
+        assert np.allclose(model.long_page(blocks, segment), model.probabilities(op.describe([blocks]))[0], atol=1e-4)
+
+
+def test_memory_of_a_very_long_page():
+    """A page of 10 MB of short blocks, in a process of its own."""
+    code = "import resource, sys; from quire.llm import html as op; m = op.Committee(op.weights()); t = op.main_texts(['<article>' + '<p>some more words.</p>' * 450_000 + '</article>'], m)[0]; print(len(t), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True).stdout.split())
+    assert n > 0 and mb < 1000, mb
+
+
+def test_kept_columns_with_the_results_names(spark):
+    rows = spark.createDataFrame([(1, "u", "<article><p>Some words that make a text of their own.</p></article>", "old", 3)], "page_id long, url string, html string, text string, n_chars long")
+    got = op.extract(rows, keep=("page_id", "text", "n_chars")).collect()
+    assert got[0].asDict().keys() == {"page_id", "text", "n_chars"} and got[0].text != "old"
+    assert op.extract(rows.limit(0)).count() == 0
+
+
 def test_path_vectors_are_sums_over_the_path():
     path = op.blocks_of("<div id=a><main><section class='b c'><article><p>x")[0][1]
     v = np.zeros(op.PATH_DIM)

@@ -10,6 +10,7 @@ from quire.operators import clusters, curation, grams, scan, scope, search, topk
 from quire.plans.adapter_sql import PARTS, _pieces, cid, statement
 from quire.sources import corpus as c
 from quire.sources import store, tables
+from quire.streaming import ledger
 
 _opened: dict[tuple[str, str, str], object] = {}
 
@@ -132,6 +133,19 @@ def register(queries: dict, oracles: dict, everything, bm25_sql, knn_sql, more,
         "c_documents", "x_page_pieces",
     )
 
+    def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Failures and successes in the log: an error of a user's at a stage, and a purchase, which is done."""
+        e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('error', 'purchase')")
+        stage = F.element_at(F.array(*map(F.lit, c.STAGES)), (F.col("event_id") % 3 + 1).cast("int"))
+        return ledger.entries(e.select("event_id", F.col("user_id").cast("string").alias("file_hash"), stage.alias("stage"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("outcome"), F.col("props").alias("error"), F.col("ts").alias("at")))
+
+    queries["failure_ledger"] = lambda s, d: failures(s, d).select("file_hash", "stage", "attempts", "error", "capped")
+    oracles["failure_ledger"] = """
+        WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS file_hash, ['parse', 'caption', 'summary'][event_id % 3 + 1] AS stage, event_type, props, ts FROM events WHERE event_type IN ('error', 'purchase')),
+        d AS (SELECT file_hash, stage, max(ts) AS done FROM e WHERE event_type = 'purchase' GROUP BY ALL)
+        SELECT file_hash, stage, CAST(count(*) AS INTEGER) AS attempts, arg_max(props, (ts, event_id)) AS error, count(*) >= 3 AS capped
+        FROM e LEFT JOIN d USING (file_hash, stage) WHERE event_type = 'error' AND (done IS NULL OR ts > done) GROUP BY ALL"""
+
     ipv4, secret = r"/\d+\.\d+\.\d+\.\d+/", r'/token = "[0-9a-f]{40}"/'
     whole = lambda rx: statement(f"SELECT source_id AS document_id, chunk_id, chunk_index, regexp_extract(text, '{rx[1:-1]}') AS value FROM c_chunks WHERE source_kind = 'document' AND regexp_matches(text, '{rx[1:-1]}')", "c_chunks")
     for name, rx in (("regex_licenses", "/(MIT|Apache) Licen[cs]e/"), ("regex_secrets", secret)):

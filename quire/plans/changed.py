@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from quire.functions import text as tx
 from quire.operators import clusters, curation, grams, scan, scope, search, topk
 from quire.plans.adapter_sql import PARTS, _pieces, cid, statement
 from quire.sources import corpus as c
-from quire.sources import store, tables
+from quire.sources import routes, share, store, tables
 from quire.streaming import ledger
 
 _opened: dict[tuple[str, str, str], object] = {}
@@ -146,6 +148,19 @@ def register(queries: dict, oracles: dict, everything, bm25_sql, knn_sql, more,
         SELECT file_hash, stage, CAST(count(*) AS INTEGER) AS attempts, arg_max(props, (ts, event_id)) AS error, count(*) >= 3 AS capped
         FROM e LEFT JOIN d USING (file_hash, stage) WHERE event_type = 'error' AND (done IS NULL OR ts > done) GROUP BY ALL"""
 
+    def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The manifest after the documents' texts were archived and published as files, and taken in again."""
+        known, folder = corpus_of(spark, sf_dir), f"{tables.folder_of(spark, sf_dir)}/share-{uuid.uuid4().hex}"
+        texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), F.col("text").cast("binary").alias("content")).where("file_hash is not null")
+        routes.archive(texts, f"{folder}/archive")
+        manifest = share.publish_files(known, f"{folder}/archive", f"{folder}/published")
+        share.take_in_files(spark, f"{folder}/published", f"{folder}/taken")
+        taken = spark.read.parquet(f"{folder}/taken").select("file_hash", F.md5("content").alias("content_md5"))
+        return manifest.join(taken, "file_hash").select("file_hash", "name", "length", "digest", "content_md5")
+
+    queries["published_files"] = published
+    oracles["published_files"] = "SELECT DISTINCT sha256(text) AS file_hash, sha256(text) || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS length, sha256(text) AS digest, md5(text) AS content_md5 FROM documents WHERE text IS NOT NULL"
+
     ipv4, secret = r"/\d+\.\d+\.\d+\.\d+/", r'/token = "[0-9a-f]{40}"/'
     whole = lambda rx: statement(f"SELECT source_id AS document_id, chunk_id, chunk_index, regexp_extract(text, '{rx[1:-1]}') AS value FROM c_chunks WHERE source_kind = 'document' AND regexp_matches(text, '{rx[1:-1]}')", "c_chunks")
     for name, rx in (("regex_licenses", "/(MIT|Apache) Licen[cs]e/"), ("regex_secrets", secret)):

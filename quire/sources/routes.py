@@ -111,11 +111,13 @@ def chunks(routed: DataFrame, extract: Callable | None = None, recognise: Callab
 def archive(contents: DataFrame, folder: str) -> None:
     """Add contents (file_hash, content) to an archive by content: what it holds already is not written again, copies once."""
     spark = contents.sparkSession
-    new = contents.select("file_hash", "content").dropDuplicates(["file_hash"])
+    part = F.concat(F.lit("h"), F.substring("file_hash", 1, 2)).alias("part")  # the letter keeps Spark from reading parts as numbers
+    new = contents.select("file_hash", "content", part).dropDuplicates(["file_hash"])
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        new = new.join(spark.read.parquet(folder).select("file_hash"), "file_hash", "left_anti")
-    new.withColumn("part", F.substring("file_hash", 1, 2)).write.mode("append").partitionBy("part").parquet(folder)
+        parts = [r[0] for r in contents.select(part).distinct().collect()]  # 256 at most
+        new = new.join(spark.read.parquet(folder).where(F.col("part").isin(parts)).select("file_hash"), "file_hash", "left_anti")
+    new.write.mode("append").partitionBy("part").parquet(folder)
 
 
 def scaled(width: Column, height: Column, longest: int) -> tuple[Column, Column]:

@@ -1,12 +1,24 @@
-"""Publishing a corpus without private work, and taking in a published one."""
+"""Publishing a corpus without private work, with the files it was made of, and taking in a published one.
+
+Files are rows (hash, content) of an archive, so they are copied, digested and verified by tasks, from and to whatever file system
+Spark knows. A manifest of digests is written when all files are there; what is taken in must be as it says.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.errors import EngineError
 from quire.sources import corpus as c
+from quire.sources import routes
+from quire.sources.store import Files
+
+FILE = "file_hash string, content binary, part string"
+#: Missing or broken files that a refusal names.
+NAMED = 50
 
 
 def strip_private(corpus: c.Corpus) -> c.Corpus:
@@ -38,3 +50,50 @@ def take_in(spark: SparkSession, folder: str, archive: str, embedding_model: str
     path = F.concat(F.lit(archive.rstrip("/") + "/"), "file_hash", F.lit("/"), F.regexp_extract("file_path", r"[^/]+$", 0))
     out = found.with_tables(documents=found.documents.withColumn("file_path", path))
     return out.with_tables(tags=out.tags.limit(0), document_tags=out.document_tags.limit(0)) if drop_tags else out
+
+
+def originals(corpus: c.Corpus) -> DataFrame:
+    """``(file_hash, name)`` of the files that documents and images came from, each content once; sections and containers share their original's or have none in the archive."""
+    path = lambda df: F.col("file_path") if "file_path" in df.columns else F.lit(None).cast("string").alias("file_path")
+    rows = corpus.documents.select("file_hash", path(corpus.documents)).unionByName(corpus.images.select("file_hash", path(corpus.images)))
+    return rows.where("file_hash is not null").groupBy("file_hash").agg(F.regexp_extract(F.coalesce(F.min("file_path"), F.lit("")), r"[^/]+$", 0).alias("name"))
+
+
+def _manifests(files: Files, folder: str) -> list[int]:
+    """Numbers of the manifests that are complete."""
+    return [int(n[2:]) for n in files.names(f"{folder}/manifest") if n.startswith("v=") and "_SUCCESS" in files.names(f"{folder}/manifest/{n}")]
+
+
+def publish_files(corpus: c.Corpus, archive: str, folder: str) -> DataFrame:
+    """Copy a corpus's files from an archive to ``folder`` and give the manifest ``(file_hash, name, length, digest)``.
+
+    Files that the folder holds already are not copied again. Hashes that the archive has no file for are left out. The manifest
+    comes last, so a publication that failed is none; doing it again copies what is missing.
+    """
+    spark, files = corpus.spark, Files(corpus.spark, folder)
+    held = spark.read.parquet(archive).select("file_hash", "content", "part")
+    wanted = held.join(originals(corpus), "file_hash")
+    new = wanted.select("file_hash", "content", "part")
+    if files.names(f"{folder}/files"):
+        new = new.join(spark.read.schema(FILE).parquet(f"{folder}/files").select("file_hash"), "file_hash", "left_anti")
+    new.write.partitionBy("part").parquet(f"{folder}/files/batch={uuid.uuid4().hex}")
+    number = max(_manifests(files, folder), default=0) + 1
+    described = wanted.select("file_hash", "name", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("digest"))
+    described.write.mode("overwrite").parquet(f"{folder}/manifest/v={number}")
+    return spark.read.schema(described.schema).parquet(f"{folder}/manifest/v={number}")
+
+
+def take_in_files(spark: SparkSession, folder: str, archive: str) -> int:
+    """Add the files of a publication to an archive, once all of them are there and as the last manifest says; how many it names."""
+    files = Files(spark, folder)
+    known = _manifests(files, folder)
+    if not known:
+        raise EngineError("MISSING_ARTIFACT", f"{folder} holds no manifest")
+    manifest = spark.read.parquet(f"{folder}/manifest/v={max(known)}")
+    there = spark.read.schema(FILE).parquet(f"{folder}/files").select("file_hash", "content").dropDuplicates(["file_hash"])
+    seen = there.select("file_hash", F.octet_length("content").cast("long").alias("n"), F.sha2("content", 256).alias("d"))
+    odd = manifest.join(seen, "file_hash", "left").where("d is null or d <> digest or n <> length").select("file_hash", F.col("d").isNull().alias("missing")).orderBy("file_hash").limit(NAMED).collect()
+    if odd:
+        raise EngineError("BROKEN_ARTIFACT", f"{odd[0]['file_hash']} is {'missing' if odd[0]['missing'] else 'broken'}", missing=[r["file_hash"] for r in odd if r["missing"]], broken=[r["file_hash"] for r in odd if not r["missing"]])
+    routes.archive(there.join(manifest.select("file_hash"), "file_hash", "left_semi"), archive)
+    return manifest.count()

@@ -48,8 +48,8 @@ def answer(request, *args, **kwargs) -> dict:
 #: Fields of a document by tier.
 TIERS = {
     "brief": ["document_id", "file_name", "title"],
-    "default": ["document_id", "file_name", "title", "description", "authored_date", "has_summary", "image_count"],
-    "verbose": ["document_id", "file_name", "title", "description", "authored_date", "has_summary", "image_count", "page_count", "token_count", "chunk_count"],
+    "default": ["document_id", "file_name", "title", "description", "authored_date", "created_at", "has_summary", "image_count"],
+    "verbose": ["document_id", "file_name", "title", "description", "authored_date", "created_at", "has_summary", "image_count", "page_count", "token_count", "chunk_count"],
 }
 #: Tokens of a document that is read whole without force.
 MOST_TOKENS = 100_000
@@ -57,11 +57,13 @@ MOST_TOKENS = 100_000
 
 def list_documents_request(corpus: Corpus, tier: str = "default", sort: str = "id", limit: int = 50, offset: int = 0, returning: list[str] | None = None, **scope_args) -> dict:
     """A page of documents in a tier's (or the named) fields, with the values of value tags in the filter."""
-    fields = scan.returning_fields(returning, TIERS["verbose"]) if returning else TIERS[tier]
+    fields = scan.returning_fields(returning, [*TIERS["verbose"], "tag_values"]) if returning else TIERS[tier]
+    valued_asked = "tag_values" in fields if returning else tier != "brief"
+    plain = [f for f in fields if f != "tag_values"]
     where = scope.resolve(corpus, **scope_args)
-    shown = profile.list_documents(corpus, where, sort, limit, offset).select(*dict.fromkeys(["document_id", *fields])).collect()  # one page
-    rows = [{k: r[k] for k in fields} for r in shown]
-    if scope_args.get("tags") and tier != "brief" and not returning:
+    shown = profile.list_documents(corpus, where, sort, limit, offset).select(*dict.fromkeys(["document_id", *plain])).collect()  # one page
+    rows = [{k: r[k] if k in plain else None for k in fields} for r in shown]
+    if scope_args.get("tags") and valued_asked:
         chips = profile.value_chips(corpus, scope_args["tags"]).where(F.col("document_id").isin([r["document_id"] for r in shown])).collect()
         valued = [r["name"] for r in corpus.tags.where(F.col("name").isin(scope_args["tags"]) & F.col("value_type").isNotNull()).orderBy("name").collect()]
         held = {(c["document_id"], c["name"]): {"value": c["value"], "chunk_id": c["chunk_id"] and f"chunk:{c['chunk_id']}"} for c in chips}

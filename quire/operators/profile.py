@@ -69,13 +69,14 @@ def largest(corpus: Corpus, scope: Scope, n: int = LARGEST) -> DataFrame:
 
 
 def list_documents(corpus: Corpus, scope: Scope, sort: str = "id", limit: int | None = 50, offset: int = 0) -> DataFrame:
-    """Documents with title, date, chunk and image counts; by id, title (without case) or newest first with undated ones last."""
+    """Documents with title, dates, chunk and image counts; by id, title (without case) or newest first with undated ones last."""
     own = corpus.chunks.where("source_kind = 'document'").groupBy(F.col("source_id").alias("document_id")).agg(F.count("*").alias("chunk_count"))
     shown = corpus.document_images.groupBy("document_id").agg(F.countDistinct("image_id").alias("image_count"))
     real = F.col("model") != "backfill"
     named = corpus.summaries.select("document_id", F.when(real, F.col("title")).alias("title"), F.when(real, F.col("description")).alias("description"), "authored_date", real.alias("real"))
     out = _docs(corpus, scope).join(named, "document_id", "left").join(own, "document_id", "left").join(shown, "document_id", "left")
-    out = out.select("document_id", "file_name", "title", "description", "authored_date", F.coalesce("real", F.lit(False)).alias("has_summary"), "page_count", "token_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("image_count", F.lit(0)).alias("image_count"))
+    created = F.col("created_at") if "created_at" in out.columns else F.lit(None).cast("timestamp").alias("created_at")
+    out = out.select("document_id", "file_name", "title", "description", "authored_date", created, F.coalesce("real", F.lit(False)).alias("has_summary"), "page_count", "token_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("image_count", F.lit(0)).alias("image_count"))
     orders = {"id": ["document_id"], "title": [F.lower(F.coalesce("title", "file_name")), "document_id"], "date": [F.desc_nulls_last("authored_date"), "document_id"]}
     if sort not in orders:
         raise EngineError("USAGE_ERROR", f"cannot sort by {sort!r}")

@@ -228,7 +228,7 @@ _LIST = """SELECT d.document_id, file_name, CASE WHEN model <> 'backfill' THEN t
 for _sort, _order in (("id", "d.document_id"), ("title", "lower(CASE WHEN model <> 'backfill' THEN title ELSE file_name END) , d.document_id"), ("date", "authored_date DESC NULLS LAST, d.document_id")):
     if _sort == "title":
         _order = "lower(coalesce(CASE WHEN model <> 'backfill' THEN title END, file_name)), d.document_id"
-    query(f"list_documents_{_sort}", _LIST + _order + " LIMIT 50 OFFSET 10", "c_documents", "c_summaries", "c_chunks", "c_links")(lambda k, s=_sort: profile.list_documents(k, everything(k), s, 50, 10))
+    query(f"list_documents_{_sort}", _LIST + _order + " LIMIT 50 OFFSET 10", "c_documents", "c_summaries", "c_chunks", "c_links")(lambda k, s=_sort: profile.list_documents(k, everything(k), s, 50, 10).drop("created_at"))
 query("value_chips", "SELECT document_id, name, value, chunk_id FROM c_document_tags JOIN c_tags USING (tag_id) WHERE name IN ('ipv4', 'token')", "c_tags", "c_document_tags")(lambda k: profile.value_chips(k, ["ipv4", "token", "quality"]))
 query("read_document_text", "SELECT source_id AS document_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM c_chunks WHERE source_kind = 'document' GROUP BY 1", "c_chunks")(reads.document_texts)
 query("read_chunks_by_document", "SELECT chunk_id, chunk_index, text FROM c_chunks WHERE source_kind = 'document' AND source_id = 2 ORDER BY chunk_index LIMIT 50", "c_chunks")(lambda k: reads.by_document(k, 2).select("chunk_id", "chunk_index", "text"))
@@ -378,8 +378,9 @@ raw_query("run_index", "SELECT provider, model, doc, extraction, event_id, CAST(
     _bench(lambda r, j: benchmark.with_run_index(r, r, "event_id").select(*benchmark.CELL, "event_id", "run_index")))
 raw_query("rubric_mean", "SELECT event_id, round((event_id % 5 + event_id % 4 + event_id % 3 + event_id % 2) / 4.0, 4) AS mean FROM events")(
     lambda spark, d: benchmark.rubric_mean(spark.read.parquet(f"{d}/events.parquet").select("event_id", *[(F.col("event_id") % n).alias(a) for n, a in zip((5, 4, 3, 2), benchmark.AXES)])).select("event_id", F.round("mean", 4).alias("mean")))
-raw_query("ingest_rates", "SELECT count(DISTINCT user_id) AS docs, CAST(0 AS BIGINT) AS pages, round(count(DISTINCT user_id) / 40.0, 4) AS docs_per_s, CAST(0.0 AS DOUBLE) AS pages_per_s FROM events")(
-    lambda spark, d: curation.ingest_rates(spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("document_id")), spark.createDataFrame([], "document_id long, page_count int"), 40.0).select("docs", "pages", F.round("docs_per_s", 4).alias("docs_per_s"), "pages_per_s"))
+_PAGED = "(SELECT DISTINCT user_id FROM events) u LEFT JOIN documents ON doc_id = user_id"
+raw_query("ingest_rates", f"SELECT count(*) AS docs, CAST(coalesce(sum(CAST(ceil(n_chars / 3000.0) AS BIGINT)), 0) AS BIGINT) AS pages, round(count(*) / 40.0, 4) AS docs_per_s, round(coalesce(sum(CAST(ceil(n_chars / 3000.0) AS BIGINT)), 0) / 40.0, 4) AS pages_per_s FROM {_PAGED}")(
+    lambda spark, d: curation.ingest_rates(spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("document_id")), spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.ceil(F.col("n_chars") / 3000).cast("int").alias("page_count")), 40.0).select("docs", "pages", *[F.round(x, 4).alias(x) for x in ("docs_per_s", "pages_per_s")]))
 raw_query("source_drift", "SELECT DISTINCT provider, model, doc, extraction FROM b_runs WHERE ok AND summary_sha <> 's1'", "b_runs")(
     _bench(lambda r, j: benchmark.source_drift(r.withColumn("source_sha", F.col("summary_sha")), r.select("doc", "extraction").distinct().withColumn("source_sha", F.lit("s1"))).select(*benchmark.CELL).distinct()))
 raw_query("window_runs", "SELECT count(*) AS n FROM b_runs WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-11' AND model = 'click'", "b_runs")(_bench(lambda r, j: benchmark.window(r, "2024-01-05", "2024-01-10", model="click").agg(F.count("*").alias("n"))))

@@ -80,6 +80,11 @@ def test_summaries_dates_and_tags(run):
     held = sorted((r.document_id, r.tag_id, r.value) for r in run.store.corpus().document_tags.collect())
     assert held == [(1, 1, None), (1, 2, "15"), (2, 2, "15"), (4, 1, None)]
     assert run("delete_tag", "tag=number")["removed_assignments"] == 2 and len(run("tags")["tags"]) == 1
+    run("add_tag", "name=size", "description=n", "value_type=number", r"pattern=(?P<value>\d+)")
+    run("assign_tag", "tag=size", "document_ids=[4]", "value=7")
+    listed = run("list_documents", 'returning=["file_name", "tag_values", "created_at"]', 'tags=["size", "Rock"]')["documents"]
+    assert [(d["file_name"][-6:], d["tag_values"]["size"]["value"]) for d in listed] == [("f1.txt", None), ("f4.txt", "7")] and all("created_at" in d for d in listed)
+    assert run("list_documents", 'returning=["tag_values"]')["documents"][0] == {"tag_values": None} and "created_at" in run("list_documents")["documents"][0]
     version = run("versions")["versions"][-1]
     assert run("compact")["version"] == version + 1 and run("vacuum")["deleted"] and len(run("versions")["versions"]) == 2
     assert run("scan", "query=stone")["total"] == 4

@@ -20,8 +20,8 @@ BLOCK_IDS = 1 << 24
 SCHEMA = "term string, block long, n long, most double, shortest int"
 #: Blocks of the first round; each further round that finds too few has FACTOR times as many.
 ROUND, FACTOR = 16, 8
-#: Blocks up to which a round names them in a filter that reaches the scan; more are joined.
-NAMED_BLOCKS = 256
+#: Blocks up to which a round looks at their numbers, and runs of neighbours up to which it names them in a filter that reaches the scan; more are joined.
+NAMED_BLOCKS, NAMED_RUNS = 4096, 32
 #: Bounds and scores are sums of doubles, so a bound counts as a little more than it is.
 SLACK = 1e-9
 
@@ -53,11 +53,11 @@ def _part(idf: float, f: Column, length: Column, average: float) -> Column:
     return F.lit(idf) * f * (fts.K1 + 1) / (f + fts.K1 * (1 - fts.B + fts.B * length / F.lit(average)))
 
 
-def best(postings: DataFrame, stats: DataFrame, table: DataFrame, terms: list[str], within, k: int, store=lambda df: df.cache()) -> Found:
+def best(postings: DataFrame, stats: DataFrame, table: DataFrame, terms: list[str], within, k: int) -> Found:
     """The ``k`` best chunks that hold all terms (single tokens) and pass ``within``, by the same scores as ``fts.bm25``.
 
     ``table`` are the blocks of the postings. No term at all finds nothing, a term twice counts twice. At most k chunks
-    of a round, and the names of a round's blocks up to NAMED_BLOCKS, reach the driver. ``store`` keeps the blocks' bounds for the rounds.
+    of a round, and the numbers of a round's blocks up to NAMED_BLOCKS, reach the driver.
     """
     spark = postings.sparkSession
     none = spark.createDataFrame([], "chunk_id long, score double")
@@ -72,7 +72,7 @@ def best(postings: DataFrame, stats: DataFrame, table: DataFrame, terms: list[st
     times = {t: terms.count(t) for t in different}
     weight = F.create_map(*[F.lit(x) for t in different for x in (t, idf[t] * times[t])])[F.col("term")]
     most = weight * F.col("most") * (fts.K1 + 1) / (F.col("most") + fts.K1 * (1 - fts.B + fts.B * F.col("shortest") / F.lit(average)))
-    bounds = store(own.groupBy("block").agg(F.sum(most).alias("bound"), F.count("*").alias("__terms")).where(F.col("__terms") == len(different)).select("block", (F.col("bound") * (1 + SLACK)).alias("bound")))
+    bounds = own.groupBy("block").agg(F.sum(most).alias("bound"), F.count("*").alias("__terms")).where(F.col("__terms") == len(different)).select("block", (F.col("bound") * (1 + SLACK)).alias("bound")).cache()
     total, read, limit = bounds.count(), 0, ROUND
     have: list = []
 
@@ -82,10 +82,14 @@ def best(postings: DataFrame, stats: DataFrame, table: DataFrame, terms: list[st
     def round_of(where: DataFrame, n: int) -> DataFrame:
         """Scores of the chunks of some blocks."""
         rows = postings.where(~F.col("in_heading") & F.col("term").isin(different))
-        if n <= NAMED_BLOCKS:
-            ids = sorted(r[0] for r in where.select("block").collect())
-            inside = reduce(lambda a, b: a | b, [F.col("chunk_id").between(b * BLOCK_IDS, (b + 1) * BLOCK_IDS - 1) for b in ids], F.lit(False))
-            rows = rows.where(inside)
+        runs: list[list[int]] = []
+        for b in sorted(r[0] for r in where.select("block").collect()) if n <= NAMED_BLOCKS else ():
+            if runs and b == runs[-1][1] + 1:
+                runs[-1][1] = b
+            else:
+                runs.append([b, b])
+        if n <= NAMED_BLOCKS and len(runs) <= NAMED_RUNS:
+            rows = rows.where(reduce(lambda x, y: x | y, [F.col("chunk_id").between(x * BLOCK_IDS, (y + 1) * BLOCK_IDS - 1) for x, y in runs], F.lit(False)))
         else:
             rows = rows.withColumn("block", block_of(F.col("chunk_id"))).join(where.select("block"), "block", "left_semi")
         counts = [F.count_if(F.col("term") == t).cast("double").alias(f"f{i}") for i, t in enumerate(different)]
@@ -99,15 +103,18 @@ def best(postings: DataFrame, stats: DataFrame, table: DataFrame, terms: list[st
         return sorted(have + more, key=lambda r: (-r[1], r[0]))[:k]
 
     order = [F.desc("bound"), F.col("block")]
-    while read < total:
-        if len(have) == k:  # what may still enter is read in one round
-            left = bounds.orderBy(*order).offset(read).where(F.col("bound") >= have[-1][1])
-            n = left.count()
-            if n:
-                have = together(scored(round_of(left, n)))
-            read += n
-            break
-        n = min(limit, total - read)
-        have = together(scored(round_of(bounds.orderBy(*order).offset(read).limit(n), n)))
-        read, limit = read + n, limit * FACTOR
+    try:
+        while read < total:
+            if len(have) == k:  # what may still enter is read in one round
+                left = bounds.orderBy(*order).offset(read).where(F.col("bound") >= have[-1][1])
+                n = left.count()
+                if n:
+                    have = together(scored(round_of(left, n)))
+                read += n
+                break
+            n = min(limit, total - read)
+            have = together(scored(round_of(bounds.orderBy(*order).offset(read).limit(n), n)))
+            read, limit = read + n, limit * FACTOR
+    finally:
+        bounds.unpersist()
     return Found(spark.createDataFrame(have, "chunk_id long, score double") if have else none, total, read)

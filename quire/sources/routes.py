@@ -117,7 +117,7 @@ def archive(contents: DataFrame, folder: str) -> None:
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         parts = [r[0] for r in contents.select(part).distinct().collect()]  # 256 at most
         new = new.join(spark.read.parquet(folder).where(F.col("part").isin(parts)).select("file_hash"), "file_hash", "left_anti")
-    new.write.mode("append").partitionBy("part").parquet(folder)
+    new.hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(folder)  # a part's rows together, large parts in several tasks
 
 
 def scaled(width: Column, height: Column, longest: int) -> tuple[Column, Column]:

@@ -76,7 +76,7 @@ def publish_files(corpus: c.Corpus, archive: str, folder: str) -> DataFrame:
     new = wanted.select("file_hash", "content", "part")
     if files.names(f"{folder}/files"):
         new = new.join(spark.read.schema(FILE).parquet(f"{folder}/files").select("file_hash"), "file_hash", "left_anti")
-    new.write.partitionBy("part").parquet(f"{folder}/files/batch={uuid.uuid4().hex}")
+    new.hint("rebalance", "part").write.partitionBy("part").parquet(f"{folder}/files/batch={uuid.uuid4().hex}")
     number = max(_manifests(files, folder), default=0) + 1
     described = wanted.select("file_hash", "name", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("digest"))
     described.write.mode("overwrite").parquet(f"{folder}/manifest/v={number}")

@@ -457,7 +457,8 @@ def round_trip_digests(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
     """Encode each whole text, decode its ids again, and return digests of both, one row per input row.
 
     Columns: ``doc_id``, ``n_tokens`` long, ``ids_sha256`` (decimal ids joined by commas),
-    ``decoded_sha256`` (the decoded text's UTF-8). A null text reads as empty; ids may be null or repeat.
+    ``decoded_sha256`` (the decoded text's UTF-8). A null text reads as empty; ids may be null or repeat. An empty table gives no
+    rows; other columns, whatever their names, are not read.
     No shuffle; a batch is worked off in passes of about half a million characters.
     """
     spec = df.sparkSession.sparkContext.broadcast(Spec.load(tokenizer))

@@ -140,7 +140,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, vec_id: str = "vec_i
     of other dimensions. ``n_links`` counts other rows, copies included; ``component_id`` is the smallest
     vec_id reachable, ``kept`` says that it is the row's own. Links are found with a
     chance of 1 - MISS at the threshold and more above it; none is made up. A null vec_id is
-    nobody's component unless the group has no other (then null, and kept is false).
+    nobody's component unless the group has no other (then null, and kept is false). An empty table gives no rows; other
+    columns are not read.
 
     Buckets of any size are worked off in cells of CELL nodes; per cell only counts and spanning links leave.
     """

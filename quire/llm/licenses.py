@@ -133,7 +133,7 @@ def scan(df: DataFrame, text: str = "text", known: list[tuple[str, str]] | None
 
     ``notices`` holds the licences of lines that are known texts by themselves, distinct and sorted.
     Each row is judged by itself: nulls (an empty text, no licence), repeated rows and ties need nothing special; columns
-    named like the results are replaced. The join is to a broadcast table of the known texts, and a line is hashed only if
+    named like the results are replaced; an empty table gives no rows, and texts of any length are read whole. The join is to a broadcast table of the known texts, and a line is hashed only if
     a word that every one-line text shares with another is in it, so no text is moved.
     """
     digests = known_digests(df.sparkSession, known)

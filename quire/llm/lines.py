@@ -360,7 +360,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float =
 
     Lines without a word are neither matched nor removed. Rows that share a doc_id are one document
     (the same place is not earlier than itself); rows with a null id or null text come back as they are. A text of which
-    all goes is empty. ``removed`` names a column to add, with the number of lines taken out.
+    all goes is empty. ``removed`` names a column to add, with the number of lines taken out; one of that name in ``df`` gives way.
+    An empty table gives none; a long text is cut in parts of about half a million characters' worth of rows, held whole itself.
     """
     gone = stored(removals(df, doc_id, text, t, width))
     grouped = gone.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1")).alias("gone"))
@@ -398,5 +399,5 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float =
     joined = nested.join(grouped, "doc_id", "left").select("row", "text", "gone")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())])
     out = mapped(joined, cut, schema)
-    cols = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
+    cols = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns if c != removed]
     return out.select(*cols, *([F.col("n").cast("long").alias(removed)] if removed else []))

@@ -125,7 +125,8 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None
     A document is its ids (null text: empty) and then ``end_id``; longer ones are cut into
     pieces of ``capacity``, the first may be shorter. Returns one row per piece: ``doc_id,
     piece, start, length, ids_crc32, sequence_id, offset``. Rows with equal or null ids are
-    documents of their own; an empty table gives no rows; other columns are not read.
+    documents of their own; an empty table gives no rows; other columns are not read. A long text is encoded whole, its
+    ids in one array of its task.
 
     One pass over the texts packs every partition by itself. Every bin with more than SLACK
     free tokens is packed again at the root, of which the driver sees a count for each size;

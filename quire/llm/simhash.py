@@ -190,7 +190,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     Fingerprints at 4 or fewer differing bits link; ``component_id`` is the smallest doc_id reachable.
     Equal fingerprints are one node, so copies are never paired; a null text has fingerprint zero and links
-    like any other; a null doc_id is never a component's id unless it has no other (then null). Repeated rows repeat.
+    like any other; a null doc_id is never a component's id unless it has no other (then null). Repeated rows repeat, an empty table
+    gives none; shingles of a long text are hashed in blocks; other columns, whatever their names, are not read. A bucket of
+    fingerprints that share a variant is held by one task.
     """
     prints = stored(fingerprints(df, doc_id, text))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))

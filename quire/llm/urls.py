@@ -101,7 +101,7 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "al
     A null url, or one without ``://``, has an empty host and path and gets the ``default``.
     Rows are judged one by one, so repeated rows, ties (equal rank and length: the
     smaller name) and null ids need nothing special; columns named like the results are replaced.
-    Rules without a literal token run on every url.
+    Rules without a literal token run on every url. An empty table gives no rows; urls of any length are read whole.
     """
     rules = list(dict.fromkeys(rules))
     filed, loose = [r for r in rules if r.tokens], [r for r in rules if not r.tokens]

@@ -100,3 +100,10 @@ def test_lines_of_a_very_long_text_are_removed(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     left = {r.doc_id: (r.text, r.n) for r in op.dedup(df, removed="n").collect()}
     assert left == {1: (docs[0][1], 0), 2: ("\n".join(some), 3)}
+
+
+def test_a_column_of_the_count_gives_way(spark):
+    line = "a line of words that is long enough to have several runs in it"
+    df = spark.createDataFrame([(1, f"{line}\nx", 7), (2, line, 8)], "doc_id long, text string, gone int")
+    out = op.dedup(df, removed="gone")
+    assert out.columns == ["doc_id", "text", "gone"] and {(r.doc_id, r.gone) for r in out.collect()} == {(1, 0), (2, 1)}

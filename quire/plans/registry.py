@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from quire.operators import benchmark, citations, curation, integrity, profile,
 from quire.plans import changed
 from quire.plans.adapter_sql import cid, holds, statement
 from quire.sources import corpus as c
-from quire.sources import artifacts, files, share, tables
+from quire.sources import artifacts, files, share, structure, tables
 from quire.streaming import ingest
 
 QUERIES: dict = {}
@@ -437,6 +439,48 @@ raw_query("html_sections", """SELECT doc_id, CAST(o AS INTEGER) AS section_order
 raw_query("chunk_markdown")(lambda spark, d: files.chunk_markdown(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id"))
 
 
+# Chunks by structure, stated once more: page tags cut a page into items, units of long ones and then pieces are packed one after the other.
+_REFERENCES = [("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]
+_DECODED = reduce(lambda x, r: f"replace({x}, '{r[0]}', '{r[1]}')", _REFERENCES, r"regexp_replace(x, '<[^>]*>', '', 'g')")
+raw_query("page_chunks", rf"""WITH RECURSIVE bare AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<!--.*?-->', '', 'g') AS x FROM pages),
+    marked AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<h1\b[^>]*>', chr(1) || 'H', 'g'), '<li\b[^>]*>', chr(1) || 'L', 'g'), '</?(?:body|nav|ul|li|div|article|h1|p|footer|header|main|section|aside)\b[^>]*>', chr(1) || 'T', 'g') AS x FROM bare),
+    raw AS (SELECT page_id, unnest(string_split('T' || x, chr(1))) AS x, generate_subscripts(string_split('T' || x, chr(1)), 1) AS pos FROM marked),
+    texts AS (SELECT page_id, pos, x[1] AS k, trim(regexp_replace({_DECODED.replace("(x,", "(x[2:],")}, '[\x09-\x0D\x20\x{{A0}}]+', ' ', 'g')) AS text FROM raw),
+    kinds AS (SELECT *, k = 'H' AND length(text) <= 200 AS h FROM texts WHERE text <> ''),
+    follows AS (SELECT *, h AND NOT coalesce(lead(h) OVER (PARTITION BY page_id ORDER BY pos), true) AS opens FROM kinds),
+    headed AS (SELECT page_id, pos, k, text, opens, CASE WHEN NOT h THEN max(CASE WHEN h THEN pos END) OVER (PARTITION BY page_id ORDER BY pos) END AS h_at FROM follows),
+    items AS (SELECT i.page_id, i.pos, CASE i.k WHEN 'H' THEN 'section_header' WHEN 'L' THEN 'list_item' ELSE 'text' END AS kind, i.text, o.text AS heading, 400 - coalesce(CAST(ceil(length(o.text) / 4) AS BIGINT), 0) AS room
+        FROM headed i LEFT JOIN headed o ON o.page_id = i.page_id AND o.pos = i.h_at WHERE NOT i.opens),
+    cut AS (SELECT * EXCLUDE text, CASE WHEN ceil(length(text) / 4) <= room THEN [text] ELSE regexp_extract_all(text, '[^ ].{{0,62}}(?: |$)|[^ ]{{1,64}}') END AS u FROM items),
+    units AS (SELECT page_id, pos, kind, heading, room, unnest(u) AS text, generate_subscripts(u, 1) AS n FROM cut),
+    sized AS (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) AS size FROM units),
+    packed AS (SELECT page_id, pos, n, 0 AS piece, size AS used FROM sized WHERE n = 1
+        UNION ALL SELECT s.page_id, s.pos, s.n, CASE WHEN used + size <= room THEN piece ELSE piece + 1 END, CASE WHEN used + size <= room THEN used + size ELSE size END FROM packed p JOIN sized s ON s.page_id = p.page_id AND s.pos = p.pos AND s.n = p.n + 1),
+    pieces AS (SELECT page_id, pos, piece, any_value(kind) AS kind, any_value(heading) AS heading, any_value(room) AS room, rtrim(string_agg(text, '' ORDER BY n)) AS text, sum(size) AS size, row_number() OVER (PARTITION BY page_id ORDER BY pos, piece) AS i FROM sized JOIN packed USING (page_id, pos, n) GROUP BY page_id, pos, piece),
+    merged AS (SELECT page_id, i, 0 AS chunk_index, size AS used, heading FROM pieces WHERE i = 1
+        UNION ALL SELECT s.page_id, s.i, CASE WHEN used + size <= room AND m.heading IS NOT DISTINCT FROM s.heading THEN chunk_index ELSE chunk_index + 1 END, CASE WHEN used + size <= room AND m.heading IS NOT DISTINCT FROM s.heading THEN used + size ELSE size END, s.heading FROM merged m JOIN pieces s ON s.page_id = m.page_id AND s.i = m.i + 1)
+    SELECT page_id, CAST(chunk_index AS INTEGER) AS chunk_index, any_value(p.heading) AS section_heading, arg_min(kind, i) AS content_type, sha256(coalesce(any_value(p.heading) || chr(10), '') || string_agg(text, chr(10) ORDER BY i)) AS text_sha
+    FROM merged m JOIN pieces p USING (page_id, i) GROUP BY page_id, chunk_index""")(
+    lambda spark, d: structure.chunk_pages(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html"), "page_id").select("page_id", "chunk_index", "section_heading", "content_type", F.sha2("text", 256).alias("text_sha")))
+
+
+def _order_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each order with the table of its lines, under a head of two rows with spans."""
+    line = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td>"), F.col("l_quantity").cast("int").cast("string"), F.lit("</td><td>"), "l_returnflag", F.lit(" by "), "l_linestatus", F.lit("</td></tr>"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", line.alias("row")))), lambda r: r["row"]), "").alias("rows"))  # an order has a handful
+    head = "</h1><p>Lines</p><table><thead><tr><td rowspan=2>Line</td><td colspan=2>What</td></tr><tr><td>Number</td><td>Sent</td></tr></thead>"
+    return lines.select("l_orderkey", F.concat(F.lit("<h1>Order "), F.col("l_orderkey").cast("string"), F.lit(head), "rows", F.lit("</table>")).alias("html"))
+
+
+raw_query("table_chunks", """WITH RECURSIVE rows AS (SELECT l_orderkey, 'Order ' || l_orderkey AS h, l_linenumber || ' | ' || CAST(l_quantity AS INTEGER) || ' | ' || l_returnflag || ' by ' || l_linestatus AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag, l_linestatus) AS n FROM lineitem),
+    sized AS (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) AS size, 40 - CAST(ceil(length(h) / 4) AS BIGINT) - CAST(ceil(length('Line | What | What' || chr(10) || 'Line | Number | Sent') / 4) AS BIGINT) AS room FROM rows),
+    packed AS (SELECT l_orderkey, n, 1 AS chunk_index, size AS used FROM sized WHERE n = 1
+        UNION ALL SELECT s.l_orderkey, s.n, CASE WHEN used + size <= room THEN chunk_index ELSE chunk_index + 1 END, CASE WHEN used + size <= room THEN used + size ELSE size END FROM packed p JOIN sized s ON s.l_orderkey = p.l_orderkey AND s.n = p.n + 1)
+    SELECT l_orderkey, CAST(chunk_index AS INTEGER) AS chunk_index, any_value(h) AS section_heading, 'sec_table' AS content_type, any_value(h) || chr(10) || 'Line | What | What' || chr(10) || 'Line | Number | Sent' || chr(10) || string_agg(text, chr(10) ORDER BY n) AS text FROM sized JOIN packed USING (l_orderkey, n) GROUP BY l_orderkey, chunk_index
+    UNION ALL SELECT DISTINCT l_orderkey, 0, h, 'sec_text', h || chr(10) || 'Lines' FROM rows""")(
+    lambda spark, d: structure.chunk_pages(_order_pages(spark, d), "l_orderkey", tokens=40, types=("sec_text", "sec_table")))
+
+
 def _counts(k: c.Corpus, *names: str) -> DataFrame:
     out = None
     for n in names:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.sources import files
+from quire.sources import files, structure
 
 #: Characters below which a page is sparse, and the least confidence of recognised text there.
 SPARSE, CONFIDENCE = 100, 30.0
@@ -80,8 +80,9 @@ def converted(texts: DataFrame, convert: Callable) -> DataFrame:
 def chunks(routed: DataFrame, extract: Callable | None = None, recognise: Callable | None = None, facts: Callable | None = None) -> DataFrame:
     """Chunks of routed files, a branch for each route, in one frame; images have none until they are described.
 
-    Filings give the chunks of their inner documents, in their order. Without its converter a PDF gives none and a file of
-    inline facts is read as any other page.
+    Pages are chunked by their structure, with the deepest heading and the kind of the first item; a file of inline facts, without a
+    converter of its own, likewise, as ``sec_text`` and ``sec_table``. Filings give the chunks of their inner documents, in their order. Without its
+    converter a PDF gives none.
     """
     of = lambda *names: routed.where(F.col("route").isin(*names))
     none = {"section_heading": "string", "page_number": "int", "content_type": "string"}
@@ -91,23 +92,33 @@ def chunks(routed: DataFrame, extract: Callable | None = None, recognise: Callab
         return cut.select("path", F.col("chunk_index").cast("int").alias("chunk_index"), "text", *none)
 
     body = files.read_text(F.col("content"))
-    out = pieces(of("text"), body).unionByName(pieces(of("html", *([] if facts else ["facts"])), files.page_text(body)))
+    def paged(df: DataFrame, types: tuple[str, str] | None = None) -> DataFrame:
+        cut = structure.chunk_pages(df.select("path", body.alias("html")), "path", types=types)
+        return cut.select("path", "chunk_index", "text", "section_heading", F.lit(None).cast("int").alias("page_number"), "content_type")
+
+    out = pieces(of("text"), body).unionByName(paged(of("html")))
     marked = files.chunk_markdown(of("markdown").select("path", body.alias("text")), "path")
     out = out.unionByName(marked.select("path", "chunk_index", "text", "section_heading", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("content_type")))
     inner = files.split_envelope(of("filing").select("path", body.alias("text")), "path").where("route <> 'skip'")
-    inner = inner.select("path", "position", F.inline(tx.chunk_pieces(F.when(F.col("route") == "html", files.page_text(F.col("body"))).otherwise(F.col("body")))))
-    whole = inner.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_index", "text"))).alias("all"))
-    out = out.unionByName(whole.select("path", F.posexplode("all").alias("chunk_index", "c")).select("path", "chunk_index", F.col("c.text").alias("text"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()]))
-    if facts:
-        out = out.unionByName(converted(of("facts").select("path", body.alias("text")), facts))
+    marked = F.concat_ws("\n", "position", "path")  # a page of a filing is named by both until its chunks are numbered
+    plain = inner.where("route = 'text'").select("path", "position", *[F.lit(None).cast(k).alias(c) for c, k in none.items()], F.inline(tx.chunk_pieces(F.col("body"))))
+    cut = structure.chunk_pages(inner.where("route = 'html'").select(marked.alias("name"), "body"), "name", "body")
+    paper = cut.select(F.substring_index("name", "\n", 1).cast("int").alias("position"), F.expr("substring(name, instr(name, '\n') + 1)").alias("path"), "chunk_index", "text", "section_heading", F.lit(None).cast("int").alias("page_number"), "content_type")
+    out = out.unionByName(_numbered(plain.unionByName(paper), "position"))
+    out = out.unionByName(converted(of("facts").select("path", body.alias("text")), facts) if facts else paged(of("facts"), ("sec_text", "sec_table")))
     if extract:
         found = pages(of("pdf"), extract, recognise).where("content_type is not null")
         cut = found.select("path", "page_number", "content_type", F.inline(tx.chunk_pieces(F.col("text"))))
-        whole = cut.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page_number", "chunk_index", "text", "content_type"))).alias("all"))
-        out = out.unionByName(whole.select("path", F.posexplode("all").alias("chunk_index", "c")).select("path", "chunk_index", F.col("c.text").alias("text"), F.lit(None).cast("string").alias("section_heading"), F.col("c.page_number").alias("page_number"), F.col("c.content_type").alias("content_type")))
+        out = out.unionByName(_numbered(cut.withColumn("section_heading", F.lit(None).cast("string")), "page_number"))
     return out
 
 
+def _numbered(parts: DataFrame, part: str) -> DataFrame:
+    """Chunks of files' parts as chunks of the files: numbered in the order of the parts and of the chunks within."""
+    number = F.row_number().over(Window.partitionBy("path").orderBy(part, "chunk_index")) - 1
+    return parts.withColumn("chunk_index", number).select("path", "chunk_index", "text", "section_heading", "page_number", "content_type")
+
+
 def archive(contents: DataFrame, folder: str) -> None:
     """Add contents (file_hash, content) to an archive by content: what it holds already is not written again, copies once."""
     spark = contents.sparkSession

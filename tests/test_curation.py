@@ -221,8 +221,8 @@ def test_routes_and_chunks(spark):
     for r in sorted(out.collect(), key=lambda r: (r.path, r.chunk_index)):
         got.setdefault(r.path, []).append((r.chunk_index, r.text[:11], r.section_heading, r.page_number, r.content_type))
     assert got == {
-        "a.txt": [(0, "plain words", None, None, None)], "b.html": [(0, "page", None, None, None)], "c.md": [(0, "body", "H", None, None)],
-        "d.txt": [(0, "first part", None, None, None), (1, "second", None, None, None)], "f.pdf": [(0, "x" * 11, None, 1, "text"), (1, "y" * 11, None, 2, "ocr")], "g.htm": [(0, "cell", None, None, "sec_table")],
+        "a.txt": [(0, "plain words", None, None, None)], "b.html": [(0, "page", None, None, "text")], "c.md": [(0, "body", "H", None, None)],
+        "d.txt": [(0, "first part", None, None, None), (1, "second", None, None, "text")], "f.pdf": [(0, "x" * 11, None, 1, "text"), (1, "y" * 11, None, 2, "ocr")], "g.htm": [(0, "cell", None, None, "sec_table")],
     }
     assert {r.page_number: r.content_type for r in routes.pages(routed.where("path = 'f.pdf'"), extract, recognise).collect()} == {1: "text", 2: "ocr", 3: None}
 

@@ -12,7 +12,7 @@ from quire.operators import benchmark, citations, curation, integrity, profile,
 from quire.plans import changed
 from quire.plans.adapter_sql import cid, holds, statement
 from quire.sources import corpus as c
-from quire.sources import artifacts, files, share, structure, tables
+from quire.sources import artifacts, files, filings, share, structure, tables
 from quire.streaming import ingest
 
 QUERIES: dict = {}
@@ -432,6 +432,14 @@ raw_query("edgar_bodies", f"""WITH v(i, doc_type, file_name, a, b, route) AS (VA
     p AS (SELECT doc_id, CAST(k AS INTEGER) AS position, doc_type, file_name, route, {_STRIPPED("a || coalesce(text, '') || b")} AS body FROM documents, (VALUES (0), (1)) n(k) JOIN v ON i = (doc_id + 5 * k) % 12)
     SELECT doc_id, position, doc_type, file_name, CASE WHEN body = '' OR regexp_matches(substring(body, 1, 200), '(?m)^begin [0-9]{{3}} ') THEN 'skip' ELSE route END AS route, CAST(length(body) AS BIGINT) AS n_chars, md5(body) AS body_md5 FROM p""")(
     lambda spark, d: files.split_envelope(_bodies(spark, d), "doc_id").select("doc_id", "position", "doc_type", "file_name", "route", F.length("body").cast("long").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5")))
+def _filing_files(spark: SparkSession, d: str) -> DataFrame:
+    """Inner documents of the filings, written as text files of many filings each and read by ranges of 1 MB."""
+    folder = f"{tables.folder_of(spark, d)}/filings"
+    _bodies(spark, d).select("text").write.mode("overwrite").text(folder)
+    return filings.inner_documents(filings.listed(spark, [folder]), 1 << 20).select("doc_type", "file_name", "route", F.length("body").cast("long").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+raw_query("filing_ranges", f"SELECT doc_type, file_name, route, n_chars, body_md5 FROM ({ORACLES['edgar_bodies']})")(_filing_files)
 raw_query("html_sections", """SELECT doc_id, CAST(o AS INTEGER) AS section_order, [NULL, 's1', 's2'][o + 1] AS anchor_id, ['__preamble__', 'Part one', 'Part two'][o + 1] AS section_title, o > 0 AS has_anchor,
     [NULL, source, lang || ' ' || doc_id][o + 1] AS body FROM documents, range(3) r(o)""")(
     lambda spark, d: files.html_sections(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit('<p>Index</p><ul><li><a href="#s1">Part one</a></li><li><a href="#s2">Part two</a></li></ul><h2 id="s1"></h2><p>'), "source", F.lit('</p><h2 id="s2"></h2><p>'), "lang", F.lit(" "), F.col("doc_id").cast("string"), F.lit("</p>")).alias("html")), "doc_id")

@@ -88,7 +88,7 @@ def classify(files: DataFrame, documents: DataFrame, failed: DataFrame, cap: int
 
 def read_text(content: Column) -> Column:
     """UTF-8; bytes that are none become U+FFFD."""
-    return F.decode(content, "UTF-8")
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def is_envelope(text: Column) -> Column:
@@ -106,7 +106,11 @@ def split_envelope(df: DataFrame, key: str = "path", text: str = "text") -> Data
     Type and name stand on lines of their own before the text part (the last of each counts); the text part must be
     closed. An XBRL or XML shell, wherever it is in the body and in whatever case, leaves what is in it. Routes: html, text, skip.
     """
-    parts = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))).alias("position", "block"))
+    return part_bodies(df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))).alias("position", "block")), key)
+
+
+def part_bodies(parts: DataFrame, key: str) -> DataFrame:
+    """What ``split_envelope`` gives, of blocks ``(key, position, block)``."""
     opens = F.instr("block", "<TEXT>")
     rest = F.when(opens > 0, F.substring(F.col("block"), opens + len("<TEXT>"), F.length("block")))
     closes = F.instr(rest, "</TEXT>")

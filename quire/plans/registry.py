@@ -448,8 +448,8 @@ raw_query("chunk_markdown")(lambda spark, d: files.chunk_markdown(spark.read.par
 
 
 # Chunks by structure, stated once more: page tags cut a page into items, units of long ones and then pieces are packed one after the other.
-_REFERENCES = [("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]
-_DECODED = reduce(lambda x, r: f"replace({x}, '{r[0]}', '{r[1]}')", _REFERENCES, r"regexp_replace(x, '<[^>]*>', '', 'g')")
+_REFERENCES = [("&copy;?", "©"), ("&middot;?", "·"), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "''"), ("&nbsp;?", " "), ("&amp;?", "&")]  # these count without their semicolon, too
+_DECODED = reduce(lambda x, r: f"regexp_replace({x}, '{r[0]}', '{r[1]}', 'g')", _REFERENCES, r"regexp_replace(x, '<[^>]*>', '', 'g')")
 raw_query("page_chunks", rf"""WITH RECURSIVE bare AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<!--.*?-->', '', 'g') AS x FROM pages),
     marked AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<h1\b[^>]*>', chr(1) || 'H', 'g'), '<li\b[^>]*>', chr(1) || 'L', 'g'), '</?(?:body|nav|ul|li|div|article|h1|p|footer|header|main|section|aside)\b[^>]*>', chr(1) || 'T', 'g') AS x FROM bare),
     raw AS (SELECT page_id, unnest(string_split('T' || x, chr(1))) AS x, generate_subscripts(string_split('T' || x, chr(1)), 1) AS pos FROM marked),

@@ -9,6 +9,34 @@ from quire.operators import citations, fts, grams, topk
 from quire.sources import corpus as c
 
 
+def test_tables_that_nobody_reads_are_not_made(spark, sf_dir):
+    made = []
+
+    def store(name, df):
+        made.append(name)
+        return df
+
+    k = c.indexed(c.from_testdata(spark, sf_dir, store), store)
+    assert citations.footnotes(k.findings).count() and k.documents.count() and k.summaries.count() and made == []
+    changed = k.with_tables(documents=k.documents.limit(3))
+    assert changed.has("postings") and not k.with_tables(chunks=k.documents).has("postings") and made == []
+    assert changed.document_tags.columns and k.document_tags is changed.document_tags and made == ["chunks", "document_tags"]
+
+
+def test_index_parts_come_by_chunks_and_move_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(fts, "PART_CHUNKS", 7)
+    rng = random.Random(2)
+    rows = [(i, "document", i, " ".join(rng.choice(["That", "école", "x1", "zu"]) for _ in range(rng.randint(0, 9))) or None, rng.choice([None, "That Part", ""])) for i in range(50)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source_kind string, source_id long, text string, section_heading string")
+    table = fts.in_order(fts.postings(fts.dealt(chunks, 7)), dealt=True)
+    want = sorted((t, h, i, p, len(tx.py_tokens(b or "")) + len(tx.py_tokens(e or ""))) for i, _, _, b, e in rows for h, x in ((False, b), (True, e)) for p, t in enumerate(tx.py_tokens(x or "")))
+    got = [(r.term, r.in_heading, r.chunk_id, r.place, r.doc_len) for r in table.collect()]
+    assert sorted(got) == want
+    parts = table.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high")).orderBy("low").collect()
+    assert len(parts) > 3 and all(a.high < b.low for a, b in zip(parts, parts[1:]))
+    assert table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
 def test_pieces_across_runs(spark):
     text = "".join(random.Random(1).choice("ab \né𝒳") for _ in range(2000))
     bare = text.strip()

@@ -37,6 +37,15 @@ def test_index_parts_come_by_chunks_and_move_no_postings(spark, monkeypatch):
     assert table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
 
 
+def test_blocks_of_chunks_are_those_of_postings(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_IDS", 8)
+    rows = [(i, "document", i, f"that with {'that ' * (i % 4)} w{i % 3}" if i % 9 else None, "that head" if i % 5 == 0 else None) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source_kind string, source_id long, text string, section_heading string")
+    made = topk.blocks_of(chunks)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, topk.blocks(fts.postings(chunks)).collect()))
+    assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
 def test_pieces_across_runs(spark):
     text = "".join(random.Random(1).choice("ab \né𝒳") for _ in range(2000))
     bare = text.strip()

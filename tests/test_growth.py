@@ -46,6 +46,16 @@ def test_blocks_of_chunks_are_those_of_postings(spark, monkeypatch):
     assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
 
 
+def test_an_index_of_some_trigrams_names_the_same_chunks(spark):
+    rows = [(i, "document", i, t) for i, t in enumerate([None, "", "MIT License", "apache licence", "Licen", "a mit license", "İMIT", "x" * 50])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source_kind string, source_id long, text string")
+    plan = grams.plan_of("(MIT|Apache) Licen[cs]e")
+    some = grams.postings(chunks, grams.grams_of(plan))
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, grams.postings(chunks).where(F.col("gram").isin(grams.grams_of(plan))).collect()))
+    assert grams.candidates(some, plan).count() == grams.candidates(grams.postings(chunks), plan).count() == 3
+    assert grams.postings(chunks, []).count() == 0
+
+
 def test_pieces_across_runs(spark):
     text = "".join(random.Random(1).choice("ab \né𝒳") for _ in range(2000))
     bare = text.strip()

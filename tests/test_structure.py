@@ -1,6 +1,7 @@
 """Chunks of pages by structure against a plain statement of their rules, tables with spans, odd rows, facts and filings."""
 
 import itertools
+import random
 
 import pytest
 
@@ -125,3 +126,34 @@ def test_facts_and_filings_keep_their_structure(spark):
         "f.htm": [(0, "F", "sec_text"), (1, "F", "sec_table")],
         "x\ny.txt": [(0, "Top", "text"), (1, "Sub", "table"), (2, "Top", "section_header"), (3, "Last", "code"), (4, None, None), (5, "C", "text")],
     }
+
+
+MARKUP = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<td rowspan=2>", "<td colspan='3' x>", '<th COLSPAN="2"\n rowspan=2 >', "<thead>", "</thead>", "<tr class=a>", "<TD>", "<td colspan=2/>", "<td/>", "<br/>", "<p>", "</p>", "<h1>", "</h1>", "<h2 id=a/b>", "</h2>", "a", " b ", "x  y", "\n", "&amp;", "&lt", "\xa0", "<", "<!--c-->", "<!-- a > b -->", "<!--x", "<!DOCTYPE html>", "<?pi?>", "<script>", "</script>", "<script>if (a < b) x</script>", "<style>td {}</style>", "<style><!-- <p> --></style>", "<title>t</title>", "<textarea>", "<pre>", "<li>", "<a href='x", "<a b = 'y > z'>", ">", "</>", "</ p>", "<td rowspan=&#50;>", "\x1c", "<t\x0bd>", "<tr><td>1</td><td> 2</td></tr>", "<tr><td>1</td></tr><tr><td>&lt;b</td><td></td></tr>", "<tr><th>h</th>\n<td> k </td></tr> <tr><td colspan=2>z</td></tr>", "<td colspan=2 colspan=3>", "<td\xe9>"]
+
+
+def test_plain_markup_is_read_as_by_the_standard_parser(monkeypatch):
+    def items(html):
+        parser = structure._Items(lambda text: len(text) < 9)
+        parser.feed(html)
+        return parser.done()
+
+    rng = random.Random(5)
+    pages = ["".join(rng.choices(MARKUP, k=rng.randint(1, 20))) for _ in range(4000)]
+    pages = [PAGE, *(("<table>" if i % 2 else "") + p for i, p in enumerate(pages))]
+    got = [items(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.delattr(structure._Items, "feed")
+        assert [items(p) for p in pages] == got
+    # a page of plain markup does without that parser
+    monkeypatch.setattr(structure.HTMLParser, "feed", None)
+    head = "<thead><tr><td rowspan=2>Line</td><td colspan=2>What</td></tr><tr><td>Number</td><td>Sent</td></tr></thead>"
+    assert items(f"<h1>Order</h1><table>{head}<tr><td>1</td><td>&lt;2</td><td></td></tr><tr><td>3</td></tr></table><p>x<br>y</p>") == [
+        ("table", ["Order"], "", ["Line | What | What", "Line | Number | Sent"], ["1 | <2 | ", "3"]),
+        ("text", ["Order"], "x y", [], []),
+    ]
+
+
+def test_items_by_columns_are_those_by_rows():
+    pages = [structure.outline(h, 40) for h in (PAGE, "", "<p>" + "word " * 99)]
+    got = structure.as_arrow(pages)
+    assert got.to_pylist() == structure.pa.array(pages, type=got.type).to_pylist() and got.type == structure.pa.list_(structure.ITEM) and structure.as_arrow([]).to_pylist() == []

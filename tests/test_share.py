@@ -40,3 +40,27 @@ def test_files_are_published_once_and_verified(spark, tmp_path):
     with pytest.raises(EngineError) as e:
         share.take_in_files(spark, folder, str(tmp_path / "other"))
     assert e.value.code == "BROKEN_ARTIFACT" and e.value.extra == {"missing": [hashes[0]], "broken": [hashes[1]]} and not os.path.exists(tmp_path / "other")
+
+
+def test_contents_are_moved_once_whatever_they_are_compared_with(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "file_hash string, content binary")
+    given = frame([("aa1", bytearray(b"1")), ("aa1", bytearray(b"1")), ("aa2", bytearray(b"2")), ("bb3", None), ("bb4", bytearray(b"4")), (None, bytearray(b"5"))])
+    hashes = lambda *names: spark.createDataFrame([(n,) for n in names], "file_hash string")
+    found = lambda *others: sorted(((r.file_hash or "", r.content and bytes(r.content), r.part) for r in routes.once_by_part(given, *others).collect()))
+    assert found() == [("", b"5", None), ("aa1", b"1", "haa"), ("aa2", b"2", "haa"), ("bb3", None, "hbb"), ("bb4", b"4", "hbb")]
+    assert found(hashes("aa1", "other"), hashes("aa1", "aa2", "aa2", "bb3", "absent")) == [("aa2", b"2", "haa"), ("bb3", None, "hbb")]
+    assert found(None, hashes()) == []
+    made = routes.once_by_part(given, hashes("aa1"), hashes("aa2"))
+    made.collect()
+    assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_a_broken_copy_beside_a_right_one_is_refused(spark, tmp_path):
+    digest = hashlib.sha256(b"x").hexdigest()
+    rows = [(digest, bytearray(x), "hx") for x in (b"x", b"y", b"x", b"z")]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], share.FILE).write.partitionBy("part").parquet(str(tmp_path / f"files/batch={i}"))
+    spark.createDataFrame([(digest, "x.txt", 1, digest)], "file_hash string, name string, length long, digest string").write.parquet(str(tmp_path / "manifest/v=1"))
+    with pytest.raises(EngineError) as e:
+        share.take_in_files(spark, str(tmp_path), str(tmp_path / "taken"))
+    assert e.value.extra == {"missing": [], "broken": [digest]}
